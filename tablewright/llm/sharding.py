@@ -38,45 +38,38 @@ def grow(topology: Topology, weight: float = 1.0) -> Topology:
     return (*topology, Leaf(f"grown-{shard}", f"grown-{shard}", shard, weight))
 
 
-def _draw(key: Column, level: str, name: str, weight: float) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(f"{SEED}/{level}/{name}"), key), 11)
-    return -F.log((bits.cast("double") + 0.5) / float(2**53)) / F.lit(float(weight))
-
-
-def _winner(key: Column, level: str, weights: dict[str, float], of: dict[str, Column]) -> Column:
-    """The value, from ``of``, of the child with the smallest draw. Only the winner's value is computed."""
-    live = {name: w for name, w in weights.items() if w > 0}
-    if not live:
-        raise ValueError(f"no {level} has a weight above zero")
-    names = list(live)
-    if len(names) == 1:
-        return of[names[0]]
-    drawn = F.array_min(F.array(*[F.struct(_draw(key, level, n, live[n]).alias("d"), F.lit(i).alias("c")) for i, n in enumerate(names)]))["c"]
-    out = F.when(drawn == 0, of[names[0]])
-    for i, name in enumerate(names[1:], 1):
-        out = out.when(drawn == i, of[name])
-    return out
+def _winner(key: Column, children: Column) -> Column:
+    """``next`` of the child with the smallest draw, of an array of ``name, weight, next``."""
+
+    def drawn(child: Column) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), child["name"], key), 11)
+        return F.struct((-F.log((bits.cast("double") + 0.5) / float(2**53)) / child["weight"]).alias("draw"), child["next"].alias("next"))
+
+    return F.array_min(F.transform(children, drawn))["next"]
+
+
+def _children(rows: list[tuple[str, float, int]]) -> Column:
+    return F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(weight)).alias("weight"), F.lit(following).alias("next")) for name, weight, following in rows])
 
 
 def shard_of(key: Column, topology: Topology) -> Column:
     """The shard of ``key``. A null key is a key like any other: all null keys go to one shard."""
-    regions: dict[str, dict[str, list[Leaf]]] = {}
+    if any(leaf.weight < 0 for leaf in topology) or not any(leaf.weight > 0 for leaf in topology):
+        raise ValueError("weights must not be below zero, and one must be above")
+    tree: dict[str, dict[str, list[Leaf]]] = {}
     for leaf in topology:
-        if leaf.weight < 0:
-            raise ValueError(f"weight of shard {leaf.shard} is below zero")
-        regions.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
-    total = lambda leaves: sum(leaf.weight for leaf in leaves)
-    by_region = {}
-    for region, racks in regions.items():
-        by_rack = {
-            rack: _winner(key, f"shard/{region}/{rack}", {str(x.shard): x.weight for x in leaves}, {str(x.shard): F.lit(x.shard) for x in leaves})
-            for rack, leaves in racks.items()
-            if total(leaves) > 0
-        }
-        if by_rack:
-            by_region[region] = _winner(key, f"rack/{region}", {rack: total(racks[rack]) for rack in by_rack}, by_rack)
-    weights = {region: sum(total(leaves) for leaves in regions[region].values()) for region in by_region}
-    return _winner(key, "region", weights, by_region).cast("int")
+        if leaf.weight > 0:  # what weighs nothing is never drawn
+            tree.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
+    regions, racks, shards = [], [], []
+    for region, inside in tree.items():
+        found = []
+        for rack, leaves in inside.items():
+            found.append((f"rack/{region}/{rack}", sum(x.weight for x in leaves), len(shards)))
+            shards.append(_children([(f"shard/{region}/{rack}/{x.shard}", x.weight, x.shard) for x in leaves]))
+        regions.append((f"region/{region}", sum(w for _, w, _ in found), len(racks)))
+        racks.append(_children(found))
+    rack = _winner(key, F.get(F.array(*racks), _winner(key, _children(regions))))
+    return _winner(key, F.get(F.array(*shards), rack)).cast("int")
 
 
 def number_in_shard(df: DataFrame, shard: str, order: list[str], slot: str = "slot", buckets: int = 1024) -> DataFrame:
