@@ -137,17 +137,17 @@ def delete(current: DataFrame, ids: DataFrame, txn: str, at: Column) -> Written:
     return Written(current.join(asked, "_id", "left_anti").select(*current.columns), _log(gone.withColumn("_revision", _revision(txn)), "delete", txn, at), errors)
 
 
-def resolve_redirects(redirects: DataFrame, rounds: int = 32) -> DataFrame:
-    """Redirects (``_id, redirect``) led to their ends; each round doubles the steps. Rows of a cycle are left out."""
+def resolve_redirects(redirects: DataFrame) -> DataFrame:
+    """Redirects (``_id, redirect``) led to their ends; each round doubles the steps. What leads into a cycle is left out."""
     known = cut(redirects.select("_id", "redirect").dropDuplicates(["_id"]))
-    for _ in range(rounds):
+    sources = known.select(F.col("_id").alias("__source"))
+    for _ in range(known.count().bit_length()):
         after = known.select(F.col("_id").alias("__id"), F.col("redirect").alias("__next"))
         joined = known.join(after, F.col("redirect") == F.col("__id"), "left")
         if joined.filter("__next is not null").isEmpty():
             return known
-        known = cut(joined.select("_id", F.coalesce("__next", "redirect").alias("redirect")).filter("_id <> redirect"))
-    ends = known.select(F.col("_id").alias("__id"))
-    return known.join(ends, F.col("redirect") == F.col("__id"), "left_anti")
+        known = cut(joined.select("_id", F.coalesce("__next", "redirect").alias("redirect")))
+    return known.join(sources, F.col("redirect") == F.col("__source"), "left_anti")
 
 
 def redirected(df: DataFrame, column: str, redirects: DataFrame) -> DataFrame:

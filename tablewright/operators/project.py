@@ -23,7 +23,12 @@ def select(df: DataFrame, *paths: str) -> DataFrame:
     for path in paths:
         if "@" in path and path.split("@")[0] in texts:
             raise TableError(f"{path!r} and the text it belongs to can't both be selected")
-    return df.select(*[value_of(resolve(df, path.replace("@", ".@")).steps).alias(path) for path in paths])
+    def value(path: str) -> Column:
+        leaf = resolve(df, path.replace("@", ".@"))
+        found = value_of(leaf.steps)
+        return F.flatten(found) if "[]" in leaf.steps and isinstance(leaf.dtype, T.ArrayType) else found
+
+    return df.select(*[value(path).alias(path) for path in paths])
 
 
 def select_items(df: DataFrame, path: str) -> DataFrame:

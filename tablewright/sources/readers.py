@@ -141,7 +141,8 @@ def read_parametrized(spark: SparkSession, template: str, params: DataFrame, fmt
     reader = spark.read.format(fmt)
     rows = (reader.schema(schema) if schema else reader).load(paths).withColumn("__file", F.input_file_name())
     tail = F.regexp_replace("__path", r"^[a-z]+:/*|^/+", "")
-    return rows.join(F.broadcast(listed.withColumn("__tail", tail)), F.endswith(F.url_decode("__file"), F.col("__tail"))).drop("__file", "__path", "__tail")
+    name = F.concat(F.url_decode("__file"), F.lit("/"))  # of a file, or of a part in the folder that the path names
+    return rows.join(F.broadcast(listed.withColumn("__tail", tail)), F.contains(name, F.concat("__tail", F.lit("/")))).drop("__file", "__path", "__tail")
 
 
 def read_namespace(models: Mapping[str, DataFrame]) -> DataFrame:
