@@ -33,7 +33,7 @@ STEPS = 4
 #: Rows of the whole language that a group's own moments are blended with, so small groups lean on their language.
 PRIOR_ROWS = 20
 #: Chance of a larger distance that a row from a normal distribution has; beyond it a row is rejected.
-TAIL = 1e-6
+TAIL = 1e-3
 UNIT = 256
 BINS_PER_OCTAVE = 8
 SYMBOLS = "#*$%&|<>"
