@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -197,7 +197,3 @@ def is_national_id(column: Column, today: Column | None = None) -> Column:
     born = F.concat(century, F.substring(text, 2, 2), F.lit("-"), F.substring(text, 4, 2), F.lit("-"), F.substring(text, 6, 2)).try_cast("date")
     dated = (digit[0] == 9) | (digit[0].between(1, 8) & born.isNotNull() & (born <= (F.current_date() if today is None else today)))
     return F.coalesce(text.rlike(r"^[0-9]{11}$") & dated & (check == digit[10]), F.lit(False))
-
-
-def columns_of(names: Sequence[str]) -> list[Column]:
-    return [F.col(f"`{n}`") for n in names]

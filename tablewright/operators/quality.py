@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -217,8 +217,6 @@ def infer_refs(columns: DataFrame, keys: DataFrame) -> DataFrame:
 
     ``columns``: table, column, sql_type; ``keys``: table, column, kind (``p`` or ``f``), target.
     """
-    from .refs import group_array  # noqa: F401  (composite keys of one table are gathered the same way)
-
     base = F.lower(F.regexp_extract("sql_type", r"^([A-Za-z ]+)", 1))
     kind = (
         F.when(base.rlike("^(big|small|tiny)?int|^serial|^interval"), "integer")
@@ -249,6 +247,6 @@ def schema_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("model",
     return a.join(b, list(keys), "full_outer").select(*keys, change.alias("change"), *merged)
 
 
-def rule_counts(violations: DataFrame, by: Mapping[str, str] | None = None) -> DataFrame:
+def rule_counts(violations: DataFrame) -> DataFrame:
     """``model, property, code, count`` of violations."""
     return violations.groupBy("model", "property", "code").agg(F.count(F.lit(1)).alias("count"))

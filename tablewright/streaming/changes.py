@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -114,7 +114,3 @@ def fault_tolerant_write(df: DataFrame, checks: Sequence[DataFrame], max_errors:
     if n > max_errors:
         raise TableError(f"more than {max_errors} rows are bad")
     return good, found
-
-
-def event_time(column: str) -> Column:
-    return F.col(column).cast("timestamp")
