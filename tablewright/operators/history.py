@@ -100,6 +100,11 @@ def insert(current: DataFrame, given: DataFrame, model: str, txn: str, at: Colum
     return Written(current.unionByName(rows), _log(fresh, "insert", txn, at), errors)
 
 
+def drop_redirects(redirects: DataFrame, inserted: DataFrame) -> DataFrame:
+    """Redirects without those of ids that were inserted again."""
+    return redirects.join(inserted.select("_id"), "_id", "left_anti").select(*redirects.columns)
+
+
 def update(current: DataFrame, given: DataFrame, txn: str, at: Column, action: str = "patch", defaults: Mapping[str, object] | None = None) -> Written:
     """Saved rows with their patch. Unknown ids (``not-found``) and other revisions than asked for (``conflict``) are refused.
 
