@@ -190,15 +190,17 @@ def wipe(current: DataFrame) -> DataFrame:
 def changelog_append(log: DataFrame, rows: DataFrame) -> DataFrame:
     """The log with the rows appended, ``_id`` going on without gaps in the order of time, then row, then revision.
 
-    The rows are dealt out by ranges of that order and cut there; counts per range give each its first number.
+    The rows are dealt out by ranges of that order and cut there, with their place inside the range: once written, it
+    can't change any more. Counts per range give each its first number, so no row is shuffled again.
     """
-    order = ["datetime", "_rid", "_revision"]
-    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    by = ["datetime", "_rid", "_revision"]
+    at = F.monotonically_increasing_id()  # the range above bit 33, the place in it below
+    placed = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", at))
+    placed = placed.withColumn("__part", F.shiftright("__at", 33)).withColumn("__k", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     first = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     start = log.agg(F.coalesce(F.max("_id"), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    numbered = placed.withColumn("__k", inside).join(F.broadcast(first), "__part").join(F.broadcast(start))
+    numbered = placed.join(F.broadcast(first), "__part").join(F.broadcast(start))
     columns = [c for c in log.columns if c != "_id"]
     return log.unionByName(numbered.select((F.col("__start") + F.col("__first") + F.col("__k")).alias("_id"), *columns))
 
@@ -219,7 +221,7 @@ def state_from_changelog(log: DataFrame) -> DataFrame:
     """``_rid, action, data``: the latest value of every key of every row as a map, and the row's last action."""
     rows = log.select("_id", "_rid", "action", F.from_json("data", "map<string,string>").alias("data"))
     last = rows.groupBy("_rid").agg(F.max_by("action", "_id").alias("action"))
-    values = rows.filter("data is not null").select("_id", "_rid", F.explode("data").alias("key", "value"))
+    values = rows.select("_id", "_rid", F.explode_outer("data").alias("key", "value")).filter("key is not null")  # parses each text once
     latest = values.groupBy("_rid", "key").agg(F.max_by("value", "_id").alias("value"))
     maps = latest.groupBy("_rid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("data"))
     return last.join(maps, "_rid", "left")

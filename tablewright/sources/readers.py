@@ -115,9 +115,8 @@ def read_multi_model(df: DataFrame, model: str, type_column: str = "_type") -> D
 
 
 def combinations(params: Mapping[str, DataFrame]) -> DataFrame:
-    """Every combination of parameter values: one column per parameter, from one-column tables of bounded size."""
-    frames = [df.toDF(name) for name, df in params.items()]
-    return reduce(lambda a, b: a.join(F.broadcast(b)), frames)
+    """Every combination of parameter values: one column per parameter, from one-column tables."""
+    return reduce(lambda a, b: a.crossJoin(b), [df.toDF(name) for name, df in params.items()])
 
 
 def dependent(params: DataFrame, rows: DataFrame, on: Sequence[tuple[str, str]], value: str, name: str) -> DataFrame:
@@ -139,10 +138,15 @@ def read_parametrized(spark: SparkSession, template: str, params: DataFrame, fmt
     listed = params.withColumn("__path", path)
     paths = sorted({r["__path"] for r in listed.select("__path").collect()})
     reader = spark.read.format(fmt)
-    rows = (reader.schema(schema) if schema else reader).load(paths).withColumn("__file", F.input_file_name())
-    tail = F.regexp_replace("__path", r"^[a-z]+:/*|^/+", "")
+    file = F.col("_metadata.file_path").alias("__file")
+    rows = (reader.schema(schema) if schema else reader).load(paths)
+    rows = rows.select(*rows.columns, file)
+    # Files are matched to combinations by name, once per file; rows then meet their file's combination by equality.
+    files = spark.read.format("binaryFile").load(paths).select(file)
+    tail = F.concat(F.regexp_replace("__path", r"^[a-z]+:/*|^/+", ""), F.lit("/"))
     name = F.concat(F.url_decode("__file"), F.lit("/"))  # of a file, or of a part in the folder that the path names
-    return rows.join(F.broadcast(listed.withColumn("__tail", tail)), F.contains(name, F.concat("__tail", F.lit("/")))).drop("__file", "__path", "__tail")
+    matched = files.join(F.broadcast(listed.withColumn("__tail", tail)), F.contains(name, F.col("__tail"))).drop("__path", "__tail")
+    return rows.join(matched, "__file").drop("__file")
 
 
 def read_namespace(models: Mapping[str, DataFrame]) -> DataFrame:
