@@ -71,6 +71,21 @@ def summary_time(df: DataFrame, column: str, row_id: str = "_id", unit: str | No
     return out.select(F.timestamp_micros(F.round(centre * 1e6).cast("long")).alias("bin"), "count", "_id")
 
 
+def summary_clock(df: DataFrame, column: str, row_id: str = "_id") -> DataFrame:
+    """Like :func:`summary_time` for times of day, as text ``HH:mm:ss[.f]``; ``bin`` is such a text, to the microsecond.
+
+    Equal values get a range of 100 minutes, or of 100 seconds, milliseconds or microseconds where that would pass midnight.
+    """
+    top = F.col("max")
+    more = F.when(top + 6000 < 86_400, top + 6000).when(top + 100 < 86_400, top + 100).when(top + 0.1 < 86_400, top + 0.1).otherwise(top + 0.0001)
+    high = F.when(F.col("max") == F.col("min"), more).otherwise(top)
+    seconds = F.unix_micros(F.concat(F.lit("1970-01-01 "), F.col(column), F.lit("Z")).try_cast("timestamp")) / 1e6
+    out = _binned(df, seconds, row_id, F.floor("min").cast("double"), high, F.floor("max").cast("double") + 1, df.sparkSession.range(BINS))
+    micros = F.round((F.col("min") + F.col("size") / 2 + F.col("i") * F.col("size")) * 1e6).cast("long")
+    clock = F.format_string("%02d:%02d:%02d.%06d", F.floor(micros / 3_600_000_000), F.floor(micros / 60_000_000) % 60, F.floor(micros / 1_000_000) % 60, micros % 1_000_000)
+    return out.select(clock.alias("bin"), "count", "_id")
+
+
 def _declared(df: DataFrame, column: str, values: Sequence[object]) -> DataFrame:
     kind = df.schema[column].dataType.simpleString()
     listed = df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(values)], f"place int, bin {kind}")

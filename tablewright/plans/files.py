@@ -76,7 +76,7 @@ def stream_apply(spark, sf):
     folder = scratch(spark)
     state = S.State(spark, folder, {"current": CURRENT, "log": H.LOG_SCHEMA})
     S.stream_apply_changes(source, state, "event", f"{folder}/checkpoint").awaitTermination()
-    return state.read("current", 1 << 10).select("_id", "name", "value")
+    return state.read("current").select("_id", "name", "value")
 
 
 @query("SELECT 'u' || user_id AS key, '[\"' || max_by(event_type, event_id) || '\"]' AS value FROM events GROUP BY user_id")
@@ -87,7 +87,7 @@ def stream_keys(spark, sf):
     folder = scratch(spark)
     state = S.State(spark, folder, {"keymap": K.SCHEMA})
     S.stream_keymap_sync(source, state, ["code"], f"{folder}/checkpoint").awaitTermination()
-    return state.read("keymap", 1 << 10).select("key", "value")
+    return state.read("keymap").select("key", "value")
 
 
 @query("SELECT user_id::VARCHAR AS id, false AS error FROM events GROUP BY user_id")
@@ -98,7 +98,7 @@ def stream_push(spark, sf):
     state = S.State(spark, folder, {"state": Y.STATE_SCHEMA})
     S.stream_push_delta(source, state, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/sent/b={n}"), f"{folder}/checkpoint").awaitTermination()
     sent = spark.read.parquet(f"{folder}/sent").select(F.col("id").alias("sent")).distinct()
-    return state.read("state", 1 << 10).join(sent, F.col("id") == F.col("sent")).select("id", "error")
+    return state.read("state").join(sent, F.col("id") == F.col("sent")).select("id", "error")
 
 
 @query("SELECT c_custkey AS _id FROM customer WHERE c_custkey % 40 <> 0")

@@ -60,6 +60,17 @@ def summary_date(spark, sf):
     return out.withColumn("bin", F.col("bin").cast("timestamp_ntz"))
 
 
+@query(
+    "WITH v AS (SELECT CASE WHEN event_id % 7 <> 0 THEN ((epoch_us(ts) % 86400000000) // 1000000)::DOUBLE END AS v, event_id AS id FROM events)"
+    + BINNED.format(low="floor(lo)", edge="floor(hi) + 1")
+    + "SELECT strftime(make_timestamp(round((lo + size / 2 + r.i * size) * 1000000.0::DOUBLE)::BIGINT), '%H:%M:%S.%f') AS bin, coalesce(c.n, 0) AS count, CASE WHEN c.n = 1 THEN c.id END AS _id FROM range(100) r(i), w LEFT JOIN c ON c.i = r.i"
+)
+def summary_clock(spark, sf):
+    """100 equal bins of the time of day."""
+    df = table(spark, sf, "events").select(F.col("event_id").alias("_id"), F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "HH:mm:ss")).alias("v"))
+    return S.summary_clock(df, "v")
+
+
 @query("SELECT substr(o_custkey::VARCHAR, 1, 8) AS bin, count(*) AS count, CASE WHEN count(*) = 1 THEN min(o_orderkey) END AS _id, 'https://example.org/customer' AS label FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, min(o_orderdate), o_custkey::VARCHAR LIMIT 10")
 def summary_ref(spark, sf):
     """The most referenced rows."""
@@ -155,12 +166,12 @@ def clean_numbers(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", k, C.clean(text, "number").alias("number"))
 
 
-@query("SELECT c_custkey, 'POINT (' || c_custkey || ' ' || c_nationkey || ')' AS wkt, 'SRID=3346;POINT (' || c_nationkey || ' ' || c_custkey || ')' AS flipped, -c_nationkey AS neg, 'POINT (' || c_nationkey || ' ' || c_custkey || ')' AS label FROM customer")
+@query("SELECT c_custkey, 'POINT (' || c_custkey || ' ' || c_nationkey || ')' AS wkt, 'SRID=3346;POINT (' || c_nationkey || ' ' || c_custkey || ')' AS flipped, -c_nationkey AS neg, 'POINT (' || c_nationkey || ' ' || c_custkey || ')' AS label, 'https://www.openstreetmap.org/?mlat=' || c_nationkey || '&mlon=' || c_custkey || '#map=19/' || c_nationkey || '/' || c_custkey AS link FROM customer")
 def points(spark, sf):
     """Points, flipped ones, negatives and labels."""
     p = C.point(F.col("c_custkey"), F.col("c_nationkey"))
     flipped = C.flip(F.concat(F.lit("SRID=3346;"), p))
-    return table(spark, sf, "customer").select("c_custkey", C.flip(p, 2).alias("wkt"), flipped.alias("flipped"), C.negative(F.col("c_nationkey")).alias("neg"), C.geometry_label(flipped).alias("label"))
+    return table(spark, sf, "customer").select("c_custkey", C.flip(p, 2).alias("wkt"), flipped.alias("flipped"), C.negative(F.col("c_nationkey")).alias("neg"), C.geometry_label(flipped).alias("label"), C.centroid_link(F.col("c_custkey"), F.col("c_nationkey")).alias("link"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 7 <> 0 THEN l_orderkey || ',' || l_linenumber END AS id, CASE WHEN l_partkey % 7 <> 0 THEN l_linenumber::VARCHAR END AS second FROM lineitem")

@@ -1,7 +1,7 @@
 """Change streams: the batch operators applied to every micro-batch.
 
-State lives in tables that each batch writes anew under its own number; a pointer file names the last good one. A batch
-that runs again after a failure reads the same former state and writes the same rows, so applying it twice does no harm.
+State lives in tables that each batch writes anew under its own number. A batch that runs again after a failure reads the
+same former version and writes the same rows, so applying it twice does no harm.
 """
 
 from __future__ import annotations
@@ -28,20 +28,33 @@ class State:
     def _path(self, name: str, version: int) -> str:
         return f"{self.folder}/{name}/v={version}"
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    def _versions(self, name: str) -> list[int]:
+        """The versions that were written to the end, in order."""
+        done = self._hadoop(f"{self.folder}/{name}")
+        found = done[0].globStatus(self._jvm.org.apache.hadoop.fs.Path(done[1], "v=*/_SUCCESS"))
+        return sorted(int(f.getPath().getParent().getName()[2:]) for f in found or ())
 
-    def read(self, name: str, before: int) -> DataFrame:
-        """The table as the last batch before ``before`` left it; empty at first."""
-        for version in range(before - 1, -1, -1):
-            if self._exists(f"{self._path(name, version)}/_SUCCESS"):
-                return self.spark.read.schema(self.schemas[name]).parquet(self._path(name, version))
-        return self.spark.createDataFrame([], self.schemas[name])
+    @property
+    def _jvm(self):
+        return self.spark.sparkContext._jvm
+
+    def _hadoop(self, path: str) -> tuple:
+        target = self._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
+
+    def read(self, name: str, before: int | None = None) -> DataFrame:
+        """The table as the last batch, or the last one before ``before``, left it; empty at first."""
+        versions = [v for v in self._versions(name) if before is None or v < before]
+        if not versions:
+            return self.spark.createDataFrame([], self.schemas[name])
+        return self.spark.read.schema(self.schemas[name]).parquet(self._path(name, versions[-1]))
 
     def write(self, name: str, version: int, df: DataFrame) -> None:
+        """A new version; of the former ones, that which this batch read stays, so the batch can run again."""
         df.select(*[f.split()[0] for f in self.schemas[name].split(", ")]).write.mode("overwrite").parquet(self._path(name, version))
+        for old in [v for v in self._versions(name) if v < version][:-1]:
+            system, target = self._hadoop(self._path(name, old))
+            system.delete(target, True)
 
 
 def _start(source: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -109,6 +109,14 @@ def test_summary_of_one_date(spark, unit, first, last):
     assert rows[0].b == first and rows[0]["count"] == 1 and (last is None or rows[-1].b == last)
 
 
+@pytest.mark.parametrize("at,step", [("10:00:00", 60), ("23:30:00", 1), ("23:59:59", 0.001)])
+def test_summary_of_one_time(spark, at, step):
+    df = spark.createDataFrame([(1, at), (2, None)], "_id int, v string")
+    rows = summary.summary_clock(df, "v").orderBy("bin").collect()
+    seconds = sum(int(x) * y for x, y in zip(at.split(":"), (3600, 60, 1), strict=True)) + step / 2
+    assert rows[0]["count"] == 1 and sum(float(x) * y for x, y in zip(rows[0].bin.split(":"), (3600, 60, 1), strict=True)) == pytest.approx(seconds)
+
+
 def test_summary_points(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 10.0, 20.0), (4, 40.0, 80.0), (5, None, 1.0)], "_id int, x double, y double")
     rows = summary.summary_geometry(df, "x", "y").collect()
@@ -308,8 +316,8 @@ def test_stream_of_changes_equals_batch(spark, tmp_path):
     source = stream_of(spark, tmp_path, batches, schema)
     state = ST.State(spark, f"file://{tmp_path}/state", {"current": CURRENT, "log": H.LOG_SCHEMA})
     ST.stream_apply_changes(source, state, "m", f"file://{tmp_path}/check").awaitTermination()
-    current = {r["_id"]: r.name for r in state.read("current", 99).collect()}
-    log = state.read("log", 99).orderBy("_id").collect()
+    current = {r["_id"]: r.name for r in state.read("current").collect()}
+    log = state.read("log").orderBy("_id").collect()
     assert current == {"1": "a2", "3": "c"} and [r["_id"] for r in log] == [1, 2, 3, 4]
     assert sorted((r["_rid"], r.action) for r in log) == [("1", "insert"), ("2", "delete"), ("2", "insert"), ("3", "insert")]
 
@@ -319,7 +327,7 @@ def test_stream_of_keys_and_pushes(spark, tmp_path):
     rows = [[(1, "r", "t", "k1", at(1), "insert", '{"code":"a"}')], [(2, "r", "t", "k1", at(2), "patch", '{"code":"b"}'), (3, "r", "t", "k2", at(2), "move", '{"_id":"k1"}')]]
     state = ST.State(spark, f"file://{tmp_path}/keys/state", {"keymap": K.SCHEMA})
     ST.stream_keymap_sync(stream_of(spark, tmp_path / "keys", rows, H.LOG_SCHEMA), state, ["code"], f"file://{tmp_path}/keys/check").awaitTermination()
-    assert {r.key: (r.value, r.redirect) for r in state.read("keymap", 99).collect()} == {"k1": ('["b"]', None), "k2": (None, "k1")}
+    assert {r.key: (r.value, r.redirect) for r in state.read("keymap").collect()} == {"k1": ('["b"]', None), "k2": (None, "k1")}
     sent = []
     state = ST.State(spark, f"file://{tmp_path}/push/state", {"state": "id string, revision string, checksum string, pushed timestamp, error boolean, data string"})
     rows = [[("1", at(1), "a"), ("2", at(1), "b")], [("1", at(2), "a"), ("2", at(2), "c")]]
