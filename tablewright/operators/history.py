@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..model import RESERVED, Catalog, TableError
 from ..runtime import cut
-from .paging import order
+from .paging import latest_per_key
 
 LOG_SCHEMA = "_id long, _revision string, _txn string, _rid string, datetime timestamp, action string, data string"
 
@@ -91,9 +91,9 @@ def insert(current: DataFrame, given: DataFrame, model: str, txn: str, at: Colum
     if "_id" not in given.columns:
         given = given.withColumn("_id", F.lit(None).cast("string"))
     named = given.withColumn("_id", F.coalesce("_id", stable_id(model, *[F.col(c).cast("string") if not isinstance(given.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType)) else F.to_json(c) for c in columns if c in given.columns])))
-    named = named.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_id")))
-    errors = named.filter("_n > 1").select("_id", F.lit("repeated").alias("code")).distinct()
-    patched = build_patch(named.filter("_n = 1").drop("_n"), current, "insert", defaults)
+    repeated = named.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
+    errors = repeated.withColumn("code", F.lit("repeated"))
+    patched = build_patch(named.join(repeated, "_id", "left_anti"), current, "insert", defaults)
     errors = errors.unionByName(patched.filter("found").select("_id", F.lit("exists").alias("code")))
     fresh = patched.filter("not found").withColumn("_revision", _revision(txn)).withColumns({"_created": at, "_updated": F.lit(None).cast("timestamp")})
     rows = fresh.select(*[F.col(c).cast(current.schema[c].dataType).alias(c) for c in current.columns])
@@ -242,9 +242,12 @@ def find_corrupt_changelog(log: DataFrame, keys: Sequence[str]) -> DataFrame:
 def deduplicate(catalog: Catalog, model: str, keys: Sequence[str], by: Sequence[str]) -> tuple[Catalog, DataFrame, DataFrame]:
     """Duplicates of the keys merged into the first row in the order ``by``; then the keys are unique."""
     table = catalog[model]
-    window = Window.partitionBy(*keys)
-    ranked = table.df.withColumn("__primary", F.first(table.key).over(window.orderBy(*order(table.df, *by))))
-    moves = ranked.filter(F.col(table.key) != F.col("__primary")).select(F.col(table.key).alias("_id"), F.col("__primary").alias("redirect"))
+    first = latest_per_key(table.df, keys, by).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(table.key).alias("redirect"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    condition = same[0]
+    for s in same[1:]:
+        condition = condition & s
+    moves = table.df.join(first, condition).filter(F.col(table.key) != F.col("redirect")).select(F.col(table.key).alias("_id"), "redirect")
     return move(catalog, model, cut(moves))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,10 +66,11 @@ def check_required(df: DataFrame, model: Model, row_id: str = "_id") -> DataFram
 
 def check_unique(df: DataFrame, keys: Sequence[str], model: str, row_id: str = "_id") -> DataFrame:
     """Every row whose key another row has too; keys with a null are never equal."""
+    from .summary import find_duplicates
+
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    rows = df.filter(whole).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     name = ",".join(keys)
-    return rows.filter("__n > 1").select(F.lit(model).alias("model"), F.col(row_id).cast("string").alias("_id"), F.lit(name).alias("property"), F.lit("unique").alias("code"), F.concat_ws(",", *keys).alias("value"))
+    return find_duplicates(df.filter(whole), keys).select(F.lit(model).alias("model"), F.col(row_id).cast("string").alias("_id"), F.lit(name).alias("property"), F.lit("unique").alias("code"), F.concat_ws(",", *keys).alias("value"))
 
 
 def check_refs(df: DataFrame, fk: str, target: DataFrame, key: str, model: str, row_id: str = "_id") -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import TableError
@@ -137,10 +138,14 @@ def summary_geometry(df: DataFrame, x: str, y: str, row_id: str = "_id", cluster
 
 
 def find_duplicates(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Rows of keys that occur more than once, nulls being equal; ``by`` orders them (``-ts``: newest first)."""
+    """Rows of keys that occur more than once, nulls being equal; ``by`` orders them (``-ts``: newest first).
+
+    Keys are counted before the shuffle and met by a semi-join, so a key with very many rows isn't sorted in one task.
+    """
     from .paging import order
 
-    out = df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("__n > 1").drop("__n")
+    several = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    out = df.join(several, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_semi")
     return out.orderBy(*keys, *order(df, *by)) if by else out
 
 
