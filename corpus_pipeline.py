@@ -14,8 +14,7 @@ from tablewright.llm.common import read, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outlier of their language and source."""
-    fitted = quality.fit(written(quality.measure(docs, ["lang", "source"])))
-    return quality.judge(quality.measure(docs), fitted).filter("kept").select(*docs.columns)
+    return quality.good_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_BROADCAST_ROWS = 200_000
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, remembered; emptied when full, so memory stays bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 100_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

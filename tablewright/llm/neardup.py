@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small, written
+from .common import WordHashes, cut, small, written
 
 WORDS = 5
 PERCENT = 80
@@ -45,16 +45,6 @@ _FOLD = _random.integers(0, 2**63, (BANDS, ROWS + 1), dtype=np.uint64) * 2 + 1
 _STEP = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(64)], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    """Word hashes, remembered; emptied when full, so memory stays bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
@@ -117,7 +107,7 @@ def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, set_key, bands, signature``; key and signature are null and bands empty without words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes = WordHashes()
         for batch in batches:
             sizes, keys, bands, signatures = [], [], [], []
             for text in batch.column(1):
@@ -243,7 +233,7 @@ def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__node"), "left_semi")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes = WordHashes()
         for batch in batches:
             found = [shingles(text.as_py(), words, hashes).tobytes() for text in batch.column(1)]
             arrays = [batch.column(0), pa.array([xxhash.xxh3_128_digest(f) for f in found], pa.binary()), pa.array(found, pa.binary())]

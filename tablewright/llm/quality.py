@@ -16,14 +16,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small
+from .common import WordHashes, cut, small, written
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -54,16 +52,6 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _MIX = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(WINDOW)], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    """Word hashes, remembered; emptied when full, so memory stays bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def repeated_words(words: list[bytes], hashes: dict) -> int:
     """Words that lie in a window of ``WINDOW`` words found twice or more, first occurrence included."""
     n = len(words) - WINDOW + 1
@@ -121,19 +109,29 @@ def measure(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     Columns that carry the added names are replaced. A null text counts as empty and fails the base rules.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in {*COUNTS, "base_failed", *X}]
+    sent = kept if "text" in kept else [*kept, "text"]
+    text_at = sent.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes = WordHashes()
         for batch in batches:
-            found = [measure_text(text.as_py(), hashes) for text in batch.column(0)]
+            found = [measure_text(text.as_py(), hashes) for text in batch.column(text_at)]
             counts = np.array([f[0] for f in found], np.int64).reshape(-1, len(COUNTS))
             vectors = np.array([f[2] for f in found], np.int32).reshape(-1, P)
-            arrays = [*batch.columns[1:], *map(pa.array, counts.T.copy()), pa.array([f[1] for f in found], pa.bool_()), *map(pa.array, vectors.T.copy())]
+            arrays = [*batch.columns[: len(kept)], *map(pa.array, counts.T.copy()), pa.array([f[1] for f in found], pa.bool_()), *map(pa.array, vectors.T.copy())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *COUNTS, "base_failed", *X])
 
     added = [*(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("base_failed", T.BooleanType()), *(T.StructField(c, T.IntegerType()) for c in X)]
     schema = T.StructType([docs.schema[c] for c in kept] + added)
-    return docs.select(F.col("text").alias("__text"), *kept).mapInArrow(scan, schema)
+    return docs.select(*sent).mapInArrow(scan, schema)
+
+
+def good_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever these are called."""
+    fitted = fit(written(measure(docs, ["lang", "source"])))
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c not in ("text", "lang", "source")}
+    judged = judge(measure(docs.withColumnsRenamed(own)), fitted).filter("kept")
+    return judged.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def _gamma_p(a: float, x: float) -> float:
@@ -188,21 +186,22 @@ def _on_group(rows: DataFrame, fitted: DataFrame) -> DataFrame:
 def _solved(moments: DataFrame) -> DataFrame:
     """``lang, source, mean, precision`` from moments of groups (n, s, c) and of their languages (ln, ls, lc)."""
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             means, precisions = [], []
-            for row in batch.itertuples():
-                own = _moments(row.n, row.s, row.c)
-                lang = _moments(row.ln, row.ls, row.lc)
-                weight = row.n / (row.n + PRIOR_ROWS)
+            for row in batch.to_pylist():
+                own = _moments(row["n"], row["s"], row["c"])
+                lang = _moments(row["ln"], row["ls"], row["lc"])
+                weight = row["n"] / (row["n"] + PRIOR_ROWS)
                 mean = weight * own[0] + (1 - weight) * lang[0]
                 scatter = CONSISTENCY * (weight * own[1] + (1 - weight) * lang[1]) + _FLOOR
                 inverse = np.linalg.inv(scatter)
                 means.append(mean.tolist())
                 precisions.append([float(inverse[i, j]) for i, j in _PAIRS])
-            yield pd.DataFrame({"lang": batch["lang"], "source": batch["source"], "mean": means, "precision": precisions})
+            lists = [pa.array(x, pa.list_(pa.float64())) for x in (means, precisions)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("source"), *lists], names=["lang", "source", "mean", "precision"])
 
-    return moments.mapInPandas(solve, "lang string, source string, mean array<double>, precision array<double>")
+    return moments.mapInArrow(solve, "lang string, source string, mean array<double>, precision array<double>")
 
 
 def _moments(n: float, sums: list, crosses: list) -> tuple[np.ndarray, np.ndarray]:
