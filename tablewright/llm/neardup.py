@@ -33,8 +33,8 @@ BITS = 4
 #: Rejections by the estimate lie this many standard errors below the threshold.
 SIGMAS = 5.5
 #: Most classes, and most shingles, of one block.
-BLOCK = 1024
-BLOCK_SHINGLES = 1 << 21
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 19
 PIVOTS = 16
 HASHES = BANDS * ROWS
 
