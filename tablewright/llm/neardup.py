@@ -255,7 +255,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, ties: DataFrame, words: int,
     if many.isEmpty():
         return done.select(F.col("a").alias("node"), F.col("b").alias("label"))
     # Blocks, each with the cluster's pivots: those that most ties lead to, one of each hash slot.
-    degree = ties.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    degree = cut(ties.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
     slot = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(PIVOTS))
     best = many.select("cluster", "node").join(degree, "node", "left").groupBy("cluster", slot.alias("slot"))
     pivots = cut(best.agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("best")).select(F.col("best.node").alias("pivot")).distinct())
