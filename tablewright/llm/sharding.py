@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 20_240_601
+#: Most numbers that are written out at once for one repeated row.
+RUN = 100_000
 
 
 class Leaf(NamedTuple):
@@ -88,7 +90,9 @@ def number_in_shard(df: DataFrame, shard: str, order: list[str], slot: str = "sl
     inside = Window.partitionBy(shard, "__bucket").orderBy(*order, *[c for c in columns if c not in order]).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(first, [shard, "__bucket"])
     start = F.col("__first") + F.col("__before")
-    return placed.select(*columns, F.explode(F.sequence(start, start + F.col("__n") - 1)).alias(slot))
+    runs = placed.select(*columns, start.alias("__start"), (start + F.col("__n")).alias("__end"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / RUN))).alias("__run"))
+    at = F.col("__start") + F.col("__run") * RUN
+    return runs.select(*columns, F.explode(F.sequence(at, F.least(at + RUN, F.col("__end")) - 1)).alias(slot))
 
 
 def shard_documents(docs: DataFrame, topology: Topology | None = None, grown: Topology | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

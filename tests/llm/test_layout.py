@@ -63,6 +63,13 @@ def test_shards_follow_weights_and_confine_movement(spark):
     assert abs(sum(r.d == 16 for r in rows) / 40_000 - 1 / 17) < 0.006
 
 
+def test_slots_of_many_repeats(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = spark.createDataFrame([(1, "a")] * 50 + [(2, "b")] * 14 + [(3, "c")], "id int, t string").withColumn("shard", F.lit(0))
+    out = sharding.number_in_shard(rows, "shard", ["id"], buckets=4).collect()
+    assert sorted(r.slot for r in out) == list(range(65)) and Counter(r.id for r in out) == {1: 50, 2: 14, 3: 1}
+
+
 def test_shards_of_odd_rows(spark, odd):
     rows = sharding.shard_documents(odd, keep=("label",)).collect()
     assert len(rows) == odd.count() and len({(r["shard"], r.slot) for r in rows}) == len(rows)
