@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..model import Table
 from ..operators import history as H
 from ..operators import keymap as K
 from ..operators import sync as Y
+from ..operators.project import checksum
 from ..sources import readers as R
 from ..sources import writers as W
 from .base import catalog, query, table
@@ -358,8 +361,6 @@ def keymap_duplicates(spark, sf):
 
 def _state(spark, sf):
     o = table(spark, sf, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("_id"), F.when(F.col("o_orderkey") % 5 == 0, 0.5).otherwise(F.col("o_totalprice")).alias("o_totalprice"), "o_orderstatus")
-    from ..operators.project import checksum
-
     known = o.select(F.col("_id").cast("string").alias("id"), F.concat(F.lit("r"), F.col("_id").cast("string")).alias("revision"), checksum(o, ["o_totalprice", "o_orderstatus"]).alias("checksum"), _now().alias("pushed"), (F.col("_id") % 13 == 0).alias("error"), F.lit(None).cast("string").alias("data"))
     gone = known.withColumns({"id": F.concat(F.lit("x"), "id")})
     return known.union(gone)
@@ -410,6 +411,4 @@ def rebuilt_state(spark, sf):
 def incremental_cursor(spark, sf):
     """Rows behind the saved cursor."""
     df = table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
-    import datetime
-
     return Y.incremental_cursor(df, ["o_orderdate", "o_orderkey"], [datetime.datetime(1996, 1, 1, tzinfo=datetime.UTC), 10]).select("o_orderkey")
