@@ -49,8 +49,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, least
     ``doc_start`` is the token of the document under the item's first token (below 0 if the item begins before the
     text), ``matched`` the agreeing tokens on the best diagonal. A null or empty text has no token, so it leaks
     nothing and is leaked nowhere; items of fewer than ``SPAN`` tokens can't be seeded and are never reported. Rows
-    that repeat an id are judged by their own texts and reported once per id and item; null ids are reported as
-    null. Either table may be empty.
+    that repeat an id are judged by their own texts and reported once per id and item; null ids of documents are
+    reported as null, items without an id never. Either table may be empty.
     """
     items = benchmark.select("item_id", tokens(F.col("text")).alias("toks")).filter(F.size("toks") >= SPAN).distinct()
     item_seeds = cut(seeds(items, ["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "seed"))

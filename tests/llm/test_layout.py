@@ -163,5 +163,7 @@ def test_decontamination_of_odd_rows(spark, odd, sf):
     leaked = bench.first().text
     more = odd.withColumn("text", F.when(F.col("doc_id") == 6, F.lit(leaked)).otherwise(F.col("text")))
     assert [r.doc_id for r in decontam.leaks(more, bench).collect()] == [6]
+    unnamed = bench.withColumn("item_id", F.lit(None).cast("long"))
+    assert decontam.leaks(more, unnamed).count() == 0 and decontam.leaks(more, bench.union(bench)).count() == 1
     assert decontam.clean_documents(more, bench).count() == odd.count() - 2
     assert decontam.leaks(odd.limit(0), bench).count() == 0 and decontam.leaks(more, bench.limit(0)).count() == 0
