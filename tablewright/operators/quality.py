@@ -165,7 +165,7 @@ INFERRED = {
 
 
 def infer_schema(df: DataFrame) -> DataFrame:
-    """``column, type, required, unique`` of text columns, by one aggregation over all of them.
+    """``column, type, required, unique`` of text columns: types by one aggregation, uniqueness by counts of values.
 
     Empty texts count as absent: required means none is absent, unique that all present values differ.
     """
@@ -173,7 +173,7 @@ def infer_schema(df: DataFrame) -> DataFrame:
     for i, name in enumerate(df.columns):
         value = F.when(F.col(f"`{name}`") != "", F.col(f"`{name}`"))
         flags += [F.min(F.when(value.isNotNull(), test(value))).alias(f"{i}_{k}") for k, test in INFERRED.items()]
-        flags += [F.count(value).alias(f"{i}_n"), F.count(F.lit(1)).alias(f"{i}_all"), F.count_distinct(value).alias(f"{i}_distinct")]
+        flags += [F.count(value).alias(f"{i}_n"), F.count(F.lit(1)).alias(f"{i}_all")]
     one = df.agg(*flags)
     rows = []
     for i, name in enumerate(df.columns):
@@ -181,9 +181,12 @@ def infer_schema(df: DataFrame) -> DataFrame:
         for k in INFERRED:
             kind = kind.when(F.col(f"{i}_{k}"), F.lit(k))
         required = (F.col(f"{i}_n") == F.col(f"{i}_all")) & (F.col(f"{i}_n") > 0)
-        unique = (F.col(f"{i}_n") == F.col(f"{i}_distinct")) & (F.col(f"{i}_n") > 0)
-        rows.append(F.struct(F.lit(name).alias("column"), kind.otherwise("string").alias("type"), required.alias("required"), unique.alias("unique")))
-    return one.select(F.inline(F.array(*rows)))
+        rows.append(F.struct(F.lit(name).alias("column"), kind.otherwise("string").alias("type"), required.alias("required")))
+    found = one.select(F.inline(F.array(*rows)))
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(name).alias("__column"), F.col(f"`{name}`").alias("value")) for name in df.columns]))).filter("value <> ''")
+    most = cells.groupBy("__column", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("__column").agg(F.max("n").alias("most"))
+    joined = found.join(most, F.col("column") == F.col("__column"), "left")
+    return joined.select("column", "type", "required", F.coalesce(F.col("most") == 1, F.lit(False)).alias("unique"))
 
 
 def infer_models(schema: T.StructType, name: str) -> dict[str, Model]:
