@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, small
 
-#: Token offsets that each mask keeps. A substitution at a skipped offset leaves the hash as it is.
-MASKS = ((0, 1, 3, 4, 8, 9), (0, 2, 3, 5, 6, 9))
-SPAN = 10
+#: Token offsets that each mask keeps. A substitution at a skipped offset leaves the hash as it is. Agreement that holds
+#: none of the three (no 111, 1101 or 1011) is at most every second token plus one or two at the ends, which is below
+#: ``OVERLAP`` and ``LEAST`` for every length: each pair that meets them shares a seed.
+MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+SPAN = 4
 #: Share of an item's tokens that must agree on one diagonal, and the least number of them.
 OVERLAP = 0.6
 LEAST = 8
@@ -48,7 +50,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, least
 
     ``doc_start`` is the token of the document under the item's first token (below 0 if the item begins before the
     text), ``matched`` the agreeing tokens on the best diagonal. A null or empty text has no token, so it leaks
-    nothing and is leaked nowhere; items of fewer than ``SPAN`` tokens can't be seeded and are never reported. Rows
+    nothing and is leaked nowhere; items of fewer than ``least`` tokens are never reported. Rows
     that repeat an id are judged by their own texts and reported once per id and item; null ids of documents are
     reported as null, items without an id never. Either table may be empty.
     """

@@ -1,6 +1,7 @@
 """Sharding, mixing, URL filter and decontamination against plain versions."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -158,6 +159,39 @@ def test_leaks(spark, docs, sf):
     assert found == plain_leaks(some, items) and (-1, items[0][0]) in found and (-2, items[1][0]) in found
 
 
+def test_no_agreement_without_seed():
+    width = max(m[-1] for m in decontam.MASKS)
+    most = {(0,) * width: 0}  # the last tokens' agreement: most agreeing tokens so far without a seed
+    for n in range(1, 200):
+        longer = defaultdict(int)
+        for last, agreed in most.items():
+            for bit in (0, 1):
+                now = (*last, bit)
+                if not any(all(now[o - m[-1] - 1] for o in m) for m in decontam.MASKS):
+                    longer[now[1:]] = max(longer[now[1:]], agreed + bit)
+        most = longer
+        assert max(most.values()) < max(decontam.LEAST, decontam.OVERLAP * n)
+
+
+def test_leaks_with_substitutions(spark):
+    rng = random.Random(7)
+    items, texts = [], []
+    for n in (8, 9, 10, 12, 15, 20, 30, 59):
+        for changes in range(n - max(decontam.LEAST, math.ceil(decontam.OVERLAP * n)) + 2):
+            for _ in range(3):
+                words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+                at = set(rng.sample(range(n), changes))
+                items.append((len(items), " ".join(words)))
+                texts.append((len(texts), " ".join(["before"] * 5 + ["other" if k in at else w for k, w in enumerate(words)])))
+    words = [f"v{k}" for k in range(10)]
+    for gone in (0, 3, 9):
+        texts.append((len(texts), " ".join("other" if k == gone else w for k, w in enumerate(words))))
+    items.append((-1, " ".join(words)))
+    found = {(r.doc_id, r.item_id): r.matched for r in decontam.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k: v for k, v in plain_leaks(texts, items).items() if k not in found} == {}
+    assert all(found[len(texts) - k, -1] == 9 for k in (1, 2, 3))
+
+
 def test_decontamination_of_odd_rows(spark, odd, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     leaked = bench.first().text
