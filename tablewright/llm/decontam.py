@@ -2,13 +2,14 @@
 
 A mask names the token offsets that count; the offsets it skips may differ. The masked tokens at every position of
 every test item and every document are hashed, equal hashes are joined, and around each hit the item is laid over
-the document along the hit's diagonal. A document leaks an item if enough of the item's tokens agree there.
+the document along the hit's diagonal. A document leaks an item if enough of the item's tokens agree there, counted
+together with those of near diagonals (words put in or left out), or if a long stretch of it does.
 Only DataFrame functions run here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small
@@ -21,6 +22,10 @@ SPAN = 4
 #: Share of an item's tokens that must agree on one diagonal, and the least number of them.
 OVERLAP = 0.6
 LEAST = 8
+#: Diagonals that are added up, to either side, and the stretch that leaks an item of any length: ``STRETCH`` of
+#: ``WITHIN`` tokens in a row agree.
+SHIFT = 8
+STRETCH, WITHIN = 13, 16
 #: Most seeds of the test items that are broadcast; more are joined by shuffle.
 MAX_BROADCAST_SEEDS = 1_000_000
 
@@ -49,7 +54,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, least
     """One row per leaked pair: ``doc_id, item_id, doc_start, item_tokens, matched, overlap``.
 
     ``doc_start`` is the token of the document under the item's first token (below 0 if the item begins before the
-    text), ``matched`` the agreeing tokens on the best diagonal. A null or empty text has no token, so it leaks
+    text), ``matched`` the agreeing tokens on the best diagonal and ``overlap`` their share of the item. A pair is
+    reported if, on a diagonal and its neighbours within ``SHIFT`` that were hit, the agreeing tokens of the item are
+    ``overlap`` of it and ``least`` or more, or ``STRETCH`` of some ``WITHIN`` in a row; ``matched`` and ``overlap`` of
+    one diagonal may then be lower. A null or empty text has no token, so it leaks
     nothing and is leaked nowhere; items of fewer than ``least`` tokens are never reported. Rows
     that repeat an id are judged by their own texts and reported once per id and item; null ids of documents are
     reported as null, items without an id never. Either table may be empty.
@@ -61,7 +69,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, least
     mine = docs.select("doc_id", text_hash.alias("text_hash"), tokens(F.col("text")).alias("toks"))
     hits = seeds(mine, ["doc_id", "text_hash"]).join(item_seeds, "seed")
     # Diagonals of all hits: the few places where an item may lie over a document.
-    places = cut(hits.select("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("doc_start")).distinct())
+    spot = ["doc_id", "text_hash", "item_id"]
+    places = hits.groupBy(*spot, (F.col("pos") - F.col("item_pos")).alias("doc_start")).agg(F.count(F.lit(1)).alias("hits"))
+    near = Window.partitionBy(*spot).orderBy("doc_start").rangeBetween(-SHIFT, SHIFT)
+    sizes = small(cut(items.groupBy("item_id").agg(F.min(F.size("toks")).alias("n"))))
+    # Agreement of a share above one half has at least this many hits, a stretch more than STRETCH.
+    fewest = F.least(F.col("n") * (2 * overlap - 1) - 2 - 1e-6, F.lit(float(STRETCH)))
+    places = places.withColumn("around", F.sum("hits").over(near)).join(sizes, "item_id").filter(F.col("around") >= fewest)
+    places = cut(places.select(*spot, "doc_start"))
     found = small(places.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct())
     suspects = docs.select("doc_id", "text", text_hash.alias("text_hash")).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
     suspects = suspects.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", tokens(F.col("text")).alias("doc_toks"))
@@ -70,9 +85,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, least
     laid = laid.join(items.withColumnRenamed("toks", "item_toks"), "item_id")
     under = F.slice("doc_toks", F.greatest(F.col("doc_start"), F.lit(0)) + 1, F.size("item_toks") + F.least(F.col("doc_start"), F.lit(0)))
     over = F.slice("item_toks", F.greatest(-F.col("doc_start"), F.lit(0)) + 1, F.size("item_toks"))
-    agree = F.size(F.filter(F.zip_with(under, over, lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False))))
-    judged = laid.select("doc_id", "item_id", "doc_start", F.size("item_toks").alias("item_tokens"), agree.alias("matched"))
-    judged = judged.withColumn("overlap", F.col("matched") / F.col("item_tokens")).filter((F.col("overlap") >= overlap) & (F.col("matched") >= least))
+    skipped = F.greatest(-F.col("doc_start"), F.lit(0))
+    same_at = F.zip_with(under, over, lambda a, b: a == b)
+    agree = F.filter(F.transform(same_at, lambda x, i: F.when(x, i + skipped)), lambda x: x.isNotNull())
+    judged = laid.select(*spot, "doc_start", F.xxhash64("item_toks").alias("item_hash"), F.size("item_toks").alias("item_tokens"), agree.alias("at"))
+    near = Window.partitionBy(*spot, "item_hash").orderBy("doc_start").rangeBetween(-SHIFT, SHIFT)
+    judged = judged.withColumn("all_at", F.array_sort(F.array_distinct(F.flatten(F.collect_list("at").over(near)))))
+    total = F.size("all_at")
+    ends = F.sequence(F.lit(STRETCH), F.greatest(total, F.lit(STRETCH)))
+    dense = F.exists(ends, lambda e: F.get("all_at", e - 1) - F.get("all_at", e - STRETCH) < WITHIN)
+    enough = (total / F.col("item_tokens") >= overlap) & (total >= least)
+    judged = judged.filter(enough | ((total >= STRETCH) & dense)).withColumn("matched", F.size("at"))
+    judged = judged.withColumn("overlap", F.col("matched") / F.col("item_tokens"))
     best = F.max(F.struct("matched", (-F.col("doc_start")).alias("back"), "item_tokens", "overlap")).alias("best")
     return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.back")).alias("doc_start"), "best.item_tokens", "best.matched", "best.overlap")
 

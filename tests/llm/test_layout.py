@@ -173,6 +173,25 @@ def test_no_agreement_without_seed():
         assert max(most.values()) < max(decontam.LEAST, decontam.OVERLAP * n)
 
 
+def test_least_hits_of_an_agreement():
+    width = max(m[-1] for m in decontam.MASKS)
+    fewest = {((0,) * width, 0): 0}  # the last tokens' agreement, agreeing tokens: fewest hits so far
+    for n in range(1, 70):
+        longer = {}
+        for (last, agreed), hits in fewest.items():
+            for bit in (0, 1):
+                now = (*last, bit)
+                more = hits + bit * sum(all(now[o - m[-1] - 1] for o in m) for m in decontam.MASKS)
+                key = now[1:], agreed + bit
+                longer[key] = min(longer.get(key, more), more)
+        fewest = longer
+        for (_, agreed), hits in fewest.items():
+            if agreed >= decontam.LEAST:
+                assert hits >= 2 * agreed - n - 2
+            if n == decontam.WITHIN and agreed >= decontam.STRETCH:
+                assert hits >= decontam.STRETCH
+
+
 def test_leaks_with_substitutions(spark):
     rng = random.Random(7)
     items, texts = [], []
@@ -192,6 +211,23 @@ def test_leaks_with_substitutions(spark):
     assert all(found[len(texts) - k, -1] == 9 for k in (1, 2, 3))
 
 
+def test_leaks_of_parts_and_shifted_words(spark):
+    words = [[f"i{i}w{k}" for k in range(59)] for i in range(4)] + [[f"short{k}" for k in range(15)]]
+    items = [(i, " ".join(w)) for i, w in enumerate(words)]
+    texts = {1: words[0][20:33], 2: words[0][:35], 3: words[1][5:12] + ["x"] + words[1][13:21], 4: words[1][40:52]}
+    wanted = {(1, 0), (2, 0), (3, 1)}
+    for at in range(1, 59):  # one word put in, one left out
+        texts[100 + at], texts[200 + at] = words[3][:at] + ["x"] + words[3][at:], words[3][:at] + words[3][at + 1 :]
+        wanted |= {(100 + at, 3), (200 + at, 3)}
+    for at in range(1, 15):
+        texts[300 + at], texts[400 + at] = words[4][:at] + ["x", "y"] + words[4][at:], words[4][:at] + words[4][at + 1 :]
+        wanted |= {(300 + at, 4), (400 + at, 4)}
+    rows = spark.createDataFrame([(k, "so it began " + " ".join(v) + " and ended") for k, v in texts.items()], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontam.leaks(rows, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(found) == wanted
+    assert found[1, 0].matched == 13 and found[1, 0].doc_start == 3 - 20 and found[2, 0].matched == 35
+
+
 def test_decontamination_of_odd_rows(spark, odd, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     leaked = bench.first().text
