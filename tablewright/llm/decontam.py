@@ -50,18 +50,8 @@ def seeds(df: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "pos", F.explode(each).alias("seed"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, least: int = LEAST) -> DataFrame:
-    """One row per leaked pair: ``doc_id, item_id, doc_start, item_tokens, matched, overlap``.
-
-    ``doc_start`` is the token of the document under the item's first token (below 0 if the item begins before the
-    text), ``matched`` the agreeing tokens on the best diagonal and ``overlap`` their share of the item. A pair is
-    reported if, on a diagonal and its neighbours within ``SHIFT`` that were hit, the agreeing tokens of the item are
-    ``overlap`` of it and ``least`` or more, or ``STRETCH`` of some ``WITHIN`` in a row; ``matched`` and ``overlap`` of
-    one diagonal may then be lower. A null or empty text has no token, so it leaks
-    nothing and is leaked nowhere; items of fewer than ``least`` tokens are never reported. Rows
-    that repeat an id are judged by their own texts and reported once per id and item; null ids of documents are
-    reported as null, items without an id never. Either table may be empty.
-    """
+def _judged(docs: DataFrame, benchmark: DataFrame, overlap: float, least: int) -> DataFrame:
+    """The places that leak, with the ``text_hash`` of the document's row."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("toks")).filter(F.size("toks") >= SPAN).distinct()
     item_seeds = cut(seeds(items, ["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "seed"))
     item_seeds = small(item_seeds, MAX_BROADCAST_SEEDS)
@@ -96,12 +86,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, least
     dense = F.exists(ends, lambda e: F.get("all_at", e - 1) - F.get("all_at", e - STRETCH) < WITHIN)
     enough = (total / F.col("item_tokens") >= overlap) & (total >= least)
     judged = judged.filter(enough | ((total >= STRETCH) & dense)).withColumn("matched", F.size("at"))
-    judged = judged.withColumn("overlap", F.col("matched") / F.col("item_tokens"))
+    return judged.withColumn("overlap", F.col("matched") / F.col("item_tokens"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, least: int = LEAST) -> DataFrame:
+    """One row per leaked pair: ``doc_id, item_id, doc_start, item_tokens, matched, overlap``.
+
+    ``doc_start`` is the token of the document under the item's first token (below 0 if the item begins before the
+    text), ``matched`` the agreeing tokens on the best diagonal and ``overlap`` their share of the item. A pair is
+    reported if, on a diagonal and its neighbours within ``SHIFT`` that were hit, the agreeing tokens of the item are
+    ``overlap`` of it and ``least`` or more, or ``STRETCH`` of some ``WITHIN`` in a row; ``matched`` and ``overlap`` of
+    one diagonal may then be lower. A null or empty text has no token, so it leaks
+    nothing and is leaked nowhere; items of fewer than ``least`` tokens are never reported. Rows
+    that repeat an id are judged by their own texts and reported once per id and item; null ids of documents are
+    reported as null, items without an id never. Either table may be empty.
+    """
+    judged = _judged(docs, benchmark, overlap, least)
     best = F.max(F.struct("matched", (-F.col("doc_start")).alias("back"), "item_tokens", "overlap")).alias("best")
     return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.back")).alias("doc_start"), "best.item_tokens", "best.matched", "best.overlap")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, least: int = LEAST) -> DataFrame:
-    """The rows of ``docs`` whose id leaks nothing; all rows of a leaking id go, also those with null ids."""
-    bad = small(cut(leaks(docs, benchmark, overlap, least).select(F.col("doc_id").alias("__bad")).distinct()))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of ``docs`` whose own text leaks nothing, whatever other rows of their id (or without one) hold."""
+    bad = _judged(docs, benchmark, overlap, least).select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(small(cut(bad)), F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")

@@ -304,15 +304,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps; of rows that repeat an id, one.
+    """The rows of ``docs`` that :func:`near_duplicates` keeps; of rows that repeat an id and its text, one.
 
-    Only ids are joined: what goes is broadcast if it is small, and texts are dealt out anew only if ids repeat.
+    An id's further texts are judged on their own: all but the one of the smallest hash get a number of their own, 2^62
+    or more, so they give way to documents of smaller ids. Only ids are joined: what goes is broadcast if it is small,
+    and texts are dealt out anew only if ids repeat.
     """
-    judged = near_duplicates(docs, words, percent)
-    gone = small(cut(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()))
-    out = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeated.isEmpty():
-        return out
+        judged = near_duplicates(docs, words, percent)
+        gone = small(cut(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()))
+        return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    text_hash = F.xxhash64("text")
+    firsts = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(text_hash).alias("__first"), F.max(text_hash).alias("__last"))
+    firsts = small(cut(firsts.filter("__first < __last").select(F.col("doc_id").alias("__id"), "__first")))
+    own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    node = F.when(F.col("__first") != text_hash, own).otherwise(F.col("doc_id").cast("long"))
+    named = docs.join(firsts, F.col("doc_id") == F.col("__id"), "left").withColumn("__node", node).drop("__id", "__first")
+    judged = near_duplicates(named.select(F.col("__node").alias("doc_id"), "text"), words, percent)
+    gone = small(cut(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()))
+    out = named.join(gone, F.col("__node") == F.col("__gone"), "left_anti")
     unnamed = out.filter(F.col("doc_id").isNull())
-    return out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(unnamed)
+    return out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["__node"]).unionByName(unnamed).drop("__node")

@@ -114,6 +114,13 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert neardup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_other_texts_of_a_copy_stay(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(1, text["a"]), (5, text["a"]), (5, text["b"]), (5, text["b"]), (5, text["c"]), (7, text["d"]), (None, text["a"])]
+    kept = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept.collect()) == [(0, "a"), (1, "a"), (5, "b"), (5, "c"), (7, "d")]
+
+
 def plain_counts(text):
     words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in text or "").split(" ") if w]
     symbols = sum(c in "#*$%&|<>" for c in text or "")

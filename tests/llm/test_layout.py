@@ -228,6 +228,13 @@ def test_leaks_of_parts_and_shifted_words(spark):
     assert found[1, 0].matched == 13 and found[1, 0].doc_start == 3 - 20 and found[2, 0].matched == 35
 
 
+def test_clean_rows_of_leaking_ids_stay(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    rows = spark.createDataFrame([(None, item), (None, "clean without id"), (1, item), (1, "clean with id"), (2, None)], "doc_id long, text string")
+    kept = decontam.clean_documents(rows, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(str(r) for r in rows.collect() if r.text != item)
+
+
 def test_decontamination_of_odd_rows(spark, odd, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     leaked = bench.first().text
