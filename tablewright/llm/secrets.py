@@ -2,9 +2,10 @@
 
 Base kinds (leftmost, non-overlapping per kind, failing matches dropped): assign, a credential name with a value of
 six characters or more; access, ``AKIA`` identifiers of 20 or more; hex, 24 or more lower-case hexadecimal digits.
-The method adds the kind ``entropy``: over every candidate string a window slides by one character, its Shannon
-entropy per character class is kept up to date from the counts of the character that leaves and the one that enters,
-and the stretch of windows above the class's threshold is reported, unless an allow-list pattern explains it.
+The method adds the kind ``entropy``: over every maximal run of each character class in a candidate string a window
+slides by one character, its Shannon entropy is kept up to date from the counts of the character that leaves and the one
+that enters, and the stretch of windows above the class's threshold is reported, unless an allow-list pattern explains
+the run or the stretch. Stretches of several classes that overlap are one span.
 """
 
 from __future__ import annotations
@@ -24,19 +25,23 @@ _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]{24,}")  # a run's match starts where the run starts, so the length can be asked for at once
 _candidate = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
 
-#: Window width and least entropy in bits per character class: digits of base 16, letters and digits, base 64.
+#: Runs, window width and least entropy in bits per character class: digits of base 16, letters and digits, base 64
+#: with ``=`` as padding only (what stands behind a name and ``=``), base 64 with all that is glued to it.
 CLASSES = {
-    "hex": (re.compile(r"[0-9A-Fa-f]+\Z"), 24, 3.0),
-    "alnum": (re.compile(r"[A-Za-z0-9]+\Z"), 24, 3.9),
-    "base64": (re.compile(r"[A-Za-z0-9+/_=-]+\Z"), 24, 4.1),
+    "hex": (re.compile(r"[0-9A-Fa-f]{24,}"), 24, 3.0),
+    "alnum": (re.compile(r"[A-Za-z0-9]{24,}"), 24, 3.9),
+    "value": (re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}"), 24, 4.1),
+    "base64": (re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.1),
 }
+#: Words that mark what they are glued to, without a separator, as no secret.
+PLACEHOLDER = re.compile(r"EXAMPLE|example|placeholder|xxxxxx|XXXXXX")
+_letters_digits = re.compile(r"[A-Za-z0-9]+")
 #: Strings that look random and are not secret: one case only without digits (words, names), dates, UUIDs, paths of words.
 ALLOWED = (
     re.compile(r"[A-Z]?[a-z]+\Z|[A-Z]+\Z"),
     re.compile(r"[0-9_-]+\Z"),
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z"),
     re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=-]*\Z"),
-    re.compile(r".*(?:EXAMPLE|example|placeholder|xxxxxx|XXXXXX)"),
 )
 
 
@@ -73,6 +78,34 @@ def allowed(text: str) -> bool:
     return any(p.match(text) for p in ALLOWED)
 
 
+def random_stretches(candidate: str) -> list[tuple[int, int]]:
+    """The hot stretches of the runs of every class, merged where they overlap.
+
+    A run that is a UUID or a path of words as a whole is allowed with all that it holds; a word such as ``example``
+    explains only the stretch it stands in, widened to whole runs of letters and digits.
+    """
+    if allowed(candidate):
+        return []
+    found = []
+    pieces = [m.span() for m in _letters_digits.finditer(candidate)] if PLACEHOLDER.search(candidate) else []
+    for runs, width, least in CLASSES.values():
+        for run in runs.finditer(candidate):
+            if allowed(run.group()):
+                continue
+            for a, b in hot_stretches(run.group(), width, least):
+                a, b = run.start() + a, run.start() + b
+                touched = [(c, d) for c, d in pieces if c < b and d > a]
+                if not touched or not PLACEHOLDER.search(candidate, min(a, touched[0][0]), max(b, touched[-1][1])):
+                    found.append((a, b))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
     """Spans per kind, in code points, end exclusive. None counts as empty."""
     text = text or ""
@@ -83,11 +116,7 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         "entropy": [],
     }
     for m in _candidate.finditer(text):
-        candidate = m.group()
-        if allowed(candidate):
-            continue
-        width, least = next((w, e) for pattern, w, e in CLASSES.values() if pattern.match(candidate))
-        spans["entropy"] += [(m.start() + a, m.start() + b) for a, b in hot_stretches(candidate, width, least)]
+        spans["entropy"] += [(m.start() + a, m.start() + b) for a, b in random_stretches(m.group())]
     return spans
 
 

@@ -109,6 +109,21 @@ def test_entropy_and_allow_list():
     assert found["entropy"] == [(2, 2 + len(key))]
 
 
+def test_entropy_behind_names():
+    rng = random.Random(11)
+    for name in ("SESSION_KEY=", "session-key/", "example_key=", "path/to/example/", "a_b_"):
+        for alphabet, n in (("0123456789ABCDEF", 40), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 40)):
+            for _ in range(100):
+                key = "".join(rng.choice(alphabet) for _ in range(n))
+                alone, glued = secrets.find(key)["entropy"], secrets.find(f"x {name}{key}")["entropy"]
+                at = 2 + len(name)
+                assert all(any(c <= at + a and at + b <= d for c, d in glued) for a, b in alone) and alone
+    value = "q7Zp1LxV+wTr4KdN/sBy8HfM3cJ0uGe5"
+    assert secrets.find(f"example_key={value}")["entropy"] and not secrets.find("EXAMPLE" + "0A1B2C3D4E5F60718293A4B5C6D7E8F9")["entropy"]
+    spans = secrets.find(f"a={value}==/{value}")["entropy"]
+    assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
 def test_secret_rows(spark, docs, odd):
     for frame in (docs, odd):
         rows = secrets.find_secrets(frame).collect()
