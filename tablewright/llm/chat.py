@@ -1,6 +1,6 @@
 """Chat formatting in budgeted windows.
 
-The turns of a conversation become training windows of at most ``budget`` tokens, cut only between turns. Prefix sums
+The turns of a conversation become training windows of at most ``budget`` tokens, cut only between turns. Running sums
 of turn tokens give each window its span: the system turn at its head, as much of the latest history as ``history``
 tokens hold, repeated and not trained on, then new turns while they fit. Every assistant turn is new in exactly one
 window and is its target there; a repeated one is masked. A turn longer than the budget has a window of its own.
@@ -13,9 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
-from itertools import accumulate
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,43 +51,63 @@ def _role_out(role: str) -> str:
     return unescape(role).replace("%0A", "\n").replace("%25", "%")
 
 
-def spans(sizes: list[int], head: int, budget: int, history: int) -> list[tuple[int, int, int]]:
-    """``(first repeated turn, first new turn, end)`` per window, for turns of ``sizes`` tokens after a head of ``head``."""
-    prefix = [0, *accumulate(sizes)]
-    out, new = [], 0
-    while new < len(sizes):
-        back = new
-        while back > 0 and prefix[new] - prefix[back - 1] <= history:
-            back -= 1
-        while back < new and head + prefix[new + 1] - prefix[back] > budget:  # history gives way to the new turn
-            back += 1
-        end = max(new + 1, bisect_right(prefix, budget - head + prefix[back]) - 1)
-        out.append((back, new, end))
-        new = end
-    return out
+def _pieces(role: str, text: str) -> tuple[str, str, str]:
+    return f"{START}{_role_in(role)}\n", escape(text), f"{END}\n"
 
 
-def windows(turns: list[tuple[str, str]], count, budget: int = BUDGET, history: int = HISTORY) -> Iterator[tuple]:
+def windows(turns: Iterable[tuple[str, str]], count, budget: int = BUDGET, history: int = HISTORY) -> Iterator[tuple]:
     """Rows of ``WINDOW_SCHEMA`` for one conversation's turns (role, text) in order."""
-    pieces = [(f"{START}{_role_in(role)}\n", escape(text), f"{END}\n", role) for role, text in turns]
-    sizes = [count("".join(p[:3])) for p in pieces]
-    lead = 1 if turns and turns[0][0] == "system" else 0
-    head = sum(sizes[:lead])
-    found = spans(sizes[lead:], head, budget, history) or ([(0, 0, 0)] if lead else [])
-    for number, (back, new, end) in enumerate(found):
-        text, loss, at, new_from = [], [], 0, 0
-        shown = [*range(lead), *range(lead + back, lead + end)]
-        for i in shown:
-            is_new = i >= lead + new if i >= lead else number == 0
-            opening, body, closing, role = pieces[i]
-            if not is_new:
-                new_from = at + len(opening) + len(body) + len(closing)
-            elif role == "assistant":
-                loss.append((at + len(opening), at + len(opening) + len(body)))
-            text += (opening, body, closing)
-            at += len(opening) + len(body) + len(closing)
-        tokens = sum(sizes[i] for i in shown)
-        yield number, "".join(text), loss, new_from, tokens, end - new + lead * (number == 0), tokens > budget
+    return _windows(((role, text, count("".join(_pieces(role, text)))) for role, text in turns), budget, history)
+
+
+def _windows(turns: Iterable[tuple[str, str, int]], budget: int, history: int) -> Iterator[tuple]:
+    """:func:`windows` of turns with their tokens, read once: held are the system turn, the latest ``history`` tokens
+    and the window that is being filled."""
+    lead: list[tuple] = []
+    tail: deque[tuple] = deque()  # the latest turns of at most ``history`` tokens before the window's new ones
+    held = number = 0
+    back: list[tuple] = []
+    new: list[tuple] = []
+    filled = head = 0
+    for i, (role, text, size) in enumerate(turns):
+        turn = (*_pieces(role, text), role, size)
+        if i == 0 and role == "system":
+            lead, head = [turn], size
+            continue
+        if new and filled + size > budget:
+            yield _window(number, lead, back, new, filled, budget)
+            number += 1
+            for old in new:
+                tail.append(old)
+                held += old[4]
+                while tail and held > history:
+                    held -= tail.popleft()[4]
+            new = []
+        if not new:  # history gives way to the new turn
+            back, filled = list(tail), head + held + size
+            drop = 0
+            while drop < len(back) and filled > budget:
+                filled -= back[drop][4]
+                drop += 1
+            back = back[drop:]
+        else:
+            filled += size
+        new.append(turn)
+    if new or lead and not number:
+        yield _window(number, lead, back, new, filled if new else head, budget)
+
+
+def _window(number: int, lead: list[tuple], back: list[tuple], new: list[tuple], tokens: int, budget: int) -> tuple:
+    text, loss, at, new_from = [], [], 0, 0
+    fresh = [number == 0] * len(lead) + [False] * len(back) + [True] * len(new)
+    for is_new, (opening, body, closing, role, _) in zip(fresh, (*lead, *back, *new), strict=True):
+        if not is_new:
+            new_from = at + len(opening) + len(body) + len(closing)
+        elif role == "assistant":
+            loss.append((at + len(opening), at + len(opening) + len(body)))
+        text += (opening, body, closing)
+        at += len(opening) + len(body) + len(closing)
+    return number, "".join(text), loss, new_from, tokens, len(new) + len(lead) * (number == 0), tokens > budget
 
 
 def parse(text: str) -> Iterator[tuple[str, str]]:
@@ -99,41 +120,45 @@ def parse(text: str) -> Iterator[tuple[str, str]]:
         at = end + len(END) + 1
 
 
-def _turns_in_order(conversations: DataFrame) -> DataFrame:
-    """Whole conversations in a partition, turns in order; ties by role and text, so every run agrees."""
+def _turns_in_order(conversations: DataFrame, tokenizer: str) -> DataFrame:
+    """Whole conversations in a partition, turns in order; ties by role and text, so every run agrees.
+
+    Tokens are counted before the shuffle, so a long conversation's turns are counted by many tasks.
+    """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .tokens import counter
+
+        count = counter(tokenizer)
+        for batch in batches:
+            found = [count("".join(_pieces(r.as_py(), t.as_py()))) for r, t in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "size"])
 
-def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tuple[str, str]]]]:
-    """Conversations one at a time, from sorted rows."""
-    current, turns = None, []
-    for batch in batches:
-        for conv, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-            if turns and conv != current:
-                yield current, turns
-                turns = []
-            current = conv
-            turns.append((role, text))
-    if turns:
-        yield current, turns
+    counted = rows.mapInArrow(sizes, T.StructType([*rows.schema.fields, T.StructField("size", T.LongType())]))
+    return counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterator[tuple[str, str, int]]]]:
+    """Conversations one at a time, from sorted rows; their turns are read as they are asked for."""
+    rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True))
+    for conv, turns in groupby(rows, key=itemgetter(0)):
+        yield conv, (turn[1:] for turn in turns)
 
 
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str = TOKENIZER) -> DataFrame:
     """``conv_id`` and ``WINDOW_SCHEMA``: the windows of every conversation, in order within their partition.
 
     Null texts and roles count as empty; rows with a null ``conv_id`` form one conversation, a null turn comes first,
-    and repeated rows are turns of their own. Other columns are dropped. One conversation is formatted at a time.
+    and repeated rows are turns of their own. Other columns are dropped. A task
+    formats one conversation at a time and holds none of it but the window, its history and the system turn.
     """
     kind = conversations.schema["conv_id"].dataType
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import counter
-
-        count = counter(tokenizer)
         rows: list[tuple] = []
         for conv, turns in _conversations(batches):
-            for window in windows(turns, count, budget, history):
+            for window in _windows(turns, budget, history):
                 rows.append((conv, *window))
                 if len(rows) == 256:
                     yield _batch(rows, fields)
@@ -142,7 +167,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
             yield _batch(rows, fields)
 
     fields = ["conv_id", *(f.name for f in T._parse_datatype_string(WINDOW_SCHEMA).fields)]
-    return _turns_in_order(conversations).mapInArrow(scan, T.StructType([T.StructField("conv_id", kind), *T._parse_datatype_string(WINDOW_SCHEMA).fields]))
+    return _turns_in_order(conversations, tokenizer).mapInArrow(scan, T.StructType([T.StructField("conv_id", kind), *T._parse_datatype_string(WINDOW_SCHEMA).fields]))
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:

@@ -214,6 +214,22 @@ def test_windows_read_back(turns, budget, history):
     assert told == turns and target == "".join(t for r, t in turns if r == "assistant")
 
 
+def test_windows_stream_their_turns():
+    read = 0
+
+    def turns():
+        nonlocal read
+        for i in range(5_000):
+            read += 1
+            yield "system" if i == 0 else "user", f"turn {i}"
+
+    made = 0
+    for number, *_, n_new, _over in chat.windows(turns(), len, 400, 100):
+        made += n_new
+        assert read <= made + 1
+    assert made == read == 5_000
+
+
 def test_chat_rows(spark, sf):
     base = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = [(None, 0, "user", "hi"), (None, None, None, None), (-5, 1, "assistant", None), (-5, 1, "assistant", None), (-5, 0, "system", "s" * 20_000), (-6, 0, "system", "alone")]
