@@ -2,14 +2,17 @@
 
 1. ``features`` reads each text once: distinct word shingles, ``BANDS * ROWS`` minima, a key per band of full minima,
    and a signature of the low ``BITS`` bits of every minimum, packed.
-2. Band buckets with two documents or more tie their members to the bucket's smallest id. The connected components of
-   these ties are candidate clusters: no two documents of different clusters share a bucket. Ties are linear in the
-   rows, so a bucket of thousands makes thousands of rows, not their square.
-3. Equal sets of a cluster collapse into one class. Within a cluster, pairs whose collision-corrected similarity,
-   estimated from the signatures by counting equal bits, may reach the threshold are confirmed on the full sets, and a
-   task emits only which classes its links connect. Clusters beyond a block's size are dealt out in blocks, each with a
-   few well connected pivots; then only what has not joined the largest part meets all blocks again. So all pairs of a
-   cluster are decided, in bounded tasks.
+2. Band buckets with two different sets or more tie their members to the bucket's smallest one. The connected
+   components of these ties are candidate clusters: no two sets of different clusters share a bucket. Ties are linear in
+   the rows, so a bucket of thousands makes thousands of rows, not their square.
+3. Equal sets collapse into one class. Within a cluster, pairs whose collision-corrected similarity, estimated from the
+   signatures by counting equal bits, may reach the threshold are confirmed on the full sets, and a task emits only which
+   classes its links connect. Clusters beyond a block's size are dealt out in blocks, each with a few well connected
+   pivots, which joins groups of true copies.
+4. What such a cluster has not joined then meets by prefixes: with the shingles of every set in one order, rarest first,
+   two sets of the wanted similarity share one of their first few, at places that leave room for the shared rest. Pages
+   of one template, far from each other, share none there and cost nothing more. Pairs that pass the estimate are
+   confirmed on the full sets. So no link of a cluster is lost, in bounded tasks.
 """
 
 from __future__ import annotations
@@ -19,9 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import WordHashes, cut, small, written
 
@@ -36,6 +38,8 @@ SIGMAS = 5.5
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 19
 PIVOTS = 16
+#: Most shared bands, two numbers each, that are broadcast; more are joined by shuffle.
+MAX_BROADCAST_BANDS = 500_000
 HASHES = BANDS * ROWS
 
 _random = np.random.default_rng(20_240_601)
@@ -104,22 +108,29 @@ def least_estimate(percent: int) -> float:
 
 
 def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, set_key, bands, signature``; key and signature are null and bands empty without words."""
+    """``doc_id, n_shingles, set_key, bands, signature``; key and signature are null and bands empty without words.
+
+    Bands and signature are given once for equal sets that a task meets again, so copies are thinned out before any
+    shuffle. Rows without an id have neither, as they are linked with nothing.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, met = WordHashes(), set()
         for batch in batches:
             sizes, keys, bands, signatures = [], [], [], []
-            for text in batch.column(1):
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 found = shingles(text.as_py(), words, hashes)
+                key = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
                 sizes.append(len(found))
-                if len(found):
+                keys.append(key)
+                if key is not None and doc_id.is_valid and key not in met:
+                    if len(met) >= 100_000:
+                        met.clear()
+                    met.add(key)
                     mins = minima(found)
-                    keys.append(xxhash.xxh3_128_digest(found.tobytes()))
                     bands.append(band_keys(mins))
                     signatures.append(packed(mins))
                 else:
-                    keys.append(None)
                     bands.append(np.empty(0, np.int64))
                     signatures.append(None)
             offsets = np.concatenate(([0], np.cumsum([len(b) for b in bands]))).astype(np.int32)
@@ -149,12 +160,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def set_number(key: Column) -> Column:
+    """The first eight bytes of a set's key; sets that agree in them by chance are only clustered together."""
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
+
+
 def candidate_ties(found: DataFrame) -> DataFrame:
-    """``a, b``: every member of a bucket with the bucket's smallest id."""
-    rows = found.filter(F.col("doc_id").isNotNull()).select("doc_id", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("other")).filter("centre < other")
-    shared = small(cut(shared.select("band", "centre")))
-    return rows.join(shared, "band").filter("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
+    """``a, b``: every set of a bucket with the bucket's smallest one, by their numbers."""
+    rows = found.filter(F.size("bands") > 0).select(set_number(F.col("set_key")).alias("number"), F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.min("number").alias("centre"), F.max("number").alias("other")).filter("centre < other")
+    shared = small(cut(shared.select("band", "centre")), MAX_BROADCAST_BANDS)
+    return rows.join(shared, "band").filter("number <> centre").select(F.col("number").alias("a"), F.col("centre").alias("b")).distinct()
 
 
 class _Linker:
@@ -242,40 +258,86 @@ def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(scan, "node long, set_key binary, shingles binary").dropDuplicates(["node", "set_key"])
 
 
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: all pairs of ``cluster, number, label, n_shingles, shingles`` of one cluster, with different labels, that may be links.
+
+    A set's shingles are ordered by how many sets hold them, then by value. The first one that two linked sets share
+    stands, in the smaller set, before place ``size - 2p/(100+p) * size``, in the larger one before ``size - p/100 *
+    size``, and leaves enough shingles behind it in both. Shingles of one set only come first; they are counted, not joined.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cluster, number, each in zip(*batch.columns, strict=True):
+                each = np.frombuffer(each.as_py(), np.int64)
+                arrays = [pa.repeat(cluster, len(each)), pa.repeat(number, len(each)), pa.array(each)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["cluster", "number", "shingle"])
+
+    held = rows.select("cluster", "number", "shingles").mapInArrow(scan, "cluster long, number long, shingle long")
+    common = held.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    size, mine = F.col("size"), Window.partitionBy("number")
+    probed = size - F.ceil(size * percent / F.lit(100)) + 1
+    indexed = size - F.ceil(size * 2 * percent / F.lit(100 + percent)) + 1
+    alone = size - F.count(F.lit(1)).over(mine)
+    places = held.join(common, ["cluster", "shingle"]).join(rows.select("number", "label", F.col("n_shingles").alias("size")), "number")
+    places = places.withColumn("place", alone + F.row_number().over(mine.orderBy("holders", "shingle")) - 1).filter(F.col("place") < probed)
+    places = cut(places.select("cluster", "shingle", "number", "label", "size", (F.col("place") < indexed).alias("indexed"), (size - F.col("place")).alias("behind")))
+    x, y = places.alias("x"), places.filter("indexed").alias("y")
+    smaller = F.struct("y.size", "y.number") < F.struct("x.size", "x.number")
+    room = F.least("x.behind", "y.behind") * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
+    fits = smaller & (F.col("x.label") != F.col("y.label")) & (F.col("y.size") * 100 >= F.col("x.size") * percent) & room
+    same = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.shingle") == F.col("y.shingle"))
+    return x.join(y, same & fits).select(F.col("y.number").alias("a"), F.col("x.number").alias("b")).distinct()
+
+
+def _likely(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose estimate may reach the threshold."""
+    least = least_estimate(percent)
+    width = -(-HASHES * BITS // 64) * 8
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(s.as_py().ljust(width, b"\0") for s in c), np.uint64).reshape(-1, width // 8) for c in batch.columns[2:])
+            near = batch.filter(pa.array(estimated(one, two) >= least, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(near.columns[:2], names=["a", "b"])
+
+    each = [signatures.select(F.col("number").alias(end), F.col("signature").alias(f"of_{end}")) for end in ("a", "b")]
+    return pairs.join(each[0], "a").join(each[1], "b").select("a", "b", "of_a", "of_b").mapInArrow(scan, "a long, b long")
+
+
 def _confirmed(docs: DataFrame, classes: DataFrame, ties: DataFrame, words: int, percent: int) -> DataFrame:
     """``node, label`` of the classes that a confirmed link joins to a smaller one."""
     per = classes.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("total")).filter("members > 1")
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
     per = small(cut(per.select("cluster", blocks.alias("blocks"))))
     rows = written(classes.join(per, "cluster").join(_sets(docs, classes.join(per, "cluster", "left_semi"), words), ["node", "set_key"]))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("label", F.col("node"))
-    single = rows.filter("blocks = 1").withColumn("left", F.lit(True))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("label", F.col("node")).withColumn("left", F.lit(True))
+    single = rows.filter("blocks = 1")
     done = _linked(single, percent).filter("a <> b")
     many = rows.filter("blocks > 1")
     if many.isEmpty():
         return done.select(F.col("a").alias("node"), F.col("b").alias("label"))
     # Blocks, each with the cluster's pivots: those that most ties lead to, one of each hash slot.
-    degree = cut(ties.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
+    degree = cut(ties.groupBy(F.col("b").alias("number")).agg(F.count(F.lit(1)).alias("degree")))
     slot = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(PIVOTS))
-    best = many.select("cluster", "node").join(degree, "node", "left").groupBy("cluster", slot.alias("slot"))
-    pivots = cut(best.agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("best")).select(F.col("best.node").alias("pivot")).distinct())
-    leaders = many.join(F.broadcast(pivots) if pivots.count() <= 100_000 else pivots, F.col("node") == F.col("pivot"), "left_semi")
+    best = many.select("cluster", "node", set_number(F.col("set_key")).alias("number")).join(degree, "number", "left").groupBy("cluster", slot.alias("slot"))
+    pivots = small(cut(best.agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("best")).select(F.col("best.node").alias("pivot")).distinct()))
+    leaders = many.join(pivots, F.col("node") == F.col("pivot"), "left_semi")
     everywhere = leaders.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> part").withColumn("part", F.col("other").cast("int")).drop("other")
-    first = cut(_linked(many.withColumn("left", F.lit(True)).unionByName(everywhere.withColumn("left", F.lit(False))), percent))
-    labels = components(first)
-    # What hasn't joined the largest part of its cluster meets every block.
+    first = cut(_linked(many.unionByName(everywhere.withColumn("left", F.lit(False))), percent))
+    labels = cut(components(first))
+    # Clusters in more than one part: their classes of different parts meet by prefixes, each with its likely partners.
     joined = many.drop("label").join(labels, "node")
-    parts = joined.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("members"))
-    largest = parts.groupBy("cluster").agg(F.max(F.struct("members", "label")).alias("top"), F.sum("members").alias("all"))
-    largest = small(cut(largest.select("cluster", F.col("top.label").alias("largest"), (F.col("all") - F.col("top.members")).alias("rest")).filter("rest > 0")))
-    open_rows = joined.join(largest, "cluster")
-    rest_blocks = F.ceil(F.greatest(F.col("rest") / BLOCK, F.lit(1))).cast("int")
-    mine = F.pmod(F.xxhash64("node", F.lit("rest")), rest_blocks).cast("int")
-    rest = open_rows.filter("label <> largest").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.withColumn("part", (F.col("mine") * F.col("blocks") + F.col("other")).cast("int")).withColumn("left", F.lit(True)).drop("mine", "other")
-    meet = open_rows.withColumn("mine", F.explode(F.sequence(F.lit(0), rest_blocks - 1)))
-    meet = meet.withColumn("part", (F.col("mine") * F.col("blocks") + F.col("part")).cast("int")).withColumn("left", F.lit(False)).drop("mine")
-    second = _linked(rest.unionByName(meet), percent)
+    parted = small(cut(joined.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("cluster")))
+    opened = joined.join(parted, "cluster", "left_semi").withColumn("number", set_number(F.col("set_key")))
+    pairs = cut(_likely(prefix_pairs(opened, percent), opened, percent))
+    deals = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("deals"))
+    dealt = pairs.withColumnRenamed("b", "hub").join(deals, "hub").withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int"))
+    hubs = deals.select("hub", F.col("hub").alias("number"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(True).alias("left"))
+    guests = dealt.select("hub", F.col("a").alias("number"), "deal", F.lit(False).alias("left"))
+    held = opened.select("number", "node", "label", "signature", "shingles")
+    met = hubs.unionByName(guests).join(held, "number").withColumnsRenamed({"hub": "cluster", "deal": "part"})
+    second = _linked(met, percent)
     ends = components(first.union(second).union(labels.select("node", "label").toDF("a", "b")).filter("a <> b"))
     return done.select(F.col("a").alias("node"), F.col("b").alias("label")).union(ends.filter("node <> label"))
 
@@ -290,13 +352,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """
     found = written(features(docs, words))
     ties = cut(candidate_ties(found))
-    clusters = small(components(ties).select(F.col("node").alias("doc_id"), F.col("label").alias("cluster")))
-    members = cut(found.select("doc_id", "n_shingles", "set_key", "signature").filter("set_key is not null").join(clusters, "doc_id"))
-    classes = cut(members.groupBy("cluster", "set_key").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")))
-    linked = cut(_confirmed(docs, classes, ties, words, percent))
-    # A document's class and the class's smallest reach; documents that reach no smaller id need no row.
-    reach = classes.select("cluster", "set_key", "node").join(linked, "node", "left").select("cluster", "set_key", F.coalesce("label", "node").alias("reached"))
-    per_doc = members.select("doc_id", "cluster", "set_key").join(reach, ["cluster", "set_key"]).groupBy("doc_id").agg(F.min("reached").alias("reached"))
+    clusters = small(components(ties).select(F.col("node").alias("number"), F.col("label").alias("cluster")))
+    named = found.filter("doc_id is not null and set_key is not null").withColumn("number", set_number(F.col("set_key")))
+    grouped = named.join(clusters, "number").groupBy("cluster", "set_key")
+    classes = cut(grouped.agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")))
+    linked = small(cut(_confirmed(docs, classes, ties, words, percent)))
+    # A set's smallest reach: of its own copies, then of those it is linked with.
+    sets = named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")).join(linked, "node", "left")
+    reach = small(cut(sets.filter("node < last or label is not null").select("set_key", F.coalesce("label", "node").alias("reached"))))
+    per_doc = named.select("doc_id", "set_key").join(reach, "set_key").groupBy("doc_id").agg(F.min("reached").alias("reached"))
     per_doc = small(cut(per_doc.filter("reached < doc_id")))
     out = found.select("doc_id", "n_shingles").join(per_doc, "doc_id", "left")
     component = F.coalesce("reached", "doc_id").alias("component_id")

@@ -90,6 +90,54 @@ def test_near_duplicates_in_blocks(spark, family, monkeypatch):
     assert found == plain_components(family, 4)
 
 
+def template_pages(n, first=0, template=150, own=80):
+    """Pages that share most of their words and are no near duplicates, and two that are."""
+    frame = [f"t{i}" for i in range(template)]
+    page = lambda d: [f"p{d}x{i}" for i in range(own)]
+    rows = [(first + d, " ".join(frame + page(d))) for d in range(n)]
+    return [*rows, (first + n, " ".join([*frame, *page(n // 2)[:-3], "end"]))]
+
+
+def test_template_pages_cost_rows_in_proportion(spark, monkeypatch):
+    """Pages of one template chain into one cluster and link nothing: what is shuffled grows with them, not their square."""
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    linked, likely = neardup._linked, neardup._likely
+    counts = Counter()
+
+    def counting(rows, percent):
+        counts["linked"] += rows.count()
+        return linked(rows, percent)
+
+    def counting_pairs(pairs, signatures, percent):
+        counts["pairs"] += pairs.count()
+        return likely(pairs, signatures, percent)
+
+    monkeypatch.setattr(neardup, "_linked", counting)
+    monkeypatch.setattr(neardup, "_likely", counting_pairs)
+    seen = {}
+    for n in (400, 1600):
+        counts.clear()
+        rows = template_pages(n)
+        found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=4)
+        assert [(r.doc_id, r.component_id) for r in found.filter("not kept").collect()] == [(n, n // 2)]
+        seen[n] = dict(counts)
+    assert seen[1600]["linked"] <= 4.5 * seen[400]["linked"] and seen[1600]["pairs"] <= 4
+
+
+def test_prefixes_lose_no_link(spark, monkeypatch):
+    """Sets of many similarities around the threshold, with no pivots to join them, in one cluster of several blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    rng = random.Random(5)
+    rows = []
+    for family in range(12):
+        base = [f"t{i}" for i in range(60)] + [f"f{family}w{i}" for i in range(rng.randrange(20, 90))]
+        for _ in range(9):
+            rows.append((len(rows), " ".join(edited(rng, base, rng.randrange(0, 6))[: rng.randrange(len(base) - 12, len(base) + 1)])))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert found == plain_components(rows, 2) and len({c for _, c in found.values()}) > 12
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(2)
     for share in (0.3, 0.6, 0.8, 0.95):
