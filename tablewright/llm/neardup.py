@@ -9,7 +9,7 @@
    signatures by counting equal bits, may reach the threshold are confirmed on the full sets, and a task emits only which
    classes its links connect. Clusters beyond a block's size are dealt out in blocks, each with a few well connected
    pivots, which joins groups of true copies.
-4. What such a cluster has not joined then meets by prefixes: with the shingles of every set in one order, rarest first,
+4. What such a cluster has not joined then meets by prefixes: with the shingles of every set in one order, common ones last,
    two sets of the wanted similarity share one of their first few, at places that leave room for the shared rest. Pages
    of one template, far from each other, share none there and cost nothing more. Pairs that pass the estimate are
    confirmed on the full sets. So no link of a cluster is lost, in bounded tasks.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, small, written
@@ -258,30 +258,70 @@ def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(scan, "node long, set_key binary, shingles binary").dropDuplicates(["node", "set_key"])
 
 
-def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: all pairs of ``cluster, number, label, n_shingles, shingles`` of one cluster, with different labels, that may be links.
+def _each_shingle(rows: DataFrame) -> DataFrame:
+    """``cluster, shingle`` for every shingle of every row."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cluster, each in zip(*batch.columns, strict=True):
+                each = np.frombuffer(each.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(cluster, len(each)), pa.array(each)], names=["cluster", "shingle"])
+
+    return rows.select("cluster", "shingles").mapInArrow(scan, "cluster long, shingle long")
+
+
+def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """``cluster, shingle, number, label, size, indexed, behind``: the first shingles of every set, ``behind`` those from there on.
 
-    A set's shingles are ordered by how many sets hold them, then by value. The first one that two linked sets share
-    stands, in the smaller set, before place ``size - 2p/(100+p) * size``, in the larger one before ``size - p/100 *
-    size``, and leaves enough shingles behind it in both. Shingles of one set only come first; they are counted, not joined.
+    In a cluster's order its common shingles come last, by how many sets of its first two parts hold them, all others
+    before them by value. Any order would do; this one keeps what a template has in common out of the prefixes.
     """
+    held = _each_shingle(rows.filter("part < 2")).groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    order = held.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("holders", "shingle"))), lambda x: x["shingle"]).alias("common"))
+    parts = rows.select("cluster", "part").distinct().join(order, "cluster")
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("number", "label")]
+    first = parts.select("cluster", "part", *nothing, F.lit(None).cast("binary").alias("shingles"), "common")
+    sets = rows.select("cluster", "part", "number", "label", "shingles", F.lit(None).cast("array<long>").alias("common"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, common, rank = None, np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            for cluster, number, each in zip(*batch.columns, strict=True):
-                each = np.frombuffer(each.as_py(), np.int64)
-                arrays = [pa.repeat(cluster, len(each)), pa.repeat(number, len(each)), pa.array(each)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["cluster", "number", "shingle"])
-
-    held = rows.select("cluster", "number", "shingles").mapInArrow(scan, "cluster long, number long, shingle long")
-    common = held.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
-    size, mine = F.col("size"), Window.partitionBy("number")
-    probed = size - F.ceil(size * percent / F.lit(100)) + 1
-    indexed = size - F.ceil(size * 2 * percent / F.lit(100 + percent)) + 1
-    alone = size - F.count(F.lit(1)).over(mine)
-    places = held.join(common, ["cluster", "shingle"]).join(rows.select("number", "label", F.col("n_shingles").alias("size")), "number")
-    places = places.withColumn("place", alone + F.row_number().over(mine.orderBy("holders", "shingle")) - 1).filter(F.col("place") < probed)
-    places = cut(places.select("cluster", "shingle", "number", "label", "size", (F.col("place") < indexed).alias("indexed"), (size - F.col("place")).alias("behind")))
+            out: list[list] = [[] for _ in range(7)]
+            for cluster, number, label, each, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if each is None:
+                    by_rank = np.array(listed, np.int64)
+                    rank = np.argsort(by_rank)
+                    of, common = cluster, by_rank[rank]
+                    continue
+                if of != cluster:
+                    of, common, rank = cluster, np.empty(0, np.int64), np.empty(0, np.int64)
+                each = np.frombuffer(each, np.int64)
+                size = len(each)
+                late = np.full(size, -1)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, each), len(common) - 1)
+                    late = np.where(common[at] == each, rank[at], -1)
+                probed = size - -(-size * percent // 100) + 1
+                indexed = size - -(-2 * size * percent // (100 + percent)) + 1
+                chosen = each[np.lexsort((each, late))[:probed]]
+                place = np.arange(len(chosen))
+                for column, values in zip(out, ([cluster] * len(chosen), chosen.tolist(), [number] * len(chosen), [label] * len(chosen), [size] * len(chosen), (place < indexed).tolist(), (size - place).tolist()), strict=True):
+                    column += values
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["cluster", "shingle", "number", "label", "size", "indexed", "behind"])
+
+    dealt = first.unionByName(sets).repartition("cluster", "part").sortWithinPartitions("cluster", "part", "number")
+    wanted = dealt.select("cluster", "number", "label", "shingles", "common")
+    return wanted.mapInArrow(scan, "cluster long, shingle long, number long, label long, size long, indexed boolean, behind long")
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: all pairs of ``cluster, part, number, label, shingles`` of one cluster, with different labels, that may be links.
+
+    With the shingles of all sets in one order, the first one that two linked sets share stands, in the smaller set, before
+    place ``size - 2p/(100+p) * size``, in the larger one before ``size - p/100 * size``, and leaves enough behind it in both.
+    """
+    places = cut(_prefixes(rows, percent))
     x, y = places.alias("x"), places.filter("indexed").alias("y")
     smaller = F.struct("y.size", "y.number") < F.struct("x.size", "x.number")
     room = F.least("x.behind", "y.behind") * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
