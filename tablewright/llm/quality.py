@@ -1,23 +1,25 @@
 """Quality rules: fixed base rules, then robust multivariate outliers per language and source.
 
 ``measure`` reads each text once and gives counts and a vector of transformed statistics. ``fit`` estimates location
-and scatter per language and source by the minimum covariance determinant: from medians and median deviations it
-takes concentration steps, each of which keeps the share ``SUBSET`` of the rows with the smallest Mahalanobis
-distance and estimates anew from them. A step is one aggregation over all rows: distances fall into fine bins, moments
-are summed per group and bin, and the bins up to the subset's size are added up. So no group is ever gathered in
+and scatter per language and source by the minimum covariance determinant: from three starts (median deviations alone, and
+these with the correlations of squashed values and of signs) it takes concentration steps until no determinant falls any
+more, and keeps the one of the lowest. A step weighs the share ``SUBSET`` of the rows with the smallest Mahalanobis distance
+and estimates anew from them. It is one aggregation over all rows: distances fall into fine bins, moments are summed per
+group and bin, and the bins up to the subset's size are added up, the last one in part. So no group is ever gathered in
 one place, however many of the rows it holds. ``judge`` rejects rows whose distance is beyond the cutoff.
 
-Statistics are whole multiples of 1/256, so sums are exact and every run gives the same verdicts.
+Statistics are whole multiples of 1/256 and sums of them whole numbers, so every run gives the same verdicts. Scatter is
+kept away from singular by a least spread per statistic, so the determinant is that of the regularised matrix.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +29,13 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 SUBSET = 0.75
-STEPS = 4
+#: Concentration steps end when no logarithm of a determinant falls by this much, or after ``STEPS``.
+FALL = 0.01
+STEPS = 15
+STARTS = 3
+#: Steps of a squashed or projected value, and the share of independence mixed into a start's correlations.
+GRAIN = 1024
+SHRINK = 0.1
 #: Rows of the whole language that a group's own moments are blended with, so small groups lean on their language.
 PRIOR_ROWS = 20
 #: Chance of a larger distance that a row from a normal distribution has; beyond it a row is rejected.
@@ -127,10 +135,13 @@ def measure(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns, whatever these are called."""
-    fitted = fit(written(measure(docs, ["lang", "source"])))
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever these are called.
+
+    Each text is measured once and written with its measures; the verdicts come from that table.
+    """
     own = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c not in ("text", "lang", "source")}
-    judged = judge(measure(docs.withColumnsRenamed(own)), fitted).filter("kept")
+    measured = written(measure(docs.withColumnsRenamed(own)))
+    judged = judge(measured, fit(measured)).filter("kept")
     return judged.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
@@ -166,14 +177,8 @@ _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 _FLOOR = np.diag([(s * UNIT) ** 2 for s in STATISTICS.values()])
 
 
-def distance(mean: str = "mean", precision: str = "precision") -> Column:
-    """The squared Mahalanobis distance; null without estimate."""
-    d = [F.col(x) - F.get(mean, F.lit(i)) for i, x in enumerate(X)]
-    terms = [(1.0 if i == j else 2.0) * F.get(precision, F.lit(k)) * d[i] * d[j] for k, (i, j) in enumerate(_PAIRS)]
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total
+#: The squared Mahalanobis distance of a row with columns ``mean`` and ``precision``; null without estimate.
+DISTANCE = " + ".join(f"{1 if i == j else 2}D * precision[{k}] * (x{i} - mean[{i}]) * (x{j} - mean[{j}])" for k, (i, j) in enumerate(_PAIRS))
 
 
 def _on_group(rows: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -183,68 +188,113 @@ def _on_group(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     return rows.join(f, same, "left").drop("__lang", "__source")
 
 
-def _solved(moments: DataFrame) -> DataFrame:
-    """``lang, source, mean, precision`` from moments of groups (n, s, c) and of their languages (ln, ls, lc)."""
+def _square(values: list) -> np.ndarray:
+    out = np.zeros((P, P))
+    for (i, j), value in zip(_PAIRS, values, strict=True):
+        out[i, j] = out[j, i] = value
+    return out
+
+
+def _correlations(scatter: np.ndarray) -> np.ndarray:
+    """Correlations, drawn towards independence; 0 for what does not vary."""
+    spread = np.sqrt(np.maximum(np.diag(scatter), 1e-9))
+    out = (1 - SHRINK) * np.clip(scatter / np.outer(spread, spread), -1, 1)
+    np.fill_diagonal(out, 1)
+    return out
+
+
+def _estimates(frame: DataFrame, solve: Callable[[dict], list[tuple[int, np.ndarray, np.ndarray]]]) -> DataFrame:
+    """``lang, source, start, mean, precision, logdet, fall`` for what ``solve`` makes of a row: start, mean and scatter.
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``fall`` is by how much the logarithm of the determinant is below the row's ``former`` one.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            means, precisions = [], []
+            rows = []
             for row in batch.to_pylist():
-                own = _moments(row["n"], row["s"], row["c"])
-                lang = _moments(row["ln"], row["ls"], row["lc"])
-                weight = row["n"] / (row["n"] + PRIOR_ROWS)
-                mean = weight * own[0] + (1 - weight) * lang[0]
-                scatter = CONSISTENCY * (weight * own[1] + (1 - weight) * lang[1]) + _FLOOR
-                inverse = np.linalg.inv(scatter)
-                means.append(mean.tolist())
-                precisions.append([float(inverse[i, j]) for i, j in _PAIRS])
-            lists = [pa.array(x, pa.list_(pa.float64())) for x in (means, precisions)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("source"), *lists], names=["lang", "source", "mean", "precision"])
+                for start, mean, scatter in solve(row):
+                    inverse, logdet = np.linalg.inv(scatter), round(float(np.linalg.slogdet(scatter)[1]), 6)
+                    rows.append((row["lang"], row["source"], start, mean.tolist(), [float(inverse[i, j]) for i, j in _PAIRS], logdet, row.get("former", logdet) - logdet))
+            kinds = {"lang": pa.string(), "source": pa.string(), "start": pa.int32(), "mean": pa.list_(pa.float64()), "precision": pa.list_(pa.float64()), "logdet": pa.float64(), "fall": pa.float64()}
+            lists = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(lists, kinds.values(), strict=True)], names=list(kinds))
+
+    return frame.mapInArrow(scan, "lang string, source string, start int, mean array<double>, precision array<double>, logdet double, fall double")
+
 
-    return moments.mapInArrow(solve, "lang string, source string, mean array<double>, precision array<double>")
+def _begun(row: dict) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The starts: median and median deviations, with no correlation, those of squashed values, and those of signs."""
+    scale, n, squashed = np.sqrt(np.array(row["variance"])), row["n"], np.array(row["t"], float)
+    tanh = _square(row["tt"]) / n - np.outer(squashed, squashed) / n**2
+    spread = np.outer(scale, scale)
+    return [(k, np.array(row["mean"]), spread * c) for k, c in enumerate((np.eye(P), _correlations(tanh), _correlations(_square(row["uu"]))))]
+
+
+def _concentrated(row: dict) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """A group's moments, leaning on its language's."""
+    own, lang = _moments(row["n"], row["s"], row["c"]), _moments(row["ln"], row["ls"], row["lc"])
+    weight = row["n"] / (row["n"] + PRIOR_ROWS)
+    mean, scatter = (weight * a + (1 - weight) * b for a, b in zip(own, lang, strict=True))
+    return [(row["start"], mean, CONSISTENCY * scatter + _FLOOR)]
 
 
 def _moments(n: float, sums: list, crosses: list) -> tuple[np.ndarray, np.ndarray]:
     mean = np.array(sums, float) / n
-    scatter = np.zeros((P, P))
-    for (i, j), c in zip(_PAIRS, crosses, strict=True):
-        scatter[i, j] = scatter[j, i] = c / n - mean[i] * mean[j]
-    return mean, scatter
+    return mean, _square(crosses) / n - np.outer(mean, mean)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    group = ["lang", "source"]
+    middle = cut(rows.groupBy(*group).agg(F.array(*[F.percentile(x, F.lit(0.5)) for x in X]).alias("mean")))
+    away = _on_group(rows, middle).select(*group, "mean", *[F.abs(F.col(x) - F.get("mean", F.lit(i))).alias(x) for i, x in enumerate(X)])
+    spread = away.groupBy(*group).agg(F.first("mean").alias("mean"), *[F.percentile(x, F.lit(0.5)).alias(x) for x in X])
+    variance = F.array(*[F.pow(1.4826 * F.col(x), F.lit(2)) + float(_FLOOR[i, i]) for i, x in enumerate(X)])
+    spread = cut(spread.select(*group, "mean", variance.alias("variance")))
+    z = [f"(x{i} - mean[{i}]) / sqrt(variance[{i}]) AS z{i}" for i in range(P)]
+    placed = _on_group(rows, spread).selectExpr(*group, "mean", "variance", *z)
+    norm = "greatest(sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(P)) + "), 1e-9D)"
+    whole = [f"CAST(round({GRAIN} * tanh(z{i})) AS LONG) AS t{i}" for i in range(P)] + [f"CAST(round({GRAIN} * z{i} / {norm}) AS LONG) AS u{i}" for i in range(P)]
+    total = lambda v: F.expr("array(" + ", ".join(f"sum({v}{i} * {v}{j})" for i, j in _PAIRS) + ")")
+    sums = placed.selectExpr(*group, "mean", "variance", *whole).groupBy(*group).agg(
+        F.first("mean").alias("mean"), F.first("variance").alias("variance"), F.count(F.lit(1)).alias("n"),
+        F.expr("array(" + ", ".join(f"sum(t{i})" for i in range(P)) + ")").alias("t"), total("t").alias("tt"), total("u").alias("uu"),
+    )
+    return _estimates(sums, _begun)
 
 
 def fit(measured: DataFrame) -> DataFrame:
     """``lang, source, mean, precision`` for each language and source with a row that passes the base rules.
 
-    ``measured`` should be a written table: it is read ``STEPS + 2`` times. An empty one gives no estimates.
+    ``measured`` should be a written table: it is read three times and once per step. An empty one gives no estimates.
     """
     group = ["lang", "source"]
     rows = measured.filter(~F.col("base_failed")).select(*[F.col(c).cast("string").alias(c) for c in group], *X)
-    middle = cut(rows.groupBy(*group).agg(F.array(*[F.percentile(x, F.lit(0.5)) for x in X]).alias("mean")))
-    away = _on_group(rows, middle).select(*group, "mean", *[F.abs(F.col(x) - F.get("mean", F.lit(i))).alias(x) for i, x in enumerate(X)])
-    spread = away.groupBy(*group).agg(F.first("mean").alias("mean"), *[F.percentile(x, F.lit(0.5)).alias(x) for x in X])
-    variance = [F.pow(1.4826 * F.col(x), F.lit(2)) + float(_FLOOR[i, i]) for i, x in enumerate(X)]
-    inverse = F.array(*[(1 / variance[i]) if i == j else F.lit(0.0) for i, j in _PAIRS])
-    fitted = cut(spread.select(*group, "mean", inverse.alias("precision")))
-    for _ in range(STEPS):
-        far = F.floor(F.log2(distance() + 2**-10) * BINS_PER_OCTAVE).cast("int")
-        binned = _on_group(rows, fitted).withColumn("bin", far)
-        sums = [F.sum(F.col(x).cast("long")).alias(f"s{i}") for i, x in enumerate(X)]
-        crosses = [F.sum(F.col(X[i]).cast("long") * F.col(X[j])).alias(f"c{k}") for k, (i, j) in enumerate(_PAIRS)]
-        bins = binned.groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("n"), *sums, *crosses)
-        upto = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy(*group)
-        near = bins.withColumn("__before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("__all", F.sum("n").over(whole))
-        near = near.filter(F.col("__before") < F.ceil(F.col("__all") * SUBSET))
-        total = lambda names: F.array(*[F.sum(c).cast("double") for c in names])
-        s, c = [f"s{i}" for i in range(P)], [f"c{k}" for k in range(len(_PAIRS))]
-        own = cut(near.groupBy(*group).agg(F.sum("n").alias("n"), total(s).alias("s"), total(c).alias("c")))
-        at = lambda name, n: F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(n)])
-        lang = own.groupBy(F.col("lang").alias("__lang")).agg(F.sum("n").alias("ln"), at("s", P).alias("ls"), at("c", len(_PAIRS)).alias("lc"))
-        fitted = cut(_solved(own.join(lang, F.col("lang").eqNullSafe(F.col("__lang"))).drop("__lang")))
-    return fitted
+    now = cut(_starts(rows))
+    s, c = [f"s{i}" for i in range(P)], [f"c{k}" for k in range(len(_PAIRS))]
+    for step in range(STEPS):
+        binned = _on_group(rows, now).selectExpr(*group, "start", f"CAST(floor(log2({DISTANCE} + {2**-10}D) * {BINS_PER_OCTAVE}) AS INT) AS bin", *X)
+        sums = [F.expr(f"sum(CAST(x{i} AS LONG)) AS s{i}") for i in range(P)] + [F.expr(f"sum(CAST(x{i} AS LONG) * x{j}) AS c{k}") for k, (i, j) in enumerate(_PAIRS)]
+        bins = binned.groupBy(*group, "start", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
+        whole = Window.partitionBy(*group, "start")
+        upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        near = bins.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("wanted", F.ceil(F.sum("n").over(whole) * SUBSET))
+        near = near.filter(F.col("before") < F.col("wanted")).withColumn("share", F.least(F.lit(1.0), (F.col("wanted") - F.col("before")) / F.col("n")))
+        moments = lambda names: F.expr("array(" + ", ".join(f"CAST(round(sum(IF(share = 1, {x}, 0)) + max(IF(share = 1, 0D, share)) * sum(IF(share = 1, 0, {x}))) AS LONG)" for x in names) + ")")
+        own = cut(near.groupBy(*group, "start").agg(F.max("wanted").alias("n"), moments(s).alias("s"), moments(c).alias("c")))
+        added = lambda name, n: F.expr("array(" + ", ".join(f"sum({name}[{i}])" for i in range(n)) + ")")
+        lang = own.groupBy(F.col("lang").alias("__lang"), F.col("start").alias("__start")).agg(F.sum("n").alias("ln"), added("s", P).alias("ls"), added("c", len(_PAIRS)).alias("lc"))
+        joined = own.join(lang, F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("start") == F.col("__start"))).drop("__lang", "__start")
+        former = now.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col("start").alias("__start"), F.col("logdet").alias("former"))
+        same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("start") == F.col("__start"))
+        now = cut(_estimates(joined.join(former, same).drop("__lang", "__source", "__start"), _concentrated))
+        if step and now.filter(F.col("fall") > FALL).isEmpty():
+            break
+    lowest = F.min_by(F.struct("mean", "precision"), F.struct("logdet", "start")).alias("low")
+    return cut(now.groupBy(*group).agg(lowest).select(*group, "low.*"))
 
 
 def judge(measured: DataFrame, fitted: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``measured`` with ``distance`` (null without estimate) and ``kept``: base rules pass and distance is within."""
-    rows = _on_group(measured.drop("distance", "kept"), fitted).withColumn("distance", distance()).drop("mean", "precision")
+    rows = _on_group(measured.drop("distance", "kept"), fitted).withColumn("distance", F.expr(DISTANCE)).drop("mean", "precision")
     return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff))
