@@ -375,10 +375,10 @@ def _confirmed(docs: DataFrame, classes: DataFrame, ties: DataFrame, words: int,
     dealt = pairs.withColumnRenamed("b", "hub").join(deals, "hub").withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int"))
     hubs = deals.select("hub", F.col("hub").alias("number"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(True).alias("left"))
     guests = dealt.select("hub", F.col("a").alias("number"), "deal", F.lit(False).alias("left"))
-    held = opened.select("number", "node", "label", "signature", "shingles")
+    held = opened.select("number", F.col("label").alias("node"), "label", "signature", "shingles")  # parts are what is linked now
     met = hubs.unionByName(guests).join(held, "number").withColumnsRenamed({"hub": "cluster", "deal": "part"})
-    second = _linked(met, percent)
-    ends = components(first.union(second).union(labels.select("node", "label").toDF("a", "b")).filter("a <> b"))
+    above = components(_linked(met, percent).filter("a <> b")).select(F.col("node").alias("__part"), F.col("label").alias("__above"))
+    ends = labels.join(above, F.col("label") == F.col("__part"), "left").select("node", F.coalesce("__above", "label").alias("label"))
     return done.select(F.col("a").alias("node"), F.col("b").alias("label")).union(ends.filter("node <> label"))
 
 
