@@ -166,11 +166,16 @@ def set_number(key: Column) -> Column:
 
 
 def candidate_ties(found: DataFrame) -> DataFrame:
-    """``a, b``: every set of a bucket with the bucket's smallest one, by their numbers."""
+    """``a, b``: the smallest set that shares a bucket with a set, tied to that set and to its buckets' smallest ones.
+
+    Sets go by their numbers. Each has ``BANDS`` buckets at most, and many sets have the same smallest ones.
+    """
     rows = found.filter(F.size("bands") > 0).select(set_number(F.col("set_key")).alias("number"), F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("number").alias("centre"), F.max("number").alias("other")).filter("centre < other")
     shared = small(cut(shared.select("band", "centre")), MAX_BROADCAST_BANDS)
-    return rows.join(shared, "band").filter("number <> centre").select(F.col("number").alias("a"), F.col("centre").alias("b")).distinct()
+    per = rows.join(shared, "band").groupBy("number").agg(F.collect_set("centre").alias("centres"))
+    least = F.least("number", F.array_min("centres"))
+    return per.select(F.explode(F.array_union("centres", F.array("number"))).alias("a"), least.alias("b")).filter("a <> b").distinct()
 
 
 class _Linker:
