@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -185,15 +186,16 @@ def parse_time_unit(unit: Column) -> Column:
 def is_national_id(column: Column, today: Column | None = None) -> Column:
     """Whether text is a Lithuanian personal code: 11 digits, a birth date that exists and isn't ahead, check digit.
 
-    A leading 9 marks codes without a birth date. The check digit is the weighted sum modulo 11; if that is 10, a second
-    set of weights decides, and if that is 10 too, the digit is 0.
+    Any 11 digits with a leading 9 are one. A birth date with a year, month or day of 00 is unknown and not looked at; the
+    century is 17 and half the first digit. The check digit is the weighted sum modulo 11; if that is 10, a second set of
+    weights decides, modulo 10.
     """
-    text = F.trim(column)
-    digit = [F.substring(text, i + 1, 1).try_cast("int") for i in range(11)]
-    weigh = lambda ws: sum((digit[i] * w for i, w in enumerate(ws)), F.lit(0)) % 11
-    first, second = weigh((1, 2, 3, 4, 5, 6, 7, 8, 9, 1)), weigh((3, 4, 5, 6, 7, 8, 9, 1, 2, 3))
-    check = F.when(first != 10, first).when(second != 10, second).otherwise(0)
-    century = (18 + F.floor((digit[0] - 1) / 2)).cast("string")
-    born = F.concat(century, F.substring(text, 2, 2), F.lit("-"), F.substring(text, 4, 2), F.lit("-"), F.substring(text, 6, 2)).try_cast("date")
-    dated = (digit[0] == 9) | (digit[0].between(1, 8) & born.isNotNull() & (born <= (F.current_date() if today is None else today)))
-    return F.coalesce(text.rlike(r"^[0-9]{11}$") & dated & (check == digit[10]), F.lit(False))
+    digit = [F.substring(column, i + 1, 1).try_cast("int") for i in range(11)]
+    weigh = lambda ws: sum((digit[i] * w for i, w in enumerate(ws)), F.lit(0))
+    first, second = weigh((1, 2, 3, 4, 5, 6, 7, 8, 9, 1)) % 11, weigh((3, 4, 5, 6, 7, 8, 9, 1, 2, 3)) % 10
+    check = F.when(first != 10, first).otherwise(second)
+    pairs = [F.substring(column, i, 2) for i in (2, 4, 6)]
+    born = F.concat((17 + F.floor(digit[0] / 2)).cast("string"), F.concat_ws("-", *pairs)).try_cast("date")
+    known = reduce(lambda a, b: a & b, [p != "00" for p in pairs])
+    dated = ~known | (born.isNotNull() & (born <= (F.current_date() if today is None else today)))
+    return F.coalesce(column.rlike(r"^[0-9]{11}$") & ((digit[0] == 9) | (dated & (check == digit[10]))), F.lit(False))

@@ -30,9 +30,9 @@ class Written(NamedTuple):
 
 
 def stable_id(model: str, *key: Column) -> Column:
-    """An id like a version 5 UUID: SHA-1 of the model's name and the key's values; null and empty text differ."""
-    parts = [F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("~")) for k in key]
-    h = F.sha1(F.concat_ws("\n", F.lit(model), *parts).cast("binary"))
+    """An id like a version 5 UUID: SHA-1 of the model's name and the key's values, each with its length; null and empty text differ."""
+    texts = [F.lit(model), *[k.cast("string") for k in key]]
+    h = F.sha1(F.concat(*[F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("~")) for x in texts]).cast("binary"))
     variant = F.substring(F.lit("89ab"), 1 + F.pmod(F.ascii(F.substring(h, 17, 1)), F.lit(4)), F.lit(1))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
@@ -108,11 +108,14 @@ def drop_redirects(redirects: DataFrame, inserted: DataFrame) -> DataFrame:
 def update(current: DataFrame, given: DataFrame, txn: str, at: Column, action: str = "patch", defaults: Mapping[str, object] | None = None) -> Written:
     """Saved rows with their patch. Unknown ids (``not-found``) and other revisions than asked for (``conflict``) are refused.
 
-    An empty patch changes nothing and is not logged.
+    So are all given rows of an ``_id`` that several of them have (``repeated``). An empty patch changes nothing and is
+    not logged.
     """
-    patched = build_patch(given, current, action, defaults)
+    repeated = given.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
+    patched = build_patch(given.join(repeated, "_id", "left_anti"), current, action, defaults)
     conflict = F.col("found") & F.col("_asked").isNotNull() & (F.col("_asked") != F.col("_revision"))
     errors = patched.filter(~F.col("found") | conflict).select("_id", F.when(F.col("found"), "conflict").otherwise("not-found").alias("code"))
+    errors = errors.unionByName(repeated.withColumn("code", F.lit("repeated")))
     good = patched.filter(F.col("found") & ~F.coalesce(conflict, F.lit(False)) & (F.size("_patch") > 0)).withColumn("_revision", _revision(txn)).withColumn("_updated", at)
     rows = good.select(*[F.col(c).cast(current.schema[c].dataType).alias(c) for c in current.columns])
     untouched = current.join(good.select("_id"), "_id", "left_anti").select(*current.columns)
@@ -120,18 +123,27 @@ def update(current: DataFrame, given: DataFrame, txn: str, at: Column, action: s
 
 
 def upsert(current: DataFrame, given: DataFrame, keys: Sequence[str], model: str, txn: str, at: Column, defaults: Mapping[str, object] | None = None) -> Written:
-    """By natural keys: no match inserts, one patches, several are refused (``multiple``)."""
+    """By natural keys: no match inserts, one patches, several are refused (``multiple``).
+
+    Keys that several given rows have are refused too (``repeated``, with the ``_id`` of the row that has them, if any).
+    A null in a key equals a null.
+    """
     matches = current.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__n"), F.min("_id").alias("__id"))
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     condition = same[0]
     for s in same[1:]:
         condition = condition & s
-    rows = given.drop("_id").join(matches, condition, "left")
+    counts = given.groupBy(*keys).agg(F.count(F.lit(1)).alias("__given")).join(matches, condition, "left")
+    found = counts.select(*[F.col(k).alias(f"__{k}") for k in keys], "__given", "__n", "__id")
+    rows = given.drop("_id").join(found, condition)
+    repeated = found.filter("__given > 1").select(F.col("__id").alias("_id"), F.lit("repeated").alias("code"))
+    rows = rows.filter("__given = 1")
     plain = [c for c in given.columns if c != "_id"]
     added = insert(current, rows.filter("__n is null").select(*plain), model, txn, at, defaults)
     patched = update(added.current, rows.filter("__n = 1").select(F.col("__id").alias("_id"), *plain), txn, at, "patch")
     several = rows.filter("__n > 1").select(F.col("__id").alias("_id"), F.lit("multiple").alias("code"))
-    return Written(patched.current, added.log.unionByName(patched.log), added.errors.unionByName(patched.errors).unionByName(several))
+    errors = added.errors.unionByName(patched.errors).unionByName(several).unionByName(repeated)
+    return Written(patched.current, added.log.unionByName(patched.log), errors)
 
 
 def delete(current: DataFrame, ids: DataFrame, txn: str, at: Column) -> Written:
@@ -187,8 +199,8 @@ def wipe(current: DataFrame) -> DataFrame:
     return current.limit(0)
 
 
-def changelog_append(log: DataFrame, rows: DataFrame) -> DataFrame:
-    """The log with the rows appended, ``_id`` going on without gaps in the order of time, then row, then revision.
+def numbered(rows: DataFrame, start: DataFrame) -> DataFrame:
+    """The rows with ``_id`` from ``start`` (one row, ``__start``) on, without gaps, in the order of time, then row, then revision.
 
     The rows are dealt out by ranges of that order and cut there, with their place inside the range: once written, it
     can't change any more. Counts per range give each its first number, so no row is shuffled again.
@@ -199,10 +211,13 @@ def changelog_append(log: DataFrame, rows: DataFrame) -> DataFrame:
     placed = placed.withColumn("__part", F.shiftright("__at", 33)).withColumn("__k", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     first = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    start = log.agg(F.coalesce(F.max("_id"), F.lit(0)).alias("__start"))
-    numbered = placed.join(F.broadcast(first), "__part").join(F.broadcast(start))
-    columns = [c for c in log.columns if c != "_id"]
-    return log.unionByName(numbered.select((F.col("__start") + F.col("__first") + F.col("__k")).alias("_id"), *columns))
+    joined = placed.join(F.broadcast(first), "__part").join(F.broadcast(start))
+    return joined.select((F.col("__start") + F.col("__first") + F.col("__k")).alias("_id"), *[c for c in rows.columns if c != "_id"])
+
+
+def changelog_append(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """The log with the rows appended, ``_id`` going on without gaps."""
+    return log.unionByName(numbered(rows, log.agg(F.coalesce(F.max("_id"), F.lit(0)).alias("__start"))))
 
 
 def changes(log: DataFrame, rid: str | None = None, offset: int | None = None, limit: int = 100) -> DataFrame:

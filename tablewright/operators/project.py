@@ -172,13 +172,16 @@ def _as_text(value: Column, dtype: T.DataType) -> Column:
 
 
 def checksum(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    """SHA-1 over ``path=value`` lines of the leaves sorted by path; nulls and reserved columns are left out."""
+    """SHA-1 over ``path=length:value`` lines of the leaves sorted by path; nulls and reserved columns are left out.
+
+    The length in characters tells a value that holds a line feed from two values.
+    """
     wanted = [c for c in (columns or df.columns) if c not in RESERVED]
     parts = []
     for leaf in sorted((x for x in leaves(T.StructType([df.schema[c] for c in wanted]))), key=lambda x: x.path):
         value = value_of(leaf.steps)
         text = F.to_json(value) if "[]" in leaf.steps else _as_text(value, leaf.dtype)
-        parts.append(F.concat(F.lit(f"{leaf.path}="), text))
+        parts.append(F.concat(F.lit(f"{leaf.path}="), F.length(text).cast("string"), F.lit(":"), text))
     return F.sha1(F.concat_ws("\n", *parts).cast("binary"))
 
 

@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from ..functions.clean import DATE, DATETIME, INTEGER, NUMBER, TIME, URL, UUID, is_national_id
 from ..functions.predicates import axis
 from ..model import Model, Property, TableError
+from ..runtime import cut
 
 PHONE = r"(?:\+370|\b8)[ -]?(?:\(?[0-9]{1,3}\)?[ -]?)?[0-9]{2,3}[ -]?[0-9]{2,5}"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?d)^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"  # (?d): only a line feed may follow
 URIS = {"email": "pii:email", "phone": "pii:phone", "id": "pii:id"}
 
 
@@ -140,14 +141,25 @@ def check_all(df: DataFrame, checks: Sequence[DataFrame], row_id: str = "_id") -
 
 
 def detect_pii(df: DataFrame, threshold: float = 0.5, today: Column | None = None) -> DataFrame:
-    """``column, email, phone, id, uri``: shares of the non-null texts that hold each, and the tag of the largest share above the threshold."""
+    """``column, id, email, phone, uri`` of text columns: how many cells are personal codes, addresses and phone numbers.
+
+    Each non-null cell goes to the first that fits, so a share is of the cells that none before it took; it is null
+    where there are no such cells. The tag is that of the last share above the threshold.
+    """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    tests = {"email": lambda c: c.rlike(EMAIL), "phone": lambda c: c.rlike(PHONE), "id": lambda c: is_national_id(c, today)}
-    shares = [F.avg(F.when(F.col(n).isNotNull(), test(F.col(n)).cast("double"))).alias(f"{i}_{k}") for i, n in enumerate(names) for k, test in tests.items()]
+    tests = {"id": lambda c: is_national_id(c, today), "email": lambda c: c.rlike(EMAIL), "phone": lambda c: c.rlike(PHONE)}
+    shares = []
+    for i, name in enumerate(names):
+        left = F.col(f"`{name}`")
+        for k, test in tests.items():
+            fits = test(left)
+            shares.append(F.avg(F.when(left.isNotNull(), fits.cast("double"))).alias(f"{i}_{k}"))
+            left = F.when(~fits, left)
     one = df.agg(*shares)
     rows = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), *[F.col(f"{i}_{k}").alias(k) for k in tests]) for i, n in enumerate(names)])))
-    best = F.greatest(*[F.coalesce(F.col(k), F.lit(0.0)) for k in tests])
-    uri = reduce(lambda w, k: w.when(F.col(k) == best, F.lit(URIS[k])), tests, F.when(best <= threshold, F.lit(None)))
+    uri = F.lit(None).cast("string")
+    for k in tests:
+        uri = F.when(F.col(k) > threshold, F.lit(URIS[k])).otherwise(uri)
     return rows.withColumn("uri", uri)
 
 
@@ -164,17 +176,21 @@ INFERRED = {
 }
 
 
+MAY_BE_UNIQUE = 0.5
+
+
 def infer_schema(df: DataFrame) -> DataFrame:
-    """``column, type, required, unique`` of text columns: types by one aggregation, uniqueness by counts of values.
+    """``column, type, required, unique`` of text columns by one aggregation, and a second one for columns that may be unique.
 
-    Empty texts count as absent: required means none is absent, unique that all present values differ.
+    Empty texts count as absent: required means none is absent, unique that all present values differ. Columns whose
+    estimated number of values is below ``MAY_BE_UNIQUE`` of their cells, ten standard errors off, hold repeats.
     """
     flags = []
     for i, name in enumerate(df.columns):
         value = F.when(F.col(f"`{name}`") != "", F.col(f"`{name}`"))
         flags += [F.min(F.when(value.isNotNull(), test(value))).alias(f"{i}_{k}") for k, test in INFERRED.items()]
-        flags += [F.count(value).alias(f"{i}_n"), F.count(F.lit(1)).alias(f"{i}_all")]
-    one = df.agg(*flags)
+        flags += [F.count(value).alias(f"{i}_n"), F.count(F.lit(1)).alias(f"{i}_all"), F.approx_count_distinct(value).alias(f"{i}_values")]
+    one = cut(df.agg(*flags))
     rows = []
     for i, name in enumerate(df.columns):
         kind = F.when(F.col(f"{i}_n") == 0, F.lit("string"))
@@ -183,7 +199,11 @@ def infer_schema(df: DataFrame) -> DataFrame:
         required = (F.col(f"{i}_n") == F.col(f"{i}_all")) & (F.col(f"{i}_n") > 0)
         rows.append(F.struct(F.lit(name).alias("column"), kind.otherwise("string").alias("type"), required.alias("required")))
     found = one.select(F.inline(F.array(*rows)))
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(name).alias("__column"), F.col(f"`{name}`").alias("value")) for name in df.columns]))).filter("value <> ''")
+    first = one.first()  # one row of counts
+    likely = [name for i, name in enumerate(df.columns) if first[f"{i}_n"] and first[f"{i}_values"] >= MAY_BE_UNIQUE * first[f"{i}_n"]]
+    if not likely:
+        return found.select("column", "type", "required", F.lit(False).alias("unique"))
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(name).alias("__column"), F.col(f"`{name}`").alias("value")) for name in likely]))).filter("value <> ''")
     most = cells.groupBy("__column", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("__column").agg(F.max("n").alias("most"))
     joined = found.join(most, F.col("column") == F.col("__column"), "left")
     return joined.select("column", "type", "required", F.coalesce(F.col("most") == 1, F.lit(False)).alias("unique"))

@@ -11,8 +11,6 @@ from ..functions.predicates import Field, all_of, keep_missing_ref
 from ..model import Catalog, TableError
 from .paging import limit, sort
 
-#: Largest referenced table, in rows, that is marked for broadcast once it was counted.
-MAX_BROADCAST_ROWS = 100_000
 #: Holds whether a referenced row passes its model's own filter.
 PASSES = "__passes"
 

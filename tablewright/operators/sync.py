@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .paging import after, sort
@@ -16,21 +16,24 @@ STATE_SCHEMA = "id string, revision string, checksum string, pushed timestamp, e
 def push_delta(rows: DataFrame, state: DataFrame, key: str = "_id", columns: Sequence[str] | None = None) -> DataFrame:
     """``op`` (insert, patch, same, delete) per row of either side, with ``id, checksum, revision`` and the data as JSON.
 
-    A patch carries the revision known from the state. What failed before is not deleted while it is marked so.
+    A patch carries the revision known from the state. What failed before is not deleted while it is marked so. Of
+    several rows of one id the one with the greatest data (as JSON text) counts.
     """
     data = [c for c in (columns or rows.columns) if c != key]
     source = rows.select(F.col(key).cast("string").alias("__id"), checksum(rows, data).alias("__sum"), F.to_json(F.struct(*data)).alias("__data"))
+    source = source.groupBy("__id").agg(F.max(F.struct("__data", "__sum")).alias("__row")).select("__id", "__row.*")
     joined = source.join(state, F.col("__id") == F.col("id"), "full_outer")
     op = F.when(F.col("id").isNull(), "insert").when(F.col("__id").isNull(), F.when(F.col("error"), "same").otherwise("delete")).when(F.col("__sum").eqNullSafe(F.col("checksum")), "same").otherwise("patch")
     return joined.select(F.coalesce("__id", "id").alias("id"), op.alias("op"), F.coalesce("__sum", "checksum").alias("checksum"), F.when(op != "insert", F.col("revision")).alias("revision"), F.col("__data").alias("data"))
 
 
-def save_push_state(state: DataFrame, results: DataFrame, at: Column) -> DataFrame:
+def save_push_state(state: DataFrame, results: DataFrame, at: Column, by: Sequence[str] = ()) -> DataFrame:
     """The state after a push. ``results``: ``id, op, revision, checksum, error, data``; the last result of an id counts.
 
-    A failure keeps its payload and the former revision; what was deleted without error goes.
+    Last is by the columns ``by``, then by all columns. A failure keeps its payload and the former revision; what was
+    deleted without error goes.
     """
-    new = results.filter("op <> 'same'")
+    new = last_results(results.filter("op <> 'same'"), *by)
     gone = new.filter("op = 'delete' and not error").select("id")
     r = new.join(gone, "id", "left_anti").select("id", F.col("revision").alias("__rev"), F.col("checksum").alias("__sum"), F.col("error").alias("__err"), F.col("data").alias("__data"))
     s = state.join(gone, "id", "left_anti")
@@ -66,7 +69,7 @@ def incremental_cursor(df: DataFrame, keys: Sequence[str], values: Sequence[obje
     return sort(df if values is None else df.filter(after(df, keys, values)), *keys)
 
 
-def last_results(results: DataFrame, by: str) -> DataFrame:
-    """The last result of every id, where one was sent several times."""
-    window = Window.partitionBy("id").orderBy(F.desc(by))
-    return results.withColumn("__n", F.row_number().over(window)).filter("__n = 1").drop("__n")
+def last_results(results: DataFrame, *by: str, key: str = "id") -> DataFrame:
+    """The last row of every id by the columns ``by``; of rows that tie there, always the same one."""
+    order = F.struct(*by, F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}))
+    return results.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*results.columns), order).alias("__last")).select("__last.*")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ..model import Table
 from ..operators import history as H
 from ..operators import keymap as K
+from ..operators import summary as S
 from ..operators import sync as Y
 from ..operators.project import checksum
+from ..runtime import scratch
 from ..sources import readers as R
 from ..sources import writers as W
 from .base import catalog, query, table
@@ -46,11 +48,11 @@ def xml_rows(spark, sf):
     return out.withColumns({"id": F.col("id").cast("long"), "keys": F.array_join("keys", ",")})
 
 
-@query("SELECT r_regionkey, r_name FROM region")
+@query("SELECT c_custkey, c_name FROM customer")
 def multi_model(spark, sf):
     """A5: one model of a mixed table, without the columns it doesn't have."""
-    mixed = R.read_namespace({"nation": table(spark, sf, "nation"), "region": table(spark, sf, "region")})
-    return R.read_multi_model(mixed, "region")
+    mixed = R.read_namespace({"customer": table(spark, sf, "customer").select("c_custkey", "c_name"), "supplier": table(spark, sf, "supplier").select("s_suppkey", "s_name")})
+    return R.read_multi_model(mixed, "customer")
 
 
 @query("SELECT r_name AS region, s AS status, n_name AS nation FROM region CROSS JOIN (SELECT DISTINCT o_orderstatus AS s FROM orders) JOIN nation ON n_regionkey = r_regionkey")
@@ -62,10 +64,27 @@ def parameter_combinations(spark, sf):
     return R.dependent(params, rows, [("region", "r_name")], "n_name", "nation")
 
 
-@query("SELECT 'nation' AS _type, n_name, r_name FROM (SELECT n_name, NULL::VARCHAR AS r_name FROM nation) UNION ALL SELECT 'region', NULL, r_name FROM region")
+@query("SELECT 'customer' AS _type, c_name, NULL::VARCHAR AS s_name FROM customer UNION ALL SELECT 'supplier', NULL, s_name FROM supplier")
 def namespace(spark, sf):
     """All rows of several models."""
-    return R.read_namespace({"nation": table(spark, sf, "nation"), "region": table(spark, sf, "region")}).select("_type", "n_name", "r_name")
+    return R.read_namespace({"customer": table(spark, sf, "customer"), "supplier": table(spark, sf, "supplier")}).select("_type", "c_name", "s_name")
+
+
+@query("SELECT c_custkey::INTEGER AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 0")
+def jdbc_table(spark, sf):
+    """A4: a table of a database, read by ranges of its key, filtered there. The database lives in the driver, so this runs on one machine."""
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    url = f"jdbc:derby:memory:{scratch(spark).rsplit('/', 1)[-1]};create=true"
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("id"), F.col("c_name").alias("name"))
+    rows.write.format("jdbc").options(url=url, dbtable="customers", **options).save()
+    most = rows.agg(F.max("id")).first()[0]
+    return R.read_jdbc(spark, url, "customers", "ID", (0, most), 4, **options).filter("id % 2 = 0").toDF("id", "name")
+
+
+@query("SELECT 'customer' AS model, 0::BIGINT AS count UNION ALL SELECT 'orders', count(*) FROM orders")
+def wipe_tables(spark, sf):
+    """A model without its rows, beside one that keeps them."""
+    return S.count_tables({"customer": H.wipe(table(spark, sf, "customer")), "orders": table(spark, sf, "orders")})
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42")
@@ -75,15 +94,17 @@ def get_one(spark, sf):
 
 
 @query("""
-WITH n AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 = 0 THEN '<urn:n:' || n_nationkey || '>' ELSE '<https://e.org/nation/' || n_nationkey || '>' END AS s, CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS name, n_regionkey FROM nation)
-SELECT s AS subject, '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>' AS predicate, '<https://e.org/nation>' AS object FROM n
+WITH n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN '<urn:n:' || c_custkey || '>' ELSE '<https://e.org/customer/' || c_custkey || '>' END AS s, CASE WHEN c_custkey % 3 = 1 THEN c_name WHEN c_custkey % 3 = 2 THEN c_name || '\\r\\n\\t\\"' END AS name, c_nationkey FROM customer)
+SELECT s AS subject, '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>' AS predicate, '<https://e.org/customer>' AS object FROM n
 UNION ALL SELECT s, '<http://xmlns.com/foaf/0.1/name>', '"' || name || '"' FROM n WHERE name IS NOT NULL
-UNION ALL SELECT s, '<https://e.org/in>', '<https://e.org/region/' || n_regionkey || '>' FROM n
+UNION ALL SELECT s, '<https://e.org/in>', '<https://e.org/nation/' || c_nationkey || '>' FROM n
 """)
 def triples(spark, sf):
-    """Rows as triples."""
-    df = table(spark, sf, "nation").select(F.col("n_nationkey").alias("_id"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).alias("name"), F.col("n_regionkey").alias("region"), F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("urn:n:"), F.col("n_nationkey").cast("string"))).alias("uri"))
-    return W.to_triples(df, "https://e.org/nation", {"name": "http://xmlns.com/foaf/0.1/name", "region": "https://e.org/in"}, uri_column="uri", refs={"region": "https://e.org/region"})
+    """Rows as triples; line ends, tabs and quotes are escaped."""
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 1, F.col("c_name")).when(k % 3 == 2, F.concat("c_name", F.lit('\r\n\t"')))
+    df = table(spark, sf, "customer").select(k.alias("_id"), name.alias("name"), F.col("c_nationkey").alias("nation"), F.when(k % 4 == 0, F.concat(F.lit("urn:n:"), k.cast("string"))).alias("uri"))
+    return W.to_triples(df, "https://e.org/customer", {"name": "http://xmlns.com/foaf/0.1/name", "nation": "https://e.org/in"}, uri_column="uri", refs={"nation": "https://e.org/nation"})
 
 
 def _exported(spark, sf):
@@ -119,6 +140,11 @@ def _given(spark, sf):
     return table(spark, sf, "customer").filter(k % 3 == 0).select(F.when(k % 21 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(k.cast("string")).alias("_id"), revision.alias("_revision"), name.alias("name"), F.when(k % 7 != 0, F.col("c_acctbal")).alias("balance"), F.col("c_nationkey").alias("nation"), k.alias("no"), absent.alias("_absent"))
 
 
+def _repeated(given):
+    """The changes, every eleventh of them twice, with another name."""
+    return given.union(given.filter("no % 33 = 0").withColumn("name", F.concat("name", F.lit("~"))))
+
+
 @query("""
 WITH g AS (SELECT c_custkey AS k, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_name || '!' ELSE c_name END AS n2, c_acctbal AS b, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS b2 FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 21 <> 0)
 SELECT k::VARCHAR AS _id, concat_ws(',', CASE WHEN b IS DISTINCT FROM b2 THEN 'balance' END, CASE WHEN c_name <> n2 THEN 'name' END) AS changed, n2 AS name, b2 AS balance FROM g
@@ -150,29 +176,32 @@ def insert_rows(spark, sf):
 @query("""
 SELECT c_custkey::VARCHAR AS _id, CASE WHEN g AND c_custkey % 2 = 0 THEN c_name || '!' ELSE c_name END AS name, CASE WHEN g AND c_custkey % 4 <> 0 AND c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS balance,
   g AND (c_custkey % 2 = 0 OR (c_custkey % 7 = 0 AND c_custkey % 4 <> 0)) AS touched
-FROM (SELECT *, c_custkey % 3 = 0 AND c_custkey % 21 <> 0 AND c_custkey % 15 <> 0 AS g FROM customer)
+FROM (SELECT *, c_custkey % 3 = 0 AND c_custkey % 21 <> 0 AND c_custkey % 15 <> 0 AND c_custkey % 33 <> 0 AS g FROM customer)
 """)
 def patch_rows(spark, sf):
-    """Rows after patches; other revisions and unknown rows are refused."""
-    out = H.update(_current(spark, sf), _given(spark, sf), "t1", _now()).current
+    """Rows after patches; other revisions, unknown rows and repeated ids are refused."""
+    out = H.update(_current(spark, sf), _repeated(_given(spark, sf)), "t1", _now()).current
     return out.select("_id", "name", "balance", F.col("_updated").isNotNull().alias("touched"))
 
 
-@query("SELECT CASE WHEN c_custkey % 21 = 0 THEN 'x' || c_custkey ELSE c_custkey::VARCHAR END AS _id, CASE WHEN c_custkey % 21 = 0 THEN 'not-found' ELSE 'conflict' END AS code FROM customer WHERE c_custkey % 3 = 0 AND (c_custkey % 21 = 0 OR c_custkey % 15 = 0)")
+@query("SELECT CASE WHEN c_custkey % 21 = 0 THEN 'x' || c_custkey ELSE c_custkey::VARCHAR END AS _id, CASE WHEN c_custkey % 33 = 0 THEN 'repeated' WHEN c_custkey % 21 = 0 THEN 'not-found' ELSE 'conflict' END AS code FROM customer WHERE c_custkey % 3 = 0 AND (c_custkey % 21 = 0 OR c_custkey % 15 = 0 OR c_custkey % 33 = 0)")
 def patch_errors(spark, sf):
     """What patches refuse."""
-    return H.update(_current(spark, sf), _given(spark, sf), "t1", _now()).errors
+    return H.update(_current(spark, sf), _repeated(_given(spark, sf)), "t1", _now()).errors
 
 
 @query("""
-SELECT no, name, count(*) AS n FROM (SELECT c_custkey AS no, CASE WHEN c_custkey % 3 = 0 THEN c_name || '?' ELSE c_name END AS name FROM customer UNION ALL SELECT c_custkey + 1000000, c_name || '?' FROM customer WHERE c_custkey % 3 = 1) GROUP BY ALL
+SELECT no, name, count(*) AS n FROM (SELECT c_custkey AS no, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 <> 0 THEN c_name || '?' ELSE c_name END AS name FROM customer UNION ALL SELECT c_custkey + 1000000, c_name || '?' FROM customer WHERE c_custkey % 3 = 1 AND c_custkey % 5 <> 0
+UNION ALL SELECT -1, 'repeated ' || CASE WHEN c_custkey % 3 = 0 THEN c_custkey::VARCHAR ELSE 'new' END FROM customer WHERE c_custkey % 3 <> 2 AND c_custkey % 5 = 0) GROUP BY ALL
 """)
 def upsert(spark, sf):
-    """No match inserts, one patches."""
+    """No match inserts, one patches; keys given twice are refused, which the rows of number -1 tell."""
     k = F.col("c_custkey")
     given = table(spark, sf, "customer").filter(k % 3 != 2).select(F.when(k % 3 == 0, k).otherwise(k + 1000000).alias("no"), F.concat("c_name", F.lit("?")).alias("name"))
-    out = H.upsert(_current(spark, sf), given, ["no"], "customer", "t1", _now()).current
-    return out.groupBy("no", "name").agg(F.count(F.lit(1)).alias("n"))
+    given = given.union(given.filter("(no - if(no >= 1000000, 1000000, 0)) % 5 = 0"))
+    out = H.upsert(_current(spark, sf), given, ["no"], "customer", "t1", _now())
+    refused = out.errors.select(F.lit(-1).alias("no"), F.concat_ws(" ", "code", F.coalesce("_id", F.lit("new"))).alias("name"))
+    return out.current.select("no", "name").unionByName(refused).groupBy("no", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT c_custkey::VARCHAR AS _id FROM customer WHERE c_custkey % 3 <> 0")
@@ -270,14 +299,17 @@ def corrupt_changelog(spark, sf):
 
 @query("""
 WITH d AS (SELECT *, first(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey) AS p FROM orders)
-SELECT l_orderkey AS old, p AS new FROM (SELECT DISTINCT l_orderkey FROM lineitem) JOIN d ON l_orderkey = o_orderkey
+SELECT 'line' AS kind, l_orderkey AS old, p AS new FROM (SELECT DISTINCT l_orderkey FROM lineitem) JOIN d ON l_orderkey = o_orderkey
+UNION ALL SELECT 'order', o_orderkey, NULL FROM d WHERE o_orderkey = p UNION ALL SELECT 'redirect', o_orderkey, p FROM d WHERE o_orderkey <> p
 """)
 def dedup_primary(spark, sf):
-    """Duplicates merged into the newest; references follow."""
+    """Duplicates merged into the newest: the table itself, the references that follow, and the redirects."""
     o = Table(table(spark, sf, "orders"), "o_orderkey")
     lines = table(spark, sf, "lineitem").select("l_orderkey").distinct().select(F.col("l_orderkey").alias("old"), F.col("l_orderkey").alias("new"))
-    out, _, _ = H.deduplicate({"orders": o, "lines": Table(lines, "old", {"new": "orders"})}, "orders", ["o_custkey", "o_orderstatus"], ["-o_orderdate", "o_orderkey"])
-    return out["lines"].df
+    out, ends, _ = H.deduplicate({"orders": o, "lines": Table(lines, "old", {"new": "orders"})}, "orders", ["o_custkey", "o_orderstatus"], ["-o_orderdate", "o_orderkey"])
+    rows = [("line", out["lines"].df), ("order", out["orders"].df.select(F.col("o_orderkey").alias("old"), F.lit(None).cast("long").alias("new"))), ("redirect", ends.toDF("old", "new"))]
+    frames = [df.select(F.lit(kind).alias("kind"), F.col("old").cast("long").alias("old"), F.col("new").cast("long").alias("new")) for kind, df in rows]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
 @query(LOG + "SELECT _revision, ts AS datetime FROM log ORDER BY _id DESC LIMIT 1")
@@ -360,38 +392,46 @@ def keymap_duplicates(spark, sf):
 
 
 def _state(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("_id"), F.when(F.col("o_orderkey") % 5 == 0, 0.5).otherwise(F.col("o_totalprice")).alias("o_totalprice"), "o_orderstatus")
-    known = o.select(F.col("_id").cast("string").alias("id"), F.concat(F.lit("r"), F.col("_id").cast("string")).alias("revision"), checksum(o, ["o_totalprice", "o_orderstatus"]).alias("checksum"), _now().alias("pushed"), (F.col("_id") % 13 == 0).alias("error"), F.lit(None).cast("string").alias("data"))
+    o = table(spark, sf, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("_id"), F.when(F.col("o_orderkey") % 5 == 0, -1).otherwise(F.col("o_custkey")).alias("o_custkey"), "o_orderstatus")
+    known = o.select(F.col("_id").cast("string").alias("id"), F.concat(F.lit("r"), F.col("_id").cast("string")).alias("revision"), checksum(o, ["o_custkey", "o_orderstatus"]).alias("checksum"), F.lit("2025-01-01").cast("timestamp").alias("pushed"), (F.col("_id") % 13 == 0).alias("error"), F.lit(None).cast("string").alias("data"))
     gone = known.withColumns({"id": F.concat(F.lit("x"), "id")})
     return known.union(gone)
 
 
 DELTA = """
-WITH d AS (
-  SELECT o_orderkey AS k, o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'insert' WHEN o_orderkey % 5 = 0 AND o_totalprice <> 0.5 THEN 'patch' ELSE 'same' END AS op FROM orders
-  UNION ALL SELECT o_orderkey, 'x' || o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'same' ELSE 'delete' END FROM orders WHERE o_orderkey % 3 <> 0)
+WITH o AS (SELECT o_orderkey AS k, o_custkey::VARCHAR AS c, CASE WHEN o_orderkey % 5 = 0 THEN '-1' ELSE o_custkey::VARCHAR END AS was, o_orderstatus AS s FROM orders),
+sums AS (SELECT *, sha1('o_custkey=' || length(c) || ':' || c || chr(10) || 'o_orderstatus=' || length(s) || ':' || s) AS fresh, sha1('o_custkey=' || length(was) || ':' || was || chr(10) || 'o_orderstatus=' || length(s) || ':' || s) AS known,
+  '{"o_custkey":' || c || ',"o_orderstatus":"' || s || '"}' AS json FROM o),
+d AS (
+  SELECT *, k::VARCHAR AS id, CASE WHEN k % 3 = 0 THEN 'insert' WHEN k % 5 = 0 THEN 'patch' ELSE 'same' END AS op FROM sums
+  UNION ALL SELECT * REPLACE (NULL AS json), 'x' || k, CASE WHEN k % 13 = 0 THEN 'same' ELSE 'delete' END FROM sums WHERE k % 3 <> 0)
 """
 
 
 def _delta(spark, sf):
-    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("_id"), "o_totalprice", "o_orderstatus")
-    return Y.push_delta(rows, _state(spark, sf))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("_id"), "o_custkey", "o_orderstatus")
+    again = rows.filter("_id % 11 = 0")
+    return Y.push_delta(rows.union(again).union(again.withColumn("o_custkey", F.lit(-5))), _state(spark, sf))
 
 
-@query(DELTA + "SELECT id, op, CASE WHEN op <> 'insert' THEN 'r' || k END AS revision FROM d")
+@query(DELTA + "SELECT id, op, CASE WHEN op <> 'insert' THEN 'r' || k END AS revision, CASE WHEN op IN ('insert', 'patch') THEN fresh WHEN op = 'same' AND id = k::VARCHAR THEN fresh ELSE known END AS checksum, json AS data FROM d")
 def push_delta(spark, sf):
-    """What is new, changed, the same, and gone."""
-    return _delta(spark, sf).select("id", "op", "revision")
+    """What is new, changed, the same, and gone; one row of an id that is given several times."""
+    return _delta(spark, sf).select("id", "op", "revision", "checksum", "data")
 
 
 @query(DELTA + """
-SELECT id, CASE WHEN op = 'same' THEN 'r' || k WHEN k % 7 = 0 THEN CASE WHEN op <> 'insert' THEN 'r' || k END ELSE 'new' END AS revision, CASE WHEN op = 'same' THEN k % 13 = 0 ELSE k % 7 = 0 END AS error FROM d WHERE NOT (op = 'delete' AND k % 7 <> 0)
+SELECT id, CASE WHEN op = 'same' THEN 'r' || k WHEN k % 7 = 0 THEN CASE WHEN op <> 'insert' THEN 'r' || k END ELSE 'new' END AS revision, CASE WHEN op = 'same' THEN k % 13 = 0 ELSE k % 7 = 0 END AS error,
+  CASE WHEN op = 'same' THEN known WHEN k % 7 = 0 THEN CASE WHEN op <> 'insert' THEN known END ELSE fresh END AS checksum, op <> 'same' AS touched, CASE WHEN op <> 'same' AND k % 7 = 0 THEN json END AS data
+FROM d WHERE NOT (op = 'delete' AND k % 7 <> 0)
 """)
 def push_state(spark, sf):
-    """The state after the push; failures stay, what was deleted goes."""
+    """The state after the push; failures stay, what was deleted goes; of several results of an id the last counts."""
     number = F.regexp_replace("id", "^x", "").cast("long")
-    results = _delta(spark, sf).withColumns({"revision": F.lit("new"), "error": number % 7 == 0})
-    return Y.save_push_state(_state(spark, sf), results, _now()).select("id", "revision", "error")
+    results = _delta(spark, sf).withColumns({"revision": F.lit("new"), "error": number % 7 == 0, "seq": F.lit(2)})
+    former = results.filter(number % 4 == 0).withColumns({"revision": F.lit("old"), "error": ~F.col("error"), "seq": F.lit(1)})
+    out = Y.save_push_state(_state(spark, sf), results.union(former), _now(), by=["seq"])
+    return out.select("id", "revision", "error", "checksum", (F.col("pushed") == _now()).alias("touched"), "data")
 
 
 @query("SELECT p || o_orderkey AS id FROM orders, (VALUES (''), ('x')) t(p) WHERE o_orderkey % 3 <> 0 AND o_orderkey % 13 = 0")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history as H
 from ..operators import keymap as K
+from ..operators import project
 from ..operators import quality as Q
 from ..operators import sync as Y
 from ..runtime import scratch
@@ -52,11 +53,11 @@ def parametrized_files(spark, sf):
     return R.read_parametrized(spark, path + "/s={status}/h={half}", params, schema="id long").select("status", "half", "id")
 
 
-@query("SELECT '<https://e.org/n/' || n_nationkey || '> <urn:name> \"' || n_name || '\" .' AS line FROM nation UNION ALL SELECT '<https://e.org/n/' || n_nationkey || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <https://e.org/n> .' FROM nation")
+@query("SELECT '<https://e.org/p/' || p_partkey || '> <urn:name> \"' || p_name || '\\r\" .' AS line FROM part UNION ALL SELECT '<https://e.org/p/' || p_partkey || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <https://e.org/p> .' FROM part")
 def triple_files(spark, sf):
-    """Triples as lines of text."""
-    df = table(spark, sf, "nation").select(F.col("n_nationkey").alias("_id"), F.col("n_name").alias("name"))
-    W.write_triples(W.to_triples(df, "https://e.org/n", {"name": "urn:name"}), path := scratch(spark))
+    """Triples as lines of text, a carriage return among them."""
+    df = table(spark, sf, "part").select(F.col("p_partkey").alias("_id"), F.concat("p_name", F.lit("\r")).alias("name"))
+    W.write_triples(W.to_triples(df, "https://e.org/p", {"name": "urn:name"}), path := scratch(spark))
     return spark.read.text(path).toDF("line")
 
 
@@ -90,15 +91,20 @@ def stream_keys(spark, sf):
     return state.read("keymap").select("key", "value")
 
 
-@query("SELECT user_id::VARCHAR AS id, false AS error FROM events GROUP BY user_id")
+@query("SELECT user_id::VARCHAR AS id, 'insert' AS op, sha1('event_type=' || length(event_type) || ':' || event_type) AS checksum, user_id % 10 = 0 AS error FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) = 1")
 def stream_push(spark, sf):
-    """K3: a stream of rows, pushed where their checksum is new; the state after it."""
+    """K3: a stream of rows, pushed where their checksum is new: what was sent, and what the state says came of it."""
     source = _events(spark, sf).select(F.col("user_id").cast("string").alias("_id"), F.col("ts").cast("timestamp").alias("_at"), "event_type")
     folder = scratch(spark)
     state = S.State(spark, folder, {"state": Y.STATE_SCHEMA})
-    S.stream_push_delta(source, state, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/sent/b={n}"), f"{folder}/checkpoint").awaitTermination()
-    sent = spark.read.parquet(f"{folder}/sent").select(F.col("id").alias("sent")).distinct()
-    return state.read("state").join(sent, F.col("id") == F.col("sent")).select("id", "error")
+
+    def emit(delta, number):
+        delta.write.mode("overwrite").parquet(f"{folder}/sent/b={number}")
+        return delta.select("id", (F.col("id").cast("long") % 10 == 0).alias("error"))
+
+    S.stream_push_delta(source, state, emit, f"{folder}/checkpoint").awaitTermination()
+    sent = spark.read.parquet(f"{folder}/sent").select(F.col("id").alias("sent"), "op", "checksum")
+    return state.read("state").select("id", "error").join(sent, F.col("id") == F.col("sent")).select("id", "op", "checksum", "error")
 
 
 @query("SELECT c_custkey AS _id FROM customer WHERE c_custkey % 40 <> 0")
@@ -110,5 +116,5 @@ def fault_tolerant(spark, sf):
 
 @query("SELECT o_orderkey AS id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def object_sizes(spark, sf):
-    """B1: the size of a list, null as none."""
-    return reports(spark, sf).select("id", F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n"))
+    """B1: a list picked by its path, and its size, null as none."""
+    return project.select(reports(spark, sf), "id", "lines").select("id", F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n"))

@@ -77,11 +77,12 @@ def summary_ref(spark, sf):
     return S.summary_ref(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_orderkey", uri="https://example.org/customer")
 
 
-@query()
+@query("SELECT 'POINT(' || (g * 1000)::DOUBLE || ' ' || (g * g * 100)::DOUBLE || ')' AS centroid, count(*) AS count, CASE WHEN count(*) = 1 THEN min(c_custkey) END AS _id FROM (SELECT CASE WHEN c_custkey = 1 THEN 9 ELSE c_custkey % 4 END AS g, c_custkey FROM customer WHERE c_custkey % 10 <> 7) GROUP BY g")
 def summary_points(spark, sf):
-    """Clusters of points."""
-    df = table(spark, sf, "customer").select(F.col("c_custkey").alias("_id"), (F.col("c_nationkey") * 3).alias("x"), F.pmod("c_nationkey", F.lit(7)).alias("y"))
-    return S.summary_geometry(df, "x", "y")
+    """Clusters of points that lie in five far places, one of them alone; some have no place."""
+    g = F.when(F.col("c_custkey") == 1, 9).otherwise(F.col("c_custkey") % 4)
+    df = table(spark, sf, "customer").select(F.col("c_custkey").alias("_id"), F.when(F.col("c_custkey") % 10 != 7, g * 1000).alias("x"), (g * g * 100).alias("y"))
+    return S.summary_geometry(df, "x", "y").select("centroid", "count", "_id")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1")
@@ -199,20 +200,20 @@ def map_enum(spark, sf):
 @query("""
 WITH d AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '9' || lpad((c_custkey * 7919 % 1000000000)::VARCHAR, 9, '0') ELSE (3 + c_custkey % 4) || lpad((c_custkey % 100)::VARCHAR, 2, '0') || lpad((c_custkey % 14)::VARCHAR, 2, '0') || lpad((c_custkey % 32)::VARCHAR, 2, '0') || lpad((c_custkey % 1000)::VARCHAR, 3, '0') END AS ten FROM customer),
 x AS (SELECT *, [substr(ten, i, 1)::INTEGER FOR i IN range(1, 11)] AS g FROM d),
-y AS (SELECT *, (g[1]*1+g[2]*2+g[3]*3+g[4]*4+g[5]*5+g[6]*6+g[7]*7+g[8]*8+g[9]*9+g[10]*1) % 11 AS a, (g[1]*3+g[2]*4+g[3]*5+g[4]*6+g[5]*7+g[6]*8+g[7]*9+g[8]*1+g[9]*2+g[10]*3) % 11 AS b FROM x)
-SELECT c_custkey, ten || (c_custkey % 2 * CASE WHEN a <> 10 THEN a WHEN b <> 10 THEN b ELSE 0 END) AS code,
-  (c_custkey % 2 * CASE WHEN a <> 10 THEN a WHEN b <> 10 THEN b ELSE 0 END) = CASE WHEN a <> 10 THEN a WHEN b <> 10 THEN b ELSE 0 END
-  AND (g[1] = 9 OR coalesce(try_cast((18 + (g[1] - 1) // 2) || substr(ten, 2, 2) || '-' || substr(ten, 4, 2) || '-' || substr(ten, 6, 2) AS DATE) <= DATE '2025-06-01', false)) AS valid FROM y
+y AS (SELECT *, (g[1]*1+g[2]*2+g[3]*3+g[4]*4+g[5]*5+g[6]*6+g[7]*7+g[8]*8+g[9]*9+g[10]*1) % 11 AS a, (g[1]*3+g[2]*4+g[3]*5+g[4]*6+g[5]*7+g[6]*8+g[7]*9+g[8]*1+g[9]*2+g[10]*3) % 10 AS b FROM x)
+SELECT c_custkey, ten || (c_custkey % 2 * CASE WHEN a <> 10 THEN a ELSE b END) AS code,
+  g[1] = 9 OR ((c_custkey % 2 * CASE WHEN a <> 10 THEN a ELSE b END) = CASE WHEN a <> 10 THEN a ELSE b END
+  AND (substr(ten, 2, 2) = '00' OR substr(ten, 4, 2) = '00' OR substr(ten, 6, 2) = '00' OR coalesce(try_cast((17 + g[1] // 2) || substr(ten, 2, 2) || '-' || substr(ten, 4, 2) || '-' || substr(ten, 6, 2) AS DATE) <= DATE '2025-06-01', false))) AS valid FROM y
 """)
 def national_id(spark, sf):
-    """Personal codes: date and check digit."""
+    """Personal codes: a leading 9, a date that exists or is unknown, and the check digit."""
     k = F.col("c_custkey")
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     ten = F.when(k % 5 == 0, F.concat(F.lit("9"), pad(k * 7919 % 1000000000, 9))).otherwise(F.concat((3 + k % 4).cast("string"), pad(k % 100, 2), pad(k % 14, 2), pad(k % 32, 2), pad(k % 1000, 3)))
     digit = [F.substring(ten, i + 1, 1).cast("int") for i in range(10)]
-    weigh = lambda ws: sum((d * w for d, w in zip(digit, ws, strict=True)), F.lit(0)) % 11
-    a, b = weigh((1, 2, 3, 4, 5, 6, 7, 8, 9, 1)), weigh((3, 4, 5, 6, 7, 8, 9, 1, 2, 3))
-    last = F.when(a != 10, a).when(b != 10, b).otherwise(0)
+    weigh = lambda ws: sum((d * w for d, w in zip(digit, ws, strict=True)), F.lit(0))
+    a, b = weigh((1, 2, 3, 4, 5, 6, 7, 8, 9, 1)) % 11, weigh((3, 4, 5, 6, 7, 8, 9, 1, 2, 3)) % 10
+    last = F.when(a != 10, a).otherwise(b)
     df = table(spark, sf, "customer").select("c_custkey", F.concat(ten, (k % 2 * last).cast("string")).alias("code"))
     return df.withColumn("valid", C.is_national_id(F.col("code"), F.lit("2025-06-01").cast("date")))
 
@@ -303,36 +304,62 @@ def check_all_valid(spark, sf):
     return Q.check_all(df, [Q.check_types(df, TYPED), Q.check_required(df, TYPED)])[0].select("_id")
 
 
-@query("""
-WITH p AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'a' || doc_id || '@b.org' WHEN doc_id % 3 = 1 THEN 'n' || doc_id || '@c.net' ELSE 'none' END AS mail, lang, text FROM documents)
-SELECT 'mail' AS "column", avg((mail <> 'none')::INTEGER::DOUBLE) AS email, 'pii:email' AS uri FROM p
-UNION ALL SELECT 'lang', 0.0, NULL UNION ALL SELECT 'text', avg(regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')::INTEGER::DOUBLE), NULL FROM p
+@query(r"""
+WITH p AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'a' || doc_id || '@b.org' WHEN doc_id % 3 = 1 THEN '+370 612 ' || lpad((doc_id % 100000)::VARCHAR, 5, '0') ELSE 'see a@b.org' END AS contact,
+  CASE WHEN doc_id % 4 <> 0 THEN '9' || lpad(doc_id::VARCHAR, 10, '0') ELSE 'a' || doc_id || '@b.org' END AS code, CASE WHEN doc_id % 5 <> 0 THEN 'a' || doc_id || '@b.org' END AS mail, lang, text FROM documents),
+cells AS (SELECT 'contact' AS "column", contact AS v FROM p UNION ALL SELECT 'code', code FROM p UNION ALL SELECT 'mail', mail FROM p UNION ALL SELECT 'lang', lang FROM p UNION ALL SELECT 'text', text FROM p),
+one AS (SELECT *, regexp_full_match(v, '9[0-9]{10}') AS i FROM cells WHERE v IS NOT NULL),
+two AS (SELECT *, CASE WHEN NOT i THEN regexp_full_match(v, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+') END AS e FROM one),
+three AS (SELECT *, CASE WHEN NOT i AND NOT e THEN regexp_matches(v, '(?:\+370|\b8)[ -]?(?:\(?[0-9]{1,3}\)?[ -]?)?[0-9]{2,3}[ -]?[0-9]{2,5}') END AS f FROM two),
+s AS (SELECT "column", avg(i::INTEGER::DOUBLE) AS id, avg(e::INTEGER::DOUBLE) AS email, avg(f::INTEGER::DOUBLE) AS phone FROM three GROUP BY "column")
+SELECT *, CASE WHEN phone > 0.5 THEN 'pii:phone' WHEN email > 0.5 THEN 'pii:email' WHEN id > 0.5 THEN 'pii:id' END AS uri FROM s
 """)
 def pii_profile(spark, sf):
-    """Shares of texts that hold an address, and the column's tag."""
+    """Shares of cells that are a personal code, an address or a phone number, in this order, and the column's tag."""
     k = F.col("doc_id")
-    mail = F.when(k % 3 == 0, F.concat(F.lit("a"), k.cast("string"), F.lit("@b.org"))).when(k % 3 == 1, F.concat(F.lit("n"), k.cast("string"), F.lit("@c.net"))).otherwise("none")
-    df = table(spark, sf, "documents").select(mail.alias("mail"), "lang", "text")
-    return Q.detect_pii(df, today=F.lit("2025-06-01").cast("date")).select("column", "email", "uri")
-
-
-@query("""
-WITH raw AS (SELECT l_orderkey::VARCHAR AS ok, CASE WHEN l_partkey % 7 <> 0 THEN l_quantity::VARCHAR ELSE '' END AS qty, l_returnflag AS flag, strftime(l_shipdate, '%Y-%m-%d') AS day, (l_linenumber % 2)::VARCHAR || '0' AS bits, CASE WHEN l_tax > 0.04 THEN 'true' ELSE 'False' END AS b FROM lineitem)
-SELECT * FROM (VALUES ('ok', 'integer', true, false), ('qty', 'number', false, false), ('flag', 'string', true, false), ('day', 'date', true, false), ('bits', 'binary', true, false), ('b', 'boolean', true, false)) t("column", type, required, "unique")
+    mail = F.concat(F.lit("a"), k.cast("string"), F.lit("@b.org"))
+    contact = F.when(k % 3 == 0, mail).when(k % 3 == 1, F.concat(F.lit("+370 612 "), F.lpad((k % 100000).cast("string"), 5, "0"))).otherwise("see a@b.org")
+    code = F.when(k % 4 != 0, F.concat(F.lit("9"), F.lpad(k.cast("string"), 10, "0"))).otherwise(mail)
+    df = table(spark, sf, "documents").select(contact.alias("contact"), code.alias("code"), F.when(k % 5 != 0, mail).alias("mail"), "lang", "text")
+    return Q.detect_pii(df, today=F.lit("2025-06-01").cast("date"))
+
+
+@query(r"""
+WITH raw AS (SELECT o_orderkey::VARCHAR AS ok, CASE WHEN o_custkey % 7 <> 0 THEN (o_custkey % 100 / 4)::VARCHAR ELSE '' END AS qty, o_orderstatus AS flag, strftime(o_orderdate, '%Y-%m-%d') AS day, (o_orderkey % 2)::VARCHAR || '0' AS bits, CASE WHEN o_custkey % 3 = 0 THEN 'true' ELSE 'False' END AS b, CASE WHEN o_orderkey % 2 = 0 THEN 'n' || o_orderkey END AS name FROM orders),
+cells AS (SELECT 'ok' AS "column", ok AS v FROM raw UNION ALL SELECT 'qty', nullif(qty, '') FROM raw UNION ALL SELECT 'flag', flag FROM raw UNION ALL SELECT 'day', day FROM raw UNION ALL SELECT 'bits', bits FROM raw UNION ALL SELECT 'b', b FROM raw UNION ALL SELECT 'name', name FROM raw)
+SELECT "column", CASE WHEN bool_and(lower(v) IN ('true', 'false')) THEN 'boolean' WHEN bool_and(regexp_full_match(v, '[01]{2,}')) THEN 'binary' WHEN bool_and(regexp_full_match(v, '-?[0-9]+')) THEN 'integer' WHEN bool_and(try_cast(v AS DOUBLE) IS NOT NULL) FILTER (WHERE v IS NOT NULL) THEN 'number' WHEN bool_and(regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) THEN 'date' ELSE 'string' END AS type,
+  count(v) = count(*) AS required, count(DISTINCT v) = count(v) AS "unique" FROM cells GROUP BY "column"
 """)
 def infer_schema(spark, sf):
-    """Types of text columns by one aggregation."""
-    df = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("ok"),
-        F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity").cast("string")).otherwise("").alias("qty"),
-        F.col("l_returnflag").alias("flag"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"),
-        F.concat((F.col("l_linenumber") % 2).cast("string"), F.lit("0")).alias("bits"),
-        F.when(F.col("l_tax") > 0.04, "true").otherwise("False").alias("b"),
+    """Types of text columns by one aggregation; two of them are unique."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    df = table(spark, sf, "orders").select(
+        k.cast("string").alias("ok"),
+        F.when(c % 7 != 0, (c % 100 / 4).cast("string")).otherwise("").alias("qty"),
+        F.col("o_orderstatus").alias("flag"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        F.concat((k % 2).cast("string"), F.lit("0")).alias("bits"),
+        F.when(c % 3 == 0, "true").otherwise("False").alias("b"),
+        F.when(k % 2 == 0, F.concat(F.lit("n"), k.cast("string"))).alias("name"),
     )
     return Q.infer_schema(df)
 
 
+@query("""
+SELECT 't' || c_nationkey AS "table", 'c' || c_custkey AS "column", CASE WHEN c_custkey % 5 = 0 THEN 'ref' ELSE CASE c_custkey % 6 WHEN 0 THEN 'integer' WHEN 1 THEN 'number' WHEN 2 THEN 'string' WHEN 3 THEN 'datetime' WHEN 4 THEN 'boolean' ELSE 'date' END END AS type,
+  c_custkey % 4 = 0 AS pk, CASE WHEN c_custkey % 5 = 0 THEN 't' || c_custkey % 25 END AS ref FROM customer
+""")
+def infer_refs(spark, sf):
+    """Properties from a database's catalogue: types, primary keys and references."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer").select(k, F.concat(F.lit("t"), F.col("c_nationkey").cast("string")).alias("table"), F.concat(F.lit("c"), k.cast("string")).alias("column"))
+    kinds = F.array(*map(F.lit, ("bigint", "NUMERIC(10,2)", "varchar(20)", "timestamp without time zone", "BOOLEAN", "date")))
+    columns = c.select("table", "column", F.get(kinds, (k % 6).cast("int")).alias("sql_type"))
+    primary = c.filter(k % 4 == 0).select("table", "column", F.lit("p").alias("kind"), F.lit(None).cast("string").alias("target"))
+    foreign = c.filter(k % 5 == 0).select("table", "column", F.lit("f").alias("kind"), F.concat(F.lit("t"), (k % 25).cast("string")).alias("target"))
+    return Q.infer_refs(columns, primary.union(foreign))
+
+
 @query("""
 SELECT coalesce(o.n_regionkey, n.n_regionkey) AS model, coalesce(o.n_name, n.n_name) AS property, CASE WHEN o.n_name IS NULL THEN 'added' WHEN n.n_name IS NULL THEN 'removed' WHEN o.t = n.t THEN 'same' ELSE 'changed' END AS change,
   coalesce(n.t, o.t) AS type, coalesce(o.title, n.title) AS title

@@ -124,11 +124,14 @@ def nest_again(spark, sf):
 
 
 @query("""
-SELECT n_nationkey AS _id, sha1(concat_ws(chr(10), 'n_name=' || n_name, 'n_regionkey=' || CASE WHEN n_nationkey % 5 <> 0 THEN n_regionkey END)) AS checksum FROM nation
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END AS nation, c_name || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || 'nation=1:5' ELSE '' END AS name FROM customer)
+SELECT c_custkey AS _id, sha1(concat_ws(chr(10), 'name=' || length(name) || ':' || name, 'nation=' || length(nation::VARCHAR) || ':' || nation)) AS checksum FROM c
 """)
 def checksum_rows(spark, sf):
-    """The checksum of the sorted path and value pairs, without nulls and reserved columns."""
-    df = table(spark, sf, "nation").select(F.col("n_nationkey").alias("_id"), F.when(F.col("n_nationkey") % 5 != 0, F.col("n_regionkey")).alias("n_regionkey"), "n_name")
+    """The checksum of the sorted path and value pairs, without nulls and reserved columns; values hold separators."""
+    k = F.col("c_custkey")
+    name = F.concat("c_name", F.when(k % 3 == 0, "\nnation=1:5").otherwise(""))
+    df = table(spark, sf, "customer").select(k.alias("_id"), F.when(k % 5 != 0, F.col("c_nationkey")).alias("nation"), name.alias("name"))
     return df.select("_id", project.checksum(df).alias("checksum"))
 
 

@@ -138,15 +138,13 @@ def read_parametrized(spark: SparkSession, template: str, params: DataFrame, fmt
     listed = params.withColumn("__path", path)
     paths = sorted({r["__path"] for r in listed.select("__path").collect()})
     reader = spark.read.format(fmt)
-    file = F.col("_metadata.file_path").alias("__file")
     rows = (reader.schema(schema) if schema else reader).load(paths)
-    rows = rows.select(*rows.columns, file)
-    # Files are matched to combinations by name, once per file; rows then meet their file's combination by equality.
-    files = spark.read.format("binaryFile").load(paths).select(file)
-    tail = F.concat(F.regexp_replace("__path", r"^[a-z]+:/*|^/+", ""), F.lit("/"))
-    name = F.concat(F.url_decode("__file"), F.lit("/"))  # of a file, or of a part in the folder that the path names
-    matched = files.join(F.broadcast(listed.withColumn("__tail", tail)), F.contains(name, F.col("__tail"))).drop("__path", "__tail")
-    return rows.join(matched, "__file").drop("__file")
+    plain = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:/*|^/+|/+$", "")
+    file = plain(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    # A row's file is the one that the path names, or a part in the folder that it names: two keys, met by equality.
+    places = F.array(file, F.regexp_replace(file, r"/[^/]*$", ""))
+    placed = rows.select(*rows.columns, F.explode(places).alias("__place"))
+    return placed.join(listed.select(*params.columns, plain(F.col("__path")).alias("__place")).distinct(), "__place").drop("__place")
 
 
 def read_namespace(models: Mapping[str, DataFrame]) -> DataFrame:

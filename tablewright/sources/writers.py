@@ -41,6 +41,7 @@ def to_triples(df: DataFrame, model_uri: str, uris: Mapping[str, str], key: str
             return F.concat(F.lit(f"<{refs[name]}/"), value.cast("string"), F.lit(">"))
         text = F.to_json(value) if isinstance(df.schema[name].dataType, (T.ArrayType, T.StructType, T.MapType)) else value.cast("string")
         escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
+        escaped = F.regexp_replace(F.regexp_replace(escaped, "\r", r"\\r"), "\t", r"\\t")
         return F.concat(F.lit('"'), escaped, F.lit('"'))
 
     entries = [F.struct(F.lit("<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>").alias("predicate"), F.lit(f"<{model_uri}>").alias("object"))]

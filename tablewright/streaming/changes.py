@@ -1,14 +1,15 @@
 """Change streams: the batch operators applied to every micro-batch.
 
-State lives in tables that each batch writes anew under its own number. A batch that runs again after a failure reads the
-same former version and writes the same rows, so applying it twice does no harm.
+State lives in tables dealt out into buckets by a hash of the key. A batch reads and rewrites, under its own number, only
+the buckets that its keys fall into; a log gets one part per batch and is never rewritten. A batch that runs again after a
+failure reads the same former versions and writes the same rows, so applying it twice does no harm.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,22 +18,20 @@ from ..operators import history, keymap, sync
 from ..operators.quality import check_all
 
 MAX_ERRORS = 100
+BUCKETS = 64
+DONE = "_DONE"
 
 
 class State:
-    """Named tables in a folder, one version per batch: ``folder/name/v=N``."""
+    """Named tables in a folder: ``folder/name/v=N/__bucket=K`` holds what batch ``N`` made of bucket ``K``.
 
-    def __init__(self, spark: SparkSession, folder: str, schemas: dict[str, str]) -> None:
-        self.spark, self.folder, self.schemas = spark, folder.rstrip("/"), schemas
-
-    def _path(self, name: str, version: int) -> str:
-        return f"{self.folder}/{name}/v={version}"
+    Tables in ``logs`` are append-only: bucket 0 of every version together is the table. Of the others the newest version
+    of each bucket counts, and the one before it is kept for a batch that runs again.
+    """
 
-    def _versions(self, name: str) -> list[int]:
-        """The versions that were written to the end, in order."""
-        done = self._hadoop(f"{self.folder}/{name}")
-        found = done[0].globStatus(self._jvm.org.apache.hadoop.fs.Path(done[1], "v=*/_SUCCESS"))
-        return sorted(int(f.getPath().getParent().getName()[2:]) for f in found or ())
+    def __init__(self, spark: SparkSession, folder: str, schemas: dict[str, str], keys: dict[str, str] | None = None, logs: Iterable[str] = ("log",), buckets: int = BUCKETS) -> None:
+        self.spark, self.folder, self.schemas, self.buckets = spark, folder.rstrip("/"), schemas, buckets
+        self.keys, self.logs = keys or {}, set(logs)
 
     @property
     def _jvm(self):
@@ -42,52 +41,105 @@ class State:
         target = self._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
-    def read(self, name: str, before: int | None = None) -> DataFrame:
-        """The table as the last batch, or the last one before ``before``, left it; empty at first."""
-        versions = [v for v in self._versions(name) if before is None or v < before]
-        if not versions:
+    def _found(self, name: str, pattern: str) -> list[str]:
+        system, target = self._hadoop(f"{self.folder}/{name}/{pattern}")
+        return [f.getPath().toString() for f in system.globStatus(target) or ()]
+
+    def _versions(self, name: str) -> dict[int, list[int]]:
+        """Per bucket the versions that were written to the end, in order."""
+        done = {int(p.split("/v=")[-1].split("/")[0]) for p in self._found(name, f"v=*/{DONE}")}
+        out: dict[int, list[int]] = {}
+        for path in self._found(name, "v=*/__bucket=*"):
+            version, bucket = (int(x) for x in path.split("/v=")[-1].split("/__bucket="))
+            if version in done:
+                out.setdefault(bucket, []).append(version)
+        return {b: sorted(v) for b, v in out.items()}
+
+    def bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key.cast("string")), F.lit(self.buckets)).cast("int")
+
+    def touched(self, key: Column, batch: DataFrame) -> list[int]:
+        """The buckets of a batch: at most ``buckets`` numbers."""
+        return sorted(r[0] for r in batch.select(self.bucket(key)).distinct().collect())
+
+    def read(self, name: str, before: int | None = None, only: Iterable[int] | None = None) -> DataFrame:
+        """The table, or its buckets ``only``, as the last batch, or the last one before ``before``, left it; empty at first."""
+        paths = []
+        for bucket, versions in self._versions(name).items():
+            versions = [v for v in versions if before is None or v < before]
+            if only is not None and bucket not in only:
+                continue
+            paths += [f"{self.folder}/{name}/v={v}/__bucket={bucket}" for v in (versions if name in self.logs else versions[-1:])]
+        if not paths:
             return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(self._path(name, versions[-1]))
+        return self.spark.read.schema(self.schemas[name]).parquet(*paths)
 
-    def write(self, name: str, version: int, df: DataFrame) -> None:
-        """A new version; of the former ones, that which this batch read stays, so the batch can run again."""
-        df.select(*[f.split()[0] for f in self.schemas[name].split(", ")]).write.mode("overwrite").parquet(self._path(name, version))
-        for old in [v for v in self._versions(name) if v < version][:-1]:
-            system, target = self._hadoop(self._path(name, old))
-            system.delete(target, True)
+    def last(self, name: str, before: int) -> DataFrame:
+        """The part of a log that the last batch before ``before`` appended."""
+        versions = [v for v in self._versions(name).get(0, []) if v < before][-1:]
+        if not versions:
+            return self.spark.createDataFrame([], self.schemas[name])
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{name}/v={versions[0]}/__bucket=0")
+
+    def write(self, name: str, version: int, df: DataFrame, touched: Sequence[int] = (0,)) -> None:
+        """What the batch made of the touched buckets; a log is appended to."""
+        path, columns = f"{self.folder}/{name}/v={version}", [f.split()[0] for f in self.schemas[name].split(", ")]
+        bucket = F.lit(0) if name in self.logs else self.bucket(F.col(self.keys.get(name, columns[0])))
+        df.select(*columns, bucket.alias("__bucket")).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(path)
+        for b in touched:  # of a bucket without rows, too, this is the newest version
+            system, target = self._hadoop(f"{path}/__bucket={b}")
+            system.mkdirs(target)
+        system, target = self._hadoop(f"{path}/{DONE}")
+        system.create(target, True).close()
+        if name not in self.logs:
+            self._drop_old(name, version, touched)
+
+    def _drop_old(self, name: str, version: int, touched: Sequence[int]) -> None:
+        versions = self._versions(name)
+        live = {v for b, vs in versions.items() for v in (vs if b not in touched else [v for v in vs if v >= version] + [v for v in vs if v < version][-1:])}
+        for b in touched:
+            for old in [v for v in versions.get(b, []) if v < version][:-1]:
+                system, target = self._hadoop(f"{self.folder}/{name}/v={old}" + (f"/__bucket={b}" if old in live else ""))
+                system.delete(target, True)
 
 
 def _start(source: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def apply_batch(current: DataFrame, log: DataFrame, batch: DataFrame, model: str, txn: str) -> tuple[DataFrame, DataFrame]:
-    """Current rows and log after a batch of changes (``_id, _op, _at`` and data): of each row's changes the last counts.
+def apply_batch(current: DataFrame, batch: DataFrame, model: str, txn: str) -> tuple[DataFrame, DataFrame]:
+    """Current rows and new log rows (without ``_id``) of a batch of changes (``_id, _op, _at`` and data): of each row's changes the last counts.
 
-    upsert inserts unknown rows and updates known ones; delete removes them. Rows of unknown ids to delete are ignored.
+    upsert inserts unknown rows and updates known ones; delete removes them, and of changes at one time it comes first.
+    Rows of unknown ids to delete are ignored. ``current`` need hold no other rows than those that the batch may touch.
     """
-    last = batch.withColumn("__n", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("_at"), F.asc("_op")))).filter("__n = 1").drop("__n")
-    at = batch.agg(F.max("_at")).first()[0]
-    if at is None:
-        return current, log
-    at = F.lit(at)
+    ranked = batch.withColumn("__rank", F.col("_op") == "delete")
+    last = sync.last_results(ranked, "_at", "__rank", key="_id").drop("__rank")
+    at = F.lit(batch.agg(F.max("_at")).first()[0]).cast("timestamp")
     columns = ["_id", *history.data_columns(current)]
     wanted = last.filter("_op = 'upsert'").select(*columns)
     known = wanted.join(current.select("_id"), "_id", "left_semi")
     added = history.insert(current, wanted.join(current.select("_id"), "_id", "left_anti"), model, txn, at)
     changed = history.update(added.current, known, txn, at, "update")
     gone = history.delete(changed.current, last.filter("_op = 'delete'").select("_id"), txn, at)
-    rows = added.log.unionByName(changed.log).unionByName(gone.log)
-    return gone.current, history.changelog_append(log, rows)
+    return gone.current, added.log.unionByName(changed.log).unionByName(gone.log)
 
 
 def stream_apply_changes(source: DataFrame, state: State, model: str, checkpoint: str) -> StreamingQuery:
-    """A stream of changes into a current table and its changelog (tables ``current`` and ``log`` of the state)."""
+    """A stream of changes into a current table and its changelog (tables ``current`` and ``log`` of the state).
+
+    A batch rewrites the buckets of the rows it names and appends its part to the log.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
-        current, log = apply_batch(state.read("current", number), state.read("log", number), batch, model, f"batch-{number}")
-        state.write("current", number, current)
-        state.write("log", number, log)
+        touched = state.touched(F.col("_id"), batch)
+        if not touched:
+            return
+        current, rows = apply_batch(state.read("current", number, touched), batch, model, f"batch-{number}")
+        state.write("current", number, current, touched)
+        rows = history.numbered(rows, state.last("log", number).agg(F.coalesce(F.max("_id"), F.lit(0)).alias("__start")))
+        if not rows.isEmpty():  # so the last part always knows the last number
+            state.write("log", number, rows)
 
     return _start(source, step, checkpoint)
 
@@ -96,25 +148,39 @@ def stream_keymap_sync(source: DataFrame, state: State, columns: Sequence[str],
     """A stream of changelog entries into the keymap (table ``keymap``); the checkpoint keeps the cursor."""
 
     def step(batch: DataFrame, number: int) -> None:
-        synced, _ = keymap.sync(state.read("keymap", number), batch, columns, cursor=-1)
-        state.write("keymap", number, synced)
+        touched = state.touched(F.col("_rid"), batch)
+        synced, _ = keymap.sync(state.read("keymap", number, touched), batch, columns, cursor=-1)
+        if touched:
+            state.write("keymap", number, synced, touched)
 
     return _start(source, step, checkpoint)
 
 
-def stream_push_delta(source: DataFrame, state: State, emit: Callable[[DataFrame, int], None], checkpoint: str, key: str = "_id", by: str = "_at") -> StreamingQuery:
+def stream_push_delta(source: DataFrame, state: State, emit: Callable[[DataFrame, int], DataFrame | None], checkpoint: str, key: str = "_id", by: str = "_at") -> StreamingQuery:
     """Rows that are new or changed by their checksum go to ``emit``; the push state is the table ``state``.
 
-    ``emit`` should be idempotent by batch number, as a batch may come twice after a failure.
+    ``emit`` gets the delta and the batch's number, and should be idempotent by it, as a batch may come twice after a
+    failure. It may return what came of the rows: ``id, error`` and, if the target gives them, ``revision``; rows without
+    result, and all if it returns nothing, count as pushed.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        last = batch.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by)))).filter("__n = 1").drop("__n", by)
+        touched = state.touched(F.col(key), batch)
+        if not touched:
+            return
+        last = sync.last_results(batch, by, key=key).drop(by)
         at = F.lit(batch.agg(F.max(by)).first()[0])
-        known = state.read("state", number)
-        delta = sync.push_delta(last, known, key).filter("op in ('insert', 'patch')").persist()
-        emit(delta, number)
-        state.write("state", number, sync.save_push_state(known, delta.withColumn("error", F.lit(False)), at))
+        known = state.read("state", number, touched)
+        present = last.select(F.col(key).cast("string").alias("id"))
+        delta = sync.push_delta(last, known.join(present, "id", "left_semi"), key).filter("op in ('insert', 'patch')").persist()
+        came = emit(delta, number)
+        results = delta.withColumn("error", F.lit(False))
+        if came is not None:
+            came = came.select("id", F.col("error").alias("__error"), *([F.col("revision").alias("__revision")] if "revision" in came.columns else []))
+            results = delta.join(sync.last_results(came), "id", "left").withColumn("error", F.coalesce("__error", F.lit(False)))
+            if "__revision" in results.columns:
+                results = results.withColumn("revision", F.coalesce("__revision", "revision"))
+        state.write("state", number, sync.save_push_state(known, results.select("id", "op", "revision", "checksum", "error", "data"), at), touched)
         delta.unpersist()
 
     return _start(source, step, checkpoint)

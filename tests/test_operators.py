@@ -13,6 +13,7 @@ from tablewright.model import Model, Property, Table, TableError, load_order
 from tablewright.operators import history as H
 from tablewright.operators import keymap as K
 from tablewright.operators import paging, project, quality, refs, summary
+from tablewright.operators import sync as Y
 from tablewright.sources import readers as R
 from tablewright.sources import writers as W
 from tablewright.streaming import changes as ST
@@ -92,6 +93,50 @@ def test_checksum_sees_changes(spark):
     assert a == d and len({a, b, c}) == 3
 
 
+def test_hashes_tell_values_from_separators(spark):
+    df = spark.createDataFrame([("1\nb=2", None), ("1", "2"), ("1\nb=1:2", None)], "a string, b string")
+    assert len({r.c for r in df.select(project.checksum(df).alias("c")).collect()}) == 3
+    pairs = spark.createDataFrame([("a\n=b", "c"), ("a", "b\n=c"), ("a1:", "x"), ("a", "1:x"), (None, "~"), ("~", None)], "x string, y string")
+    assert len({r.c for r in pairs.select(H.stable_id("m", F.col("x"), F.col("y")).alias("c")).collect()}) == 6
+
+
+def test_repeated_ids_and_keys_are_refused(spark):
+    at = F.lit("2025-01-01").cast("timestamp")
+    saved = spark.createDataFrame([("1", "r", None, None, "a", []), ("2", "r", None, None, "b", [])], CURRENT)
+    given = spark.createDataFrame([("1", "x", []), ("1", "y", []), ("2", "z", [])], "_id string, name string, tags array<string>")
+    out = H.update(saved, given, "t", at)
+    assert sorted((r["_id"], r.name) for r in out.current.collect()) == [("1", "a"), ("2", "z")] and [tuple(r) for r in out.errors.collect()] == [("1", "repeated")]
+    given = spark.createDataFrame([("n", ["1"]), ("n", ["2"]), ("b", ["3"]), ("b", ["4"]), ("a", ["5"]), (None, []), (None, [])], "name string, tags array<string>")
+    out = H.upsert(saved, given, ["name"], "m", "t", at)
+    assert sorted((r["_id"], r.name, r.tags) for r in out.current.collect()) == [("1", "a", ["5"]), ("2", "b", [])]
+    assert sorted((r.code, r["_id"] or "") for r in out.errors.collect()) == [("repeated", ""), ("repeated", ""), ("repeated", "2")]
+
+
+def test_one_row_and_one_result_of_an_id(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "_id string, name string")
+    none = spark.createDataFrame([], Y.STATE_SCHEMA)
+    delta = Y.push_delta(rows, none)
+    assert sorted((r.id, r.op, r.data) for r in delta.collect()) == [("a", "insert", '{"name":"y"}'), ("b", "insert", '{"name":"z"}')]
+    results = delta.withColumns({"revision": F.lit("1"), "error": F.lit(True), "n": F.lit(1)}).union(delta.withColumns({"revision": F.lit("2"), "error": F.lit(False), "n": F.lit(2)}))
+    state = Y.save_push_state(none, results, F.current_timestamp(), by=["n"]).collect()
+    assert sorted((r.id, r.revision, r.error) for r in state) == [("a", "2", False), ("b", "2", False)]
+
+
+def test_too_many_bad_rows_fail(spark):
+    df = spark.range(200).select(F.col("id").alias("_id"), F.lit("bad").alias("back"))
+    with pytest.raises(TableError, match="more than 100"):
+        ST.fault_tolerant_write(df, [quality.check_readonly(df, ["back"], "m")])
+    good, found = ST.fault_tolerant_write(df.withColumn("back", F.when(F.col("_id") < 100, F.col("back"))), [quality.check_readonly(df.filter("_id < 100"), ["back"], "m")])
+    assert good.count() == 100 == found.count()
+
+
+def test_personal_codes(spark):
+    codes = ["90000000000", "91234567890", "9123456789", "00000000000", "39001010077", "39002300000", "39900000003"]
+    df = spark.createDataFrame([(c,) for c in codes], "c string")
+    today = F.lit("2025-06-01").cast("date")
+    assert [r.v for r in df.select(C.is_national_id(F.col("c"), today).alias("v")).collect()][:4] == [True, True, False, True]
+
+
 def test_summary_of_five_numbers(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([0, 3, 410, 707, 1000, None])], "_id int, v int")
     rows = summary.summary_numeric(df, "v").orderBy("bin").collect()
@@ -329,10 +374,31 @@ def test_stream_of_keys_and_pushes(spark, tmp_path):
     ST.stream_keymap_sync(stream_of(spark, tmp_path / "keys", rows, H.LOG_SCHEMA), state, ["code"], f"file://{tmp_path}/keys/check").awaitTermination()
     assert {r.key: (r.value, r.redirect) for r in state.read("keymap").collect()} == {"k1": ('["b"]', None), "k2": (None, "k1")}
     sent = []
+    failed = spark.createDataFrame([("1", True)], "id string, error boolean")
+    emit = lambda df, n: (sent.extend((n, r.id, r.op) for r in df.collect()), failed.filter(F.lit(n == 0)))[1]
     state = ST.State(spark, f"file://{tmp_path}/push/state", {"state": "id string, revision string, checksum string, pushed timestamp, error boolean, data string"})
     rows = [[("1", at(1), "a"), ("2", at(1), "b")], [("1", at(2), "a"), ("2", at(2), "c")]]
-    ST.stream_push_delta(stream_of(spark, tmp_path / "push", rows, "_id string, _at timestamp, name string"), state, lambda df, n: sent.extend((n, r.id, r.op) for r in df.filter("op in ('insert', 'patch')").collect()), f"file://{tmp_path}/push/check").awaitTermination()
-    assert sorted(sent) == [(0, "1", "insert"), (0, "2", "insert"), (1, "2", "patch")]
+    ST.stream_push_delta(stream_of(spark, tmp_path / "push", rows, "_id string, _at timestamp, name string"), state, emit, f"file://{tmp_path}/push/check").awaitTermination()
+    assert sorted(sent) == [(0, "1", "insert"), (0, "2", "insert"), (1, "1", "patch"), (1, "2", "patch")]
+    assert {r.id: r.error for r in state.read("state").collect()} == {"1": False, "2": False}
+    assert {r.id: r.error for r in state.read("state", before=1).collect()} == {"1": True, "2": False}
+
+
+def test_batches_write_what_they_touch(spark, tmp_path):
+    """Three batches of one row each after a large one: only the row's bucket and its part of the log are written."""
+    schema = "_id string, _op string, _at timestamp, name string, tags array<string>"
+    at = lambda n: datetime.datetime(2025, 1, 1, 0, n)
+    first = [(str(i), "upsert", at(0), f"n{i}", []) for i in range(300)]
+    batches = [first, *[[("7", "upsert", at(n), f"again{n}", [])] for n in (1, 2)], [("7", "delete", at(3), None, None)]]
+    state = ST.State(spark, f"file://{tmp_path}/state", {"current": CURRENT, "log": H.LOG_SCHEMA}, buckets=16)
+    ST.stream_apply_changes(stream_of(spark, tmp_path, batches, schema), state, "m", f"file://{tmp_path}/check").awaitTermination()
+    buckets = lambda name, n: sorted(p.name for p in (tmp_path / "state" / name / f"v={n}").glob("__bucket=*"))
+    rows = [spark.read.schema(CURRENT).parquet(f"file://{tmp_path}/state/current/v={n}").count() for n in (2, 3)]
+    assert len(buckets("current", 0)) == 15 and buckets("current", 2) == buckets("current", 3) and len(buckets("current", 3)) == 1 and max(rows) < 60
+    assert not (tmp_path / "state/current/v=1").exists()  # the bucket's version before the last but one
+    assert [spark.read.parquet(f"file://{tmp_path}/state/log/v={n}").count() for n in range(4)] == [300, 1, 1, 1]
+    assert state.read("current").count() == 299 and sorted(r["_id"] for r in state.read("log").collect()) == list(range(1, 304))
+    assert state.read("current", before=3).filter("_id = '7'").first().name == "again2"
 
 
 def test_properties():
