@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,11 +33,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none and runs on one machine."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = folder or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
@@ -47,13 +50,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: The tables of the innermost :func:`discarding` block first.
+_made: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Like :func:`cut` as a Parquet table: compressed, and readers take only the columns they need."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _made:
+        _made[0].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def discarding(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that the block writes are deleted behind it, unless it takes their path from the list it gets.
+
+    Frames that were made from them must have been written or counted before.
+    """
+    _made.insert(0, [])
+    try:
+        yield _made[0]
+    finally:
+        for path in _made.pop(0):
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Marks a checkpointed table for broadcast if it has at most ``most`` rows; else Spark joins it by shuffle."""
     return F.broadcast(df) if df.count() <= most else df

@@ -70,9 +70,11 @@ def _judged(docs: DataFrame, benchmark: DataFrame, overlap: float, least: int) -
     found = small(places.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct())
     suspects = docs.select("doc_id", "text", text_hash.alias("text_hash")).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
     suspects = suspects.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", tokens(F.col("text")).alias("doc_toks"))
-    same = places["doc_id"].eqNullSafe(suspects["doc_id"]) & (places["text_hash"] == suspects["text_hash"])
-    laid = places.join(suspects, same).drop(suspects["doc_id"]).drop(suspects["text_hash"])
-    laid = laid.join(items.withColumnRenamed("toks", "item_toks"), "item_id")
+    # The tokens travel once per document and item; its diagonals are unrolled where they are compared.
+    pairs = places.groupBy(*spot).agg(F.collect_list("doc_start").alias("starts"))
+    same = pairs["doc_id"].eqNullSafe(suspects["doc_id"]) & (pairs["text_hash"] == suspects["text_hash"])
+    laid = pairs.join(suspects, same).drop(suspects["doc_id"]).drop(suspects["text_hash"])
+    laid = laid.join(items.withColumnRenamed("toks", "item_toks"), "item_id").withColumn("doc_start", F.explode("starts")).drop("starts")
     under = F.slice("doc_toks", F.greatest(F.col("doc_start"), F.lit(0)) + 1, F.size("item_toks") + F.least(F.col("doc_start"), F.lit(0)))
     over = F.slice("item_toks", F.greatest(-F.col("doc_start"), F.lit(0)) + 1, F.size("item_toks"))
     skipped = F.greatest(-F.col("doc_start"), F.lit(0))

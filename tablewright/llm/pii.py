@@ -35,7 +35,7 @@ SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 
 _iban = re.compile(r"[\x20:=#.-]{1,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _account = re.compile(r"(?:\x20(?:number|no\.?|nr\.?|num\.?))?[\x20:=#]{1,3}([0-9](?:[\x20-]?[0-9]){7,17})(?![0-9A-Za-z])", re.IGNORECASE | re.ASCII)
-_login = re.compile(r"[A-Za-z0-9._~%-]{1,64}:[A-Za-z0-9._~%!$&*+,;=-]{1,128}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
+_login = re.compile(r"[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%!$&*+,;=-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 
 SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, n_iban long, n_account long, n_login long, base_sha256 string, spans string"
 

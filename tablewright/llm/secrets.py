@@ -23,6 +23,7 @@ KINDS = (*BASE, "entropy")
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]{24,}")  # a run's match starts where the run starts, so the length can be asked for at once
+SHORTEST = 24
 _candidate = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
 
 #: Runs, window width and least entropy in bits per character class: digits of base 16, letters and digits, base 64
@@ -34,14 +35,17 @@ CLASSES = {
     "base64": (re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.1),
 }
 #: Words that mark what they are glued to, without a separator, as no secret.
-PLACEHOLDER = re.compile(r"EXAMPLE|example|placeholder|xxxxxx|XXXXXX")
+PLACEHOLDER = re.compile(r"EXAMPLE|example")
+#: Fillers that are no part of a secret: what stands before and behind them is judged by itself.
+FILLER = re.compile(r"placeholder|PLACEHOLDER|x{6,}|X{6,}")
 _letters_digits = re.compile(r"[A-Za-z0-9]+")
-#: Strings that look random and are not secret: one case only without digits (words, names), dates, UUIDs, paths of words.
+#: Strings that look random and are not secret: one case only without digits (words, names) of under 32 letters, dates,
+#: UUIDs, paths of words.
 ALLOWED = (
-    re.compile(r"[A-Z]?[a-z]+\Z|[A-Z]+\Z"),
+    re.compile(r"[A-Z]?[a-z]{1,31}\Z|[A-Z]{1,32}\Z"),
     re.compile(r"[0-9_-]+\Z"),
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z"),
-    re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=-]*\Z"),
+    re.compile(r"(?:[A-Z]?[a-z]{1,31}|[A-Z]{1,32}|[0-9]{1,4})(?:[/_=-]+(?:[A-Z]?[a-z]{1,31}|[A-Z]{1,32}|[0-9]{1,4}))*[/_=-]*\Z"),
 )
 
 
@@ -78,6 +82,13 @@ def allowed(text: str) -> bool:
     return any(p.match(text) for p in ALLOWED)
 
 
+def parts_between(candidate: str) -> list[tuple[int, str]]:
+    """The parts of a candidate between fillers, each with its place."""
+    found = [(m.start(), m.end()) for m in FILLER.finditer(candidate)]
+    starts, ends = [0, *(b for _, b in found)], [*(a for a, _ in found), len(candidate)]
+    return [(a, candidate[a:b]) for a, b in zip(starts, ends, strict=True) if b - a >= SHORTEST]
+
+
 def random_stretches(candidate: str) -> list[tuple[int, int]]:
     """The hot stretches of the runs of every class, merged where they overlap.
 
@@ -116,7 +127,8 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         "entropy": [],
     }
     for m in _candidate.finditer(text):
-        spans["entropy"] += [(m.start() + a, m.start() + b) for a, b in random_stretches(m.group())]
+        for at, part in parts_between(m.group()):
+            spans["entropy"] += [(m.start() + at + a, m.start() + at + b) for a, b in random_stretches(part)]
     return spans
 
 

@@ -109,6 +109,28 @@ def test_entropy_and_allow_list():
     assert found["entropy"] == [(2, 2 + len(key))]
 
 
+def test_fillers_and_one_case():
+    rng = random.Random(5)
+    for _ in range(200):  # no key begins like the filler before it
+        key = "K" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(31))
+        for text, at in ((f"xxxxxx{key}", 6), (f"{key}placeholder", 0), (f"key_example_{key}", 12)):
+            alone = [(at + a, at + b) for a, b in secrets.find(key)["entropy"]]
+            assert secrets.find(text)["entropy"] == alone or all(any(c <= a and b <= d for c, d in secrets.find(text)["entropy"]) for a, b in alone)
+    caught = sum(bool(secrets.find("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)))["entropy"]) for _ in range(200))
+    assert caught >= 180
+    assert not secrets.find("internationalization/of/implementation/details xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx")["entropy"]
+    assert secrets.find("sess-deadbeef01234567deadbeef")["hex"] == [(5, 29)]
+
+
+def test_long_logins():
+    user, word = "u" * 200, "p" * 500
+    assert pii.find(f"see https://{user}:{word}@example.org/x")["login"] == [(4, 4 + 8 + 200 + 1 + 500 + 1 + 11)]
+
+
+def test_secrets_of_an_empty_table(spark, odd):
+    assert secrets.find_secrets(odd.limit(0)).count() == 0
+
+
 def test_entropy_behind_names():
     rng = random.Random(11)
     for name in ("SESSION_KEY=", "session-key/", "example_key=", "path/to/example/", "a_b_"):
