@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm import decontam, mixing, neardup, quality, sharding
-from tablewright.llm.common import read, written
+from tablewright.llm.common import discarding, read, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``; every stage but the last is written to the shared folder."""
+    """All stages on the documents of ``sf_dir``; every stage but the last is written to the shared folder.
+
+    What a stage wrote on its way, and what the stage before it kept, is deleted once its own rows are written; the last
+    stage reads its input and its own tables when the result is asked for.
+    """
     docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs)
-    return docs
+    with discarding(spark) as kept:
+        for _, stage in STAGES[:-1]:
+            with discarding(spark) as made:
+                docs = written(stage(spark, docs, sf_dir))
+                kept.append(made.pop())
+        kept.pop()
+    return STAGES[-1][1](spark, docs, sf_dir)
