@@ -26,10 +26,12 @@ _hex = re.compile(r"[0-9a-f]{24,}")  # a run's match starts where the run starts
 SHORTEST = 24
 _candidate = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
 
-#: Runs, window width and least entropy in bits per character class: digits of base 16, letters and digits, base 64
+#: Runs, window width and least entropy in bits per character class: digits of base 16, letters of one case (which
+#: one in three strings of nine English words reaches too), letters and digits, base 64
 #: with ``=`` as padding only (what stands behind a name and ``=``), base 64 with all that is glued to it.
 CLASSES = {
     "hex": (re.compile(r"[0-9A-Fa-f]{24,}"), 24, 3.0),
+    "letters": (re.compile(r"[a-z]{32,}|[A-Z]{32,}"), 24, 3.8),
     "alnum": (re.compile(r"[A-Za-z0-9]{24,}"), 24, 3.9),
     "value": (re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}"), 24, 4.1),
     "base64": (re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.1),
