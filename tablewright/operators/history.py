@@ -243,15 +243,31 @@ def state_from_changelog(log: DataFrame) -> DataFrame:
 
 
 def find_corrupt_changelog(log: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``_id, redirect``: rows whose natural keys a newer row took over without a move; only where a delete occurred."""
-    state = state_from_changelog(log)
-    newest = log.groupBy("_rid").agg(F.max("_id").alias("__last"), F.max((F.col("action") == "delete").cast("int")).alias("__deleted"))
-    live = state.filter("action <> 'move'").join(newest, "_rid").select("_rid", "__last", "__deleted", *[F.col("data")[k].alias(f"__{k}") for k in keys])
-    window = Window.partitionBy(*[f"__{k}" for k in keys])
-    marked = live.filter(" and ".join(f"`__{k}` is not null" for k in keys)).withColumns(
-        {"redirect": F.first("_rid").over(window.orderBy(F.desc("__last"))), "__any": F.max("__deleted").over(window)}
-    )
-    return marked.filter("__any = 1 and _rid <> redirect").select(F.col("_rid").alias("_id"), "redirect")
+    """``_id, redirect``: rows whose natural keys a newer row has too, without a move; none if the log holds no delete.
+
+    A row's keys are the latest that its inserts and changes tell, and the row they told last is the newest; a delete
+    changes neither. Keys that a row never named and keys that it set to null differ. Rows moved last are left out.
+    """
+    data = F.from_json("data", "map<string,string>")
+    told = log.withColumn("__d", F.when(~F.col("action").isin("delete", "move"), data))
+    named = [F.coalesce(F.map_contains_key("__d", k), F.lit(False)) for k in keys]
+    latest = [F.max_by(F.when(has, F.struct(F.col("__d")[k].alias("v"))), F.when(has, F.col("_id"))).alias(f"k{i}") for i, (k, has) in enumerate(zip(keys, named, strict=True))]
+    last = F.max(F.when(F.array_contains(F.array(*named), True), F.col("_id"))).alias("last")
+    state = told.groupBy("_rid").agg(*latest, last, F.max_by("action", "_id").alias("action")).filter("last is not null and action <> 'move'")
+    rows = state.select("_rid", "last", F.to_json(F.struct(*[f"k{i}" for i in range(len(keys))])).alias("keys"))
+    newest = rows.groupBy("keys").agg(F.max_by("_rid", "last").alias("redirect"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    deleted = log.filter("action = 'delete'").limit(1).select(F.lit(True))
+    return rows.join(newest, "keys").filter("_rid <> redirect").join(F.broadcast(deleted)).select(F.col("_rid").alias("_id"), "redirect")
+
+
+def repair_changelog(log: DataFrame, keys: Sequence[str], txn: str, at: Column) -> DataFrame:
+    """The log with a move to the newest row appended for each row that :func:`find_corrupt_changelog` finds.
+
+    ``keymap.sync`` takes the moves on to the keymap. A repaired log has nothing more to repair.
+    """
+    found = find_corrupt_changelog(log, keys).withColumn("_revision", stable_id("revision", F.lit(txn), F.col("_id"), F.col("redirect")))
+    moves = found.select("_revision", F.lit(txn).alias("_txn"), F.col("_id").alias("_rid"), at.alias("datetime"), F.lit("move").alias("action"), F.to_json(F.struct(F.col("redirect").alias("_id"))).alias("data"))
+    return changelog_append(log, moves)
 
 
 def deduplicate(catalog: Catalog, model: str, keys: Sequence[str], by: Sequence[str]) -> tuple[Catalog, DataFrame, DataFrame]:

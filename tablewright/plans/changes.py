@@ -211,22 +211,29 @@ def delete_rows(spark, sf):
     return H.delete(_current(spark, sf), ids.union(ids), "t1", _now()).current.select("_id")
 
 
-MOVED = "CASE WHEN {0} IN (3, 4, 5) THEN 6 ELSE {0} END"
+MOVES = """
+WITH m AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 1 THEN c_custkey + 1 WHEN 2 THEN c_custkey + 2 WHEN 3 THEN -c_custkey END AS t FROM customer),
+good AS (SELECT k, t FROM m WHERE t IN (SELECT c_custkey FROM customer)),
+ends AS (SELECT a.k AS _id, coalesce(b.t, a.t) AS redirect FROM good a LEFT JOIN good b ON a.t = b.k)
+"""
 
 
 def _moved(spark, sf):
-    moves = spark.createDataFrame([(3, 4), (4, 5), (5, 6), (7, 99)], "_id int, redirect int")
-    c = {k: v for k, v in catalog(spark, sf).items() if k in ("nation", "customer", "supplier")}
-    return H.move(c, "nation", moves)
+    """Customers merged in chains of two steps, and into unknown ones."""
+    k = F.col("c_custkey")
+    target = F.when(k % 5 == 1, k + 1).when(k % 5 == 2, k + 2).when(k % 5 == 3, -k)
+    moves = table(spark, sf, "customer").select(k.alias("_id"), target.alias("redirect")).filter("redirect is not null")
+    c = {k: v for k, v in catalog(spark, sf).items() if k in ("customer", "orders")}
+    return H.move(c, "customer", moves)
 
 
-@query(f"SELECT c_custkey, {MOVED.format('c_nationkey')}::INTEGER AS c_nationkey FROM customer")
+@query(MOVES + "SELECT o_orderkey, coalesce(redirect, o_custkey) AS o_custkey FROM orders LEFT JOIN ends ON o_custkey = _id")
 def move_repoint(spark, sf):
     """References follow merged rows to the end of the chain."""
-    return _moved(spark, sf)[0]["customer"].df.select("c_custkey", "c_nationkey")
+    return _moved(spark, sf)[0]["orders"].df.select("o_orderkey", "o_custkey")
 
 
-@query("SELECT * FROM (VALUES (3::INTEGER, 6::INTEGER), (4, 6), (5, 6)) t(_id, redirect) WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = t._id)")
+@query(MOVES + "SELECT _id, redirect FROM ends")
 def move_redirects(spark, sf):
     """Redirects led to their ends."""
     return _moved(spark, sf)[1].select("_id", "redirect")
@@ -280,21 +287,43 @@ def state_from_log(spark, sf):
 
 
 CORRUPT = """
-WITH log AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS _id, o_orderkey::VARCHAR AS _rid, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'delete' ELSE 'insert' END AS action FROM orders),
-w AS (SELECT *, first(_rid) OVER (PARTITION BY o_custkey ORDER BY _id DESC) AS redirect, max((action = 'delete')::INTEGER) OVER (PARTITION BY o_custkey) AS d FROM log)
-SELECT _rid AS _id, redirect FROM w WHERE d = 1 AND _rid <> redirect
+WITH w AS (SELECT o_orderkey::VARCHAR AS _id, first(o_orderkey::VARCHAR) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS redirect FROM orders WHERE o_orderkey % 7 <> 0),
+bad AS (SELECT _id, redirect FROM w WHERE _id <> redirect AND EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F'))
 """
 
 
-@query(CORRUPT)
+def _orders_log(spark, sf):
+    """Orders as rows with their customer as natural key: all inserted, some deleted later, some moved away."""
+    o = table(spark, sf, "orders")
+    rid = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
+    entry = lambda df, action, days, data: df.select(F.lit(action[0]).alias("_revision"), F.lit("t").alias("_txn"), rid.alias("_rid"), (F.to_timestamp("o_orderdate") + F.expr(f"interval {days} days")).alias("datetime"), F.lit(action).alias("action"), data.alias("data"))
+    rows = entry(o, "insert", 0, F.to_json(F.struct("o_custkey"))).union(entry(o.filter("o_orderstatus = 'F'"), "delete", 4000, F.lit("{}")))
+    rows = rows.union(entry(o.filter("o_orderkey % 7 = 0"), "move", 8000, F.lit('{"_id":"0"}')))
+    return H.changelog_append(spark.createDataFrame([], H.LOG_SCHEMA), rows)
+
+
+def _short(*names):
+    return [F.col(n).cast("long").cast("string").alias(n) for n in names]
+
+
+@query(CORRUPT + "SELECT _id, redirect FROM bad")
 def corrupt_changelog(spark, sf):
     """Rows whose keys a newer row took over without a move."""
-    o = table(spark, sf, "orders")
-    rows = o.select(F.lit("r").alias("_revision"), F.lit("t").alias("_txn"), F.col("o_orderkey").cast("string").alias("_rid"), F.to_timestamp("o_orderdate").alias("datetime"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("__o"), F.when(F.col("o_orderstatus") == "F", "delete").otherwise("insert").alias("action"), F.to_json(F.struct("o_custkey")).alias("data"))
-    padded = rows.withColumn("_rid", F.col("__o")).drop("__o")
-    log = H.changelog_append(spark.createDataFrame([], H.LOG_SCHEMA), padded)
-    strip = lambda c: F.col(c).cast("long").cast("string").alias(c)
-    return H.find_corrupt_changelog(log, ["o_custkey"]).select(strip("_id"), strip("redirect"))
+    return H.find_corrupt_changelog(_orders_log(spark, sf), ["o_custkey"]).select(_short("_id", "redirect"))
+
+
+@query(CORRUPT + """, n AS (SELECT count(*) + count(*) FILTER (WHERE o_orderstatus = 'F') + count(*) FILTER (WHERE o_orderkey % 7 = 0) AS n FROM orders)
+SELECT o_orderkey::VARCHAR AS key, CASE WHEN o_orderkey % 7 = 0 THEN '0' ELSE redirect END AS redirect, n + row_number() OVER (PARTITION BY redirect IS NULL ORDER BY o_orderkey) * (redirect IS NOT NULL)::INTEGER AS entry
+FROM orders LEFT JOIN bad ON o_orderkey::VARCHAR = _id CROSS JOIN n""")
+def repaired_changelog(spark, sf):
+    """The repair moves each such row to the newest, in the changelog and from there in the keymap; ``entry`` is its number in the log, or the last one before."""
+    log = _orders_log(spark, sf)
+    last = log.agg(F.max("_id").alias("last"))
+    repaired = H.repair_changelog(log, ["o_custkey"], "fix", F.lit("2040-01-01 00:00:00").cast("timestamp"))
+    keymap, _ = K.sync(spark.createDataFrame([], K.SCHEMA), repaired, ["o_custkey"])
+    moves = repaired.filter("_txn = 'fix'").select(F.col("_rid").alias("key"), F.col("_id").alias("entry"))
+    rows = keymap.join(moves, "key", "left").join(F.broadcast(last)).withColumn("entry", F.coalesce("entry", "last"))
+    return rows.select(*_short("key", "redirect"), "entry")
 
 
 @query("""

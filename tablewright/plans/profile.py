@@ -361,13 +361,13 @@ def infer_refs(spark, sf):
 
 
 @query("""
-SELECT coalesce(o.n_regionkey, n.n_regionkey) AS model, coalesce(o.n_name, n.n_name) AS property, CASE WHEN o.n_name IS NULL THEN 'added' WHEN n.n_name IS NULL THEN 'removed' WHEN o.t = n.t THEN 'same' ELSE 'changed' END AS change,
+SELECT coalesce(o.c_nationkey, n.c_nationkey) AS model, coalesce(o.c_name, n.c_name) AS property, CASE WHEN o.c_name IS NULL THEN 'added' WHEN n.c_name IS NULL THEN 'removed' WHEN o.t = n.t THEN 'same' ELSE 'changed' END AS change,
   coalesce(n.t, o.t) AS type, coalesce(o.title, n.title) AS title
-FROM (SELECT *, n_nationkey AS t, 'old' AS title FROM nation WHERE n_nationkey % 3 <> 0) o FULL JOIN (SELECT *, CASE WHEN n_nationkey % 5 = 0 THEN -1 ELSE n_nationkey END AS t, 'new' AS title FROM nation WHERE n_nationkey % 4 <> 0) n ON o.n_name = n.n_name AND o.n_regionkey = n.n_regionkey
+FROM (SELECT *, c_custkey AS t, 'old' AS title FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE c_custkey END AS t, 'new' AS title FROM customer WHERE c_custkey % 4 <> 0) n ON o.c_name = n.c_name AND o.c_nationkey = n.c_nationkey
 """)
 def schema_diff(spark, sf):
     """What was added, removed and changed; old descriptions win."""
-    df = table(spark, sf, "nation").select(F.col("n_regionkey").alias("model"), F.col("n_name").alias("property"), F.col("n_nationkey").alias("type"))
+    df = table(spark, sf, "customer").select(F.col("c_nationkey").alias("model"), F.col("c_name").alias("property"), F.col("c_custkey").alias("type"))
     old = df.filter("type % 3 <> 0").withColumn("title", F.lit("old"))
     new = df.filter("type % 4 <> 0").withColumns({"type": F.when(F.col("type") % 5 == 0, -1).otherwise(F.col("type")), "title": F.lit("new")})
     return Q.schema_diff(old, new)

@@ -60,20 +60,20 @@ def expand_all(spark, sf):
 
 
 def _texts(spark, sf):
-    name = F.col("n_name")
-    return table(spark, sf, "nation").select("n_nationkey", F.map_filter(F.create_map(F.lit("lt"), F.when(F.col("n_nationkey") % 3 != 0, F.concat(name, F.lit("_lt"))), F.lit("en"), F.when(F.col("n_nationkey") % 2 != 0, F.concat(name, F.lit("_en"))), F.lit("de"), name), lambda k, v: v.isNotNull()).alias("title"))
+    name, k = F.col("c_name"), F.col("c_custkey")
+    return table(spark, sf, "customer").select("c_custkey", F.map_filter(F.create_map(F.lit("lt"), F.when(k % 3 != 0, F.concat(name, F.lit("_lt"))), F.lit("en"), F.when(k % 2 != 0, F.concat(name, F.lit("_en"))), F.lit("de"), name), lambda k, v: v.isNotNull()).alias("title"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 <> 0 THEN n_name || '_en' WHEN n_nationkey % 3 <> 0 THEN n_name || '_lt' ELSE n_name END AS title FROM nation")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 <> 0 THEN c_name || '_en' WHEN c_custkey % 3 <> 0 THEN c_name || '_lt' ELSE c_name END AS title FROM customer")
 def pick_language(spark, sf):
     """The first accepted language that has a value, then the default, then the declared ones."""
-    return _texts(spark, sf).select("n_nationkey", project.pick_language(F.col("title"), ["fr", "en"], ["lt", "en", "de"], ["lt"]).alias("title"))
+    return _texts(spark, sf).select("c_custkey", project.pick_language(F.col("title"), ["fr", "en"], ["lt", "en", "de"], ["lt"]).alias("title"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 <> 0 THEN 'lt,de' ELSE 'de' END AS langs FROM nation")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'lt,de' ELSE 'de' END AS langs FROM customer")
 def select_languages(spark, sf):
     """Some languages of a text."""
-    return _texts(spark, sf).select("n_nationkey", F.array_join(F.map_keys(project.select_languages(F.col("title"), ["lt", "de"])), ",").alias("langs"))
+    return _texts(spark, sf).select("c_custkey", F.array_join(F.map_keys(project.select_languages(F.col("title"), ["lt", "de"])), ",").alias("langs"))
 
 
 @query("SELECT o_orderkey, o_totalprice * 2 AS doubled, 'x' AS fixed, o_orderkey || '|' || o_custkey AS pair FROM orders")
@@ -438,12 +438,12 @@ def rank_duplicates(spark, sf):
     return paging.rank_duplicates(df, ["user_id", "event_type"], ["-ts", "_id"]).select("_id", "rank", "primary")
 
 
-@query("SELECT n_name AS name, n_regionkey::BIGINT AS region, NULL::VARCHAR AS kind FROM nation UNION ALL SELECT r_name, NULL, 'region' FROM region")
+@query("SELECT c_name AS name, c_nationkey::BIGINT AS nation, NULL::VARCHAR AS kind FROM customer UNION ALL SELECT s_name, NULL, 'supplier' FROM supplier")
 def union_by_name(spark, sf):
     """Columns matched by name, missing ones null."""
-    n = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("region"))
-    r = table(spark, sf, "region").select(F.lit("region").alias("kind"), F.col("r_name").alias("name"))
-    return paging.union_by_name([n, r])
+    c = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("nation"))
+    s = table(spark, sf, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_name").alias("name"))
+    return paging.union_by_name([c, s])
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1")

@@ -405,3 +405,21 @@ def test_properties():
     assert Property("x", level=3).identifiable is False
     with pytest.raises(TableError):
         Model("m").prop("x")
+
+
+def test_repair_changelog(spark):
+    entries = [
+        ("a", "insert", '{"k":"1","n":"x"}'), ("b", "insert", '{"k":"1"}'), ("a", "delete", "{}"),  # b is newer, though a was deleted later
+        ("c", "insert", '{"k":"2"}'), ("d", "insert", '{"k":"3"}'), ("d", "patch", '{"k":"2"}'),  # d took c's key
+        ("e", "insert", '{"k":null}'), ("f", "insert", '{"n":"y"}'), ("g", "insert", '{"k":null}'),  # no key is not a null one
+        ("h", "insert", '{"k":"2"}'), ("h", "move", '{"_id":"c"}'), ("i", "delete", None),
+    ]
+    rows = [(n, f"r{n}", "t", rid, datetime.datetime(2024, 1, 1, 0, n), action, data) for n, (rid, action, data) in enumerate(entries, 1)]
+    log = spark.createDataFrame(rows, H.LOG_SCHEMA)
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    assert sorted(tuple(r) for r in H.find_corrupt_changelog(log, ["k"]).collect()) == [("a", "b"), ("c", "d"), ("e", "g")]
+    repaired = H.repair_changelog(log, ["k"], "fix", at)
+    moves = repaired.filter("_txn = 'fix'").orderBy("_id").collect()
+    assert [(r._id, r._rid, r.action, r.data) for r in moves] == [(13, "a", "move", '{"_id":"b"}'), (14, "c", "move", '{"_id":"d"}'), (15, "e", "move", '{"_id":"g"}')]
+    assert H.find_corrupt_changelog(repaired, ["k"]).isEmpty()
+    assert H.find_corrupt_changelog(log.filter("action <> 'delete'"), ["k"]).isEmpty() and H.find_corrupt_changelog(log.limit(0), ["k"]).isEmpty()
