@@ -5,7 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import duckdb
 import pytest
@@ -110,7 +110,7 @@ def test_url_parts(spark):
     urls = ["http://U:p@A.b.Example.com.:80/x?y", "https://localhost", "nothing", None, "ftp://x.org#f"]
     rows = spark.createDataFrame([(u,) for u in urls], "url string").select(urlfilter.host_of(F.col("url")).alias("h")).collect()
     assert [r.h for r in rows] == ["a.b.example.com", "localhost", None, None, "x.org"]
-    assert spark.range(1).select(urlfilter.suffixes(F.lit("a.b.example.com"))).first()[0] == ["a.b.example.com", "b.example.com", "example.com"]
+    assert spark.range(1).select(urlfilter.suffixes(F.lit("a.b.example.com"))).first()[0] == ["a.b.example.com", "b.example.com", "example.com", "com"]
     assert spark.range(1).select(urlfilter.suffixes(F.lit("localhost"))).first()[0] == ["localhost"]
 
 
@@ -130,6 +130,39 @@ def test_url_filter_as_of(spark):
     assert urlfilter.filter_captures(rows, listed.limit(0)).filter("blocked").count() == 0 and urlfilter.filter_captures(rows.limit(0), listed).count() == 0
 
 
+def plain_filter(captures, entries):
+    """Every capture against all entries, one by one."""
+    said = defaultdict(dict)
+    for pattern, dated, listed in entries:
+        name = pattern.lower().removesuffix(".") if pattern else None
+        if name and dated:
+            said[name][dated] = said[name].get(dated, True) and bool(listed)
+    for host, fetched in captures:
+        labels, hit = host.split("."), (False, None, None)
+        for i in range(len(labels)):
+            pattern = ".".join(labels[i:])
+            before = max((d for d in said.get(pattern, ()) if fetched and d <= fetched), default=None)
+            if before and said[pattern][before]:
+                hit = (True, pattern, before)
+                break
+        yield hit
+
+
+def test_url_filter_equals_plain(spark):
+    draw = random.Random(5)
+    hosts = ["a.b.x.com", "b.x.com", "x.com", "y.x.com", "com", "a.org", "deep.a.org", "other.net"]
+    when = lambda: datetime(2024, 1, 1) + timedelta(hours=6 * draw.randrange(60))
+    entries = [(draw.choice(["b.x.com", "X.com.", "x.com", "com", "a.org", "A.ORG", ".", None]), draw.choice([when(), when(), when(), None]), draw.choice([True, True, False, None])) for _ in range(150)]
+    entries += [("many.org", datetime(2024, 1, 3) + timedelta(minutes=n), n % 2 == 0) for n in range(2000)]  # many entries of one pattern, on two days
+    captures = [(draw.choice(hosts), draw.choice([when(), when(), when() - timedelta(days=3), None])) for _ in range(600)]
+    captures += [("w.many.org", datetime(2024, 1, 3) + timedelta(minutes=n, seconds=30)) for n in range(-2, 2003, 7)] + [("y.x.com", datetime(2024, 1, 5))] * 300
+    rows = spark.createDataFrame([(n, f"https://{h}/{'p' * (n % 7)}", t) for n, (h, t) in enumerate(captures)], "n long, url string, fetched timestamp")
+    found = urlfilter.filter_captures(rows, spark.createDataFrame(entries, "pattern string, dated timestamp, listed boolean"))
+    assert [(r.blocked, r.pattern, r.listed_since) for r in sorted(found.collect(), key=lambda r: r.n)] == list(plain_filter(captures, entries))
+    long = spark.createDataFrame([("http://" + "a." * 100 + "com/" + "p" * 1_000_000, datetime(2024, 1, 5))], "url string, fetched timestamp")
+    assert urlfilter.filter_captures(long, spark.createDataFrame([("com", datetime(2024, 1, 5), True)], "pattern string, dated timestamp, listed boolean")).first().pattern == "com"
+
+
 TOKEN = re.compile(r"[^\W_]+")
 
 
