@@ -54,6 +54,12 @@ def test_pii_added():
     assert [text[a:b] for k in pii.ADDED for a, b in found[k]] == ["GB82 WEST 1234 5698 7654 32", "12345678", "https://me:pw@host.org"]
 
 
+def test_pii_cues_in_any_case():
+    text = "\u0130 aCcOuNt: 87654321, iBaN GB82WEST12345698765432 at HttpS://me:pw@host.org \u0130 a@b.org"
+    found = pii.find(text)
+    assert [text[a:b] for k in ("email", *pii.ADDED) for a, b in found[k]] == ["pw@host.org", "a@b.org", "GB82WEST12345698765432", "87654321", "HttpS://me:pw@host.org"]
+
+
 def test_pii_rows(spark, docs, odd):
     for frame in (docs, odd):
         rows = pii.find_personal_data(frame).collect()
