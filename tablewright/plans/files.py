@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..model import TableError
 from ..operators import history as H
 from ..operators import keymap as K
 from ..operators import project
@@ -114,6 +115,21 @@ def fault_tolerant(spark, sf):
     return S.fault_tolerant_write(df, [Q.check_readonly(df, ["back"], "customer")], 1_000_000)[0].select("_id")
 
 
+@query("SELECT bad - less AS max_errors, less = 1 AS refused, CASE less WHEN 0 THEN good ELSE 0 END AS kept FROM (SELECT count(*) FILTER (o_orderkey % 40 = 0) AS bad, count(*) FILTER (o_orderkey % 40 <> 0) AS good FROM orders), (VALUES (0), (1)) t(less)")
+def fault_limit(spark, sf):
+    """K4: as many bad rows as allowed are put aside, one more refuses all."""
+    df = table(spark, sf, "orders").select(F.col("o_orderkey").alias("_id"), F.when(F.col("o_orderkey") % 40 == 0, "bad").alias("back"))
+    found = Q.check_readonly(df, ["back"], "orders")
+    most = found.count()
+    rows = []
+    for limit in (most, most - 1):
+        try:
+            rows.append((limit, False, S.fault_tolerant_write(df, [found], limit)[0].count()))
+        except TableError:
+            rows.append((limit, True, 0))
+    return spark.createDataFrame(rows, "max_errors long, refused boolean, kept long")
+
+
 @query("SELECT o_orderkey AS id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def object_sizes(spark, sf):
     """B1: a list picked by its path, and its size, null as none."""

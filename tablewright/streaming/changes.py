@@ -1,8 +1,9 @@
 """Change streams: the batch operators applied to every micro-batch.
 
 State lives in tables dealt out into buckets by a hash of the key. A batch reads and rewrites, under its own number, only
-the buckets that its keys fall into; a log gets one part per batch and is never rewritten. A batch that runs again after a
-failure reads the same former versions and writes the same rows, so applying it twice does no harm.
+the buckets that its keys fall into; a log gets one part per batch, and ``merge`` makes one of the older parts now and then.
+A batch that runs again after a failure reads the same former versions and writes the same rows, so applying it twice does
+no harm.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ DONE = "_DONE"
 class State:
     """Named tables in a folder: ``folder/name/v=N/__bucket=K`` holds what batch ``N`` made of bucket ``K``.
 
-    Tables in ``logs`` are append-only: bucket 0 of every version together is the table. Of the others the newest version
-    of each bucket counts, and the one before it is kept for a batch that runs again.
+    Tables in ``logs`` are append-only: bucket 0 of every version together is the table, with ``folder/name/c=N`` for all
+    up to ``N`` if these were merged. Of the others the newest version of each bucket counts, and the one before it is kept
+    for a batch that runs again.
     """
 
     def __init__(self, spark: SparkSession, folder: str, schemas: dict[str, str], keys: dict[str, str] | None = None, logs: Iterable[str] = ("log",), buckets: int = BUCKETS) -> None:
@@ -45,9 +47,19 @@ class State:
         system, target = self._hadoop(f"{self.folder}/{name}/{pattern}")
         return [f.getPath().toString() for f in system.globStatus(target) or ()]
 
+    def _finish(self, path: str) -> None:
+        """Marks a folder as written to the end."""
+        system, target = self._hadoop(f"{path}/{DONE}")
+        system.create(target, True).close()
+
+    def _merged(self, name: str) -> int:
+        """The version up to which a log's parts are merged; -1 if none are."""
+        return max((int(p.split("/c=")[-1].split("/")[0]) for p in self._found(name, f"c=*/{DONE}")), default=-1) if name in self.logs else -1
+
     def _versions(self, name: str) -> dict[int, list[int]]:
-        """Per bucket the versions that were written to the end, in order."""
-        done = {int(p.split("/v=")[-1].split("/")[0]) for p in self._found(name, f"v=*/{DONE}")}
+        """Per bucket the versions that were written to the end and not merged since, in order."""
+        merged = self._merged(name)
+        done = {v for p in self._found(name, f"v=*/{DONE}") if (v := int(p.split("/v=")[-1].split("/")[0])) > merged}
         out: dict[int, list[int]] = {}
         for path in self._found(name, "v=*/__bucket=*"):
             version, bucket = (int(x) for x in path.split("/v=")[-1].split("/__bucket="))
@@ -64,7 +76,10 @@ class State:
 
     def read(self, name: str, before: int | None = None, only: Iterable[int] | None = None) -> DataFrame:
         """The table, or its buckets ``only``, as the last batch, or the last one before ``before``, left it; empty at first."""
-        paths = []
+        merged = self._merged(name)
+        if before is not None and before <= merged:
+            raise TableError(f"the parts of {name} before batch {before} are merged with later ones")
+        paths = [f"{self.folder}/{name}/c={merged}"] if merged >= 0 else []
         for bucket, versions in self._versions(name).items():
             versions = [v for v in versions if before is None or v < before]
             if only is not None and bucket not in only:
@@ -75,10 +90,10 @@ class State:
         return self.spark.read.schema(self.schemas[name]).parquet(*paths)
 
     def last(self, name: str, before: int) -> DataFrame:
-        """The part of a log that the last batch before ``before`` appended."""
+        """The part of a log that the last batch before ``before`` appended, or the merged part if that holds it."""
         versions = [v for v in self._versions(name).get(0, []) if v < before][-1:]
         if not versions:
-            return self.spark.createDataFrame([], self.schemas[name])
+            return self.read(name, before)
         return self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{name}/v={versions[0]}/__bucket=0")
 
     def write(self, name: str, version: int, df: DataFrame, touched: Sequence[int] = (0,)) -> None:
@@ -89,11 +104,26 @@ class State:
         for b in touched:  # of a bucket without rows, too, this is the newest version
             system, target = self._hadoop(f"{path}/__bucket={b}")
             system.mkdirs(target)
-        system, target = self._hadoop(f"{path}/{DONE}")
-        system.create(target, True).close()
+        self._finish(path)
         if name not in self.logs:
             self._drop_old(name, version, touched)
 
+    def merge(self, name: str) -> None:
+        """Makes one part of all of a log's parts but the last, which its batch may write again; for a time between runs.
+
+        The merged part counts once it is complete, and only then are those in it deleted, so a failure on the way loses
+        nothing and doubles nothing.
+        """
+        versions, former = self._versions(name).get(0, [])[:-1], self._merged(name)
+        if not versions:
+            return
+        path = f"{self.folder}/{name}/c={versions[-1]}"
+        self.read(name, versions[-1] + 1).write.mode("overwrite").parquet(path)
+        self._finish(path)
+        for old in [f"v={v}" for v in versions] + [f"c={former}"]:
+            system, target = self._hadoop(f"{self.folder}/{name}/{old}")
+            system.delete(target, True)
+
     def _drop_old(self, name: str, version: int, touched: Sequence[int]) -> None:
         versions = self._versions(name)
         live = {v for b, vs in versions.items() for v in (vs if b not in touched else [v for v in vs if v >= version] + [v for v in vs if v < version][-1:])}

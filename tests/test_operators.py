@@ -401,6 +401,28 @@ def test_batches_write_what_they_touch(spark, tmp_path):
     assert state.read("current", before=3).filter("_id = '7'").first().name == "again2"
 
 
+def test_merged_logs_go_on(spark, tmp_path):
+    """Merging keeps all entries, leaves the last part to its batch, and the numbers go on behind it."""
+    schema = "_id string, _op string, _at timestamp, name string, tags array<string>"
+    at = lambda n: datetime.datetime(2025, 1, 1, 0, n)
+    batches = [[(str(n), "upsert", at(n), "x", [])] for n in range(4)]
+    state = ST.State(spark, f"file://{tmp_path}/state", {"current": CURRENT, "log": H.LOG_SCHEMA}, buckets=4)
+    run = lambda b: ST.stream_apply_changes(stream_of(spark, tmp_path, b, schema), state, "m", f"file://{tmp_path}/check").awaitTermination()
+    numbers = lambda: sorted(r["_id"] for r in state.read("log").collect())
+    parts = lambda: sorted(p.name for p in (tmp_path / "state/log").iterdir())
+    state.merge("log")  # nothing there yet
+    run(batches)
+    state.merge("log")
+    assert parts() == ["c=2", "v=3"] and numbers() == [1, 2, 3, 4]
+    assert state.last("log", 3).count() == 3  # batch 3 again finds the number to go on from
+    run([[("9", "upsert", at(9), "y", [])], [("9", "delete", at(10), None, None)]])
+    state.merge("log")
+    state.merge("log")
+    assert parts()[0] == "c=4" and len(parts()) == 2 and numbers() == [1, 2, 3, 4, 5, 6]
+    with pytest.raises(TableError, match="merged"):
+        state.read("log", 2)
+
+
 def test_properties():
     assert Property("x", level=3).identifiable is False
     with pytest.raises(TableError):
