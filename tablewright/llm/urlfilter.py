@@ -23,10 +23,11 @@ def host_of(url: Column) -> Column:
     return normal(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and its parent domains down to the last label, longest first."""
+def suffixes(host: Column, most: int | None = None) -> Column:
+    """The host and its parent domains down to the last label, longest first; those of at most ``most`` labels if it is given."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    first = F.lit(1) if most is None else F.greatest(F.size(labels) - F.lit(most - 1), F.lit(1))
+    return F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -60,7 +61,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``captures`` (with ``url, fetched``) plus ``host, blocked, pattern, listed_since``; columns so named are replaced.
 
     Of several patterns in force the longest counts. A URL without host and a capture without fetch time are not
-    blocked. Rows stay one to one, repeated ones too; either table may be empty. Only hosts below a listed pattern are
+    blocked. Rows stay one to one, repeated ones too; either table may be empty. Of a host of very many labels no more are
+    looked up than the longest pattern has. Only hosts below a listed pattern are
     looked up, each once per fetch time, and only what is blocked is joined to the captures. Tables are counted before
     they are broadcast; larger ones are joined by shuffle, the captures by host and fetch time, which spreads a hot host.
     """
@@ -68,7 +70,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     spans = cut(validity(entries))
     hosts = rows.select("host").filter(F.col("host").isNotNull()).distinct()
     listed = small(cut(spans.select("pattern").distinct()))
-    reach = small(cut(hosts.select("host", F.explode(suffixes(F.col("host"))).alias("pattern")).join(listed, "pattern", "left_semi")))
+    labels = listed.agg(F.max(F.size(F.split("pattern", r"\.")))).first()[0] or 1  # longer parts of a host are on no list
+    reach = small(cut(hosts.select("host", F.explode(suffixes(F.col("host"), labels)).alias("pattern")).join(listed, "pattern", "left_semi")))
     asked = rows.select("host", "fetched").filter(F.col("fetched").isNotNull()).join(reach.select("host").distinct(), "host", "left_semi").distinct()
     asked = asked.join(reach, "host").withColumn("day", F.unix_date(F.to_date("fetched")))
     held = small(cut(_by_day(spans, asked.select("pattern", "day").distinct())))

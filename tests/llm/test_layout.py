@@ -130,6 +130,16 @@ def test_url_filter_as_of(spark):
     assert urlfilter.filter_captures(rows, listed.limit(0)).filter("blocked").count() == 0 and urlfilter.filter_captures(rows.limit(0), listed).count() == 0
 
 
+def test_very_long_urls(spark):
+    day = date(2024, 1, 5)
+    hosts = ["a." * 60_000 + "b.org", "x" * 300_000 + ".b.org", "a." * 60_000 + "c.org"]
+    urls = [f"http://{h}/" for h in hosts] + ["http://b.org/" + "p/" * 200_000]
+    rows = spark.createDataFrame([(u, day) for u in urls], "url string, fetched date")
+    listed = spark.createDataFrame([("b.org", date(2024, 1, 1), True)], "pattern string, dated date, listed boolean")
+    found = {r.url: (r.host, r.blocked) for r in urlfilter.filter_captures(rows, listed).collect()}
+    assert [found[u] for u in urls] == [(hosts[0], True), (hosts[1], True), (hosts[2], False), ("b.org", True)]
+
+
 def plain_filter(captures, entries):
     """Every capture against all entries, one by one."""
     said = defaultdict(dict)

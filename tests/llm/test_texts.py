@@ -272,3 +272,11 @@ def test_chat_rows(spark, sf):
             r = out[conv]
             assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == plain_digest([t[2:] for t in sorted(turns)])
     assert chat.read_back(chat.format_windows(rows.limit(0))).count() == 0
+
+
+def test_chat_drops_clashing_columns(spark):
+    rows = [(1, 0, "user", "hi", "x", 7, "y"), (1, 1, "assistant", "yes", None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, loss string, size int, new_from string")
+    formatted = chat.format_windows(df)
+    plain = chat.format_windows(df.select("conv_id", "turn", "role", "text"))
+    assert formatted.schema == plain.schema and formatted.collect() == plain.collect()
