@@ -54,12 +54,18 @@ def cut(df: DataFrame) -> DataFrame:
 _made: list[list[str]] = []
 
 
+def shared_place(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if _made:
+        _made[0].append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Like :func:`cut` as a Parquet table: compressed, and readers take only the columns they need."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = shared_place(df.sparkSession)
     df.write.parquet(path)
-    if _made:
-        _made[0].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, neardup, pii, quality, secrets, sharding, tokens, urlfilter
-from .common import read, written
+from . import chat, decontam, mixing, neardup, pii, quality, repair, secrets, sharding, spelling, tokens, urlfilter, warc
+from .common import read, shared_place, written
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +74,27 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.store_pages(read(spark, sf_dir, "pages"), shared_place(spark))
+    found = warc.resolve_revisits(written(warc.parse(warc.restore(archive))))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.vocabulary(read(spark, sf_dir, "documents")))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = repair.damage(read(spark, sf_dir, "conversations"))
+    return repair.summarise(repair.repair(repair.mark_faults(damaged)))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_decontaminate, op3_pii, op4_mix, op5_quality, op6_chat, op7_neardup, op8_urlfilter, op9_secrets, op10_tokens)
-}
+    for f in (
+        op1_sharding, op2_decontaminate, op3_pii, op4_mix, op5_quality, op6_chat, op7_neardup, op8_urlfilter, op9_secrets, op10_tokens, op11_warc, op12_spelling, op13_repair,
+    )
+}
 
 ORACLE = {
     "op4_mix": r"""
@@ -113,5 +130,39 @@ spans AS (
 )
 SELECT c.page_id, c.host, c.fetched, h.page_id IS NOT NULL AS blocked, h.pattern, h.f::DATE AS listed_since
 FROM cap c LEFT JOIN hit h ON c.page_id = h.page_id AND h.k = 1
+""",
+    "op11_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes,
+  translate(array_to_string(list_transform(range(4), lambda i: to_base(('0x' || substr(h, (1 + 10 * i)::INTEGER, 10))::BIGINT, 32, 8)), ''), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM s
+""",
+    "op12_spelling": r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+), per AS (
+  SELECT run, count(*) AS k, coalesce(doc_id::VARCHAR, '') || ':' || run AS name FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(name) * 2, 2), lambda i: ('0x' || substr(hex(name), i::INTEGER, 2))::BIGINT)),
+    lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8))) AS h FROM per, tab
+), words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run) + 2)::INTEGER) ELSE run END AS word, k FROM hashed
+  ) GROUP BY word HAVING length(word) >= 6 AND sum(k) >= 5
+), masks AS (
+  SELECT word, n, false AS gap, substr(word, 1, i::INTEGER) || '*' || substr(word, i::INTEGER + 2) AS mask FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+  UNION ALL SELECT word, n, true, substr(word, 1, i::INTEGER) || '*' || substr(word, i::INTEGER + 1) FROM (SELECT *, unnest(range(length(word) + 1)) AS i FROM words)
+), near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM masks a JOIN masks b ON a.mask = b.mask AND a.word <> b.word AND NOT (a.gap AND b.gap)),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, encode(other))) AS other FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN b.m >= 5 * w.n THEN b.other END AS form, CASE WHEN b.m >= 5 * w.n THEN b.m END AS form_n FROM words w LEFT JOIN best b USING (word)
+), chain AS (
+  SELECT word, word AS here, 0 AS steps FROM forms UNION ALL SELECT c.word, f.form, c.steps + 1 FROM chain c JOIN forms f ON c.here = f.word WHERE f.form IS NOT NULL
+), ends AS (SELECT word, arg_max(here, steps) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
 """,
 }
