@@ -154,17 +154,38 @@ def delete(current: DataFrame, ids: DataFrame, txn: str, at: Column) -> Written:
     return Written(current.join(asked, "_id", "left_anti").select(*current.columns), _log(gone.withColumn("_revision", _revision(txn)), "delete", txn, at), errors)
 
 
-def resolve_redirects(redirects: DataFrame) -> DataFrame:
-    """Redirects (``_id, redirect``) led to their ends; each round doubles the steps. What leads into a cycle is left out."""
-    known = cut(redirects.select("_id", "redirect").dropDuplicates(["_id"]))
-    sources = known.select(F.col("_id").alias("__source"))
+def _follow(redirects: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Redirects after enough doubled steps to reach every end, with the least id passed; and those that never end, if any."""
+    known = cut(redirects.select("_id", "redirect", F.least("_id", "redirect").alias("least")))
     for _ in range(known.count().bit_length()):
-        after = known.select(F.col("_id").alias("__id"), F.col("redirect").alias("__next"))
+        after = known.select(F.col("_id").alias("__id"), F.col("redirect").alias("__next"), F.col("least").alias("__least"))
         joined = known.join(after, F.col("redirect") == F.col("__id"), "left")
-        if joined.filter("__next is not null").isEmpty():
-            return known
-        known = cut(joined.select("_id", F.coalesce("__next", "redirect").alias("redirect")))
-    return known.join(sources, F.col("redirect") == F.col("__source"), "left_anti")
+        if joined.filter("__id is not null").isEmpty():
+            return known, None
+        known = cut(joined.select("_id", F.coalesce("__next", "redirect").alias("redirect"), F.least("least", "__least").alias("least")))
+    endless = known.join(known.select(F.col("_id").alias("__source")), F.col("redirect") == F.col("__source"), "left_semi")
+    return known, endless
+
+
+def find_cycles(redirects: DataFrame) -> DataFrame:
+    """``_id, cycle``: the ids that come back to themselves, and the least id of their round. Each ``_id`` has one redirect.
+
+    After more steps than there are redirects, what hasn't ended is on a cycle, and every place of one is reached.
+    """
+    known, endless = _follow(redirects)
+    if endless is None:
+        return known.select("_id", F.col("least").alias("cycle")).limit(0)
+    reached = endless.select(F.col("redirect").alias("__on")).distinct()
+    return known.join(reached, F.col("_id") == F.col("__on"), "left_semi").select("_id", F.col("least").alias("cycle"))
+
+
+def resolve_redirects(redirects: DataFrame) -> DataFrame:
+    """Redirects (``_id, redirect``) led to their ends; each round doubles the steps. What leads into a cycle is left out,
+    and of several redirects of one ``_id`` the least counts; :func:`move` refuses both.
+    """
+    known, endless = _follow(redirects.groupBy("_id").agg(F.min("redirect").alias("redirect")))
+    ends = known.select("_id", "redirect")
+    return ends if endless is None else ends.join(endless.select(F.col("_id").alias("__source")), F.col("_id") == F.col("__source"), "left_anti")
 
 
 def redirected(df: DataFrame, column: str, redirects: DataFrame) -> DataFrame:
@@ -176,12 +197,22 @@ def redirected(df: DataFrame, column: str, redirects: DataFrame) -> DataFrame:
 def move(catalog: Catalog, model: str, moves: DataFrame, redirects: DataFrame | None = None) -> tuple[Catalog, DataFrame, DataFrame]:
     """Rows merged into others: the catalog with moved rows gone and all references repointed, redirects, and errors.
 
-    ``moves`` has ``_id, redirect``. A target that doesn't exist is refused (``not-found``). Earlier redirects follow.
+    ``moves`` has ``_id, redirect``. Refused (``_id, code``, each once) are all moves of an ``_id`` that several rows name
+    (``repeated``), of a row to itself (``self``), of rows (``unknown``) and to targets (``not-found``) that don't exist,
+    and those that come back to their start over others (``cycle``); a move into such a cycle is good, as its target
+    stays. Earlier redirects follow.
     """
     table = catalog[model]
-    keys = table.df.select(F.col(table.key).alias("__key"))
-    bad = moves.join(keys, F.col("redirect") == F.col("__key"), "left_anti").select("_id", F.lit("not-found").alias("code"))
-    good = moves.join(keys, F.col("redirect") == F.col("__key"), "left_semi").select("_id", "redirect")
+    keys = table.df.select(F.col(table.key).alias("__key")).distinct()
+    asked = moves.groupBy("_id").agg(F.count(F.lit(1)).alias("__n"), F.min("redirect").alias("redirect"))
+    asked = asked.join(keys.withColumn("__source", F.lit(True)), F.col("_id") == F.col("__key"), "left").drop("__key")
+    asked = asked.join(keys.withColumn("__target", F.lit(True)), F.col("redirect") == F.col("__key"), "left").drop("__key")
+    code = F.when(F.col("__n") > 1, "repeated").when(F.col("_id") == F.col("redirect"), "self").when(F.col("__source").isNull(), "unknown").when(F.col("__target").isNull(), "not-found")
+    judged = cut(asked.select("_id", "redirect", code.alias("code")))
+    good = judged.filter("code is null").select("_id", "redirect")
+    cycles = find_cycles(good).select("_id", F.lit("cycle").alias("code"))
+    bad = judged.filter("code is not null").select("_id", "code").unionByName(cycles)
+    good = good.join(cycles.select("_id"), "_id", "left_anti")
     merged = good if redirects is None else good.unionByName(redirects.join(good.select("_id"), "_id", "left_anti").select("_id", "redirect"))
     ends = resolve_redirects(merged)
     out: Catalog = {}

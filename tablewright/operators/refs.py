@@ -114,9 +114,13 @@ def anti_by_list(df: DataFrame, key: str, items: DataFrame, rid: str, where: Col
 def resolve_ref_ids(df: DataFrame, keys: Sequence[str], keymap: DataFrame, target: DataFrame, target_keys: Sequence[str], name: str) -> DataFrame:
     """Natural keys of a reference as ids: from the keymap (``target_keys, _id``), else from the one target row.
 
-    Adds ``name`` and ``name_error``: null keys give a null reference; no or several target rows an error text.
+    Adds ``name`` and ``name_error``: null keys give a null reference; no or several target rows an error text. Of
+    several ids that the keymap has for the same keys the newest live one counts: ids with a ``redirect`` are left out,
+    then the latest ``modified_at`` wins, if the keymap has these columns, then the least id. So each row stays one.
     """
-    known = keymap.select(*[F.col(t).alias(f"__k{i}") for i, t in enumerate(target_keys)], F.col("_id").alias("__known"))
+    live = keymap.filter(F.col("redirect").isNull()) if "redirect" in keymap.columns else keymap
+    newest = F.min("_id") if "modified_at" not in keymap.columns else F.min_by("_id", F.struct(F.coalesce(-F.unix_micros("modified_at"), F.lit(2**63 - 1)), "_id"))
+    known = live.groupBy(*[F.col(t).alias(f"__k{i}") for i, t in enumerate(target_keys)]).agg(newest.alias("__known"))
     found = target.groupBy(*[F.col(t).alias(f"__t{i}") for i, t in enumerate(target_keys)]).agg(F.count(F.lit(1)).alias("__rows"), F.min("_id").alias("__found"))
     out = df.join(known, all_of(*[F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)]), "left")
     out = out.join(found, all_of(*[F.col(k) == F.col(f"__t{i}") for i, k in enumerate(keys)]), "left")

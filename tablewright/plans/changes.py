@@ -239,6 +239,36 @@ def move_redirects(spark, sf):
     return _moved(spark, sf)[1].select("_id", "redirect")
 
 
+@query("""
+WITH c AS (SELECT c_custkey AS k FROM customer), m AS (
+  SELECT k AS _id, k + 1 AS t FROM c WHERE k % 10 IN (0, 4, 7) UNION ALL SELECT k, k + 2 FROM c WHERE k % 10 = 0 UNION ALL SELECT k, k FROM c WHERE k % 10 = 1 UNION ALL SELECT -k, k FROM c WHERE k % 10 = 2
+  UNION ALL SELECT k, -k FROM c WHERE k % 10 = 3 UNION ALL SELECT k, k - 1 FROM c WHERE k % 10 IN (5, 6)
+)
+SELECT DISTINCT _id, CASE abs(_id) % 10 WHEN 0 THEN 'repeated' WHEN 1 THEN 'self' WHEN 2 THEN 'unknown' WHEN 3 THEN 'not-found' ELSE CASE WHEN t IN (SELECT k FROM c) THEN 'cycle' ELSE 'not-found' END END AS code
+FROM m WHERE abs(_id) % 10 <= 3 OR abs(_id) % 10 IN (4, 5) OR t NOT IN (SELECT k FROM c)
+""")
+def move_errors(spark, sf):
+    """Moves named twice, to themselves, of and to unknown rows, and in cycles are refused; one into a cycle is not."""
+    k = F.col("c_custkey")
+    rest, one = k % 10, lambda t: F.array(t.cast("long"))
+    targets = F.when(rest == 0, F.array((k + 1).cast("long"), (k + 2).cast("long"))).when(rest.isin(4, 7), one(k + 1)).when(rest.isin(1, 2), one(k)).when(rest == 3, one(-k)).when(rest.isin(5, 6), one(k - 1))
+    moves = table(spark, sf, "customer").select(F.when(rest == 2, -k).otherwise(k).cast("long").alias("_id"), F.explode(targets).alias("redirect"))
+    c = {k: v for k, v in catalog(spark, sf).items() if k in ("customer", "orders")}
+    return H.move(c, "customer", moves)[2]
+
+
+@query("""
+WITH RECURSIVE m AS (SELECT c_custkey AS a, CASE WHEN c_custkey % 50 = 49 THEN c_custkey - c_custkey % 7 ELSE c_custkey + 1 END AS b FROM customer WHERE c_custkey % 50 > 5),
+walk AS (SELECT a AS start, b AS here, least(a, b) AS low, 1 AS steps FROM m UNION ALL SELECT start, b, least(low, b), steps + 1 FROM walk JOIN m ON here = a WHERE here <> start AND steps < 60)
+SELECT start AS _id, min(low) AS cycle FROM walk WHERE here = start GROUP BY start
+""")
+def redirect_cycles(spark, sf):
+    """Ids that come back to themselves in redirects, and the least of their round."""
+    k = F.col("c_custkey")
+    moves = table(spark, sf, "customer").filter(k % 50 > 5).select(k.alias("_id"), F.when(k % 50 == 49, k - k % 7).otherwise(k + 1).alias("redirect"))
+    return H.find_cycles(moves)
+
+
 def _log(spark, sf):
     """Events as a changelog: a row per user, a key per event type, some deletes."""
     e = table(spark, sf, "events")

@@ -340,6 +340,20 @@ def resolve_ref_ids(spark, sf):
     return refs.resolve_ref_ids(rows, ["nation"], keymap, target, ["n_name"], "ref").select("c_custkey", "ref", "ref_error")
 
 
+@query("""
+WITH k AS (SELECT c_mktsegment AS seg, 's' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 50 END AS made FROM customer WHERE c_custkey % 4 <> 0 AND c_mktsegment <> 'MACHINERY'),
+live AS (SELECT seg, arg_min(id, (CASE WHEN made IS NULL THEN 1 ELSE 0 END, -coalesce(made, 0), id)) AS id FROM k GROUP BY seg)
+SELECT c_custkey, coalesce(live.id, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'target' END) AS ref, NULL::VARCHAR AS ref_error FROM customer LEFT JOIN live ON c_mktsegment = seg
+""")
+def resolve_ref_live(spark, sf):
+    """Of several ids of a key the newest one counts that isn't redirected, and no row doubles."""
+    df = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    ids = df.filter("c_mktsegment <> 'MACHINERY'").select("c_mktsegment", F.concat(F.lit("s"), k).alias("_id"), F.when(k % 4 == 0, "elsewhere").alias("redirect"), F.when(k % 3 != 0, F.timestamp_seconds(k % 50)).alias("modified_at"))
+    target = df.limit(1).select(F.lit("MACHINERY").alias("c_mktsegment"), F.lit("target").alias("_id"))
+    return refs.resolve_ref_ids(df.select("c_custkey", "c_mktsegment"), ["c_mktsegment"], ids, target, ["c_mktsegment"], "ref").select("c_custkey", "ref", "ref_error")
+
+
 @query("SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NULL THEN 'left' WHEN a.c_custkey IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0) b ON a.c_custkey = b.c_custkey")
 def full_outer_sync(spark, sf):
     """What is on either side, and on both."""
@@ -410,12 +424,38 @@ def page_tokens(spark, sf):
     return df.select("o_orderkey", "_page", F.element_at(paging.page_values(F.col("_page")), 2).alias("back"))
 
 
-@query("SELECT o_orderpriority, o_orderstatus, count(*) AS rows FROM orders GROUP BY ALL HAVING count(*) > 80")
+#: Where the keys of a page order begin, in SQL: groups of the keys with their first place and page.
+PLACES = """
+WITH k AS (SELECT {keys}, count(*) AS rows FROM {table} GROUP BY ALL),
+g AS (SELECT *, (sum(rows) OVER (ORDER BY {order}) - rows + 1)::BIGINT AS first FROM k), p AS (SELECT *, (first - 1) // {size} + 1 AS page FROM g)
+"""
+
+
+@query(PLACES.format(keys="o_orderpriority, o_custkey", table="orders", order="o_orderpriority ASC NULLS LAST, o_custkey DESC NULLS FIRST", size=50) + "SELECT o_orderpriority, o_custkey, rows, page, page * 50 - first + 1 AS before FROM p WHERE first + rows - 1 > page * 50")
 def page_key_guard(spark, sf):
-    """keys whose rows don't fit a page."""
+    """keys that the edge of a page cuts."""
+    return paging.check_page_keys(table(spark, sf, "orders"), ["o_orderpriority", "-o_custkey"], 50)
+
+
+@query(PLACES.format(keys="o_orderpriority, o_orderstatus", table="orders", order="o_orderpriority ASC NULLS LAST, o_orderstatus DESC NULLS FIRST", size=80) + "SELECT o_orderpriority, o_orderstatus, rows, page, page * 80 - first + 1 AS before FROM p WHERE first + rows - 1 > page * 80")
+def page_key_too_long(spark, sf):
+    """keys whose rows don't fit a page are cut too."""
     return paging.check_page_keys(table(spark, sf, "orders"), ["o_orderpriority", "-o_orderstatus"], 80)
 
 
+@query(PLACES.format(keys="o_orderdate::DATE AS day, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS cust", table="orders", order="day DESC NULLS FIRST, cust ASC NULLS LAST", size=64) + "SELECT page, min(first) AS first, sum(rows)::BIGINT AS rows, arg_max(day, first) AS day, last(cust ORDER BY first) AS cust FROM p GROUP BY page")
+def page_cuts(spark, sf):
+    """the pages of an order and the cursors behind them, of whole keys only."""
+    df = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("cust"))
+    return paging.page_cuts(df, ["-day", "cust"], 64)
+
+
+@query(PLACES.format(keys="l_suppkey, l_quantity", table="lineitem", order="l_suppkey ASC NULLS LAST, l_quantity DESC NULLS FIRST", size=100) + "SELECT l_orderkey, l_linenumber, page FROM lineitem JOIN p USING (l_suppkey, l_quantity)")
+def page_all_rows(spark, sf):
+    """all pages read at once hold every row once, though keys repeat."""
+    return paging.all_pages(table(spark, sf, "lineitem"), ["l_suppkey", "-l_quantity"], 100).select("l_orderkey", "l_linenumber", "page")
+
+
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 15")
 def top_k(spark, sf):
     """the first k in an order."""

@@ -334,6 +334,39 @@ def test_parametrized_files(spark, tmp_path):
     assert sorted((r.year, r.code, r.v) for r in files.collect()) == [(y, c, f"{c}{y}") for y in (2023, 2024) for c in ("lt", "lv")]
 
 
+def test_pages_of_repeated_keys(spark):
+    """Read page after page some of these rows would never come; the guard names their keys, and the cuts take them in."""
+    df = spark.createDataFrame([(i, i // 3 if i != 7 else None, f"n{i}") for i in range(12)], "id int, k int, name string")
+    read, cursor = [], None
+    while page := paging.page_after(df, ["k"], cursor, 4).collect():
+        read, cursor = read + page, [page[-1].k]
+    assert len(read) < 12
+    assert [(r.k, r.rows, r.page, r.before) for r in paging.check_page_keys(df, ["k"], 4).collect()] == [(1, 3, 1, 1)]
+    assert [(r.k, r.rows, r.page, r.before) for r in paging.check_page_keys(df, ["-k"], 2).orderBy("page").collect()] == [(3, 3, 1, 1), (1, 3, 4, 2), (0, 3, 5, 1)]
+    assert paging.check_page_keys(df, ["k", "id"], 4).isEmpty()
+    for keys, size in ((["k"], 4), (["-k"], 2), (["k", "-id"], 5), (["-k"], 1), (["name"], 100)):
+        cuts = paging.page_cuts(df, keys, size).orderBy("page").collect()
+        cursors = [None, *[[c[k.lstrip("-")] for k in keys] for c in cuts]]
+        pages = [paging.page_between(df, keys, a, b).collect() for a, b in zip(cursors, cursors[1:], strict=False)]
+        assert sorted(r.id for p in pages for r in p) == list(range(12)) and [len(p) for p in pages] == [c.rows for c in cuts]
+        every = {r.id: r.page for r in paging.all_pages(df, keys, size).collect()}
+        assert len(every) == 12 and all(every[r.id] == c.page for p, c in zip(pages, cuts, strict=True) for r in p)
+    assert paging.page_cuts(df.limit(0), ["k"], 4).isEmpty() and paging.all_pages(df.limit(0), ["k"], 4).isEmpty()
+    with pytest.raises(TableError):
+        paging.page_cuts(df, ["k"], 0)
+
+
+def test_moves_that_are_refused(spark):
+    t = Table(spark.createDataFrame([(x,) for x in "abcdefgh"], "_id string"), "_id")
+    child = Table(spark.createDataFrame([(i, x) for i, x in enumerate("abcdefgh")], "id int, up string"), "id", {"up": "m"})
+    moves = spark.createDataFrame([("a", "b"), ("a", "c"), ("zzz", "b"), ("c", "d"), ("d", "c"), ("e", "e"), ("f", "nowhere"), ("g", "h"), ("h", "c"), ("b", None)], "_id string, redirect string")
+    out, ends, errors = H.move({"m": t, "n": child}, "m", moves)
+    assert sorted((r["_id"], r.code) for r in errors.collect()) == [("a", "repeated"), ("b", "not-found"), ("c", "cycle"), ("d", "cycle"), ("e", "self"), ("f", "not-found"), ("zzz", "unknown")]
+    assert sorted(tuple(r) for r in ends.select("_id", "redirect").collect()) == [("g", "c"), ("h", "c")]
+    assert sorted(r["_id"] for r in out["m"].df.collect()) == list("abcdef")
+    assert [r.up for r in out["n"].df.orderBy("id").collect()] == list("abcdef") + ["c", "c"]
+
+
 def test_jdbc(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
