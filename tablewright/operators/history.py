@@ -41,7 +41,7 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in RESERVED and not c.startswith("_")]
 
 
-def _text(value: Column, dtype: T.DataType) -> Column:
+def as_text(value: Column, dtype: T.DataType) -> Column:
     return F.to_json(value) if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)) else value.cast("string")
 
 
@@ -66,7 +66,7 @@ def build_patch(given: DataFrame, saved: DataFrame, action: str, defaults: Mappi
         filler = old if action == "patch" else F.lit(defaults[c]).cast(dtype) if c in defaults else empty
         value = F.when(missing, filler).otherwise(new)
         values[c] = value.alias(c)
-        entries.append(F.when(~value.eqNullSafe(F.when(found, old).otherwise(F.lit(None).cast(dtype))), F.struct(F.lit(c).alias("key"), _text(value, dtype).alias("value"))))
+        entries.append(F.when(~value.eqNullSafe(F.when(found, old).otherwise(F.lit(None).cast(dtype))), F.struct(F.lit(c).alias("key"), as_text(value, dtype).alias("value"))))
     patch = F.map_from_entries(F.filter(F.array(*entries), lambda x: x.isNotNull()))
     kept = [F.col(f"s.{c}").alias(c) for c in ("_created", "_revision", "_updated") if c in saved.columns]
     asked = [F.col("g._revision").alias("_asked")] if "_revision" in given.columns else [F.lit(None).cast("string").alias("_asked")]

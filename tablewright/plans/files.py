@@ -81,6 +81,39 @@ def stream_apply(spark, sf):
     return state.read("current").select("_id", "name", "value")
 
 
+@query("""
+WITH e AS (SELECT user_id::VARCHAR AS rid, ts, event_id, event_id % 17 = 0 AS del, event_type AS name, event_id % 3 AS seen FROM events),
+p AS (SELECT *, lag(del) OVER w AS pdel, lag(name) OVER w AS pname, lag(seen) OVER w AS pseen FROM e WINDOW w AS (PARTITION BY rid ORDER BY ts, event_id)),
+a AS (SELECT *, pdel IS NOT NULL AND NOT pdel AS there FROM p),
+l AS (
+  SELECT rid, ts, event_id, CASE WHEN del THEN CASE WHEN there THEN 'delete' END WHEN NOT there THEN 'insert' WHEN name <> pname OR seen <> pseen THEN 'update' END AS action,
+    CASE WHEN del THEN '{}' ELSE '{' || concat_ws(',', CASE WHEN NOT there OR name <> pname THEN '"name":"' || name || '"' END, CASE WHEN NOT there OR seen <> pseen THEN '"seen":"' || seen || '"' END) || '}' END AS data
+  FROM a
+)
+SELECT batches, rid AS _rid, action, data, ts::TIMESTAMP AS datetime, count(*) OVER (PARTITION BY batches) AS entries FROM l, (VALUES (1), (3), (7)) b(batches) WHERE action IS NOT NULL
+""")
+def stream_log(spark, sf):
+    """K1: every change is in the changelog, at its own time, however the stream is cut into batches."""
+    events = table(spark, sf, "events")
+    low, high = events.agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))), F.unix_micros(F.max(F.col("ts").cast("timestamp"))) + 1).first()
+    op = F.when(F.col("event_id") % 17 == 0, "delete").otherwise("upsert")
+    changes = events.select(F.col("user_id").cast("string").alias("_id"), op.alias("_op"), F.col("ts").cast("timestamp").alias("_at"), "event_id", F.col("event_type").alias("name"), (F.col("event_id") % 3).cast("int").alias("seen"))
+    out = None
+    for batches in (1, 3, 7):
+        folder = scratch(spark)
+        part = F.floor((F.unix_micros("_at") - low) * batches / (high - low))
+        for k in range(batches):
+            changes.filter(part == k).coalesce(1).write.parquet(f"{folder}/in/b={k}")
+        source = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+        state = S.State(spark, folder, {"current": "_id string, _revision string, _created timestamp, _updated timestamp, name string, seen int", "log": H.LOG_SCHEMA}, small_rows=100, fanout=3)
+        S.stream_apply_changes(source, state, "event", f"{folder}/checkpoint", by=["event_id"]).awaitTermination()
+        log = state.read("log")
+        ends = log.agg(F.max("_id").alias("entries"))  # numbered without gaps, so the last number is their count
+        log = log.join(F.broadcast(ends)).select(F.lit(batches).alias("batches"), "_rid", "action", "data", F.col("datetime").cast("timestamp_ntz").alias("datetime"), "entries")
+        out = log if out is None else out.unionByName(log)
+    return out
+
+
 @query("SELECT 'u' || user_id AS key, '[\"' || max_by(event_type, event_id) || '\"]' AS value FROM events GROUP BY user_id")
 def stream_keys(spark, sf):
     """K2: a stream of a changelog into the keymap."""

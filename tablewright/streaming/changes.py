@@ -1,187 +1,113 @@
-"""Change streams: the batch operators applied to every micro-batch.
+"""Change streams: every micro-batch is applied to the tables of a :class:`~.state.State`.
 
-State lives in tables dealt out into buckets by a hash of the key. A batch reads and rewrites, under its own number, only
-the buckets that its keys fall into; a log gets one part per batch, and ``merge`` makes one of the older parts now and then.
-A batch that runs again after a failure reads the same former versions and writes the same rows, so applying it twice does
-no harm.
+A batch reads the rows of the keys it names, writes the rows it changed as a run of its own and appends its entries to
+the log. A batch that runs again after a failure reads the same former rows and writes the same ones, so applying it
+twice does no harm.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import TableError
 from ..operators import history, keymap, sync
 from ..operators.quality import check_all
+from ..runtime import cut
+from .state import State
 
-MAX_ERRORS = 100
-BUCKETS = 64
-DONE = "_DONE"
-
-
-class State:
-    """Named tables in a folder: ``folder/name/v=N/__bucket=K`` holds what batch ``N`` made of bucket ``K``.
-
-    Tables in ``logs`` are append-only: bucket 0 of every version together is the table, with ``folder/name/c=N`` for all
-    up to ``N`` if these were merged. Of the others the newest version of each bucket counts, and the one before it is kept
-    for a batch that runs again.
-    """
+__all__ = ["State", "fault_tolerant_write", "replay", "stream_apply_changes", "stream_keymap_sync", "stream_push_delta"]
 
-    def __init__(self, spark: SparkSession, folder: str, schemas: dict[str, str], keys: dict[str, str] | None = None, logs: Iterable[str] = ("log",), buckets: int = BUCKETS) -> None:
-        self.spark, self.folder, self.schemas, self.buckets = spark, folder.rstrip("/"), schemas, buckets
-        self.keys, self.logs = keys or {}, set(logs)
-
-    @property
-    def _jvm(self):
-        return self.spark.sparkContext._jvm
-
-    def _hadoop(self, path: str) -> tuple:
-        target = self._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
-
-    def _found(self, name: str, pattern: str) -> list[str]:
-        system, target = self._hadoop(f"{self.folder}/{name}/{pattern}")
-        return [f.getPath().toString() for f in system.globStatus(target) or ()]
-
-    def _finish(self, path: str) -> None:
-        """Marks a folder as written to the end."""
-        system, target = self._hadoop(f"{path}/{DONE}")
-        system.create(target, True).close()
-
-    def _merged(self, name: str) -> int:
-        """The version up to which a log's parts are merged; -1 if none are."""
-        return max((int(p.split("/c=")[-1].split("/")[0]) for p in self._found(name, f"c=*/{DONE}")), default=-1) if name in self.logs else -1
-
-    def _versions(self, name: str) -> dict[int, list[int]]:
-        """Per bucket the versions that were written to the end and not merged since, in order."""
-        merged = self._merged(name)
-        done = {v for p in self._found(name, f"v=*/{DONE}") if (v := int(p.split("/v=")[-1].split("/")[0])) > merged}
-        out: dict[int, list[int]] = {}
-        for path in self._found(name, "v=*/__bucket=*"):
-            version, bucket = (int(x) for x in path.split("/v=")[-1].split("/__bucket="))
-            if version in done:
-                out.setdefault(bucket, []).append(version)
-        return {b: sorted(v) for b, v in out.items()}
-
-    def bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key.cast("string")), F.lit(self.buckets)).cast("int")
-
-    def touched(self, key: Column, batch: DataFrame) -> list[int]:
-        """The buckets of a batch: at most ``buckets`` numbers."""
-        return sorted(r[0] for r in batch.select(self.bucket(key)).distinct().collect())
-
-    def read(self, name: str, before: int | None = None, only: Iterable[int] | None = None) -> DataFrame:
-        """The table, or its buckets ``only``, as the last batch, or the last one before ``before``, left it; empty at first."""
-        merged = self._merged(name)
-        if before is not None and before <= merged:
-            raise TableError(f"the parts of {name} before batch {before} are merged with later ones")
-        paths = [f"{self.folder}/{name}/c={merged}"] if merged >= 0 else []
-        for bucket, versions in self._versions(name).items():
-            versions = [v for v in versions if before is None or v < before]
-            if only is not None and bucket not in only:
-                continue
-            paths += [f"{self.folder}/{name}/v={v}/__bucket={bucket}" for v in (versions if name in self.logs else versions[-1:])]
-        if not paths:
-            return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(*paths)
-
-    def last(self, name: str, before: int) -> DataFrame:
-        """The part of a log that the last batch before ``before`` appended, or the merged part if that holds it."""
-        versions = [v for v in self._versions(name).get(0, []) if v < before][-1:]
-        if not versions:
-            return self.read(name, before)
-        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{name}/v={versions[0]}/__bucket=0")
-
-    def write(self, name: str, version: int, df: DataFrame, touched: Sequence[int] = (0,)) -> None:
-        """What the batch made of the touched buckets; a log is appended to."""
-        path, columns = f"{self.folder}/{name}/v={version}", [f.split()[0] for f in self.schemas[name].split(", ")]
-        bucket = F.lit(0) if name in self.logs else self.bucket(F.col(self.keys.get(name, columns[0])))
-        df.select(*columns, bucket.alias("__bucket")).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(path)
-        for b in touched:  # of a bucket without rows, too, this is the newest version
-            system, target = self._hadoop(f"{path}/__bucket={b}")
-            system.mkdirs(target)
-        self._finish(path)
-        if name not in self.logs:
-            self._drop_old(name, version, touched)
-
-    def merge(self, name: str) -> None:
-        """Makes one part of all of a log's parts but the last, which its batch may write again; for a time between runs.
-
-        The merged part counts once it is complete, and only then are those in it deleted, so a failure on the way loses
-        nothing and doubles nothing.
-        """
-        versions, former = self._versions(name).get(0, [])[:-1], self._merged(name)
-        if not versions:
-            return
-        path = f"{self.folder}/{name}/c={versions[-1]}"
-        self.read(name, versions[-1] + 1).write.mode("overwrite").parquet(path)
-        self._finish(path)
-        for old in [f"v={v}" for v in versions] + [f"c={former}"]:
-            system, target = self._hadoop(f"{self.folder}/{name}/{old}")
-            system.delete(target, True)
-
-    def _drop_old(self, name: str, version: int, touched: Sequence[int]) -> None:
-        versions = self._versions(name)
-        live = {v for b, vs in versions.items() for v in (vs if b not in touched else [v for v in vs if v >= version] + [v for v in vs if v < version][-1:])}
-        for b in touched:
-            for old in [v for v in versions.get(b, []) if v < version][:-1]:
-                system, target = self._hadoop(f"{self.folder}/{name}/v={old}" + (f"/__bucket={b}" if old in live else ""))
-                system.delete(target, True)
+MAX_ERRORS = 100
 
 
 def _start(source: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def apply_batch(current: DataFrame, batch: DataFrame, model: str, txn: str) -> tuple[DataFrame, DataFrame]:
-    """Current rows and new log rows (without ``_id``) of a batch of changes (``_id, _op, _at`` and data): of each row's changes the last counts.
+def replay(current: DataFrame, batch: DataFrame, model: str, txn: str, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """What a batch of changes (``_id, _op, _at`` and data) makes: changed rows with ``__gone``, and the entries of the
+    changelog (without ``_id``), one for each change that changed something.
 
-    upsert inserts unknown rows and updates known ones; delete removes them, and of changes at one time it comes first.
-    Rows of unknown ids to delete are ignored. ``current`` need hold no other rows than those that the batch may touch.
-    """
-    ranked = batch.withColumn("__rank", F.col("_op") == "delete")
-    last = sync.last_results(ranked, "_at", "__rank", key="_id").drop("__rank")
-    at = F.lit(batch.agg(F.max("_at")).first()[0]).cast("timestamp")
-    columns = ["_id", *history.data_columns(current)]
-    wanted = last.filter("_op = 'upsert'").select(*columns)
-    known = wanted.join(current.select("_id"), "_id", "left_semi")
-    added = history.insert(current, wanted.join(current.select("_id"), "_id", "left_anti"), model, txn, at)
-    changed = history.update(added.current, known, txn, at, "update")
-    gone = history.delete(changed.current, last.filter("_op = 'delete'").select("_id"), txn, at)
-    return gone.current, added.log.unionByName(changed.log).unionByName(gone.log)
-
-
-def stream_apply_changes(source: DataFrame, state: State, model: str, checkpoint: str) -> StreamingQuery:
-    """A stream of changes into a current table and its changelog (tables ``current`` and ``log`` of the state).
-
-    A batch rewrites the buckets of the rows it names and appends its part to the log.
+    A row's changes come in the order of ``_at``, then of the columns ``by``; at one place deletes come last, then the data
+    decides. upsert inserts an unknown row and replaces a known one's data; delete removes it; deletes of unknown rows and
+    upserts of what is there already change nothing. Each entry has its own change's time, and its revision is a hash of
+    model, row, time and data, so neither depends on how a stream was cut into batches, as long as time goes on from one
+    to the next. What a change meets is the change before it, or else the row in ``current``, which need hold no
+    others than those of the batch.
     """
+    columns = history.data_columns(current)
+    kinds = {c: current.schema[c].dataType for c in columns}
+    given = {}
+    for c, kind in kinds.items():
+        value = F.col(c).cast(kind) if c in batch.columns else F.lit(None).cast(kind)
+        given[c] = F.coalesce(value, F.array().cast(kind)) if isinstance(kind, T.ArrayType) else value
+    events = batch.select("_id", "_op", F.col("_at").cast("timestamp").alias("_at"), *[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)], *[v.alias(c) for c, v in given.items()])
+    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    order = Window.partitionBy("_id").orderBy("_at", *[f"__by{i}" for i in range(len(by))], F.col("_op") == "delete", text)
+    row = F.struct((F.col("_op") == "upsert").alias("there"), *columns)
+    placed = events.withColumns({"__n": F.row_number().over(order), "__before": F.lag(row).over(order)})
+    saved = current.select(F.col("_id").alias("__id"), F.struct(F.lit(True).alias("there"), *columns).alias("__saved"), F.col("_created").alias("__created"))
+    met = placed.join(saved, F.col("_id") == F.col("__id"), "left").withColumn("__before", F.when(F.col("__n") == 1, F.col("__saved")).otherwise(F.col("__before")))
+    there = F.coalesce(F.col("__before.there"), F.lit(False))
+    entries = [F.when(~F.col(c).eqNullSafe(F.when(there, F.col(f"__before.{c}"))), F.struct(F.lit(c).alias("key"), history.as_text(F.col(c), kinds[c]).alias("value"))) for c in columns]
+    patch = F.when(F.col("_op") == "upsert", F.map_from_entries(F.filter(F.array(*entries), lambda x: x.isNotNull()))).otherwise(F.create_map().cast("map<string,string>"))
+    met = met.withColumns({"__there": there, "__patch": patch})
+    action = F.when((F.col("_op") == "upsert") & ~F.col("__there"), "insert").when((F.col("_op") == "upsert") & (F.size("__patch") > 0), "update").when((F.col("_op") == "delete") & F.col("__there"), "delete")
+    data = F.to_json("__patch", {"ignoreNullFields": "false"})
+    logged = met.withColumn("action", action).withColumn("data", data)
+    logged = logged.withColumn("_revision", F.when(F.col("action").isNotNull(), history.stable_id("revision", F.lit(model), F.col("_id"), F.unix_micros("_at").cast("string"), F.col("action"), F.col("data"))))
+    kept = cut(logged.select("_id", "_op", "_at", "__n", "action", "data", "_revision", "__created", *columns))
+
+    effective = F.col("action").isNotNull()
+    last = F.max_by(F.struct("_op", *columns), "__n").alias("__last")
+    change = F.max_by(F.struct("_revision", F.when(F.col("action") != "insert", F.col("_at")).alias("_updated")), F.when(effective, F.col("__n"))).alias("__change")
+    made = F.max_by("_at", F.when(F.col("action") == "insert", F.col("__n"))).alias("__made")
+    ends = kept.groupBy("_id").agg(last, change, made, F.first("__created").alias("__created"), F.max(effective).alias("__any")).filter("__any")
+    rows = ends.select("_id", "__change.*", F.coalesce("__made", "__created").alias("_created"), *[F.col(f"__last.{c}").alias(c) for c in columns], (F.col("__last._op") == "delete").alias("__gone"))
+    log = kept.filter(effective).select("_revision", F.lit(txn).alias("_txn"), F.col("_id").alias("_rid"), F.col("_at").alias("datetime"), "action", "data")
+    return rows.select(*[F.col(c).cast(current.schema[c].dataType).alias(c) for c in current.columns], "__gone"), log
+
+
+def stream_apply_changes(source: DataFrame, state: State, model: str, checkpoint: str, by: Sequence[str] = ()) -> StreamingQuery:
+    """A stream of changes into a current table and its changelog (tables ``current`` and ``log`` of the state): :func:`replay`
+    of each batch. The log's ``_id`` go on without gaps, in the order of time inside a batch."""
 
     def step(batch: DataFrame, number: int) -> None:
-        touched = state.touched(F.col("_id"), batch)
-        if not touched:
-            return
-        current, rows = apply_batch(state.read("current", number, touched), batch, model, f"batch-{number}")
-        state.write("current", number, current, touched)
-        rows = history.numbered(rows, state.last("log", number).agg(F.coalesce(F.max("_id"), F.lit(0)).alias("__start")))
-        if not rows.isEmpty():  # so the last part always knows the last number
-            state.write("log", number, rows)
+        batch = batch.persist()
+        ids = cut(batch.select("_id").distinct())
+        if not ids.isEmpty():
+            rows, log = replay(state.read("current", number, ids), batch, model, f"batch-{number}", by)
+            state.write("current", number, rows)
+            start = state.spark.range(1).select(F.lit(state.rows_before("log", number)).cast("long").alias("__start"))
+            state.write("log", number, history.numbered(log, start))
+        batch.unpersist()
 
     return _start(source, step, checkpoint)
 
 
+def differences(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """The rows of ``after`` that ``before`` has not, and those that went, with ``__gone``."""
+    columns = after.columns
+    b = before.select(F.col(key).alias("__b"), F.struct(*columns).alias("__before"))
+    a = after.select(F.col(key).alias("__a"), F.struct(*columns).alias("__after"))
+    changed = a.join(b, F.col("__a") == F.col("__b"), "full_outer").filter(~F.col("__after").eqNullSafe(F.col("__before")))
+    return changed.select(F.coalesce("__after", "__before").alias("__row"), F.col("__after").isNull().alias("__gone")).select("__row.*", "__gone")
+
+
 def stream_keymap_sync(source: DataFrame, state: State, columns: Sequence[str], checkpoint: str) -> StreamingQuery:
     """A stream of changelog entries into the keymap (table ``keymap``); the checkpoint keeps the cursor."""
 
     def step(batch: DataFrame, number: int) -> None:
-        touched = state.touched(F.col("_rid"), batch)
-        synced, _ = keymap.sync(state.read("keymap", number, touched), batch, columns, cursor=-1)
-        if touched:
-            state.write("keymap", number, synced, touched)
+        ids = cut(batch.select("_rid").distinct())
+        if not ids.isEmpty():
+            known = state.read("keymap", number, ids)
+            synced, _ = keymap.sync(known, batch, columns, cursor=-1)
+            state.write("keymap", number, differences(known, synced, "key"))
 
     return _start(source, step, checkpoint)
 
@@ -195,23 +121,23 @@ def stream_push_delta(source: DataFrame, state: State, emit: Callable[[DataFrame
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        touched = state.touched(F.col(key), batch)
-        if not touched:
-            return
-        last = sync.last_results(batch, by, key=key).drop(by)
-        at = F.lit(batch.agg(F.max(by)).first()[0])
-        known = state.read("state", number, touched)
-        present = last.select(F.col(key).cast("string").alias("id"))
-        delta = sync.push_delta(last, known.join(present, "id", "left_semi"), key).filter("op in ('insert', 'patch')").persist()
-        came = emit(delta, number)
-        results = delta.withColumn("error", F.lit(False))
-        if came is not None:
-            came = came.select("id", F.col("error").alias("__error"), *([F.col("revision").alias("__revision")] if "revision" in came.columns else []))
-            results = delta.join(sync.last_results(came), "id", "left").withColumn("error", F.coalesce("__error", F.lit(False)))
-            if "__revision" in results.columns:
-                results = results.withColumn("revision", F.coalesce("__revision", "revision"))
-        state.write("state", number, sync.save_push_state(known, results.select("id", "op", "revision", "checksum", "error", "data"), at), touched)
-        delta.unpersist()
+        batch = batch.persist()
+        ids = cut(batch.select(F.col(key).cast("string").alias("id")).distinct())
+        if not ids.isEmpty():
+            last = sync.last_results(batch, by, key=key).drop(by)
+            at = F.lit(batch.agg(F.max(by)).first()[0])
+            known = cut(state.read("state", number, ids))
+            delta = cut(sync.push_delta(last, known, key).filter("op in ('insert', 'patch')"))
+            came = emit(delta, number)
+            results = delta.withColumn("error", F.lit(False))
+            if came is not None:
+                came = came.select("id", F.col("error").alias("__error"), *([F.col("revision").alias("__revision")] if "revision" in came.columns else []))
+                results = delta.join(sync.last_results(came), "id", "left").withColumn("error", F.coalesce("__error", F.lit(False)))
+                if "__revision" in results.columns:
+                    results = results.withColumn("revision", F.coalesce("__revision", "revision"))
+            saved = sync.save_push_state(known, results.select("id", "op", "revision", "checksum", "error", "data"), at)
+            state.write("state", number, differences(known, saved, "id"))
+        batch.unpersist()
 
     return _start(source, step, checkpoint)
 

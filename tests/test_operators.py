@@ -394,10 +394,27 @@ def test_stream_of_changes_equals_batch(spark, tmp_path):
     source = stream_of(spark, tmp_path, batches, schema)
     state = ST.State(spark, f"file://{tmp_path}/state", {"current": CURRENT, "log": H.LOG_SCHEMA})
     ST.stream_apply_changes(source, state, "m", f"file://{tmp_path}/check").awaitTermination()
-    current = {r["_id"]: r.name for r in state.read("current").collect()}
+    current = {r["_id"]: (r.name, r["_created"], r["_updated"]) for r in state.read("current").collect()}
     log = state.read("log").orderBy("_id").collect()
-    assert current == {"1": "a2", "3": "c"} and [r["_id"] for r in log] == [1, 2, 3, 4]
-    assert sorted((r["_rid"], r.action) for r in log) == [("1", "insert"), ("2", "delete"), ("2", "insert"), ("3", "insert")]
+    assert current == {"1": ("a2", at(1), at(2)), "3": ("c", at(3), None)} and [r["_id"] for r in log] == [1, 2, 3, 4, 5]
+    want = [("1", "insert", at(1), '{"name":"a","tags":"[\\"x\\"]"}'), ("2", "insert", at(1), '{"name":"b","tags":"[]"}'), ("1", "update", at(2), '{"name":"a2","tags":"[]"}'), ("2", "delete", at(3), "{}"), ("3", "insert", at(3), '{"name":"c","tags":"[]"}')]
+    assert sorted((r["_rid"], r.action, r.datetime, r.data) for r in log) == sorted(want)
+    revisions = {r["_rid"]: r["_revision"] for r in log}
+    assert {r["_id"]: r["_revision"] for r in state.read("current").collect()} == {k: revisions[k] for k in ("1", "3")}
+
+
+def test_replay_one_batch_of_many_changes(spark):
+    at = lambda n: datetime.datetime(2025, 1, 1, 0, n)
+    saved = spark.createDataFrame([("k", "r0", at(0), None, "old", ["t"]), ("q", "r0", at(0), None, "same", None)], CURRENT)
+    batch = [("a", "upsert", at(1), "x"), ("a", "upsert", at(2), "x"), ("a", "delete", at(3), None), ("a", "upsert", at(4), "y"), ("k", "upsert", at(1), "new"), ("k", "upsert", at(1), "newer"), ("k", "delete", at(1), None), ("z", "delete", at(1), None), ("q", "upsert", at(2), "same")]
+    rows, log = ST.replay(saved, spark.createDataFrame(batch, "_id string, _op string, _at timestamp, name string"), "m", "t")
+    found = sorted((r["_rid"], r.datetime, r.action, r.data) for r in log.collect())
+    assert found == sorted([
+        ("a", at(1), "insert", '{"name":"x","tags":"[]"}'), ("a", at(3), "delete", "{}"), ("a", at(4), "insert", '{"name":"y","tags":"[]"}'),
+        ("k", at(1), "update", '{"name":"new","tags":"[]"}'), ("k", at(1), "update", '{"name":"newer"}'), ("k", at(1), "delete", "{}"), ("q", at(2), "update", '{"tags":"[]"}'),
+    ])
+    assert {r["_id"]: (r.name, r["_created"], r["_updated"], r["__gone"]) for r in rows.collect() if not r["__gone"]} == {"a": ("y", at(4), None, False), "q": ("same", at(0), at(2), False)}
+    assert {r["_id"] for r in rows.collect() if r["__gone"]} == {"k"}
 
 
 def test_stream_of_keys_and_pushes(spark, tmp_path):
@@ -417,43 +434,95 @@ def test_stream_of_keys_and_pushes(spark, tmp_path):
     assert {r.id: r.error for r in state.read("state", before=1).collect()} == {"1": True, "2": False}
 
 
-def test_batches_write_what_they_touch(spark, tmp_path):
-    """Three batches of one row each after a large one: only the row's bucket and its part of the log are written."""
+def folder_bytes(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_batches_write_what_they_change(spark, tmp_path):
+    """A thousand random keys of a table of many are written as a thousand rows, and read from their buckets only."""
+    schema = "id long, value string"
+    state = ST.State(spark, f"file://{tmp_path}/state", {"t": schema}, logs=(), bucket_rows=10_000, small_rows=2_000, fanout=3)
+    rows = spark.range(60_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("value"))
+    state.write("t", 0, rows)
+    base = folder_bytes(tmp_path / "state/t")
+    state.merge("t")  # the latest run stays as it is
+    state.write("t", 1, rows.limit(5))
+    state.merge("t")
+    sizes = []
+    for n in range(2, 12):
+        keys = spark.range(1_000).select(((F.col("id") * 7919 + n * 31) % 60_000).alias("id")).distinct().checkpoint()
+        known = state.read("t", n, keys)
+        state.write("t", n, known.select("id", F.concat(F.lit(f"{n}:"), "value").alias("value"), (F.col("id") % 100 == n).alias("__gone")))
+        run = next(r for r in state.runs("t") if r.last == n)
+        assert run.first == n and run.rows == keys.count()
+        sizes.append(folder_bytes(tmp_path / f"state/t/r={n:09d}-{n:09d}"))
+    assert max(sizes) < base / 20 and max(sizes) < 1.5 * min(sizes)
+    assert len(state.runs("t")) <= 6 and [r.last for r in state.runs("t")][-1] == 11
+    expected = {i: None for i in range(60_000)}
+    gone = set()
+    for n in range(2, 12):
+        for i in {(j * 7919 + n * 31) % 60_000 for j in range(1_000)} - gone:
+            expected[i] = n
+            if i % 100 == n:
+                gone.add(i)
+    found = {r.id: r.value for r in state.read("t").collect()}
+    assert set(found) == set(expected) - gone and all((found[i][:3].split(":")[0] == str(expected[i])) == (expected[i] is not None) for i in list(found)[:5000])
+    state.write("t", 12, rows.limit(1))
+    state.merge("t")
+    merged = state.runs("t")[0]
+    assert merged.first == 0 and merged.buckets == 16
+    per = [spark.read.parquet(f"{merged.path}/{f.relative_to(tmp_path / f'state/t/{merged.path.rsplit(chr(47), 1)[1]}')}").count() for f in (tmp_path / f"state/t/{merged.path.rsplit('/', 1)[1]}").rglob("*.parquet")]
+    assert max(per) <= 10_000 and sum(per) == merged.rows
+    some = spark.createDataFrame([(5,), (77,)], "id long").checkpoint()
+    plan = state.read("t", None, some)
+    assert sorted(r.id for r in plan.collect()) == [5, 77]
+    opened = {f.split("__bucket=")[1].split("/")[0] for f in plan.inputFiles() if merged.path.split("file:")[-1].lstrip("/") in f}
+    assert len(opened) <= 16
+
+
+def test_batches_that_come_again(spark, tmp_path):
+    """A batch that runs again reads what it read and writes what it wrote; an unfinished run doesn't count."""
     schema = "_id string, _op string, _at timestamp, name string, tags array<string>"
     at = lambda n: datetime.datetime(2025, 1, 1, 0, n)
-    first = [(str(i), "upsert", at(0), f"n{i}", []) for i in range(300)]
-    batches = [first, *[[("7", "upsert", at(n), f"again{n}", [])] for n in (1, 2)], [("7", "delete", at(3), None, None)]]
-    state = ST.State(spark, f"file://{tmp_path}/state", {"current": CURRENT, "log": H.LOG_SCHEMA}, buckets=16)
+    batches = [[(str(i), "upsert", at(0), f"n{i}", []) for i in range(30)], [("7", "upsert", at(1), "again", []), ("8", "delete", at(1), None, None)]]
+    state = ST.State(spark, f"file://{tmp_path}/state", {"current": CURRENT, "log": H.LOG_SCHEMA})
     ST.stream_apply_changes(stream_of(spark, tmp_path, batches, schema), state, "m", f"file://{tmp_path}/check").awaitTermination()
-    buckets = lambda name, n: sorted(p.name for p in (tmp_path / "state" / name / f"v={n}").glob("__bucket=*"))
-    rows = [spark.read.schema(CURRENT).parquet(f"file://{tmp_path}/state/current/v={n}").count() for n in (2, 3)]
-    assert len(buckets("current", 0)) == 15 and buckets("current", 2) == buckets("current", 3) and len(buckets("current", 3)) == 1 and max(rows) < 60
-    assert not (tmp_path / "state/current/v=1").exists()  # the bucket's version before the last but one
-    assert [spark.read.parquet(f"file://{tmp_path}/state/log/v={n}").count() for n in range(4)] == [300, 1, 1, 1]
-    assert state.read("current").count() == 299 and sorted(r["_id"] for r in state.read("log").collect()) == list(range(1, 304))
-    assert state.read("current", before=3).filter("_id = '7'").first().name == "again2"
+    show = lambda: (sorted(map(str, state.read("current").collect())), sorted(map(str, state.read("log").collect())))
+    before = show()
+    assert len(before[0]) == 29 and len(before[1]) == 32
+    (tmp_path / "check/commits/1").unlink()  # as if the stream had failed before it could say that batch 1 was done
+    (tmp_path / "check/commits/.1.crc").unlink(missing_ok=True)
+    again = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    ST.stream_apply_changes(again, state, "m", f"file://{tmp_path}/check").awaitTermination()
+    assert show() == before
+    next((tmp_path / f"state/current/r={1:09d}-{1:09d}").glob("_DONE-*")).unlink()
+    assert state.read("current").count() == 30 and state.read("current", before=1).count() == 30
 
 
 def test_merged_logs_go_on(spark, tmp_path):
-    """Merging keeps all entries, leaves the last part to its batch, and the numbers go on behind it."""
+    """Merging keeps all entries, leaves the last run to its batch, and the numbers go on behind it."""
     schema = "_id string, _op string, _at timestamp, name string, tags array<string>"
     at = lambda n: datetime.datetime(2025, 1, 1, 0, n)
     batches = [[(str(n), "upsert", at(n), "x", [])] for n in range(4)]
-    state = ST.State(spark, f"file://{tmp_path}/state", {"current": CURRENT, "log": H.LOG_SCHEMA}, buckets=4)
+    state = ST.State(spark, f"file://{tmp_path}/state", {"current": CURRENT, "log": H.LOG_SCHEMA})
     run = lambda b: ST.stream_apply_changes(stream_of(spark, tmp_path, b, schema), state, "m", f"file://{tmp_path}/check").awaitTermination()
     numbers = lambda: sorted(r["_id"] for r in state.read("log").collect())
-    parts = lambda: sorted(p.name for p in (tmp_path / "state/log").iterdir())
+    parts = lambda: [(r.first, r.last) for r in state.runs("log")]
     state.merge("log")  # nothing there yet
     run(batches)
     state.merge("log")
-    assert parts() == ["c=2", "v=3"] and numbers() == [1, 2, 3, 4]
-    assert state.last("log", 3).count() == 3  # batch 3 again finds the number to go on from
+    assert parts() == [(0, 2), (3, 3)] and numbers() == [1, 2, 3, 4]
+    assert state.rows_before("log", 3) == 3  # batch 3 again finds the number to go on from
     run([[("9", "upsert", at(9), "y", [])], [("9", "delete", at(10), None, None)]])
     state.merge("log")
     state.merge("log")
-    assert parts()[0] == "c=4" and len(parts()) == 2 and numbers() == [1, 2, 3, 4, 5, 6]
+    assert parts() == [(0, 4), (5, 5)] and numbers() == [1, 2, 3, 4, 5, 6]
     with pytest.raises(TableError, match="merged"):
         state.read("log", 2)
+    many = ST.State(spark, f"file://{tmp_path}/many", {"log": "_id long"}, fanout=3, small_rows=4)
+    for n in range(20):
+        many.write("log", n, spark.range(n * 2, n * 2 + 2).toDF("_id"))
+    assert len(many.runs("log")) < 8 and sorted(r[0] for r in many.read("log").collect()) == list(range(40)) and many.rows_before("log", 19) == 38
 
 
 def test_properties():
