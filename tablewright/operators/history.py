@@ -7,13 +7,15 @@ hashes of what they name, so a task that runs twice gives the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.nested import resolve, value_of
 from ..model import RESERVED, Catalog, TableError
 from ..runtime import cut
 from .paging import latest_per_key
@@ -52,25 +54,31 @@ def build_patch(given: DataFrame, saved: DataFrame, action: str, defaults: Mappi
     insert and update fill absent columns by ``defaults`` or null; patch leaves them. Objects and lists are compared and
     replaced whole, a null list counts as empty. Nothing changed gives an empty patch.
     """
-    columns, defaults = data_columns(saved), dict(defaults or {})
-    absent = F.coalesce(F.col("g._absent"), F.array().cast("array<string>")) if "_absent" in given.columns else F.array().cast("array<string>")
     joined = given.alias("g").join(saved.alias("s"), F.col("g._id") == F.col("s._id"), "left")
+    return _compared(joined, given.columns, saved, action, defaults)
+
+
+def _compared(joined: DataFrame, given: Sequence[str], saved: DataFrame, action: str, defaults: Mapping[str, object] | None = None, ident: Column | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """:func:`build_patch` of rows that have a given row ``g`` and a saved one ``s`` side by side, or null for that."""
+    columns, defaults = data_columns(saved), dict(defaults or {})
+    absent = F.coalesce(F.col("g._absent"), F.array().cast("array<string>")) if "_absent" in given else F.array().cast("array<string>")
     found = F.col("s._id").isNotNull()
     values, entries = {}, []
     for c in columns:
         dtype, old = saved.schema[c].dataType, F.col(f"s.{c}")
         empty = F.array().cast(dtype) if isinstance(dtype, T.ArrayType) else F.lit(None).cast(dtype)
-        new = F.col(f"g.{c}") if c in given.columns else F.lit(None).cast(dtype)
+        new = F.col(f"g.{c}") if c in given else F.lit(None).cast(dtype)
         new = F.coalesce(new, empty) if isinstance(dtype, T.ArrayType) else new
-        missing = F.array_contains(absent, c) if c in given.columns else F.lit(True)
+        missing = F.array_contains(absent, c) if c in given else F.lit(True)
         filler = old if action == "patch" else F.lit(defaults[c]).cast(dtype) if c in defaults else empty
         value = F.when(missing, filler).otherwise(new)
         values[c] = value.alias(c)
         entries.append(F.when(~value.eqNullSafe(F.when(found, old).otherwise(F.lit(None).cast(dtype))), F.struct(F.lit(c).alias("key"), as_text(value, dtype).alias("value"))))
     patch = F.map_from_entries(F.filter(F.array(*entries), lambda x: x.isNotNull()))
     kept = [F.col(f"s.{c}").alias(c) for c in ("_created", "_revision", "_updated") if c in saved.columns]
-    asked = [F.col("g._revision").alias("_asked")] if "_revision" in given.columns else [F.lit(None).cast("string").alias("_asked")]
-    return joined.select(F.col("g._id").alias("_id"), found.alias("found"), patch.alias("_patch"), *values.values(), *kept, *asked)
+    asked = [F.col("g._revision").alias("_asked")] if "_revision" in given else [F.lit(None).cast("string").alias("_asked")]
+    ident = F.col("g._id") if ident is None else ident
+    return joined.select(ident.alias("_id"), found.alias("found"), patch.alias("_patch"), *values.values(), *kept, *asked, *also)
 
 
 def _log(patched: DataFrame, action: str | Column, txn: str, at: Column) -> DataFrame:
@@ -82,22 +90,43 @@ def _revision(txn: str) -> Column:
     return stable_id("revision", F.lit(txn), F.col("_id"), F.to_json("_patch"))
 
 
+def _once(given: DataFrame, *keys: Column) -> DataFrame:
+    """Given rows by key: the keys ``__k0, ...``, how many rows have them (``__given``) and one of them (``g``)."""
+    return given.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__given"), F.first(F.struct(*given.columns)).alias("g"))
+
+
+def _replaced(current: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table with the rows of these ids instead of its own."""
+    new = rows.select(F.col("_id").alias("__id"), F.struct(*current.columns).alias("__new"))
+    joined = current.join(new, F.col("_id") == F.col("__id"), "left")
+    return joined.select(*[F.when(F.col("__id").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in current.columns])
+
+
+def _as_rows(current: DataFrame, patched: DataFrame) -> DataFrame:
+    return patched.select(*[F.col(c).cast(current.schema[c].dataType).alias(c) for c in current.columns])
+
+
+def _inserted(current: DataFrame, given: DataFrame, model: str, txn: str, at: Column, defaults: Mapping[str, object] | None) -> Written:
+    """:func:`insert` with the new rows alone as ``current``."""
+    columns = data_columns(current)
+    if "_id" not in given.columns:
+        given = given.withColumn("_id", F.lit(None).cast("string"))
+    texts = [F.col(c).cast("string") if not isinstance(given.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType)) else F.to_json(c) for c in columns if c in given.columns]
+    named = given.withColumn("_id", F.coalesce("_id", stable_id(model, *texts)))
+    joined = _once(named, F.col("_id")).join(current.alias("s"), F.col("__k0") == F.col("s._id"), "left")
+    labelled = cut(_compared(joined, given.columns, current, "insert", defaults, also=["__given"]))
+    code = F.when(F.col("__given") > 1, "repeated").when(F.col("found"), "exists")
+    fresh = labelled.filter(code.isNull()).withColumn("_revision", _revision(txn)).withColumns({"_created": at, "_updated": F.lit(None).cast("timestamp")})
+    return Written(_as_rows(current, fresh), _log(fresh, "insert", txn, at), labelled.select("_id", code.alias("code")).filter("code is not null"))
+
+
 def insert(current: DataFrame, given: DataFrame, model: str, txn: str, at: Column, defaults: Mapping[str, object] | None = None) -> Written:
     """New rows; a missing ``_id`` is hashed from the data. An ``_id`` that exists is refused (``exists``).
 
     Several given rows of one ``_id`` are refused too (``repeated``).
     """
-    columns = data_columns(current)
-    if "_id" not in given.columns:
-        given = given.withColumn("_id", F.lit(None).cast("string"))
-    named = given.withColumn("_id", F.coalesce("_id", stable_id(model, *[F.col(c).cast("string") if not isinstance(given.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType)) else F.to_json(c) for c in columns if c in given.columns])))
-    repeated = named.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
-    errors = repeated.withColumn("code", F.lit("repeated"))
-    patched = build_patch(named.join(repeated, "_id", "left_anti"), current, "insert", defaults)
-    errors = errors.unionByName(patched.filter("found").select("_id", F.lit("exists").alias("code")))
-    fresh = patched.filter("not found").withColumn("_revision", _revision(txn)).withColumns({"_created": at, "_updated": F.lit(None).cast("timestamp")})
-    rows = fresh.select(*[F.col(c).cast(current.schema[c].dataType).alias(c) for c in current.columns])
-    return Written(current.unionByName(rows), _log(fresh, "insert", txn, at), errors)
+    added = _inserted(current, given, model, txn, at, defaults)
+    return Written(current.unionByName(added.current), added.log, added.errors)
 
 
 def drop_redirects(redirects: DataFrame, inserted: DataFrame) -> DataFrame:
@@ -111,39 +140,140 @@ def update(current: DataFrame, given: DataFrame, txn: str, at: Column, action: s
     So are all given rows of an ``_id`` that several of them have (``repeated``). An empty patch changes nothing and is
     not logged.
     """
-    repeated = given.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
-    patched = build_patch(given.join(repeated, "_id", "left_anti"), current, action, defaults)
+    joined = _once(given, F.col("_id")).join(current.alias("s"), F.col("__k0") == F.col("s._id"), "left")
+    return _updated(current, cut(_compared(joined, given.columns, current, action, defaults, also=["__given"])), txn, at, action)
+
+
+def _updated(current: DataFrame, labelled: DataFrame, txn: str, at: Column, action: str) -> Written:
+    """What compared rows make; ``__given`` is how many given rows meant the saved one, and ``__code`` what refuses them before."""
     conflict = F.col("found") & F.col("_asked").isNotNull() & (F.col("_asked") != F.col("_revision"))
-    errors = patched.filter(~F.col("found") | conflict).select("_id", F.when(F.col("found"), "conflict").otherwise("not-found").alias("code"))
-    errors = errors.unionByName(repeated.withColumn("code", F.lit("repeated")))
-    good = patched.filter(F.col("found") & ~F.coalesce(conflict, F.lit(False)) & (F.size("_patch") > 0)).withColumn("_revision", _revision(txn)).withColumn("_updated", at)
-    rows = good.select(*[F.col(c).cast(current.schema[c].dataType).alias(c) for c in current.columns])
-    untouched = current.join(good.select("_id"), "_id", "left_anti").select(*current.columns)
-    return Written(untouched.unionByName(rows), _log(good, action, txn, at), errors)
+    before = F.col("__code") if "__code" in labelled.columns else F.lit(None).cast("string")
+    code = F.when(before.isNotNull(), before).when(F.col("__given") > 1, "repeated").when(~F.col("found"), "not-found").when(conflict, "conflict")
+    good = labelled.filter(code.isNull() & (F.size("_patch") > 0)).withColumn("_revision", _revision(txn)).withColumn("_updated", at)
+    errors = labelled.select("_id", code.alias("code")).filter("code is not null")
+    return Written(_replaced(current, _as_rows(current, good)), _log(good, action, txn, at), errors)
+
+
+def _same(keys: Sequence[str], prefix: str, other: Callable[[int, str], Column]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"{prefix}{i}").eqNullSafe(other(i, k)) for i, k in enumerate(keys)])
 
 
 def upsert(current: DataFrame, given: DataFrame, keys: Sequence[str], model: str, txn: str, at: Column, defaults: Mapping[str, object] | None = None) -> Written:
     """By natural keys: no match inserts, one patches, several are refused (``multiple``).
 
     Keys that several given rows have are refused too (``repeated``, with the ``_id`` of the row that has them, if any).
-    A null in a key equals a null.
+    A null in a key equals a null. Given rows meet the table once, and only its rows with their keys are grouped.
     """
-    matches = current.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__n"), F.min("_id").alias("__id"))
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
-    counts = given.groupBy(*keys).agg(F.count(F.lit(1)).alias("__given")).join(matches, condition, "left")
-    found = counts.select(*[F.col(k).alias(f"__{k}") for k in keys], "__given", "__n", "__id")
-    rows = given.drop("_id").join(found, condition)
-    repeated = found.filter("__given > 1").select(F.col("__id").alias("_id"), F.lit("repeated").alias("code"))
-    rows = rows.filter("__given = 1")
     plain = [c for c in given.columns if c != "_id"]
-    added = insert(current, rows.filter("__n is null").select(*plain), model, txn, at, defaults)
-    patched = update(added.current, rows.filter("__n = 1").select(F.col("__id").alias("_id"), *plain), txn, at, "patch")
-    several = rows.filter("__n > 1").select(F.col("__id").alias("_id"), F.lit("multiple").alias("code"))
-    errors = added.errors.unionByName(patched.errors).unionByName(several).unionByName(repeated)
-    return Written(patched.current, added.log.unionByName(patched.log), errors)
+    asked = _once(given.select(*plain), *[F.col(k) for k in keys])
+    hit = current.join(asked.select(*[F.col(f"__k{i}").alias(f"__q{i}") for i in range(len(keys))]), _same(keys, "__q", lambda i, k: F.col(k)), "left_semi")
+    saved = hit.groupBy(*[F.col(k).alias(f"__m{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__n"), F.min("_id").alias("__least"), F.first(F.struct(*current.columns)).alias("s"))
+    met = cut(asked.join(saved, _same(keys, "__k", lambda i, k: F.col(f"__m{i}")), "left"))
+    code = F.when(F.col("__given") > 1, "repeated").when(F.col("__n") > 1, "multiple")
+    added = _inserted(current, met.filter(code.isNull() & F.col("__n").isNull()).select("g.*"), model, txn, at, defaults)
+    known = _compared(met.filter(code.isNull() & (F.col("__n") == 1)), plain, current, "patch", defaults, F.col("s._id"), ["__given"])
+    patched = _updated(current, known, txn, at, "patch")
+    errors = met.select(F.col("__least").alias("_id"), code.alias("code")).filter("code is not null")
+    return Written(patched.current.unionByName(added.current), added.log.unionByName(patched.log), errors.unionByName(added.errors).unionByName(patched.errors))
+
+
+#: Most shapes of predicates that one batch of rows may bring.
+MAX_SHAPES = 100
+#: Most given rows without an equality in their predicate; each of them meets every row.
+MAX_LOOSE = 1_000
+_OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
+    "eq": lambda c, v: c.eqNullSafe(v),
+    "ne": lambda c, v: F.when(v.isNull(), c.isNotNull()).otherwise(c != v),
+    "lt": lambda c, v: c < v,
+    "le": lambda c, v: c <= v,
+    "gt": lambda c, v: c > v,
+    "ge": lambda c, v: c >= v,
+    "startswith": lambda c, v: c.startswith(v),
+    "contains": lambda c, v: F.contains(c, v),
+}
+
+
+def match_where(current: DataFrame, given: DataFrame) -> DataFrame:
+    """Given rows with what their own predicates find: ``__row, g, s, __bad, __by_id``, a row for each hit, ``s`` null without one.
+
+    ``_where`` is a list of ``path, op, value`` (texts) that all must hold; ``eq`` and ``ne`` take null as a value. Rows are
+    grouped by the shape of their predicate, the paths and operators. Of each shape the equalities are the keys of one
+    join and the rest its residual condition; rows without equality are broadcast if they are few, else refused whole.
+    ``__bad`` marks values that aren't of their column's type, which find nothing.
+    """
+    rows = cut(given.withColumn("__row", F.monotonically_increasing_id()))
+    shape = F.array_join(F.transform("_where", lambda x: F.concat_ws(" ", x["op"], x["path"])), "\n")
+    rows = rows.withColumn("__shape", F.coalesce(shape, F.lit("")))
+    shapes = [r[0] for r in rows.select("__shape").distinct().limit(MAX_SHAPES + 1).collect()]
+    if len(shapes) > MAX_SHAPES:
+        raise TableError(f"more than {MAX_SHAPES} shapes of predicates")
+    out: DataFrame | None = None
+    for text in shapes:
+        part, terms = rows.filter(F.col("__shape") == text), [line.split(" ", 1) for line in text.split("\n")] if text else []
+        conditions, bad, keyed = [], F.lit(False), False
+        values: dict[str, Column] = {}
+        for i, (op, path) in enumerate(terms):
+            if op not in _OPERATORS:
+                raise TableError(f"unknown operator {op}")
+            leaf = resolve(current, path)
+            if "[]" in leaf.steps or isinstance(leaf.dtype, (T.StructType, T.ArrayType, T.MapType)):
+                raise TableError(f"{path} isn't a single value")
+            raw = F.get("_where", F.lit(i))["value"]
+            values[f"__v{i}"] = raw.try_cast(leaf.dtype)
+            bad = bad | (raw.isNotNull() & raw.try_cast(leaf.dtype).isNull())
+            conditions.append(_OPERATORS[op](value_of(leaf.steps), F.col(f"__v{i}")))
+            keyed = keyed or op == "eq"
+        asked = part.select("__row", F.struct(*given.columns).alias("g"), bad.alias("__bad"), F.lit(any(path == "_id" and op == "eq" for op, path in terms)).alias("__by_id"), *[v.alias(k) for k, v in values.items()])
+        if not keyed:
+            if asked.limit(MAX_LOOSE + 1).count() > MAX_LOOSE:
+                raise TableError(f"more than {MAX_LOOSE} rows have no equality in their predicate")
+            asked = F.broadcast(asked)
+        condition = reduce(lambda a, b: a & b, conditions, ~F.col("__bad"))
+        saved = current.withColumn("s", F.struct(*current.columns))
+        hits = saved.join(asked, condition).select("__row", "s")
+        met = asked.select("__row", "g", "__bad", "__by_id").join(hits, "__row", "left")
+        out = met if out is None else out.unionByName(met)
+    return out if out is not None else rows.select("__row", F.struct(*given.columns).alias("g"), F.lit(None).cast(current.schema).alias("s"), F.lit(False).alias("__bad"), F.lit(False).alias("__by_id")).limit(0)
+
+
+def _wanted_id() -> Column:
+    """The id that a predicate asks for, if any."""
+    return F.get(F.filter("g._where", lambda x: (x["path"] == "_id") & (x["op"] == "eq")), F.lit(0))["value"]
+
+
+def update_where(current: DataFrame, given: DataFrame, txn: str, at: Column, action: str = "patch", defaults: Mapping[str, object] | None = None) -> Written:
+    """Like :func:`update`, each given row for all rows that its ``_where`` finds (:func:`match_where`).
+
+    Refused are predicates by ``_id`` that find nothing (``not-found``), values of a wrong type (``invalid``), other revisions
+    (``conflict``) and rows that several given ones find (``repeated``). Other predicates that find nothing do nothing.
+    """
+    plain = [c for c in given.columns if c not in ("_id", "_where")]
+    met = match_where(current, given).filter("s is not null or __bad or __by_id")
+    counts = met.filter("s is not null").groupBy(F.col("s._id").alias("__hit")).agg(F.count(F.lit(1)).alias("__given"))
+    met = met.join(counts, F.col("s._id") == F.col("__hit"), "left").withColumn("__code", F.when(F.col("__bad"), "invalid"))
+    labelled = cut(_compared(met, plain, current, action, defaults, F.coalesce(F.col("s._id"), _wanted_id()), ["__given", "__code"]))
+    done = _updated(current, labelled, txn, at, action)
+    return done._replace(errors=done.errors.distinct())
+
+
+def upsert_where(current: DataFrame, given: DataFrame, model: str, txn: str, at: Column, defaults: Mapping[str, object] | None = None) -> Written:
+    """Like :func:`upsert`, by each given row's own ``_where``: no hit inserts, one patches, several are refused (``multiple``).
+
+    A row that several given ones find is refused for all of them (``repeated``), a value of a wrong type too (``invalid``).
+    """
+    plain = [c for c in given.columns if c not in ("_id", "_where")]
+    met = match_where(current, given)
+    per = met.groupBy("__row").agg(F.count("s").alias("__n"), F.first("g").alias("g"), F.first("s").alias("s"), F.first("__bad").alias("__bad"))
+    counts = met.filter("s is not null").groupBy(F.col("s._id").alias("__hit")).agg(F.count(F.lit(1)).alias("__given"))
+    met = cut(per.join(counts, F.col("s._id") == F.col("__hit"), "left"))
+    code = F.when(F.col("__bad"), "invalid").when(F.col("__n") > 1, "multiple")
+    new = met.filter(code.isNull() & (F.col("__n") == 0)).select("g.*").drop("_where")
+    added = _inserted(current, new, model, txn, at, defaults)
+    known = _compared(met.filter(code.isNull() & (F.col("__n") == 1)), plain, current, "patch", defaults, F.col("s._id"), ["__given"])
+    patched = _updated(current, known, txn, at, "patch")
+    errors = met.select(F.coalesce(F.col("s._id"), _wanted_id()).alias("_id"), code.alias("code")).filter("code is not null")
+    errors = errors.unionByName(added.errors).unionByName(patched.errors.distinct())
+    return Written(patched.current.unionByName(added.current), added.log.unionByName(patched.log), errors)
 
 
 def delete(current: DataFrame, ids: DataFrame, txn: str, at: Column) -> Written:

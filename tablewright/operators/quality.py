@@ -148,15 +148,25 @@ def detect_pii(df: DataFrame, threshold: float = 0.5, today: Column | None = Non
     """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     tests = {"id": lambda c: is_national_id(c, today), "email": lambda c: c.rlike(EMAIL), "phone": lambda c: c.rlike(PHONE)}
-    shares = []
-    for i, name in enumerate(names):
-        left = F.col(f"`{name}`")
+    classes = {}
+    for i, name in enumerate(names):  # each cell is put in its class once; only classes are counted
+        cell = F.col(f"`{name}`")
+        kind = F.when(cell.isNull(), F.lit(None).cast("string"))
         for k, test in tests.items():
-            fits = test(left)
-            shares.append(F.avg(F.when(left.isNotNull(), fits.cast("double"))).alias(f"{i}_{k}"))
-            left = F.when(~fits, left)
-    one = df.agg(*shares)
-    rows = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), *[F.col(f"{i}_{k}").alias(k) for k in tests]) for i, n in enumerate(names)])))
+            kind = kind.when(test(cell), F.lit(k))
+        classes[f"c{i}"] = kind.otherwise("none").alias(f"c{i}")
+    counts = [F.sum((F.col(c) == k).cast("long")).alias(f"{c}_{k}") for c in classes for k in (*tests, "none")]
+    one = df.select(*classes.values()).agg(*counts)
+    rows = []
+    for c, name in zip(classes, names, strict=True):
+        left = list((*tests, "none"))
+        shares = []
+        for k in tests:
+            total = sum((F.col(f"{c}_{x}") for x in left[1:]), F.col(f"{c}_{left[0]}"))
+            shares.append(F.when(total > 0, F.col(f"{c}_{k}").cast("double") / total).alias(k))
+            left.remove(k)
+        rows.append(F.struct(F.lit(name).alias("column"), *shares))
+    rows = one.select(F.inline(F.array(*rows)))
     uri = F.lit(None).cast("string")
     for k in tests:
         uri = F.when(F.col(k) > threshold, F.lit(URIS[k])).otherwise(uri)

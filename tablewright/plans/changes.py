@@ -204,6 +204,69 @@ def upsert(spark, sf):
     return out.current.select("no", "name").unionByName(refused).groupBy("no", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _term(path, op, value):
+    return F.struct(F.lit(path).alias("path"), F.lit(op).alias("op"), value.cast("string").alias("value"))
+
+
+def _by_predicate(spark, sf):
+    """Changes that say by a predicate of their own what they mean: a number, a nation and a lowest balance, a name's beginning and a range of numbers."""
+    k = F.col("c_custkey")
+    customers, nations = table(spark, sf, "customer"), table(spark, sf, "nation")
+    one = customers.filter(k % 4 == 0).select(F.array(_term("no", "eq", k)).alias("_where"), F.concat("c_name", F.lit("!")).alias("name"))
+    many = nations.select(F.array(_term("nation", "eq", F.col("n_nationkey")), _term("balance", "ge", F.lit(9000)), _term("no", "ne", F.lit(1))).alias("_where"), F.col("n_name").alias("name"))
+    few = nations.filter("n_nationkey < 3").select(F.array(_term("name", "startswith", F.lit("Customer")), _term("no", "gt", F.col("n_nationkey") * 40), _term("no", "le", F.col("n_nationkey") * 40 + 5), _term("no", "lt", F.lit(100))).alias("_where"), F.lit("few").alias("name"))
+    gone = nations.filter("n_nationkey between 1 and 3").select(F.array(_term("_id", "eq", -F.col("n_nationkey"))).alias("_where"), F.lit("unknown").alias("name"))
+    bad = nations.filter("n_nationkey = 5").select(F.array(_term("no", "eq", F.lit("five"))).alias("_where"), F.lit("bad").alias("name"))
+    return one, many, few, gone, bad
+
+
+#: The same hits in SQL: each given row with each customer that it means.
+HITS = """
+WITH hit AS (
+  SELECT c_custkey AS k, c_name || '!' AS name FROM customer WHERE c_custkey % 4 = 0
+  UNION ALL SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 9000 AND c_custkey <> 1
+  UNION ALL SELECT c_custkey, 'few' FROM customer, range(3) t(n) WHERE c_name LIKE 'Customer%' AND c_custkey > n * 40 AND c_custkey <= n * 40 + 5 AND c_custkey < 100
+), per AS (SELECT k, count(*) AS n, min(name) AS name FROM hit GROUP BY k)
+"""
+
+
+@query(HITS + """
+SELECT c_custkey::VARCHAR AS _id, CASE WHEN n = 1 THEN per.name ELSE c_name END AS name, CASE WHEN n > 1 THEN 'repeated' END AS code FROM customer LEFT JOIN per ON c_custkey = k
+UNION ALL SELECT '-' || n, NULL, 'not-found' FROM range(1, 4) t(n) UNION ALL SELECT NULL, NULL, 'invalid'
+""")
+def update_where(spark, sf):
+    """Rows that change by predicates of three shapes and more, many hits each; what none or several mean is refused."""
+    given = None
+    for part in _by_predicate(spark, sf):
+        given = part if given is None else given.unionByName(part)
+    out = H.update_where(_current(spark, sf), given, "t1", _now())
+    found = out.current.select("_id", "name").join(out.errors, "_id", "left").select("_id", "name", "code")
+    return found.unionByName(out.errors.filter("code <> 'repeated'").select("_id", F.lit(None).cast("string").alias("name"), "code"))
+
+
+@query("""
+WITH g AS (SELECT c_custkey AS k, c_name, c_nationkey, c_acctbal, c_custkey % 4 AS r FROM customer WHERE c_custkey % 4 < 3),
+hit AS (
+  SELECT g.k AS given, c.c_custkey AS k FROM g JOIN customer c ON r = 0 AND c.c_custkey = g.k
+  UNION ALL SELECT g.k, c.c_custkey FROM g JOIN customer c ON r = 1 AND c.c_nationkey = g.c_nationkey AND c.c_acctbal >= g.c_acctbal AND c.c_acctbal < g.c_acctbal + 200
+  UNION ALL SELECT g.k, c.c_custkey FROM g JOIN customer c ON r = 2 AND c.c_custkey = g.k + 10000000
+), n AS (SELECT given, count(*) AS n, min(k) AS k FROM hit GROUP BY given), m AS (SELECT k, count(DISTINCT given) AS n FROM hit GROUP BY k),
+judged AS (SELECT g.k, r, coalesce(n.n, 0) AS n, n.k AS hit, m.n AS given FROM g LEFT JOIN n ON g.k = n.given LEFT JOIN m ON n.k = m.k)
+SELECT c_custkey AS no, CASE WHEN EXISTS (SELECT 1 FROM judged j WHERE j.n = 1 AND j.given = 1 AND j.hit = c_custkey) THEN 'changed' ELSE c_name END AS name, 1::BIGINT AS n FROM customer
+UNION ALL SELECT k + 10000000, 'changed', 1 FROM judged WHERE n = 0
+UNION ALL SELECT -1, code, count(*) FROM (SELECT CASE WHEN n > 1 THEN 'multiple' END AS code FROM judged UNION ALL SELECT DISTINCT CASE WHEN n = 1 AND given > 1 THEN 'repeated ' || hit END FROM judged) WHERE code IS NOT NULL GROUP BY code
+""")
+def upsert_where(spark, sf):
+    """By predicates of three shapes: none found inserts, one patches, several are refused, and so is a row that several mean."""
+    k, rest = F.col("c_custkey"), F.col("c_custkey") % 4
+    balance = F.col("c_acctbal").cast("decimal(20,2)")
+    shapes = F.when(rest == 0, F.array(_term("no", "eq", k))).when(rest == 1, F.array(_term("nation", "eq", F.col("c_nationkey")), _term("balance", "ge", balance), _term("balance", "lt", balance + 200))).when(rest == 2, F.array(_term("_id", "eq", k + 10_000_000)))
+    given = table(spark, sf, "customer").filter(rest < 3).select(shapes.alias("_where"), F.lit("changed").alias("name"), F.when(rest == 2, k + 10_000_000).alias("no"), F.when(rest != 2, F.array(F.lit("no"))).otherwise(F.array().cast("array<string>")).alias("_absent"))
+    out = H.upsert_where(_current(spark, sf), given, "customer", "t1", _now())
+    refused = out.errors.select(F.lit(-1).alias("no"), F.when(F.col("code") == "multiple", F.col("code")).otherwise(F.concat_ws(" ", "code", "_id")).alias("name"))
+    return out.current.select("no", "name").unionByName(refused).groupBy("no", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT c_custkey::VARCHAR AS _id FROM customer WHERE c_custkey % 3 <> 0")
 def delete_rows(spark, sf):
     """Without the deleted rows."""

@@ -367,6 +367,28 @@ def test_moves_that_are_refused(spark):
     assert [r.up for r in out["n"].df.orderBy("id").collect()] == list("abcdef") + ["c", "c"]
 
 
+def test_writes_by_predicate(spark):
+    at = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    schema = "_id string, _revision string, _created timestamp, _updated timestamp, name string, n int, o struct<x:int>"
+    current = spark.createDataFrame([(str(i), "r", None, None, f"n{i % 3}" if i else None, i, (i % 2,)) for i in range(6)], schema)
+    where = "_where array<struct<path:string,op:string,value:string>>, n int, _revision string"
+    given = lambda *rows: spark.createDataFrame(list(rows), where)
+    show = lambda w: ({r["_id"]: r.n for r in w.current.collect()}, sorted((r["_id"] or "", r.code) for r in w.errors.collect()), w.log.count())
+    run = lambda *rows: show(H.update_where(current, given(*rows), "t", at))
+    plain = {str(i): i for i in range(6)}
+    assert run(([("name", "eq", "n1")], 100, None)) == (plain | {"1": 100, "4": 100}, [], 2)
+    assert run(([("o.x", "eq", "1"), ("n", "gt", "2")], 7, None), ([("name", "eq", None)], 8, None)) == (plain | {"3": 7, "5": 7, "0": 8}, [], 3)
+    assert run(([("n", "lt", "2")], 9, None), ([("n", "ge", "1"), ("n", "le", "2")], 9, None)) == (plain | {"0": 9, "2": 9}, [("1", "repeated")], 2)
+    assert run(([("_id", "eq", "2")], 9, "other"), ([("_id", "eq", "77")], 9, None), ([("n", "eq", "x")], 9, None), ([("name", "eq", "none")], 9, None)) == (plain, [("", "invalid"), ("2", "conflict"), ("77", "not-found")], 0)
+    assert run(([("name", "ne", None), ("name", "contains", "2")], 5, None)) == (plain | {"2": 5}, [], 1) and run() == (plain, [], 0)
+    for bad in ([("n", "like", "2")], [("o", "eq", "2")], [("nothing", "eq", "2")]):
+        with pytest.raises(TableError):
+            run((bad, 1, None))
+    put = lambda *rows: show(H.upsert_where(current, given(*rows).drop("_revision"), "m", "t", at))
+    after, errors, logged = put(([("n", "eq", "3")], 33, None), ([("n", "eq", "50")], 50, None), ([("name", "eq", "n1")], 1, None), ([("_id", "eq", "5"), ("n", "lt", "9")], 5, None))
+    assert sorted(after.values()) == [0, 1, 2, 4, 5, 33, 50] and errors == [("1", "multiple")] and logged == 2
+
+
 def test_jdbc(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
