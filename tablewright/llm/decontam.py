@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, unused
 
 #: Token offsets that each mask keeps. A substitution at a skipped offset leaves the hash as it is. Agreement that holds
 #: none of the three (no 111, 1101 or 1011) is at most every second token plus one or two at the ends, which is below
@@ -109,6 +109,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, least
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, least: int = LEAST) -> DataFrame:
-    """The rows of ``docs`` whose own text leaks nothing, whatever other rows of their id (or without one) hold."""
-    bad = _judged(docs, benchmark, overlap, least).select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(small(cut(bad)), F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    """The rows of ``docs`` whose own text leaks nothing, whatever other rows of their id (or without one) hold, with all
+    their columns, whatever their names.
+    """
+    of_doc, of_text = unused(docs, "__bad", "__hash")
+    bad = _judged(docs, benchmark, overlap, least).select(F.col("doc_id").alias(of_doc), F.col("text_hash").alias(of_text)).distinct()
+    return docs.join(small(cut(bad)), F.col("doc_id").eqNullSafe(F.col(of_doc)) & (F.xxhash64("text") == F.col(of_text)), "left_anti")

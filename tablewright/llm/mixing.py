@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, small
+from .common import cut, n_words, small, unused
 
 SEED = "mix-1"
 MOST = 3
@@ -53,7 +53,8 @@ def draw(doc_id: Column, size: Column, seed: str = SEED) -> Column:
 
 
 def plan_copies(docs: DataFrame, weighted: DataFrame | None = None, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``mix_size, mix_source_size, mix_target, mix_rate, mix_copies``; columns so named are replaced.
+    """``docs`` with ``mix_size, mix_source_size, mix_target, mix_rate, mix_copies``; columns so named are replaced, all others
+    stay as they are, whatever their names.
 
     ``weighted`` has ``source, source_size, weight``; by default :func:`cyclic_weights` of the documents themselves.
     A null text has size 0, a source without words has target and rate 0, and repeated rows draw alike. An empty
@@ -62,9 +63,10 @@ def plan_copies(docs: DataFrame, weighted: DataFrame | None = None, most: float
     """
     added = ("mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
     plan = cut(targets(weighted if weighted is not None else cyclic_weights(source_sizes(docs)), most))
-    per_source = small(plan).select(F.col("source").alias("__source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
+    (named,) = unused(docs, "__source")
+    per_source = small(plan).select(F.col("source").alias(named), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
     rows = docs.drop(*added).withColumn("mix_size", n_words(F.col("text")))
-    rows = rows.join(per_source, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    rows = rows.join(per_source, F.col("source").eqNullSafe(F.col(named)), "left").drop(named)
     whole = F.floor("mix_rate")
     extra = (draw(F.col("doc_id"), F.col("mix_size"), seed) < F.col("mix_rate") - whole).cast("long")
     return rows.withColumn("mix_copies", whole.cast("long") + extra)

@@ -9,9 +9,9 @@
    signatures by counting equal bits, may reach the threshold are confirmed on the full sets, and a task emits only which
    classes its links connect. Clusters beyond a block's size are dealt out in blocks, each with a few well connected
    pivots, which joins groups of true copies.
-4. What such a cluster has not joined then meets by prefixes: with the shingles of every set in one order, common ones last,
-   two sets of the wanted similarity share one of their first few, at places that leave room for the shared rest. Pages
-   of one template, far from each other, share none there and cost nothing more. Pairs that pass the estimate are
+4. What such a cluster has not joined then meets by prefixes: with the shingles of every set in one order, those that most
+   sets of the cluster hold last, two sets of the wanted similarity share one of their first few, at places that leave
+   room for the shared rest. Pages of one template or section, far from each other, share none there and cost nothing more. Pairs that pass the estimate are
    confirmed on the full sets. So no link of a cluster is lost, in bounded tasks.
 """
 
@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, small, written
+from .common import WordHashes, cut, small, unused, written
 
 WORDS = 5
 PERCENT = 80
@@ -263,49 +263,65 @@ def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(scan, "node long, set_key binary, shingles binary").dropDuplicates(["node", "set_key"])
 
 
-def _each_shingle(rows: DataFrame) -> DataFrame:
-    """``cluster, shingle`` for every shingle of every row."""
+def _part_shingles(rows: DataFrame) -> DataFrame:
+    """``cluster, part, shingle, sets``: every shingle of a part's sets once, with how many of them hold it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: tuple[int, int] | None = None
+        held: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            each, sets = np.unique(np.concatenate(held), return_counts=True)
+            columns = [pa.repeat(pa.scalar(of[0], pa.int64()), len(each)), pa.repeat(pa.scalar(of[1], pa.int32()), len(each)), pa.array(each), pa.array(sets.astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, names=["cluster", "part", "shingle", "sets"])
+
         for batch in batches:
-            for cluster, each in zip(*batch.columns, strict=True):
-                each = np.frombuffer(each.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.repeat(cluster, len(each)), pa.array(each)], names=["cluster", "shingle"])
+            for cluster, part, each in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of is not None and of != (cluster, part):
+                    yield close()
+                    held = []
+                of = (cluster, part)
+                held.append(np.frombuffer(each, np.int64))
+        if of is not None:
+            yield close()
 
-    return rows.select("cluster", "shingles").mapInArrow(scan, "cluster long, shingle long")
+    placed = rows.select("cluster", "part", "shingles").repartition("cluster", "part").sortWithinPartitions("cluster", "part")
+    return placed.mapInArrow(scan, "cluster long, part int, shingle long, sets long")
 
 
 def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
     """``cluster, shingle, number, label, size, indexed, behind``: the first shingles of every set, ``behind`` those from there on.
 
-    In a cluster's order its common shingles come last, by how many sets of its first two parts hold them, all others
-    before them by value. Any order would do; this one keeps what a template has in common out of the prefixes.
+    In a cluster's order shingles come by how many of its sets hold them, then by value: rare ones first. Any order would
+    do; this one keeps out of the prefixes what a template, or a section of it, has in common. Holders are counted over
+    the whole cluster, each part's own counts first, and a part gets those of its own shingles that several sets hold,
+    no more than the part's block has.
     """
-    held = _each_shingle(rows.filter("part < 2")).groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
-    order = held.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("holders", "shingle"))), lambda x: x["shingle"]).alias("common"))
-    parts = rows.select("cluster", "part").distinct().join(order, "cluster")
+    held = _part_shingles(rows).withColumn("holders", F.sum("sets").over(Window.partitionBy("cluster", "shingle"))).filter("holders > 1")
+    parts = held.groupBy("cluster", "part").agg(F.array_sort(F.collect_list(F.struct("shingle", "holders"))).alias("common"))
     nothing = [F.lit(None).cast("long").alias(c) for c in ("number", "label")]
     first = parts.select("cluster", "part", *nothing, F.lit(None).cast("binary").alias("shingles"), "common")
-    sets = rows.select("cluster", "part", "number", "label", "shingles", F.lit(None).cast("array<long>").alias("common"))
+    sets = rows.select("cluster", "part", "number", "label", "shingles", F.lit(None).cast("array<struct<shingle:bigint,holders:bigint>>").alias("common"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, common, rank = None, np.empty(0, np.int64), np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
+        of, common, holders = None, none, none
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for cluster, number, label, each, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            listed = batch.column(5)
+            for i, (cluster, part, number, label, each) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True)):
                 if each is None:
-                    by_rank = np.array(listed, np.int64)
-                    rank = np.argsort(by_rank)
-                    of, common = cluster, by_rank[rank]
+                    entries = listed[i].values  # sorted by shingle
+                    of, common, holders = (cluster, part), entries.field(0).to_numpy(), entries.field(1).to_numpy()
                     continue
-                if of != cluster:
-                    of, common, rank = cluster, np.empty(0, np.int64), np.empty(0, np.int64)
+                if of != (cluster, part):
+                    of, common, holders = (cluster, part), none, none
                 each = np.frombuffer(each, np.int64)
                 size = len(each)
-                late = np.full(size, -1)
+                late = np.ones(size, np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, each), len(common) - 1)
-                    late = np.where(common[at] == each, rank[at], -1)
+                    late = np.where(common[at] == each, holders[at], 1)
                 probed = size - -(-size * percent // 100) + 1
                 indexed = size - -(-2 * size * percent // (100 + percent)) + 1
                 chosen = each[np.lexsort((each, late))[:probed]]
@@ -316,7 +332,7 @@ def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["cluster", "shingle", "number", "label", "size", "indexed", "behind"])
 
     dealt = first.unionByName(sets).repartition("cluster", "part").sortWithinPartitions("cluster", "part", "number")
-    wanted = dealt.select("cluster", "number", "label", "shingles", "common")
+    wanted = dealt.select("cluster", "part", "number", "label", "shingles", "common")
     return wanted.mapInArrow(scan, "cluster long, shingle long, number long, label long, size long, indexed boolean, behind long")
 
 
@@ -417,21 +433,23 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     An id's further texts are judged on their own: all but the one of the smallest hash get a number of their own, 2^62
     or more, so they give way to documents of smaller ids. Only ids are joined: what goes is broadcast if it is small,
-    and texts are dealt out anew only if ids repeat.
+    and texts are dealt out anew only if ids repeat. All columns stay, whatever their names.
     """
     repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeated.isEmpty():
+        (gone_,) = unused(docs, "__gone")
         judged = near_duplicates(docs, words, percent)
-        gone = small(cut(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()))
-        return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+        gone = small(cut(judged.filter(~F.col("kept")).select(F.col("doc_id").alias(gone_)).distinct()))
+        return docs.join(gone, F.col("doc_id") == F.col(gone_), "left_anti")
     text_hash = F.xxhash64("text")
-    firsts = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(text_hash).alias("__first"), F.max(text_hash).alias("__last"))
-    firsts = small(cut(firsts.filter("__first < __last").select(F.col("doc_id").alias("__id"), "__first")))
+    firsts = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(text_hash).alias("first"), F.max(text_hash).alias("last"))
+    of_id, of_first, of_node, gone_ = unused(docs, "__id", "__first", "__node", "__gone")
+    firsts = small(cut(firsts.filter("first < last").select(F.col("doc_id").alias(of_id), F.col("first").alias(of_first))))
     own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
-    node = F.when(F.col("__first") != text_hash, own).otherwise(F.col("doc_id").cast("long"))
-    named = docs.join(firsts, F.col("doc_id") == F.col("__id"), "left").withColumn("__node", node).drop("__id", "__first")
-    judged = near_duplicates(named.select(F.col("__node").alias("doc_id"), "text"), words, percent)
-    gone = small(cut(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()))
-    out = named.join(gone, F.col("__node") == F.col("__gone"), "left_anti")
+    node = F.when(F.col(of_first) != text_hash, own).otherwise(F.col("doc_id").cast("long"))
+    named = docs.join(firsts, F.col("doc_id") == F.col(of_id), "left").withColumn(of_node, node).drop(of_id, of_first)
+    judged = near_duplicates(named.select(F.col(of_node).alias("doc_id"), "text"), words, percent)
+    gone = small(cut(judged.filter(~F.col("kept")).select(F.col("doc_id").alias(gone_)).distinct()))
+    out = named.join(gone, F.col(of_node) == F.col(gone_), "left_anti")
     unnamed = out.filter(F.col("doc_id").isNull())
-    return out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["__node"]).unionByName(unnamed).drop("__node")
+    return out.filter(F.col("doc_id").isNotNull()).dropDuplicates([of_node]).unionByName(unnamed).drop(of_node)

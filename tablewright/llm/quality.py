@@ -15,6 +15,7 @@ kept away from singular by a least spread per statistic, so the determinant is t
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -264,7 +265,9 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 
 def fit(measured: DataFrame) -> DataFrame:
-    """``lang, source, mean, precision`` for each language and source with a row that passes the base rules.
+    """``lang, source, mean, precision, settled`` for each language and source with a row that passes the base rules.
+
+    ``settled`` is false where a start of the group still fell after ``STEPS`` steps; a warning says how many did.
 
     ``measured`` should be a written table: it is read three times and once per step. An empty one gives no estimates.
     """
@@ -290,11 +293,15 @@ def fit(measured: DataFrame) -> DataFrame:
         now = cut(_estimates(joined.join(former, same).drop("__lang", "__source", "__start"), _concentrated))
         if step and now.filter(F.col("fall") > FALL).isEmpty():
             break
+    else:
+        late = now.filter(F.col("fall") > FALL).count()
+        warnings.warn(f"{late} estimates still fell after {STEPS} steps", RuntimeWarning, stacklevel=2)
+    settled = (F.max("fall") <= FALL).alias("settled")
     lowest = F.min_by(F.struct("mean", "precision"), F.struct("logdet", "start")).alias("low")
-    return cut(now.groupBy(*group).agg(lowest).select(*group, "low.*"))
+    return cut(now.groupBy(*group).agg(lowest, settled).select(*group, "low.*", "settled"))
 
 
 def judge(measured: DataFrame, fitted: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``measured`` with ``distance`` (null without estimate) and ``kept``: base rules pass and distance is within."""
-    rows = _on_group(measured.drop("distance", "kept"), fitted).withColumn("distance", F.expr(DISTANCE)).drop("mean", "precision")
+    rows = _on_group(measured.drop("distance", "kept", "mean", "precision", "settled"), fitted).withColumn("distance", F.expr(DISTANCE)).drop("mean", "precision", "settled")
     return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, unused
 
 
 def normal(host: Column) -> Column:
@@ -58,7 +58,8 @@ def _by_day(spans: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """``captures`` (with ``url, fetched``) plus ``host, blocked, pattern, listed_since``; columns so named are replaced.
+    """``captures`` (with ``url, fetched``) plus ``host, blocked, pattern, listed_since``; columns so named are replaced, all
+    others stay as they are, whatever their names.
 
     Of several patterns in force the longest counts. A URL without host and a capture without fetch time are not
     blocked. Rows stay one to one, repeated ones too; either table may be empty. Of a host of very many labels no more are
@@ -76,9 +77,10 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     asked = asked.join(reach, "host").withColumn("day", F.unix_date(F.to_date("fetched")))
     held = small(cut(_by_day(spans, asked.select("pattern", "day").distinct())))
     holds = (F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
+    (hit,) = unused(rows, "__hit")
     hits = asked.join(held, ["pattern", "day"]).filter(holds).groupBy("host", "fetched")
-    hits = hits.agg(F.min(F.struct((-F.length("pattern")).alias("rank"), "pattern", "valid_from")).alias("__hit"))
+    hits = hits.agg(F.min(F.struct((-F.length("pattern")).alias("rank"), "pattern", "valid_from")).alias(hit))
     joined = rows.join(small(cut(hits)), ["host", "fetched"], "left")
     return joined.select(
-        *[c for c in rows.columns], F.col("__hit").isNotNull().alias("blocked"), F.col("__hit.pattern").alias("pattern"), F.col("__hit.valid_from").alias("listed_since")
+        *[c for c in rows.columns], F.col(hit).isNotNull().alias("blocked"), F.col(f"{hit}.pattern").alias("pattern"), F.col(f"{hit}.valid_from").alias("listed_since")
     )

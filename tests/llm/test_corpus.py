@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablewright.llm import neardup, quality
+from tablewright.llm import decontam, mixing, neardup, quality, urlfilter
 from tablewright.llm.common import written
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -124,6 +124,74 @@ def test_template_pages_cost_rows_in_proportion(spark, monkeypatch):
     assert seen[1600]["linked"] <= 4.5 * seen[400]["linked"] and seen[1600]["pairs"] <= 4
 
 
+def section_pages(rng, sections, pages):
+    """Pages of one site: words of the site, of their section and their own; no two are linked but the last, a copy with a word changed."""
+    site = [f"site{i}" for i in range(100)]
+    rows = []
+    for section in range(sections):
+        words = [f"s{section}w{i}" for i in range(60)]
+        for _ in range(pages):
+            rows.append((len(rows), " ".join(site + words + [f"p{len(rows)}w{i}" for i in range(60)])))
+    changed = rows[len(rows) // 2][1].split()
+    changed[-3] = "changed"
+    return [*rows, (len(rows), " ".join(changed))]
+
+
+def test_sections_of_a_site_cost_rows_in_proportion(spark, monkeypatch):
+    """Templates within a template: what one section has in common is in no prefix either, however many pages it has."""
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    likely, counts = neardup._likely, []
+
+    def counting_pairs(pairs, signatures, percent):
+        counts.append(pairs.count())
+        return likely(pairs, signatures, percent)
+
+    monkeypatch.setattr(neardup, "_likely", counting_pairs)
+    for pages in (4, 8, 16):
+        rows = section_pages(random.Random(pages), 40, pages)
+        found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=1)
+        assert [(r.doc_id, r.component_id) for r in found.filter("not kept").collect()] == [(len(rows) - 1, (len(rows) - 1) // 2)]
+    assert len(counts) == 3 and max(counts) <= 4
+
+
+def test_prefixes_of_sections_lose_no_link(spark, monkeypatch):
+    """Pages of sections whose own parts are so small that some are linked: the same components as by brute force."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    rng = random.Random(3)
+    site, rows = [f"site{i}" for i in range(40)], []
+    for section in range(6):
+        words = [f"s{section}w{i}" for i in range(30)]
+        for _ in range(14):
+            own = [f"p{len(rows)}w{i}" for i in range(rng.randrange(4, 22))]
+            rows.append((len(rows), " ".join(edited(rng, site + words + own, rng.randrange(0, 5)))))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()}
+    assert found == plain_components(rows, 1) and 6 < len({c for _, c in found.values()}) < len(rows)
+
+
+def test_columns_of_any_name_stay(spark, sf):
+    """Tables whose own columns have the names that the operators would use."""
+    names = ["__node", "__gone", "__id", "__first", "__last", "__bad", "__hash", "__hit", "__source", "__ROW", "first", "last", "settled", "mean"]
+    text = " ".join(f"w{i}" for i in range(40))
+    item = " ".join(f"i{i}" for i in range(30))
+    rows = [(1, text, "en", "a"), (2, text, "en", "a"), (3, item, "en", "b"), (4, "other " * 3, "de", None), (4, "another text", "de", None), (None, "no id", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({n: F.lit(n) for n in names})
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = lambda df: (df.columns == docs.columns, sorted((r.doc_id or 0, r.text) for r in df.collect()), {tuple(r[n] for n in names) for r in df.collect()} <= {tuple(names)})
+    wanted = sorted((r[0] or 0, r[1]) for r in rows)
+    assert kept(neardup.one_of_each(docs)) == (True, [r for r in wanted if r != (2, text)], True)
+    assert kept(neardup.one_of_each(docs.filter("doc_id < 4"))) == (True, [(1, text), (3, item)], True)
+    assert kept(decontam.clean_documents(docs, bench)) == (True, [r for r in wanted if r != (3, item)], True)
+    planned = mixing.plan_copies(docs)
+    assert planned.columns == [*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies"] and planned.count() == 6
+    assert all(tuple(r[n] for n in names) == tuple(names) for r in planned.collect())
+    assert mixing.mix(docs).columns == docs.columns
+    captures = docs.select(F.lit("http://a.b.org/").alias("url"), F.lit("2024-01-02").cast("date").alias("fetched"), *names)
+    entries = spark.createDataFrame([("b.org", True)], "pattern string, listed boolean").withColumn("dated", F.lit("2024-01-01").cast("date"))
+    found = urlfilter.filter_captures(captures, entries)
+    assert found.columns == ["url", "fetched", *names, "host", "blocked", "pattern", "listed_since"] and found.filter("blocked").count() == 6
+
+
 def test_prefixes_lose_no_link(spark, monkeypatch):
     """Sets of many similarities around the threshold, with no pivots to join them, in one cluster of several blocks."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
