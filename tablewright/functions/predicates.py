@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..model import TableError
 from .nested import any_at, leaves, resolve
+from .shapes import meets_box
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 ORDERED = (*NUMERIC, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -170,6 +171,10 @@ def axis(wkt: Column, which: int) -> Column:
 
 
 def bbox(wkt: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
-    """Whether a geometry meets the box: exact for points, by the envelope for other shapes."""
+    """Whether a geometry meets the box, edges included: exact for points, lines, polygons with holes and collections.
+
+    The envelope is looked at first, so few shapes are compared segment by segment.
+    """
     xs, ys = axis(wkt, 0), axis(wkt, 1)
-    return (F.array_max(xs) >= x0) & (F.array_min(xs) <= x1) & (F.array_max(ys) >= y0) & (F.array_min(ys) <= y1)
+    near = (F.array_max(xs) >= x0) & (F.array_min(xs) <= x1) & (F.array_max(ys) >= y0) & (F.array_min(ys) <= y1)
+    return F.when(near, meets_box(wkt, x0, y0, x1, y1)).otherwise(near)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import bbox as meets
+from ..functions.shapes import MEASURES, centre, measures
 from ..model import TableError
+from ..runtime import cut
 
 BINS = 100
 TOP = 10
@@ -115,26 +118,44 @@ def summary_ref(df: DataFrame, fk: str, created: str, row_id: str = "_id", top:
     return best.select(F.substring("__k", 1, 8).alias("bin"), "count", F.when(F.col("count") == 1, F.col("__id")).alias("_id"), F.lit(uri).cast("string").alias("label"))
 
 
-def summary_geometry(df: DataFrame, x: str, y: str, row_id: str = "_id", clusters: int = CLUSTERS, seed: int = 1) -> DataFrame:
-    """K-means clusters of points: ``cluster, centroid, count, _id`` (of a cluster of one); nulls are left out.
+def summary_geometry(df: DataFrame, geom: str, y: str | None = None, row_id: str = "_id", clusters: int = CLUSTERS, seed: int = 1, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Clusters of geometries: ``cluster, centroid, count, _id`` (of a cluster of one); nulls and empty shapes are left out.
 
-    There are as many clusters as distinct points, ``clusters`` at most.
+    ``geom`` is a column of well-known text, or the x of points with their ``y``. With ``bbox`` (x0, y0, x1, y1) only shapes
+    that meet the box count. Up to ``clusters`` distinct places, centroids of shapes, are clusters of their own; more are
+    gathered by k-means, to which a place is one point that weighs as much as it has rows, so copies cost nothing.
+    The centroid is that of all shapes of the cluster: by area, without areas by length, else of the points.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    points = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(row_id).alias("__id")).dropna(subset=["x", "y"])
-    k = points.select("x", "y").distinct().limit(clusters).count()
-    if k == 0:
-        return points.select(F.lit(0).alias("cluster"), F.lit("").alias("centroid"), F.lit(0).cast("long").alias("count"), F.col("__id").alias("_id")).limit(0)
-    if k == 1:
-        placed = points.withColumn("cluster", F.lit(0))
+    if bbox is not None and len(bbox) != 4:
+        raise TableError("a box is four numbers")
+    if y is None:
+        shapes = df.select(F.col(geom).alias("__wkt"), F.col(row_id).alias("__id")).filter("__wkt is not null")
+        if bbox is not None:
+            shapes = shapes.filter(meets(F.col("__wkt"), *bbox))
+        each = shapes.groupBy("__wkt").agg(F.count(F.lit(1)).alias("rows"), F.min("__id").alias("__id")).withColumn("__m", measures(F.col("__wkt")))
+        each = each.withColumn("__at", centre(F.col("__m"))).filter("__at is not null").select(F.col("__at.x").alias("x"), F.col("__at.y").alias("y"), "rows", "__id", *[F.col(f"__m.{m}").alias(m) for m in MEASURES])
     else:
-        vectors = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(points)
-        placed = KMeans(k=k, seed=seed, maxIter=40, initSteps=5).fit(vectors).transform(vectors).withColumnRenamed("prediction", "cluster")
-    grouped = placed.groupBy("cluster").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("count"), F.min("__id").alias("__id"))
-    centre = F.concat(F.lit("POINT("), F.col("cx").cast("string"), F.lit(" "), F.col("cy").cast("string"), F.lit(")"))
-    return grouped.select("cluster", centre.alias("centroid"), "count", F.when(F.col("count") == 1, F.col("__id")).alias("_id"))
+        points = df.select(F.col(geom).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(row_id).alias("__id")).dropna(subset=["x", "y"])
+        if bbox is not None:
+            points = points.filter(F.col("x").between(bbox[0], bbox[2]) & F.col("y").between(bbox[1], bbox[3]))
+        each = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("rows"), F.min("__id").alias("__id"))
+        zeros = {m: F.lit(0.0) for m in MEASURES}
+        each = each.withColumns(zeros | {"points": F.lit(1.0), "points_x": F.col("x"), "points_y": F.col("y")})
+    places = each.groupBy("x", "y").agg(F.sum("rows").alias("rows"), F.min("__id").alias("__id"), *[F.sum(F.col("rows") * F.col(m)).alias(m) for m in MEASURES])
+    places = cut(places)
+    few = places.limit(clusters + 1).count()
+    if few <= clusters:  # at most ``clusters`` rows to number
+        placed = places.withColumn("cluster", F.row_number().over(Window.orderBy("x", "y")) - 1)
+    else:
+        vectors = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(places)
+        model = KMeans(k=clusters, seed=seed, maxIter=40, initSteps=5, weightCol="rows").fit(vectors)
+        placed = model.transform(vectors).withColumnRenamed("prediction", "cluster")
+    grouped = placed.groupBy("cluster").agg(F.sum("rows").alias("count"), F.min("__id").alias("__id"), F.struct(*[F.sum(m).alias(m) for m in MEASURES]).alias("__m")).withColumn("__c", centre(F.col("__m")))
+    text = F.concat(F.lit("POINT("), F.col("__c.x").cast("string"), F.lit(" "), F.col("__c.y").cast("string"), F.lit(")"))
+    return grouped.select("cluster", text.alias("centroid"), "count", F.when(F.col("count") == 1, F.col("__id")).alias("_id"))
 
 
 def find_duplicates(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

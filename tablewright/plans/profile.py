@@ -85,6 +85,23 @@ def summary_points(spark, sf):
     return S.summary_geometry(df, "x", "y").select("centroid", "count", "_id")
 
 
+@query("""
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey = 1 THEN 7 ELSE c_custkey % 5 END AS g, c_custkey % 11 = 0 AS lost FROM customer)
+SELECT 'POINT(' || CASE WHEN g = 4 THEN 4005.0 WHEN g = 3 THEN 3003.0 ELSE g * 1000 + 3.0 END::DOUBLE || ' ' || CASE WHEN g = 4 THEN 5.0 WHEN g = 3 THEN 0.0 ELSE 3.0 END::DOUBLE || ')' AS centroid, count(*) AS count, CASE WHEN count(*) = 1 THEN min(c_custkey) END AS _id
+FROM c WHERE NOT lost AND g <> 0 GROUP BY g
+""")
+def summary_shapes(spark, sf):
+    """Clusters of triangles, lines and frames as text, of those that meet a box; centroids by area and length."""
+    g = F.when(F.col("c_custkey") == 1, 7).otherwise(F.col("c_custkey") % 5)
+    at = lambda x, y: F.concat((g * 1000 + x).cast("string"), F.lit(f" {y}"))
+    triangle = F.concat(F.lit("POLYGON (("), at(0, 0), F.lit(", "), at(9, 0), F.lit(", "), at(0, 9), F.lit(", "), at(0, 0), F.lit("))"))
+    line = F.concat(F.lit("LINESTRING ("), at(0, 0), F.lit(", "), at(6, 0), F.lit(")"))
+    frame = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in ("POLYGON ((", at(0, 0), ", ", at(10, 0), ", ", at(10, 10), ", ", at(0, 10), ", ", at(0, 0), "), (", at(2, 2), ", ", at(8, 2), ", ", at(8, 8), ", ", at(2, 8), ", ", at(2, 2), "))")])
+    shape = F.when(g == 3, line).when(g == 4, frame).otherwise(triangle)
+    df = table(spark, sf, "customer").select(F.col("c_custkey").alias("_id"), F.when(F.col("c_custkey") % 11 != 0, shape).alias("shape"))
+    return S.summary_geometry(df, "shape", bbox=(9.5, 0, 1e6, 100)).select("centroid", "count", "_id")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1")
 def duplicates(spark, sf):
     """Rows of keys that occur more than once."""

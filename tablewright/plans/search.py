@@ -254,6 +254,32 @@ def bbox_points(spark, sf):
     return df.filter(P.bbox(F.col("wkt"), 0, 10, 5000, 40)).select("c_custkey")
 
 
+@query("""
+WITH c AS (SELECT c_custkey, c_custkey % 60 AS k, c_custkey % 5 AS s FROM customer)
+SELECT c_custkey FROM c WHERE CASE s
+  WHEN 0 THEN k >= 30
+  WHEN 1 THEN k >= 30
+  WHEN 2 THEN k BETWEEN 20 AND 31
+  WHEN 3 THEN k >= 30 OR k BETWEEN 10 AND 30
+  ELSE k <= 30 END
+""")
+def bbox_shapes(spark, sf):
+    """C17: lines, triangles, frames around a hole, several lines and collections that meet a box, not only by their envelope."""
+    k = (F.col("c_custkey") % 60).cast("string")
+    less = ((F.col("c_custkey") % 60) - 1).cast("string")
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    slope = text("(", k, " 0, 0 ", k, ")")  # meets the box from its nearest corner on, 10 + 20
+    shapes = [
+        text("LINESTRING ", slope),
+        text("POLYGON ((0 0, ", k, " 0, 0 ", k, ", 0 0))"),
+        text("SRID=4326;POLYGON ((0 0, ", k, " 0, ", k, " ", k, ", 0 ", k, ", 0 0), (1 1, ", less, " 1, ", less, " ", less, ", 1 ", less, ", 1 1))"),
+        text("MULTILINESTRING (", slope, ", (", k, " 0, ", k, " 100))"),
+        text("GEOMETRYCOLLECTION (POINT (", k, " 25), MULTIPOLYGON (((40 0, ", k, " 0, ", k, " 100, 40 100, 40 0)), ((41 0, 42 0, 42 1, 41 0))), POINT (0 0))"),
+    ]
+    wkt = F.element_at(F.array(*shapes), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return table(spark, sf, "customer").filter(P.bbox(wkt, 10, 20, 30, 30)).select("c_custkey")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey > 100 AND o_orderstatus = 'F' AND o_totalprice < 150000")
 def merged_filters(spark, sf):
     """Model, request and enum filters one after the other."""

@@ -2,12 +2,15 @@
 
 import datetime
 import json
+import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions import clean as C
+from tablewright.functions import shapes
 from tablewright.functions.predicates import Field, bbox, literal, recurse_any
 from tablewright.model import Model, Property, Table, TableError, load_order
 from tablewright.operators import history as H
@@ -389,6 +392,78 @@ def test_writes_by_predicate(spark):
     assert sorted(after.values()) == [0, 1, 2, 4, 5, 33, 50] and errors == [("1", "multiple")] and logged == 2
 
 
+def ring(points):
+    return "(" + ", ".join(f"{x} {y}" for x, y in [*points, points[0]]) + ")"
+
+
+def meets_plainly(shape, box):
+    """Segments are clipped with exact fractions; a box in no part of the outline is in the shape or not by its corner."""
+    kind, rings = shape
+    x0, y0, x1, y1 = box
+
+    def clipped(p, q):
+        low, high = Fraction(0), Fraction(1)
+        for a, b, lo, hi in ((p[0], q[0], x0, x1), (p[1], q[1], y0, y1)):
+            if a == b:
+                if not lo <= a <= hi:
+                    return False
+                continue
+            t = sorted((Fraction(lo - a, b - a), Fraction(hi - a, b - a)))
+            low, high = max(low, t[0]), min(high, t[1])
+        return low <= high
+
+    closed = [[*r, r[0]] if kind == "POLYGON" else r for r in rings]
+    if any(x0 <= x <= x1 and y0 <= y <= y1 for r in rings for x, y in r) or kind != "MULTIPOINT" and any(clipped(p, q) for r in closed for p, q in zip(r, r[1:], strict=False)):
+        return True
+    hits = sum((p[1] > y0) != (q[1] > y0) and x0 < Fraction((q[0] - p[0]) * (y0 - p[1]), q[1] - p[1]) + p[0] for r in closed for p, q in zip(r, r[1:], strict=False)) if kind == "POLYGON" else 0
+    return hits % 2 == 1
+
+
+def test_shapes_meet_a_box(spark):
+    rng = random.Random(8)
+    spot = lambda: (rng.randrange(-8, 9), rng.randrange(-8, 9))
+    made = []
+    for _ in range(400):
+        kind = rng.choice(["MULTIPOINT", "MULTILINESTRING", "POLYGON", "POLYGON"])
+        rings = [[spot() for _ in range(rng.randrange(2 if kind != "POLYGON" else 3, 6))] for _ in range(rng.randrange(1, 3))]
+        if kind == "POLYGON" and rng.random() < 0.3:
+            rings = [[(-9, -9), (9, -9), (9, 9), (-9, 9)], *[r for r in rings[:1]]]
+        text = f"{kind} (" + ", ".join(ring(r) if kind == "POLYGON" else ring(r)[: ring(r).rindex(",")] + ")" for r in rings) + ")"
+        made.append(((kind, rings), text))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(made)], "id int, wkt string").cache()
+    for box in ((0, 0, 2, 3), (-3, -1, -1, 5), (-2, -2, -2, -2), (5, 5, 30, 30)):
+        found = {r.id for r in df.filter(bbox(F.col("wkt"), *box)).collect()}
+        assert found == {i for i, (s, _) in enumerate(made) if meets_plainly(s, box)}
+
+
+def test_odd_shapes(spark):
+    texts = ["POINT EMPTY", "POLYGON EMPTY", "nonsense", "", None, "point(1 1)", "POINT Z (1 1 7)", "MULTIPOINT (9 9, 1 1)", "GEOMETRYCOLLECTION (POINT (5 5), LINESTRING (0 0, 1.5e0 1.5E0))", "LINESTRING (1 1)", "SRID=3346;POINT (1 1)", "POINT (1e-3 1)"]
+    df = spark.createDataFrame([(t,) for t in texts], "wkt string")
+    rows = df.select("wkt", bbox(F.col("wkt"), 0.5, 0.5, 2, 2).alias("b"), shapes.centroid(F.col("wkt")).alias("c")).collect()
+    assert [bool(r.b) for r in rows] == [False, False, False, False, False, True, True, True, True, True, True, False]
+    assert [None if r.c is None else (r.c.x, r.c.y) for r in rows] == [None] * 5 + [(1, 1), (1, 1), (5, 5), (0.75, 0.75), (1, 1), (1, 1), (0.001, 1)]
+    far = 4_000_000.0
+    square = "POLYGON ((" + ", ".join(f"{far + x} {far + y}" for x, y in ((0, 0), (0, 2), (2, 2), (2, 0), (0, 0))) + "))"
+    two = "MULTIPOLYGON (((0 0, 3 0, 3 3, 0 3, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1)), ((10 0, 12 0, 12 4, 10 4, 10 0)))"
+    got = spark.createDataFrame([(square,), (two,)], "wkt string").select(shapes.measures(F.col("wkt")).alias("m"), shapes.centroid(F.col("wkt")).alias("c")).collect()
+    assert (got[0].m.area, got[0].c.x, got[0].c.y) == (4, far + 1, far + 1)
+    assert got[1].m.area == 16 and got[1].c.x == pytest.approx((8 * 1.5 + 8 * 11) / 16) and got[1].c.y == pytest.approx((8 * 1.5 + 8 * 2) / 16)
+
+
+def test_clusters_weigh_places_by_their_rows(spark):
+    """Sixty places in three far heaps: copies of a place change the weights and nothing else; 25 places are clusters of their own."""
+    places = [(heap * 1000 + i % 5, i // 5) for heap in range(3) for i in range(20)]
+    rows = [(f"{x}-{y}-{n}", f"POINT ({x} {y})") for x, y in places for n in range(1 + (x + y) % 3)]
+    df = spark.createDataFrame(rows, "_id string, wkt string")
+    few = summary.summary_geometry(df, "wkt", clusters=3).collect()
+    assert sorted(r["count"] for r in few) == sorted(sum(1 + (x + y) % 3 for x, y in places if x // 1000 == h) for h in range(3)) and {r["_id"] for r in few} == {None}
+    own = summary.summary_geometry(df.filter("wkt like '%(1 %' or wkt like '%(2 %'"), "wkt").collect()
+    assert len(own) == 8 and sorted(r["count"] for r in own) == sorted(1 + (x + y) % 3 for x, y in places if x in (1, 2)) and all((r["_id"] is None) == (r["count"] > 1) for r in own)
+    assert summary.summary_geometry(df, "wkt", bbox=(-5, -5, -1, -1)).collect() == [] and len(summary.summary_geometry(df, "wkt", bbox=(0, 0, 1, 1)).collect()) == 4
+    with pytest.raises(TableError):
+        summary.summary_geometry(df, "wkt", bbox=(1, 2, 3))
+
+
 def test_jdbc(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
