@@ -246,13 +246,9 @@ def infer_models(schema: T.StructType, name: str) -> dict[str, Model]:
     return found
 
 
-def infer_refs(columns: DataFrame, keys: DataFrame) -> DataFrame:
-    """``table, column, type, pk, ref`` from catalogue rows read by JDBC.
-
-    ``columns``: table, column, sql_type; ``keys``: table, column, kind (``p`` or ``f``), target.
-    """
-    base = F.lower(F.regexp_extract("sql_type", r"^([A-Za-z ]+)", 1))
-    kind = (
+def _sql_kind(sql_type: Column) -> Column:
+    base = F.lower(F.regexp_extract(sql_type, r"^([A-Za-z ]+)", 1))
+    return (
         F.when(base.rlike("^(big|small|tiny)?int|^serial|^interval"), "integer")
         .when(base.rlike("^(numeric|decimal|real|float|double)"), "number")
         .when(base.rlike("^bool"), "boolean")
@@ -263,12 +259,48 @@ def infer_refs(columns: DataFrame, keys: DataFrame) -> DataFrame:
         .when(base.rlike("^geometry"), "geometry")
         .otherwise("string")
     )
+
+
+def infer_refs(columns: DataFrame, keys: DataFrame) -> DataFrame:
+    """``table, column, type, pk, ref`` from catalogue rows read by JDBC.
+
+    ``columns``: table, column, sql_type; ``keys``: table, column, kind (``p`` or ``f``), target.
+    """
     per = keys.groupBy("table", "column").agg(F.max(F.col("kind") == "p").alias("pk"), F.max(F.when(F.col("kind") == "f", F.col("target"))).alias("ref"))
     joined = columns.join(per, ["table", "column"], "left")
-    typed = F.when(F.col("ref").isNotNull(), F.lit("ref")).otherwise(kind)
+    typed = F.when(F.col("ref").isNotNull(), F.lit("ref")).otherwise(_sql_kind(F.col("sql_type")))
     return joined.select("table", "column", typed.alias("type"), F.coalesce("pk", F.lit(False)).alias("pk"), "ref")
 
 
+def infer_keys(columns: DataFrame, constraints: DataFrame) -> DataFrame:
+    """Properties of a database's tables with references of one column or several:
+    ``table, property, columns, type, pk, ref, refprops, unique``.
+
+    ``columns``: table, column, sql_type. ``constraints``, a row for each column of a key (:data:`.readers.CATALOGUE` reads
+    both): table, name, kind (``p``, ``u`` or ``f``), position, column, and for foreign keys target, target_column. Keys are
+    lists of columns in the order of their positions. A foreign key of one column makes its column a reference; one of
+    several adds a property, named by its columns joined by ``_``. ``refprops`` are the columns that it refers to, empty if
+    they are the target's primary key in its order. ``unique`` says whether they are a primary or unique key, in any
+    order; null for what is no reference. ``pk`` is the place in the primary key, from 1. Of several foreign keys of
+    one column that of the least name counts.
+    """
+    item = F.struct("position", "column", "target_column")
+    lists = constraints.groupBy("table", "name", "kind").agg(F.array_sort(F.collect_list(item)).alias("items"), F.max("target").alias("target"))
+    lists = lists.withColumns({"keyed": F.transform("items", lambda x: x["column"]), "told": F.transform("items", lambda x: x["target_column"])})
+    primary = lists.filter("kind = 'p'").groupBy("table").agg(F.min_by("keyed", "name").alias("__pk"))
+    known = lists.filter("kind in ('p', 'u')").select(F.col("table").alias("__of"), F.array_sort("keyed").alias("__key")).distinct()
+    foreign = lists.filter("kind = 'f'").join(primary.withColumnRenamed("table", "__t"), F.col("target") == F.col("__t"), "left")
+    foreign = foreign.join(known, (F.col("target") == F.col("__of")) & (F.array_sort("told") == F.col("__key")), "left")
+    foreign = foreign.select("table", "name", F.col("keyed").alias("columns"), F.col("target").alias("ref"), F.when(F.col("told") == F.col("__pk"), F.array().cast("array<string>")).otherwise(F.col("told")).alias("refprops"), F.col("__key").isNotNull().alias("unique"))
+    single = foreign.filter(F.size("columns") == 1).groupBy("table", F.col("columns")[0].alias("column")).agg(F.min_by(F.struct("ref", "refprops", "unique"), "name").alias("__ref"))
+    places = primary.select("table", F.posexplode("__pk").alias("__at", "column"))
+    joined = columns.join(single, ["table", "column"], "left").join(places, ["table", "column"], "left")
+    typed = F.when(F.col("__ref").isNotNull(), F.lit("ref")).otherwise(_sql_kind(F.col("sql_type")))
+    own = joined.select("table", F.col("column").alias("property"), F.array("column").alias("columns"), typed.alias("type"), (F.col("__at") + 1).alias("pk"), "__ref.*")
+    several = foreign.filter(F.size("columns") > 1).groupBy("table", "columns").agg(F.min_by(F.struct("ref", "refprops", "unique"), "name").alias("__ref"))
+    return own.unionByName(several.select("table", F.array_join("columns", "_").alias("property"), "columns", F.lit("ref").alias("type"), F.lit(None).cast("int").alias("pk"), "__ref.*"))
+
+
 def schema_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("model", "property"), described: Sequence[str] = ("title",)) -> DataFrame:
     """``keys, change`` (added, removed, changed, same) and the merged columns; old descriptions win."""
     columns = [c for c in new.columns if c not in keys]

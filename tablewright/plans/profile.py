@@ -377,6 +377,30 @@ def infer_refs(spark, sf):
     return Q.infer_refs(columns, primary.union(foreign))
 
 
+@query("""
+WITH s AS (SELECT s_suppkey AS k FROM supplier)
+SELECT 't' || k AS "table", 'a' AS property, 'a' AS columns, CASE WHEN k % 3 = 0 THEN 'ref' ELSE 'integer' END AS type, CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS pk,
+  CASE WHEN k % 3 = 0 THEN 't' || (k + 1) END AS ref, CASE WHEN k % 3 = 0 THEN CASE WHEN (k + 1) % 2 = 0 THEN 'a' ELSE '' END END AS refprops, CASE WHEN k % 3 = 0 THEN (k + 1) % 2 <> 0 AND k + 1 <= (SELECT max(k) FROM s) END AS "unique" FROM s
+UNION ALL SELECT 't' || k, 'b', 'b', 'string', CASE WHEN k % 2 = 0 THEN 1 END, NULL, NULL, NULL FROM s
+UNION ALL SELECT 't' || k, 'c', 'c', 'date', NULL, NULL, NULL, NULL FROM s
+UNION ALL SELECT 't' || k, 'c_b', 'c,b', 'ref', NULL, 't' || (k + 2), CASE WHEN k % 2 = 0 AND k % 4 = 0 AND k + 2 <= (SELECT max(k) FROM s) THEN '' WHEN k % 4 = 0 THEN 'b,a' ELSE 'a,b' END, k % 2 = 0 AND k + 2 <= (SELECT max(k) FROM s) FROM s
+""")
+def infer_keys(spark, sf):
+    """Keys of several columns: of every other table the primary key, of each a foreign key, in the target's order or not."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("table"))
+    columns = s.select("table", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("sql_type")) for c, t in (("a", "bigint"), ("b", "varchar(9)"), ("c", "date"))])))
+    k = F.col("k")
+    row = lambda name, kind, position, column, target=None, to=None: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(position).alias("position"), F.lit(column).alias("column"), (F.lit(None) if target is None else target).cast("string").alias("target"), (F.lit(None) if to is None else to).cast("string").alias("target_column"))
+    next_, after = F.concat(F.lit("t"), (k + 1).cast("string")), F.concat(F.lit("t"), (k + 2).cast("string"))
+    primary = F.when(k % 2 == 0, F.array(row("pk", "p", 2, "a"), row("pk", "p", 1, "b"))).otherwise(F.array(row("pk", "p", 1, "a")))
+    single = F.when(k % 3 == 0, F.array(row("f1", "f", 1, "a", next_, F.lit("a")))).otherwise(F.array().cast("array<struct<name:string,kind:string,position:int,column:string,target:string,target_column:string>>"))
+    first, second = (F.when(k % 4 == 0, x).otherwise(y) for x, y in (("b", "a"), ("a", "b")))
+    composite = F.array(row("f2", "f", 2, "b", after, second), row("f2", "f", 1, "c", after, first))
+    constraints = s.select("table", F.inline(F.concat(primary, single, composite)))
+    found = Q.infer_keys(columns, constraints)
+    return found.withColumns({"columns": F.array_join("columns", ","), "refprops": F.array_join("refprops", ",")})
+
+
 @query("""
 SELECT coalesce(o.c_nationkey, n.c_nationkey) AS model, coalesce(o.c_name, n.c_name) AS property, CASE WHEN o.c_name IS NULL THEN 'added' WHEN n.c_name IS NULL THEN 'removed' WHEN o.t = n.t THEN 'same' ELSE 'changed' END AS change,
   coalesce(n.t, o.t) AS type, coalesce(o.title, n.title) AS title

@@ -7,9 +7,10 @@ twice does no harm.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -20,7 +21,7 @@ from ..operators.quality import check_all
 from ..runtime import cut
 from .state import State
 
-__all__ = ["State", "fault_tolerant_write", "replay", "stream_apply_changes", "stream_keymap_sync", "stream_push_delta"]
+__all__ = ["State", "fault_tolerant_write", "replay", "staged_write", "stream_apply_changes", "stream_keymap_sync", "stream_push_delta"]
 
 MAX_ERRORS = 100
 
@@ -149,3 +150,27 @@ def fault_tolerant_write(df: DataFrame, checks: Sequence[DataFrame], max_errors:
     if n > max_errors:
         raise TableError(f"more than {max_errors} rows are bad")
     return good, found
+
+
+def staged_write(df: DataFrame, path: str, bad: Column, max_errors: int = MAX_ERRORS) -> tuple[DataFrame, DataFrame]:
+    """Writes a table in one pass, bad rows (``bad`` true) beside the good ones, and publishes it only if few are bad.
+
+    Rows are read once: they go to a folder beside ``path``, and the write counts the bad ones as they pass. With more than
+    ``max_errors`` the folder is deleted and an error raised, else it is renamed to ``path``, which must not exist. Gives the
+    good and the bad rows as read from there.
+    """
+    spark, seen = df.sparkSession, Observation()
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    target, place = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged))
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(target):
+        raise TableError(f"{path} exists")
+    marked = df.withColumn("__bad", F.coalesce(bad, F.lit(False))).observe(seen, F.count_if("__bad").alias("bad"))
+    marked.write.partitionBy("__bad").parquet(staged)
+    if seen.get["bad"] > max_errors:
+        system.delete(place, True)
+        raise TableError(f"more than {max_errors} rows are bad")
+    if not system.rename(place, target):
+        raise TableError(f"{path} can't be written")
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__bad", T.BooleanType())])).parquet(path)
+    return rows.filter("not __bad").drop("__bad"), rows.filter("__bad").drop("__bad")

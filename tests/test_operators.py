@@ -471,6 +471,50 @@ def test_jdbc(spark, tmp_path):
     assert R.read_jdbc(spark, url, "things", "ID", (0, 50), 4, **options).filter("id >= 40").count() == 10
 
 
+def test_jdbc_ranges_are_even(spark, tmp_path):
+    url, options = f"jdbc:derby:{tmp_path}/even;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    skewed = spark.range(4000).selectExpr("cast(pow(id, 3) as bigint) as id", "case when id % 50 = 0 then null else cast(id as double) / 7 end as share")
+    skewed.write.format("jdbc").options(url=url, dbtable="skewed", **options).save()
+    for column in ("ID", "SHARE"):
+        df = R.read_jdbc(spark, url, "skewed", column, partitions=6, **options)
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 6 and sum(sizes) == 4000 and max(sizes) < 2 * min(sizes)
+    spark.createDataFrame([(3,)] * 5, "id int").write.format("jdbc").options(url=url, dbtable="same", **options).save()
+    assert R.read_jdbc(spark, url, "same", "ID", partitions=4, **options).count() == 5
+
+
+def test_catalogue_of_composite_keys(spark):
+    """The catalogue queries on a database with the standard information schema, and what is made of their rows."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE TABLE country (code VARCHAR, year INTEGER, name VARCHAR UNIQUE, PRIMARY KEY (code, year))")
+    con.sql("CREATE TABLE city (id BIGINT PRIMARY KEY, c VARCHAR, y INTEGER, called VARCHAR REFERENCES country (name), FOREIGN KEY (c, y) REFERENCES country (code, year))")
+    kinds = {"columns": "table string, column string, sql_type string", "constraints": "table string, name string, kind string, position int, column string, target string, target_column string"}
+    frames = [spark.createDataFrame(con.sql(f"SELECT * FROM {R.CATALOGUE[k].format(schema='main')}").fetchall(), t) for k, t in kinds.items()]
+    found = {(r.table, r.property): (list(r["columns"]), r.type, r.pk, r.ref, r.refprops, r["unique"]) for r in quality.infer_keys(*frames).collect()}
+    assert found == {
+        ("country", "code"): (["code"], "string", 1, None, None, None), ("country", "year"): (["year"], "integer", 2, None, None, None), ("country", "name"): (["name"], "string", None, None, None, None),
+        ("city", "id"): (["id"], "integer", 1, None, None, None), ("city", "c"): (["c"], "string", None, None, None, None), ("city", "y"): (["y"], "integer", None, None, None, None),
+        ("city", "called"): (["called"], "ref", None, "country", ["name"], True), ("city", "c_y"): (["c", "y"], "ref", None, "country", [], True),
+    }
+
+
+def test_staged_write(spark, tmp_path):
+    df = spark.range(100).select("id", F.when(F.col("id") % 10 == 0, "x").alias("back"))
+    bad = F.col("back").isNotNull()
+    with pytest.raises(TableError, match="more than 9"):
+        ST.staged_write(df, f"file://{tmp_path}/out", bad, 9)
+    assert list(tmp_path.iterdir()) == []  # nothing is left of what was refused
+    good, refused = ST.staged_write(df, f"file://{tmp_path}/out", bad, 10)
+    assert good.columns == ["id", "back"] and good.count() == 90 and sorted(r.id for r in refused.collect()) == list(range(0, 100, 10))
+    with pytest.raises(TableError, match="exists"):
+        ST.staged_write(df, f"file://{tmp_path}/out", bad)
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    good, refused = ST.staged_write(df.limit(0), f"file://{tmp_path}/none", bad)
+    assert good.count() == refused.count() == 0
+
+
 def test_get_one_fails_without_row(spark):
     df = spark.createDataFrame([("1", "a")], "_id string, name string")
     assert R.get_one(df, "1").first().name == "a"
