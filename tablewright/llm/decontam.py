@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
 A mask names the token offsets that count; the offsets it skips may differ. The masked tokens at every position of
-every test item and every document are hashed, equal hashes are joined, and around each hit the item is laid over
-the document along the hit's diagonal. A document leaks an item if enough of the item's tokens agree there, counted
+every test item and every document are hashed, equal hashes are joined, each item's rarer ones first, and around each hit
+the item is laid over the document along the hit's diagonal. A document leaks an item if enough of the item's tokens agree there, counted
 together with those of near diagonals (words put in or left out), or if a long stretch of it does.
 Only DataFrame functions run here.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, unused
+from .common import cut, small, unused, written
 
 #: Token offsets that each mask keeps. A substitution at a skipped offset leaves the hash as it is. Agreement that holds
 #: none of the three (no 111, 1101 or 1011) is at most every second token plus one or two at the ends, which is below
@@ -50,22 +50,49 @@ def seeds(df: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "pos", F.explode(each).alias("seed"))
 
 
+def fewest_hits(n: Column, overlap: float = OVERLAP) -> Column:
+    """Places of an item of ``n`` tokens, an offset and a mask each, that an agreement of a share above one half hits at least,
+    and a stretch more than ``STRETCH``. On one diagonal every hit takes another place."""
+    return F.least(n * (2 * overlap - 1) - 2 - 1e-6, F.lit(float(STRETCH)))
+
+
+def hits_of(met: DataFrame, item_seeds: DataFrame, sizes: DataFrame, overlap: float = OVERLAP) -> DataFrame:
+    """``doc_id, text_hash, item_id, pos, item_pos``: the hits of all pairs that may leak, the rare seeds first.
+
+    ``met`` has the documents' seeds that some item has (``doc_id, text_hash, pos, seed``). A leak hits :func:`fewest_hits`
+    places of its item or more, so it hits one outside any smaller choice of them: the item's most frequent seeds, as long
+    as they take fewer places, make no candidates. What all documents and items say in common falls under these, and is
+    looked up for the pairs that met otherwise alone.
+    """
+    spot = ["doc_id", "text_hash", "item_id"]
+    frequency = met.groupBy("seed").agg(F.count(F.lit(1)).alias("met"))
+    per = item_seeds.groupBy("item_id", "seed").agg(F.count(F.lit(1)).alias("places")).join(frequency, "seed").join(sizes, "item_id")
+    upto = Window.partitionBy("item_id").orderBy(F.desc("met"), "seed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    frequent = per.withColumn("upto", F.sum("places").over(upto)).filter(F.col("upto") <= F.ceil(fewest_hits(F.col("n"), overlap)) - 1)
+    frequent = small(cut(frequent.select("item_id", "seed")), MAX_BROADCAST_SEEDS)
+    rare = small(cut(item_seeds.join(frequent, ["item_id", "seed"], "left_anti")), MAX_BROADCAST_SEEDS)
+    first = written(met.join(rare, "seed").select(*spot, "pos", "item_pos"))
+    asked = first.select(*spot).distinct().join(item_seeds.join(frequent, ["item_id", "seed"], "left_semi"), "item_id")
+    again = met.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("seed").alias("s"), "pos")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("seed") == F.col("s"))
+    return first.unionByName(asked.join(again, same).select(*spot, "pos", "item_pos"))
+
+
 def _judged(docs: DataFrame, benchmark: DataFrame, overlap: float, least: int) -> DataFrame:
     """The places that leak, with the ``text_hash`` of the document's row."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("toks")).filter(F.size("toks") >= SPAN).distinct()
     item_seeds = cut(seeds(items, ["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "seed"))
-    item_seeds = small(item_seeds, MAX_BROADCAST_SEEDS)
+    values = small(cut(item_seeds.select("seed").distinct()), MAX_BROADCAST_SEEDS)
+    sizes = small(cut(items.groupBy("item_id").agg(F.min(F.size("toks")).alias("n"))))
     text_hash = F.xxhash64("text")
     mine = docs.select("doc_id", text_hash.alias("text_hash"), tokens(F.col("text")).alias("toks"))
-    hits = seeds(mine, ["doc_id", "text_hash"]).join(item_seeds, "seed")
+    # A row for each seed of a document that any item has, however many have it: the texts are read once for all that follows.
+    met = written(seeds(mine, ["doc_id", "text_hash"]).join(values, "seed").select("doc_id", "text_hash", "pos", "seed"))
     # Diagonals of all hits: the few places where an item may lie over a document.
     spot = ["doc_id", "text_hash", "item_id"]
-    places = hits.groupBy(*spot, (F.col("pos") - F.col("item_pos")).alias("doc_start")).agg(F.count(F.lit(1)).alias("hits"))
+    places = hits_of(met, item_seeds, sizes, overlap).groupBy(*spot, (F.col("pos") - F.col("item_pos")).alias("doc_start")).agg(F.count(F.lit(1)).alias("hits"))
     near = Window.partitionBy(*spot).orderBy("doc_start").rangeBetween(-SHIFT, SHIFT)
-    sizes = small(cut(items.groupBy("item_id").agg(F.min(F.size("toks")).alias("n"))))
-    # Agreement of a share above one half has at least this many hits, a stretch more than STRETCH.
-    fewest = F.least(F.col("n") * (2 * overlap - 1) - 2 - 1e-6, F.lit(float(STRETCH)))
-    places = places.withColumn("around", F.sum("hits").over(near)).join(sizes, "item_id").filter(F.col("around") >= fewest)
+    places = places.withColumn("around", F.sum("hits").over(near)).join(sizes, "item_id").filter(F.col("around") >= fewest_hits(F.col("n"), overlap))
     places = cut(places.select(*spot, "doc_start"))
     found = small(places.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct())
     suspects = docs.select("doc_id", "text", text_hash.alias("text_hash")).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
@@ -98,7 +125,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, least
     text), ``matched`` the agreeing tokens on the best diagonal and ``overlap`` their share of the item. A pair is
     reported if, on a diagonal and its neighbours within ``SHIFT`` that were hit, the agreeing tokens of the item are
     ``overlap`` of it and ``least`` or more, or ``STRETCH`` of some ``WITHIN`` in a row; ``matched`` and ``overlap`` of
-    one diagonal may then be lower. A null or empty text has no token, so it leaks
+    one diagonal may then be lower. Parts that are added up must hit as many places of the item as :func:`fewest_hits` says. A null or empty text has no token, so it leaks
     nothing and is leaked nowhere; items of fewer than ``least`` tokens are never reported. Rows
     that repeat an id are judged by their own texts and reported once per id and item; null ids of documents are
     reported as null, items without an id never. Either table may be empty.

@@ -231,6 +231,32 @@ def test_least_hits_of_an_agreement():
                 assert hits >= decontam.STRETCH
 
 
+def test_rare_seeds_come_first(spark):
+    """What all documents and all items say in common makes no pairs, and no leak is lost."""
+    rng = random.Random(4)
+    common = "it is one of".split()
+    own = [[f"i{i}w{k}" for k in range(40)] for i in range(60)]
+    items = [(i, " ".join(w[:9] + common + w[9:])) for i, w in enumerate(own)]
+    docs = []
+    for d in range(300):
+        words = [rng.choice([f"d{d}w{k}", f"x{rng.randrange(500)}"]) for k in range(80)] + common + [f"d{d}end"]
+        if d % 10 == 0:
+            take = items[d // 10][1].split()
+            words += take if d % 20 else [w if k % 5 else "changed" for k, w in enumerate(take)]
+        docs.append((d, " ".join(words)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.matched for r in decontam.leaks(df, bench).collect()}
+    assert found == plain_leaks(docs, items) and len(found) == 30
+    toks = lambda t: decontam.tokens(F.col("text")).alias("toks")
+    item_seeds = decontam.seeds(bench.select("item_id", toks(bench)), ["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "seed")
+    met = decontam.seeds(df.select("doc_id", F.xxhash64("text").alias("text_hash"), toks(df)), ["doc_id", "text_hash"]).join(item_seeds.select("seed").distinct(), "seed")
+    every = met.join(item_seeds, "seed").select("doc_id", "item_id").distinct().count()
+    hits = decontam.hits_of(met, item_seeds, bench.select("item_id", F.lit(44).alias("n")))
+    assert every == 300 * 60 and hits.select("doc_id", "item_id").distinct().count() == 30
+    whole = met.join(item_seeds, "seed").join(hits.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_semi")
+    assert hits.count() == whole.count()  # of the pairs that met every hit is there
+
+
 def test_leaks_with_substitutions(spark):
     rng = random.Random(7)
     items, texts = [], []
