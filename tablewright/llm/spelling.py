@@ -26,7 +26,7 @@ from .common import cut, written
 #: Letter groups, that is levels of the trie: letters whose code points are equal modulo this.
 GROUPS = 24
 #: Words under a node of the trie that one task holds; beyond that the node is split at its next level.
-BLOCK_WORDS = 20_000
+BLOCK_WORDS = 5_000
 #: Most blocks, whose keys every task gets. Blocks grow with the vocabulary so that there are never more.
 MAX_BLOCKS = 100_000
 #: A form must be this many times as frequent as its variant.
@@ -178,9 +178,9 @@ def blocks(vectors: DataFrame, block_words: int = BLOCK_WORDS) -> list[tuple[byt
 
 
 def _route(vectors: DataFrame, cuts: list[tuple[bytes, bool]], ends: int = ENDS) -> DataFrame:
-    """``block, part, own, word, n, vector``: every word to its own block and to the later ones that may hold words near it.
+    """``block, part, own, word, n, vector``: every word to its own block and to those that may hold words near it.
 
-    Crowded leaves are parted by the first and by the last letters of their words.
+    Of two blocks one visits the other, by the parity of their numbers, so no block is visited by all around it. Crowded leaves are parted by the first and by the last letters of their words.
     """
     shared = vectors.sparkSession.sparkContext.broadcast(cuts)
     names = ["block", "part", "own", "word", "n", "vector"]
@@ -204,7 +204,7 @@ def _route(vectors: DataFrame, cuts: list[tuple[bytes, bool]], ends: int = ENDS)
                         reached.clear()
                     counts = tuple(key)
                     own = next(top.search(counts, 0, 0))[0]
-                    reached[key] = own, [x for x in top.search(counts) if x[0] >= own]
+                    reached[key] = own, [x for x in top.search(counts) if x[0] == own or (own < x[0]) == ((own + x[0]) % 2 == 0)]
                 own, found = reached[key]
                 for number, crowded in found:
                     for part in ("<" + word[:ends], ">" + word[len(word) - ends :]) if crowded else ("",):
