@@ -14,6 +14,7 @@ from ..runtime import scratch
 from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import changes as S
+from ..streaming import keyed as KS
 from .base import query, reports, table
 
 
@@ -141,6 +142,26 @@ def stream_push(spark, sf):
     return state.read("state").select("id", "error").join(sent, F.col("id") == F.col("sent")).select("id", "op", "checksum", "error")
 
 
+@query("""
+WITH e AS (SELECT user_id::VARCHAR AS id, ts, event_type, event_id, least(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * 4.0 / (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events)), 3) AS part FROM events),
+l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY id, part ORDER BY ts DESC, event_type DESC) = 1),
+c AS (SELECT *, lag(event_type) OVER (PARTITION BY id ORDER BY part) AS before FROM l)
+SELECT id, CASE WHEN before IS NULL THEN 'insert' ELSE 'patch' END AS op, sha1('event_type=' || length(event_type) || ':' || event_type) AS checksum, ts::TIMESTAMP AS at FROM c WHERE before IS NULL OR before <> event_type
+""")
+def stream_changed(spark, sf):
+    """K3: rows that are new or changed in four batches, by checksums in the state store."""
+    events = table(spark, sf, "events")
+    low, high = events.agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))), F.unix_micros(F.max(F.col("ts").cast("timestamp"))) + 1).first()
+    rows = events.select(F.col("user_id").cast("string").alias("_id"), F.col("ts").cast("timestamp").alias("_at"), "event_type")
+    folder = scratch(spark)
+    for k in range(4):
+        rows.filter(F.floor((F.unix_micros("_at") - low) * 4 / (high - low)) == k).coalesce(1).write.parquet(f"{folder}/in/b={k}")
+    KS.use_keyed_state(spark)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    KS.changed_rows(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(KS.CHANGED).parquet(f"{folder}/out").select("id", "op", "checksum", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
 @query("SELECT c_custkey AS _id FROM customer WHERE c_custkey % 40 <> 0")
 def fault_tolerant(spark, sf):
     """K4: bad rows aside, the good ones kept, as long as few are bad."""

@@ -20,6 +20,7 @@ from tablewright.operators import sync as Y
 from tablewright.sources import readers as R
 from tablewright.sources import writers as W
 from tablewright.streaming import changes as ST
+from tablewright.streaming import keyed as KS
 
 REPORT = "status string, count int, day date, notes array<struct<note:string, kinds:array<string>>>, sync struct<id:string, parts:array<struct<id:string>>>"
 
@@ -575,6 +576,22 @@ def test_stream_of_keys_and_pushes(spark, tmp_path):
     assert {r.id: r.error for r in state.read("state", before=1).collect()} == {"1": True, "2": False}
 
 
+def test_keyed_state_holds_what_changed(spark, tmp_path):
+    at = lambda n: datetime.datetime(2025, 1, 1, 0, n)
+    schema = "_id string, _at timestamp, name string"
+    first = [(str(i), at(0), f"n{i}") for i in range(500)]
+    batches = [first, [("1", at(1), "n1"), ("2", at(1), "x"), ("2", at(2), "n2"), ("3", at(1), "y"), (None, at(1), None), ("new", at(1), None)], [("3", at(3), "y"), ("new", at(3), "z"), ("4", at(3), None)]]
+    source = stream_of(spark, tmp_path, batches, schema)
+    KS.use_keyed_state(spark)
+    run = lambda: KS.changed_rows(source).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
+    query = run()
+    query.awaitTermination()
+    rows = [(r.id, r.op, json.loads(r.data)["name"]) for r in spark.read.schema(KS.CHANGED).parquet(f"file://{tmp_path}/out").filter("at > '2025-01-01 00:00:00'").collect()]
+    assert sorted(rows, key=str) == sorted([("3", "patch", "y"), (None, "insert", None), ("new", "insert", None), ("new", "patch", "z"), ("4", "patch", None)], key=str)
+    written = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"] and p["numInputRows"]]
+    assert written == [500, 3, 2]  # the state follows the ids that changed
+
+
 def folder_bytes(path):
     return sum(f.stat().st_size for f in path.rglob("*.parquet"))
 
