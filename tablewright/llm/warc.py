@@ -24,6 +24,8 @@ from .common import written
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 TAIL = b"\r\n\r\n"
+#: Payload bytes after which a task passes its records on.
+BATCH_BYTES = 16 << 20
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
@@ -32,6 +34,23 @@ RECORDS = "file string, at long, header binary, payload binary, held boolean"
 PARSED = "page_id long, record_id string, record_type string, uri string, payload_bytes long, payload_digest string, refers_to_id string"
 
 
+_KINDS = {"file": pa.string(), "at": pa.int64(), "header": pa.binary(), "payload": pa.binary(), "held": pa.bool_()}
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Records (file, at, header, payload, held) in batches of bounded size."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2]) + len(row[3])
+        if size >= BATCH_BYTES or len(held) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), _KINDS.values(), strict=True)], names=list(_KINDS))
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), _KINDS.values(), strict=True)], names=list(_KINDS))
+
+
 class ArchiveError(ValueError):
     """A record or payload that is not what its header or digest says."""
 
@@ -132,16 +151,18 @@ def restore(archive: Archive) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
-        for batch in batches:
-            payloads = []
-            for digest, size, body in zip(*(batch.column(i).to_pylist() for i in (3, 5, 6)), strict=True):
-                if body is None:
-                    raise ArchiveError(f"no payload {digest}")
-                payload = open_.decompress(body, max_output_size=max(size, 1))
-                if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
-                    raise ArchiveError(f"the payload {digest} is damaged")
-                payloads.append(payload)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(payloads, pa.binary()), batch.column(4)], names=["file", "at", "header", "payload", "held"])
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for file, at, header, digest, held, size, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if body is None:
+                        raise ArchiveError(f"no payload {digest}")
+                    payload = open_.decompress(body, max_output_size=max(size, 1))
+                    if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
+                        raise ArchiveError(f"the payload {digest} is damaged")
+                    yield file, at, header, payload, held
+
+        yield from _batches(rows())
 
     return joined.mapInArrow(unpack, RECORDS)
 
@@ -204,17 +225,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["file", "at", "header", "payload", "held"]
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows: list[tuple] = []
-                for at, header, payload in split_records(_plain(content)):
-                    rows.append((file, at, header, payload, True))
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+        files = (f for batch in batches for f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        yield from _batches((file, at, header, payload, True) for file, content in files for at, header, payload in split_records(_plain(content)))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(scan, RECORDS)
 
