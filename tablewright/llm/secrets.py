@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -91,6 +93,15 @@ def parts_between(candidate: str) -> list[tuple[int, str]]:
     return [(a, candidate[a:b]) for a, b in zip(starts, ends, strict=True) if b - a >= SHORTEST]
 
 
+def _marked_pieces(candidate: str) -> tuple[list[int], list[int], list[int]]:
+    """Where the runs of letters and digits begin and end, and how many before each hold a placeholder; none without one."""
+    if not PLACEHOLDER.search(candidate):
+        return [], [], [0]
+    pieces = [m.span() for m in _letters_digits.finditer(candidate)]
+    marks = [PLACEHOLDER.search(candidate, a, b) is not None for a, b in pieces]
+    return [a for a, _ in pieces], [b for _, b in pieces], [0, *accumulate(marks)]
+
+
 def random_stretches(candidate: str) -> list[tuple[int, int]]:
     """The hot stretches of the runs of every class, merged where they overlap.
 
@@ -100,15 +111,15 @@ def random_stretches(candidate: str) -> list[tuple[int, int]]:
     if allowed(candidate):
         return []
     found = []
-    pieces = [m.span() for m in _letters_digits.finditer(candidate)] if PLACEHOLDER.search(candidate) else []
+    starts, ends, marked = _marked_pieces(candidate)
     for runs, width, least in CLASSES.values():
         for run in runs.finditer(candidate):
             if allowed(run.group()):
                 continue
             for a, b in hot_stretches(run.group(), width, least):
                 a, b = run.start() + a, run.start() + b
-                touched = [(c, d) for c, d in pieces if c < b and d > a]
-                if not touched or not PLACEHOLDER.search(candidate, min(a, touched[0][0]), max(b, touched[-1][1])):
+                first, last = bisect_right(ends, a), bisect_left(starts, b)  # the runs of letters and digits that it touches
+                if marked[first] == marked[max(first, last)]:
                     found.append((a, b))
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):

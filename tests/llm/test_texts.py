@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -280,3 +281,16 @@ def test_chat_drops_clashing_columns(spark):
     formatted = chat.format_windows(df)
     plain = chat.format_windows(df.select("conv_id", "turn", "role", "text"))
     assert formatted.schema == plain.schema and formatted.collect() == plain.collect()
+
+
+def test_placeholders_among_many_stretches():
+    """A word explains the stretches whose runs of letters and digits hold it, however many there are."""
+    draw = random.Random(6)
+    key = lambda: "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30))
+    slow = lambda text: [(a, b) for a, b in secrets.random_stretches(text.replace("example", "q7Rt2Wz"))]
+    text = "/".join(key() + ("example" if k % 3 == 0 else "") for k in range(300))
+    every, found = slow(text), secrets.random_stretches(text)
+    assert found != every and all("example" not in text[a:b] for a, b in found)
+    began = time.perf_counter()
+    secrets.random_stretches("/".join(key() for _ in range(20_000)) + "/example")
+    assert time.perf_counter() - began < 20
