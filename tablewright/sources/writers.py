@@ -1,13 +1,16 @@
-"""Sinks: flat CSV, JSON lines, triples, split export tables."""
+"""Sinks: flat CSV, JSON lines, triples, split export tables, Derby databases."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..model import TableError
 from ..operators.project import flatten, to_json_safe
 
 
@@ -64,3 +67,59 @@ def export_tables(df: DataFrame, txn: str, at: Column, lists: Sequence[str] | No
     data = F.to_json(F.struct(*[c for c in df.columns if not c.startswith("_")]))
     out["/:changelog"] = df.select(F.lit(txn).alias("_txn"), F.col("_id").alias("_rid"), at.alias("datetime"), F.lit("insert").alias("action"), data.alias("data"))
     return out
+
+
+_DERBY_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR(32672)"}
+
+
+def write_derby(df: DataFrame, folder: str, table: str, parts: int = 4) -> list[str]:
+    """A table as ``parts`` read-only Derby databases in a folder that all machines mount; gives their JDBC URLs.
+
+    An embedded database belongs to the process that opened it, so one that is written through JDBC can't be seen from
+    other executors. Here each task loads its rows into a database of its own and packs it into one file, which any
+    number of processes may open. Nothing but the URLs reaches the driver.
+    """
+    spark, place = df.sparkSession, urlsplit(folder)
+    if place.scheme not in ("", "file"):
+        raise TableError(f"Derby opens mounted folders only, not {folder}")
+    kinds = dict(df.dtypes)
+    if unknown := [c for c in df.columns if kinds[c] not in _DERBY_TYPES]:
+        raise TableError(f"no Derby type for {', '.join(unknown)}")
+    columns = ", ".join(f"{c} {_DERBY_TYPES[kinds[c]]}" for c in df.columns)
+    target, java = place.path, spark.sparkContext._jvm.System.getProperty("java.home")
+
+    def load(rows):  # defined here, so that workers get it whole and need no package
+        import csv
+        import glob
+        import os
+        import subprocess
+        import tempfile
+        import zipfile
+
+        from pyspark import TaskContext
+        from pyspark.find_spark_home import _find_spark_home
+
+        number = TaskContext.get().partitionId()
+        with tempfile.TemporaryDirectory(prefix="spark-derby-") as own:
+            with open(f"{own}/rows.csv", "w", newline="", encoding="utf-8") as file:
+                csv.writer(file, quoting=csv.QUOTE_STRINGS, lineterminator="\n").writerows(tuple(r) for r in rows)
+            with open(f"{own}/load.sql", "w", encoding="utf-8") as file:
+                file.write(f"CONNECT 'jdbc:derby:db;create=true';\nCREATE TABLE {table} ({columns});\n")
+                file.write(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, '{table.upper()}', '{own}/rows.csv', ',', '\"', 'UTF-8', 0);\n")
+                file.write("CONNECT 'jdbc:derby:db;shutdown=true';\nEXIT;\n")
+            jars = os.pathsep.join(glob.glob(f"{os.environ.get('SPARK_HOME') or _find_spark_home()}/jars/derby*.jar"))
+            command = [f"{java}/bin/java" if os.path.exists(f"{java}/bin/java") else "java", "-Xmx256m", "-cp", jars, "org.apache.derby.tools.ij", f"{own}/load.sql"]
+            said = subprocess.run(command, cwd=own, capture_output=True, text=True, check=True).stdout
+            if failed := [line for line in said.splitlines() if "ERROR" in line and "ERROR 08006" not in line]:  # 08006 tells of the shutdown
+                raise RuntimeError(failed[0])
+            os.makedirs(target, exist_ok=True)
+            mine = f"{target}/part-{number}.{uuid.uuid4().hex}"
+            with zipfile.ZipFile(mine, "w", zipfile.ZIP_STORED) as packed:  # stored, so that Derby reads a page where it lies
+                for at, _, names in os.walk(f"{own}/db"):
+                    for name in names:
+                        path = os.path.join(at, name)
+                        packed.write(path, os.path.relpath(path, own))
+            os.replace(mine, f"{target}/part-{number}.jar")
+
+    df.repartition(parts).foreachPartition(load)
+    return [f"jdbc:derby:jar:({target}/part-{number}.jar)db" for number in range(parts)]

@@ -3,6 +3,8 @@
 import datetime
 import json
 import random
+import subprocess
+import sys
 from fractions import Fraction
 
 import pytest
@@ -472,6 +474,23 @@ def test_jdbc(spark, tmp_path):
     assert R.read_jdbc(spark, url, "things", "ID", (0, 50), 4, **options).filter("id >= 40").count() == 10
 
 
+def test_derby_of_all_executors(spark, tmp_path):
+    """Databases that every executor can open, through a cluster with executors of its own; odd texts come back as they were."""
+    texts = ["plain", "", None, 'a "b", c', "line\nbreak", "ąž"]
+    df = spark.createDataFrame([(i, t, i / 2 if i % 2 else None) for i, t in enumerate(texts)], "id int, name string, x double")
+    parts = [R.read_jdbc(spark, url, "things", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver") for url in W.write_derby(df, f"file://{tmp_path}/derby", "things", 3)]
+    assert sorted(tuple(r) for p in parts for r in p.collect()) == sorted(tuple(r) for r in df.collect())
+    with pytest.raises(TableError):
+        W.write_derby(df, "hdfs://host/derby", "things")
+    code = (
+        "import sys; from pyspark.sql import SparkSession\n"
+        f"s = SparkSession.builder.master('local-cluster[2,1,1024]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}/c').getOrCreate()\n"
+        "from tablewright.plans import changes\nprint('rows', changes.jdbc_table(s, sys.argv[1]).count())"
+    )
+    out = subprocess.run([sys.executable, "-c", code, "/root/testdata/sf0.001"], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert f"rows {spark.read.parquet('/root/testdata/sf0.001/customer.parquet').filter('c_custkey % 2 = 0').count()}" in out.stdout
+
+
 def test_jdbc_ranges_are_even(spark, tmp_path):
     url, options = f"jdbc:derby:{tmp_path}/even;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     skewed = spark.range(4000).selectExpr("cast(pow(id, 3) as bigint) as id", "case when id % 50 = 0 then null else cast(id as double) / 7 end as share")
