@@ -193,24 +193,25 @@ _OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def match_where(current: DataFrame, given: DataFrame) -> DataFrame:
-    """Given rows with what their own predicates find: ``__row, g, s, __bad, __by_id``, a row for each hit, ``s`` null without one.
+class _Shape(NamedTuple):
+    """Given rows whose predicates have the same paths and operators: ``__row, g, __bad, __by_id`` and their values ``__v0, ...``."""
 
-    ``_where`` is a list of ``path, op, value`` (texts) that all must hold; ``eq`` and ``ne`` take null as a value. Rows are
-    grouped by the shape of their predicate, the paths and operators. Of each shape the equalities are the keys of one
-    join and the rest its residual condition; rows without equality are broadcast if they are few, else refused whole.
-    ``__bad`` marks values that aren't of their column's type, which find nothing.
-    """
+    asked: DataFrame
+    terms: list[tuple[str, Column]]
+
+
+def _shapes(current: DataFrame, given: DataFrame) -> tuple[DataFrame, list[_Shape]]:
+    """Given rows with ``__row``, and by shape, each term as its operator and the column it is about."""
     rows = cut(given.withColumn("__row", F.monotonically_increasing_id()))
     shape = F.array_join(F.transform("_where", lambda x: F.concat_ws(" ", x["op"], x["path"])), "\n")
     rows = rows.withColumn("__shape", F.coalesce(shape, F.lit("")))
     shapes = [r[0] for r in rows.select("__shape").distinct().limit(MAX_SHAPES + 1).collect()]
     if len(shapes) > MAX_SHAPES:
         raise TableError(f"more than {MAX_SHAPES} shapes of predicates")
-    out: DataFrame | None = None
+    out = []
     for text in shapes:
         part, terms = rows.filter(F.col("__shape") == text), [line.split(" ", 1) for line in text.split("\n")] if text else []
-        conditions, bad, keyed = [], F.lit(False), False
+        bad, found = F.lit(False), []
         values: dict[str, Column] = {}
         for i, (op, path) in enumerate(terms):
             if op not in _OPERATORS:
@@ -221,21 +222,109 @@ def match_where(current: DataFrame, given: DataFrame) -> DataFrame:
             raw = F.get("_where", F.lit(i))["value"]
             values[f"__v{i}"] = raw.try_cast(leaf.dtype)
             bad = bad | (raw.isNotNull() & raw.try_cast(leaf.dtype).isNull())
-            conditions.append(_OPERATORS[op](value_of(leaf.steps), F.col(f"__v{i}")))
-            keyed = keyed or op == "eq"
-        asked = part.select("__row", F.struct(*given.columns).alias("g"), bad.alias("__bad"), F.lit(any(path == "_id" and op == "eq" for op, path in terms)).alias("__by_id"), *[v.alias(k) for k, v in values.items()])
-        if not keyed:
+            found.append((op, value_of(leaf.steps)))
+        by_id = F.lit(any(path == "_id" and op == "eq" for op, path in terms))
+        asked = part.select("__row", F.struct(*given.columns).alias("g"), bad.alias("__bad"), by_id.alias("__by_id"), *[v.alias(k) for k, v in values.items()])
+        if not any(op == "eq" for op, _ in terms):
             if asked.limit(MAX_LOOSE + 1).count() > MAX_LOOSE:
                 raise TableError(f"more than {MAX_LOOSE} rows have no equality in their predicate")
             asked = F.broadcast(asked)
-        condition = reduce(lambda a, b: a & b, conditions, ~F.col("__bad"))
-        saved = current.withColumn("s", F.struct(*current.columns))
-        hits = saved.join(asked, condition).select("__row", "s")
-        met = asked.select("__row", "g", "__bad", "__by_id").join(hits, "__row", "left")
+        out.append(_Shape(asked, found))
+    return rows, out
+
+
+def _hits(current: DataFrame, shape: _Shape) -> DataFrame:
+    """``__row`` and ``s`` of every hit: equalities are the keys of a join, the rest its residual condition."""
+    conditions = [_OPERATORS[op](column, F.col(f"__v{i}")) for i, (op, column) in enumerate(shape.terms)]
+    saved = current.withColumn("s", F.struct(*current.columns))
+    return saved.join(shape.asked, reduce(lambda a, b: a & b, conditions, ~F.col("__bad"))).select("__row", "s")
+
+
+def match_where(current: DataFrame, given: DataFrame) -> DataFrame:
+    """Given rows with what their own predicates find: ``__row, g, s, __bad, __by_id``, a row for each hit, ``s`` null without one.
+
+    ``_where`` is a list of ``path, op, value`` (texts) that all must hold; ``eq`` and ``ne`` take null as a value. Rows are
+    grouped by the shape of their predicate, the paths and operators. Of each shape the equalities are the keys of one
+    join and the rest its residual condition; rows without equality are broadcast if they are few, else refused whole.
+    ``__bad`` marks values that aren't of their column's type, which find nothing.
+    """
+    rows, shapes = _shapes(current, given)
+    out: DataFrame | None = None
+    for shape in shapes:
+        met = shape.asked.select("__row", "g", "__bad", "__by_id").join(_hits(current, shape), "__row", "left")
         out = met if out is None else out.unionByName(met)
     return out if out is not None else rows.select("__row", F.struct(*given.columns).alias("g"), F.lit(None).cast(current.schema).alias("s"), F.lit(False).alias("__bad"), F.lit(False).alias("__by_id")).limit(0)
 
 
+def _interval(shape: _Shape) -> tuple[list[int], int | None, int | None] | None:
+    """The places of the equalities, of the lower and of the upper bound, if the shape has equalities and else at most one
+    bound of each kind, of the same column."""
+    keys = [i for i, (op, _) in enumerate(shape.terms) if op == "eq"]
+    lower = [i for i, (op, _) in enumerate(shape.terms) if op in ("ge", "gt")]
+    upper = [i for i, (op, _) in enumerate(shape.terms) if op in ("le", "lt")]
+    bounds = lower + upper
+    if not keys or len(keys) + len(bounds) < len(shape.terms) or len(lower) > 1 or len(upper) > 1:
+        return None
+    if len(bounds) == 2 and str(shape.terms[bounds[0]][1]) != str(shape.terms[bounds[1]][1]):
+        return None
+    return keys, (lower or [None])[0], (upper or [None])[0]
+
+
+def _counted_intervals(current: DataFrame, shape: _Shape, keys: list[int], lower: int | None, upper: int | None) -> tuple[DataFrame, DataFrame]:
+    """:func:`_counted_hits` without making the hits, which may be as many as pairs of rows.
+
+    With the same keys, what a given row finds lies between two places of the column's order. Saved rows and both ends of
+    every given row are put in one order, by ranges of it; running counts over the ranges tell how many saved rows lie
+    between two ends, which is the first of them, and how many given rows lie around a saved one.
+    """
+    bound = lower if lower is not None else upper
+    column = shape.terms[bound][1] if bound is not None else F.lit(0)
+    names = [f"__k{i}" for i in range(len(keys))]
+    given_keys = [F.col(f"__v{i}").alias(n) for i, n in zip(keys, names, strict=True)]
+    low, high = (F.col(f"__v{i}") if i is not None else F.lit(None).cast("int") for i in (lower, upper))
+    # at one value: 0 before the saved rows, 1 the saved rows, 2 after them; ends that are open lie before and behind all values
+    low_side, low_tie = (F.lit(0), F.lit(0)) if lower is None else (F.lit(1), F.lit(0 if shape.terms[lower][0] == "ge" else 2))
+    high_side, high_tie = (F.lit(2), F.lit(0)) if upper is None else (F.lit(1), F.lit(0 if shape.terms[upper][0] == "lt" else 2))
+    good = ~F.col("__bad")
+    for i, value in ((lower, low), (upper, high)):
+        good = good & value.isNotNull() if i is not None else good
+    if lower is not None and upper is not None:
+        good = good & ((low < high) | ((low == high) & (low_tie < high_tie)))
+    ends = shape.asked.filter(good)
+    saved = current.select(*[shape.terms[i][1].alias(n) for i, n in zip(keys, names, strict=True)], column.alias("__x"), "_id")
+    saved = saved.filter("__x is not null").select(*names, F.lit(1).alias("__side"), "__x", F.lit(1).alias("__tie"), F.col("_id").alias("__hit"), F.lit(None).cast("long").alias("__row"), F.lit(0).alias("__step"))
+    kind, text = saved.schema["__x"].dataType, saved.schema["__hit"].dataType
+    open_ = lambda value, i: value.cast(kind) if i is not None else F.lit(None).cast(kind)
+    starts = ends.select(*given_keys, low_side.alias("__side"), open_(low, lower).alias("__x"), low_tie.alias("__tie"), F.lit(None).cast(text).alias("__hit"), "__row", F.lit(1).alias("__step"))
+    stops = ends.select(*given_keys, high_side.alias("__side"), open_(high, upper).alias("__x"), high_tie.alias("__tie"), F.lit(None).cast(text).alias("__hit"), "__row", F.lit(-1).alias("__step"))
+    by = [*names, "__side", "__x", "__tie", "__hit"]
+    # the place of a row is its range above bit 33 and its number there below
+    ranges = int(current.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    events = saved.unionByName(starts).unionByName(stops).repartitionByRange(ranges, *by, "__row").sortWithinPartitions(*by, "__row")
+    placed = cut(events.withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"__part": F.shiftright("__at", 33), "__is": (F.col("__step") == 0).cast("long")})
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges only
+    before = placed.groupBy("__part").agg(F.sum("__is").alias("__i"), F.sum("__step").alias("__s")).select("__part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(n) for c, n in (("__i", "__is0"), ("__s", "__open0"))])
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.withColumns({"__place": F.sum("__is").over(inside), "__open": F.sum("__step").over(inside)}).join(F.broadcast(before), "__part")
+    run = cut(run.select("__hit", "__row", "__step", (F.col("__place") + F.col("__is0")).alias("__place"), (F.col("__open") + F.col("__open0")).alias("__given")))
+    given = run.filter("__step = 0 and __given > 0").select("__hit", "__given")
+    spans = run.filter("__step <> 0").groupBy("__row").agg(F.sum(-F.col("__step") * F.col("__place")).alias("__n"), F.min("__place").alias("__first")).filter("__n > 0")
+    first = run.filter("__step = 0").select(F.col("__place").alias("__at"), "__hit")
+    per = spans.join(first, F.col("__first") + 1 == F.col("__at")).select("__row", "__n", "__hit")
+    return per, given
+
+
+def _counted_hits(current: DataFrame, shape: _Shape) -> tuple[DataFrame, DataFrame]:
+    """Of given rows that find any: ``__row``, how many (``__n``) and the ``_id`` of one (``__hit``); of saved rows that are found:
+    ``__hit`` and by how many (``__given``)."""
+    if (interval := _interval(shape)) is not None:
+        return _counted_intervals(current, shape, *interval)
+    hits = cut(_hits(current, shape).select("__row", F.col("s._id").alias("__hit")))
+    per = hits.groupBy("__row").agg(F.count(F.lit(1)).alias("__n"), F.min("__hit").alias("__hit"))
+    return per, hits.groupBy("__hit").agg(F.count(F.lit(1)).alias("__given"))
+
+
 def _wanted_id() -> Column:
     """The id that a predicate asks for, if any."""
     return F.get(F.filter("g._where", lambda x: (x["path"] == "_id") & (x["op"] == "eq")), F.lit(0))["value"]
@@ -260,12 +349,18 @@ def upsert_where(current: DataFrame, given: DataFrame, model: str, txn: str, at:
     """Like :func:`upsert`, by each given row's own ``_where``: no hit inserts, one patches, several are refused (``multiple``).
 
     A row that several given ones find is refused for all of them (``repeated``), a value of a wrong type too (``invalid``).
+    Hits are counted and not made where the predicate is equalities and a range of one column (:func:`_counted_intervals`).
     """
     plain = [c for c in given.columns if c not in ("_id", "_where")]
-    met = match_where(current, given)
-    per = met.groupBy("__row").agg(F.count("s").alias("__n"), F.first("g").alias("g"), F.first("s").alias("s"), F.first("__bad").alias("__bad"))
-    counts = met.filter("s is not null").groupBy(F.col("s._id").alias("__hit")).agg(F.count(F.lit(1)).alias("__given"))
-    met = cut(per.join(counts, F.col("s._id") == F.col("__hit"), "left"))
+    rows, shapes = _shapes(current, given)
+    none = rows.select("__row", F.struct(*given.columns).alias("g"), F.lit(False).alias("__bad"), F.lit(0).cast("long").alias("__n"), F.lit(None).cast("string").alias("__hit"), F.lit(0).cast("long").alias("__given")).limit(0)
+    counted = [(none.select("__row", "__n", "__hit"), none.select("__hit", "__given")), *[_counted_hits(current, shape) for shape in shapes]]
+    asked = reduce(DataFrame.unionByName, [none.select("__row", "g", "__bad"), *[shape.asked.select("__row", "g", "__bad") for shape in shapes]])
+    per = reduce(DataFrame.unionByName, [p for p, _ in counted])
+    counts = reduce(DataFrame.unionByName, [c for _, c in counted]).groupBy("__hit").agg(F.sum("__given").alias("__given"))
+    saved = current.select(F.col("_id").alias("__id"), F.struct(*current.columns).alias("s"))
+    found = per.join(counts, "__hit").join(saved, F.col("__hit") == F.col("__id")).select("__row", "__n", "__given", "s")
+    met = cut(asked.join(found, "__row", "left").withColumn("__n", F.coalesce("__n", F.lit(0))))
     code = F.when(F.col("__bad"), "invalid").when(F.col("__n") > 1, "multiple")
     new = met.filter(code.isNull() & (F.col("__n") == 0)).select("g.*").drop("_where")
     added = _inserted(current, new, model, txn, at, defaults)

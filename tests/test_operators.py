@@ -395,6 +395,35 @@ def test_writes_by_predicate(spark):
     assert sorted(after.values()) == [0, 1, 2, 4, 5, 33, 50] and errors == [("1", "multiple")] and logged == 2
 
 
+def test_upserts_by_ranges_make_no_hits(spark, monkeypatch):
+    """Equalities and a range of one column: counted from the order, the same as from the hits; nulls, NaN and empty ranges among them."""
+    at, chance = F.lit("2025-01-01 00:00:00").cast("timestamp"), random.Random(5)
+    values = [None, float("nan"), -0.0, 0.0, 1.5, 2.0, 2.0, 3.25, 7.0]
+    rows = [(str(i), "r", None, None, chance.choice(["a", "b", None]), chance.choice(values), i) for i in range(24)]
+    current = spark.createDataFrame(rows, "_id string, _revision string, _created timestamp, _updated timestamp, k string, x double, n int")
+    low, high = ["ge", "gt"], ["lt", "le"]
+    given = []
+    for i in range(120):
+        terms = [("k", "eq", chance.choice(["a", "b", "c", None]))] + chance.choice([[], [("n", "eq", str(chance.randrange(24)))]])
+        ends = chance.choice([[], [chance.choice(low)], [chance.choice(high)], [chance.choice(low), chance.choice(high)]])
+        given.append((terms + [("x", op, chance.choice(["-1", "0", "2", "2.5", "7", "NaN", "x", None])) for op in ends], f"k{i}", i))
+    given = spark.createDataFrame(given, "_where array<struct<path:string,op:string,value:string>>, k string, n int")
+    def seen():
+        w = H.upsert_where(current, given, "m", "t", at)
+        return sorted((r["_id"], r.k, r.n) for r in w.current.collect()), sorted((r["_id"] or "", r.code) for r in w.errors.collect() if r.code != "multiple"), w.errors.filter("code = 'multiple'").count(), w.log.count()
+
+    with monkeypatch.context() as m:
+        m.setattr(H, "_interval", lambda shape: None)
+        want = seen()
+    assert want[2] > 10 and any(code == "repeated" for _, code in want[1])
+
+    def refuse(*_):
+        raise AssertionError("hits were made")
+
+    monkeypatch.setattr(H, "_hits", refuse)
+    assert seen() == want
+
+
 def ring(points):
     return "(" + ", ".join(f"{x} {y}" for x, y in [*points, points[0]]) + ")"
 
