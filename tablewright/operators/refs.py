@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import Field, all_of, keep_missing_ref
 from ..model import Catalog, TableError
+from ..runtime import cut
 from .paging import limit, sort
 
 #: Holds whether a referenced row passes its model's own filter.
@@ -55,11 +57,43 @@ def search(
     return df.select(*[F.col(f"`{p}`").alias(p.replace(".", "_")) for p in paths])
 
 
-def join_ref_keys(df: DataFrame, ref: str, target: DataFrame, on: Sequence[tuple[str | Column, str]]) -> DataFrame:
-    """Left join on composite natural keys: pairs of own column, or a literal column, and target column."""
+#: Most tasks that one join of blocks takes.
+MAX_TASKS = 20_000
+#: Pairs of one key that a task may make; the rows of a key with more are dealt out in blocks, on each side of at most its root.
+BLOCK_PAIRS = 16_000_000
+
+
+def join_ref_keys(df: DataFrame, ref: str, target: DataFrame, on: Sequence[tuple[str | Column, str]], most: int = BLOCK_PAIRS) -> DataFrame:
+    """Left join on composite natural keys: pairs of own column, or a literal column, and target column.
+
+    Keys that aren't unique make as many pairs as their rows say. Those with more than ``most`` are cut in blocks of own and
+    target rows, each block of one side meeting each of the other, so that a task makes about ``most`` pairs whatever the key.
+    """
     t = _named(target, ref)
-    same = [(F.col(f"`{own}`") if isinstance(own, str) else own) == F.col(f"`{ref}.{theirs}`") for own, theirs in on]
-    return df.join(t, all_of(*same), "left")
+    own = [F.col(f"`{o}`") if isinstance(o, str) else o for o, _ in on]
+    theirs = [F.col(f"`{ref}.{c}`") for _, c in on]
+    names = [f"__k{i}" for i in range(len(on))]
+    many = lambda side, keys, n: side.groupBy(*[k.alias(c) for k, c in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias(n))
+    counts = many(df, own, "__own").join(many(t, theirs, "__theirs"), names)  # nulls meet nothing
+    hot = cut(counts.filter(F.col("__own") * F.col("__theirs") > most))
+    side = math.isqrt(most)
+    hot = hot.select(*names, F.ceil(F.col("__own") / side).cast("int").alias("__a"), F.ceil(F.col("__theirs") / side).cast("int").alias("__b"))
+    blocks = hot.agg(F.sum(F.col("__a").cast("long") * F.col("__b"))).first()[0]
+    if not blocks:
+        return df.join(t, all_of(*[o == c for o, c in zip(own, theirs, strict=True)]), "left")
+    marked = lambda rows, keys: rows.join(hot, all_of(*[k == F.col(c) for k, c in zip(keys, names, strict=True)]), "left")
+    place = lambda rows, parts: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    mine, other = marked(df, own), marked(t, theirs)
+    plain = mine.filter("__a is null").select(*[F.col(f"`{c}`") for c in df.columns])
+    plain = plain.join(other.filter("__a is null").select(*[F.col(f"`{c}`") for c in t.columns]), all_of(*[o == c for o, c in zip(own, theirs, strict=True)]), "left")
+    mine = mine.filter("__a is not null").withColumns({"__i": place(df, "__a"), "__j": every("__b")})
+    other = other.filter("__a is not null").withColumns({"__j": place(t, "__b"), "__i": every("__a")})
+    # adaptive execution leaves a number of partitions as it is if it was given, so the tasks grow with the pairs
+    block, tasks = [*names, "__i", "__j"], min(blocks, MAX_TASKS)
+    left, right = [x.repartition(tasks, *block).select(*block, F.struct(*[F.col(f"`{c}`") for c in columns]).alias(n)) for x, columns, n in ((mine, df.columns, "__l"), (other, t.columns, "__r"))]
+    pairs = left.join(right.hint("shuffle_hash"), block)
+    return plain.unionByName(pairs.select(*[F.col(f"__l.`{c}`").alias(c) for c in df.columns], *[F.col(f"__r.`{c}`").alias(c) for c in t.columns]))
 
 
 def join_base(df: DataFrame, base: DataFrame, on: str = "_id") -> DataFrame:

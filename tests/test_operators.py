@@ -395,6 +395,30 @@ def test_writes_by_predicate(spark):
     assert sorted(after.values()) == [0, 1, 2, 4, 5, 33, 50] and errors == [("1", "multiple")] and logged == 2
 
 
+def test_keys_with_many_pairs_are_cut_in_blocks(spark):
+    """Joined by blocks or not, the rows are the same, and no task makes all pairs of a key."""
+    own = spark.createDataFrame([(i, "hot" if i % 3 else "cold" if i % 2 else None, i % 5) for i in range(300)], "id int, `k.x` string, n int")
+    target = spark.createDataFrame([(i, "hot" if i % 4 else "rare" if i % 8 else None, "A" if i % 10 else "B") for i in range(400)], "no int, k string, kind string")
+    on = [("k.x", "k"), (F.lit("A"), "kind")]
+    want, got = refs.join_ref_keys(own, "r", target, on), refs.join_ref_keys(own, "r", target, on, most=400)
+    assert got.columns == want.columns and want.count() == 200 * 280 + 100
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    sizes = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 50 and max(sizes) < 56_000 / 10
+
+
+def test_batches_come_as_many_files(spark, tmp_path):
+    """A part of the rows is one batch of the stream, from as many tasks as the rows have."""
+    from tablewright.plans import files
+
+    rows, folder, seen = spark.range(0, 100, 1, 4), f"file://{tmp_path}", []
+    source = spark.readStream.schema("id long").parquet(f"{folder}/in/*")
+    sink = source.writeStream.foreachBatch(lambda batch, n: seen.append((n, batch.count()))).option("checkpointLocation", f"{folder}/check").trigger(availableNow=True)
+    files._by_batches(rows, F.col("id") % 3, 3, folder, sink.start)
+    assert seen == [(0, 34), (1, 33), (2, 33)]
+    assert [len(list((tmp_path / f"in/b={k}").glob("part-*.parquet"))) for k in range(3)] == [4, 4, 4]
+
+
 def test_upserts_by_ranges_make_no_hits(spark, monkeypatch):
     """Equalities and a range of one column: counted from the order, the same as from the hits; nulls, NaN and empty ranges among them."""
     at, chance = F.lit("2025-01-01 00:00:00").cast("timestamp"), random.Random(5)
