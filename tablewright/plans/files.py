@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..model import TableError
@@ -71,6 +73,13 @@ def _events(spark, sf):
     return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
 
 
+def _by_batches(rows, part, batches, folder, run):
+    """The rows of each part arrive as files, as many as there are tasks, and a run of the stream takes them as one batch."""
+    for k in range(batches):
+        rows.filter(part == k).write.parquet(f"{folder}/in/b={k}")
+        run().awaitTermination()
+
+
 @query("SELECT user_id::VARCHAR AS _id, event_type AS name, value FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CASE WHEN event_id % 17 = 0 THEN 'delete' ELSE 'upsert' END) = 1) WHERE event_id % 17 <> 0")
 def stream_apply(spark, sf):
     """K1: a stream of changes into a current table."""
@@ -103,11 +112,9 @@ def stream_log(spark, sf):
     for batches in (1, 3, 7):
         folder = scratch(spark)
         part = F.floor((F.unix_micros("_at") - low) * batches / (high - low))
-        for k in range(batches):
-            changes.filter(part == k).coalesce(1).write.parquet(f"{folder}/in/b={k}")
-        source = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+        source = spark.readStream.schema(changes.schema).parquet(f"{folder}/in/*")
         state = S.State(spark, folder, {"current": "_id string, _revision string, _created timestamp, _updated timestamp, name string, seen int", "log": H.LOG_SCHEMA}, small_rows=100, fanout=3)
-        S.stream_apply_changes(source, state, "event", f"{folder}/checkpoint", by=["event_id"]).awaitTermination()
+        _by_batches(changes, part, batches, folder, functools.partial(S.stream_apply_changes, source, state, "event", f"{folder}/checkpoint", by=["event_id"]))
         log = state.read("log")
         ends = log.agg(F.max("_id").alias("entries"))  # numbered without gaps, so the last number is their count
         log = log.join(F.broadcast(ends)).select(F.lit(batches).alias("batches"), "_rid", "action", "data", F.col("datetime").cast("timestamp_ntz").alias("datetime"), "entries")
@@ -154,11 +161,10 @@ def stream_changed(spark, sf):
     low, high = events.agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))), F.unix_micros(F.max(F.col("ts").cast("timestamp"))) + 1).first()
     rows = events.select(F.col("user_id").cast("string").alias("_id"), F.col("ts").cast("timestamp").alias("_at"), "event_type")
     folder = scratch(spark)
-    for k in range(4):
-        rows.filter(F.floor((F.unix_micros("_at") - low) * 4 / (high - low)) == k).coalesce(1).write.parquet(f"{folder}/in/b={k}")
     KS.use_keyed_state(spark)
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
-    KS.changed_rows(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/*")
+    sink = KS.changed_rows(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    _by_batches(rows, F.floor((F.unix_micros("_at") - low) * 4 / (high - low)), 4, folder, sink.start)
     return spark.read.schema(KS.CHANGED).parquet(f"{folder}/out").select("id", "op", "checksum", F.col("at").cast("timestamp_ntz").alias("at"))
 
 

@@ -25,9 +25,10 @@ def changed_rows(source: DataFrame, key: str = "_id", by: str = "_at") -> DataFr
     """``CHANGED`` rows of a stream: of each id's rows in a batch the last by ``by`` (then by its data), if its checksum differs
     from the one that was last emitted; ``op`` is insert for an id that wasn't known, else patch.
 
-    A task sees an id's rows in chunks and keeps the last. Null ids are an id of their own. :func:`use_keyed_state` must
+    A task sees an id's rows one by one and keeps the last. Null ids are an id of their own. :func:`use_keyed_state` must
     have been called for the session. A batch that runs again starts from the state before it and emits the same.
     """
+    from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class LastChecksum(StatefulProcessor):  # defined here, so that workers get it whole and need no package
@@ -35,22 +36,17 @@ def changed_rows(source: DataFrame, key: str = "_id", by: str = "_at") -> DataFr
             self.known = handle.getValueState("checksum", "checksum string")
 
         def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, N802, N803
-            import pandas as pd
-
-            last = None
-            for chunk in rows:
-                best = chunk.sort_values(["at", "data"]).iloc[-1]
-                if last is None or (best["at"], best["data"]) > (last["at"], last["data"]):
-                    last = best
-            if last is not None:
-                before = self.known.get()
-                if before is None or before[0] != last["checksum"]:
-                    self.known.update((last["checksum"],))
-                    yield pd.DataFrame({"id": [key[0]], "op": ["insert" if before is None else "patch"], "checksum": [last["checksum"]], "at": [last["at"]], "data": [last["data"]]})
+            order = lambda row: (row.at is None, row.at or 0, row.data)
+            last = max(rows, key=order)
+            before = self.known.get()
+            if before is None or before[0] != last.checksum:
+                self.known.update((last.checksum,))
+                yield Row(id=last.id, op="insert" if before is None else "patch", checksum=last.checksum, at=last.at, data=last.data)
 
         def close(self) -> None:
             pass
 
     data = [c for c in source.columns if c not in (key, by)]
-    rows = source.select(F.col(key).cast("string").alias("id"), checksum(source, data).alias("checksum"), F.col(by).cast("timestamp").alias("at"), F.to_json(F.struct(*data), {"ignoreNullFields": "false"}).alias("data"))
-    return rows.groupBy("id").transformWithStateInPandas(LastChecksum(), outputStructType=CHANGED, outputMode="Append", timeMode="None")
+    rows = source.select(F.col(key).cast("string").alias("id"), checksum(source, data).alias("checksum"), F.unix_micros(F.col(by).cast("timestamp")).alias("at"), F.to_json(F.struct(*data), {"ignoreNullFields": "false"}).alias("data"))
+    out = rows.groupBy("id").transformWithState(LastChecksum(), outputStructType=CHANGED.replace("at timestamp", "at long"), outputMode="Append", timeMode="None")
+    return out.withColumn("at", F.timestamp_micros("at"))
