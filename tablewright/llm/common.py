@@ -89,6 +89,12 @@ def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def together(df: DataFrame, rows: int, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A narrow table that was counted in one partition if it has at most ``most`` rows: joins and groups of such tables need no
+    shuffle, so a loop over them takes one task a step and not one for each of the session's partitions, which the driver keeps."""
+    return df.coalesce(1) if rows <= most else df
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as it takes to differ from all columns of a caller's table."""
     taken = {c.lower() for c in df.columns}

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, small, unused, written
+from .common import WordHashes, cut, small, together, unused, written
 
 WORDS = 5
 PERCENT = 80
@@ -145,14 +145,17 @@ def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` with the smallest node that the edges ``a, b`` connect; for every node of an edge.
 
-    Each round hands labels over the edges and then to the label's own label, so paths halve. Every round is cut.
+    Each round hands labels over the edges and then to the label's own label, so paths halve. Every round is cut. Few edges
+    are one partition.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    rows = both.count()
+    both = cut(together(both, rows))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
     total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
     while True:
         told = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label"))
-        hooked = cut(labels.union(told).groupBy("node").agg(F.min("label").alias("label")))
+        hooked = cut(together(labels.union(told), rows).groupBy("node").agg(F.min("label").alias("label")))
         up = hooked.select(F.col("node").alias("up"), F.col("label").alias("above"))
         labels = cut(hooked.join(up, F.col("label") == F.col("up"), "left").select("node", F.coalesce(F.least("label", "above"), "label").alias("label")))
         last, total = total, labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, cut, small, written
+from .common import WordHashes, cut, small, together, written
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -33,6 +33,8 @@ SUBSET = 0.75
 #: Concentration steps end when no logarithm of a determinant falls by this much, or after ``STEPS``.
 FALL = 0.01
 STEPS = 15
+#: Starts of all groups up to which a step's sums over them are one task.
+MAX_TOGETHER = 1_000
 STARTS = 3
 #: Steps of a squashed or projected value, and the share of independence mixed into a start's correlations.
 GRAIN = 1024
@@ -274,6 +276,8 @@ def fit(measured: DataFrame) -> DataFrame:
     group = ["lang", "source"]
     rows = measured.filter(~F.col("base_failed")).select(*[F.col(c).cast("string").alias(c) for c in group], *X)
     now = cut(_starts(rows))
+    starts = now.count()
+    now = cut(together(now, starts, MAX_TOGETHER))
     s, c = [f"s{i}" for i in range(P)], [f"c{k}" for k in range(len(_PAIRS))]
     for step in range(STEPS):
         binned = _on_group(rows, now).selectExpr(*group, "start", f"CAST(floor(log2({DISTANCE} + {2**-10}D) * {BINS_PER_OCTAVE}) AS INT) AS bin", *X)
@@ -284,7 +288,7 @@ def fit(measured: DataFrame) -> DataFrame:
         near = bins.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("wanted", F.ceil(F.sum("n").over(whole) * SUBSET))
         near = near.filter(F.col("before") < F.col("wanted")).withColumn("share", F.least(F.lit(1.0), (F.col("wanted") - F.col("before")) / F.col("n")))
         moments = lambda names: F.expr("array(" + ", ".join(f"CAST(round(sum(IF(share = 1, {x}, 0)) + max(IF(share = 1, 0D, share)) * sum(IF(share = 1, 0, {x}))) AS LONG)" for x in names) + ")")
-        own = cut(near.groupBy(*group, "start").agg(F.max("wanted").alias("n"), moments(s).alias("s"), moments(c).alias("c")))
+        own = cut(together(near.groupBy(*group, "start").agg(F.max("wanted").alias("n"), moments(s).alias("s"), moments(c).alias("c")), starts, MAX_TOGETHER))
         added = lambda name, n: F.expr("array(" + ", ".join(f"sum({name}[{i}])" for i in range(n)) + ")")
         lang = own.groupBy(F.col("lang").alias("__lang"), F.col("start").alias("__start")).agg(F.sum("n").alias("ln"), added("s", P).alias("ls"), added("c", len(_PAIRS)).alias("lc"))
         joined = own.join(lang, F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("start") == F.col("__start"))).drop("__lang", "__start")

@@ -411,3 +411,11 @@ def test_pipeline_of_odd_rows(spark, odd, sf):
     for _, stage in corpus_pipeline.STAGES:
         empty = written(stage(spark, empty, sf))
     assert empty.count() == 0
+
+
+def test_loops_over_few_rows_are_one_task(spark):
+    """A chain of edges is followed in one partition, and gives the same labels as in many."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long").repartition(8)
+    want = {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
+    few = neardup.components(edges)
+    assert few.rdd.getNumPartitions() == 1 and {r.node: r.label for r in few.collect()} == want
